@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import bpe, near_dup, quality, sharding
 
 QUERIES = {
+    "op4_vector_bin_packing": sharding.query,
+    "op7_byte_bpe": bpe.query,
     "op9_minhash_near_dedup": near_dup.query,
+    "op10_quality_classifier": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
