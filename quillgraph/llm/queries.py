@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dup, quality, sharding
+from . import bpe, embed_dup, near_dup, quality, sharding
 
 QUERIES = {
     "op4_vector_bin_packing": sharding.query,
+    "op5_cross_polytope": embed_dup.query,
     "op7_byte_bpe": bpe.query,
     "op9_minhash_near_dedup": near_dup.query,
     "op10_quality_classifier": quality.query,
