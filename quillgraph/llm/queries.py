@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dup, near_dup, quality, sharding
+from . import bpe, decontaminate, embed_dup, license_scan, near_dup, quality, sharding
 
 QUERIES = {
+    "op3_spaced_seeds": decontaminate.query,
     "op4_vector_bin_packing": sharding.query,
     "op5_cross_polytope": embed_dup.query,
+    "op6_license_scan": license_scan.query,
     "op7_byte_bpe": bpe.query,
     "op9_minhash_near_dedup": near_dup.query,
     "op10_quality_classifier": quality.query,
