@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embed_dup, license_scan, near_dup, quality, sharding
+from . import bpe, decontaminate, embed_dup, license_scan, near_dup, quality, secret_scan, sharding
 
 QUERIES = {
+    "op1_secret_forest": secret_scan.query,
     "op3_spaced_seeds": decontaminate.query,
     "op4_vector_bin_packing": sharding.query,
     "op5_cross_polytope": embed_dup.query,
