@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embed_dup, license_scan, near_dup, quality, secret_scan, sharding
+from . import bpe, decontaminate, embed_dup, license_scan, lm_score, near_dup, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
+    "op2_stupid_backoff": lm_score.query,
     "op3_spaced_seeds": decontaminate.query,
     "op4_vector_bin_packing": sharding.query,
     "op5_cross_polytope": embed_dup.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_quality_classifier": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_stupid_backoff": lm_score.SQL}
