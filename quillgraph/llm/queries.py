@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embed_dup, license_scan, lm_score, near_dup, quality, secret_scan, sharding
+from . import bpe, decontaminate, embed_dup, license_scan, lm_score, near_dup, quality, secret_scan, sharding, tool_calls
 
 QUERIES = {
     "op1_secret_forest": secret_scan.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_cross_polytope": embed_dup.query,
     "op6_license_scan": license_scan.query,
     "op7_byte_bpe": bpe.query,
+    "op8_tool_call_linking": tool_calls.query,
     "op9_minhash_near_dedup": near_dup.query,
     "op10_quality_classifier": quality.query,
 }
