@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_ids, pieces, saved, table
@@ -17,26 +17,37 @@ from .kernels import constants, min_hashes, mix, shingle_sets
 WIDTH = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4  # a pair at 0.75 shares no band with probability (1 - 0.75**4)**32, about 5e-6
-BITS = 1024  # of the odd sketch
-#: Pairs whose sketches estimate a similarity below this are dropped; at 0.75 the estimate's deviation is about 0.045.
-ESTIMATE = 0.48
+SAMPLE = 512  # smallest shingle hashes of a set (a bottom-k MinHash sample) that are folded into its odd sketch
+BITS = 2048  # of the odd sketch
 PIECE = 4 << 20
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
 
 
-def most_odd_bits(k: int = BANDS * ROWS, bits: int = BITS, estimate: float = ESTIMATE) -> int:
-    """The XOR of two odd sketches has bits * (1 - exp(-4 k (1 - J) / bits)) / 2 ones in expectation at similarity J."""
-    return int(np.ceil(bits * (1 - np.exp(-4 * k * (1 - estimate) / bits)) / 2))
+def odd_sketches(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """Fold the MinHash sample of each sorted set into a parity bitmap, as bits / 64 signed words.
 
-
-def odd_sketches(low: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Fold each row of MinHash samples into a parity bitmap, as bits / 64 signed words."""
-    n, k = low.shape
-    place = (mix(low + constants(k, 53)) % np.uint64(bits)).astype(np.int64) + np.arange(n)[:, None] * bits
-    odd = (np.bincount(place.ravel(), minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    A sample is the SAMPLE smallest hashes of the set, hence the whole set if it is no larger."""
+    samples = [s[:SAMPLE] for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in samples])
+    place = (mix(np.concatenate([np.empty(0, dtype=np.uint64), *samples]) + np.uint64(53)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(owner * bits + place, minlength=len(sets) * bits) & 1).astype(np.uint8).reshape(len(sets), bits)
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def plausible(n_a: Column, odd_a: Column, n_b: Column, odd_b: Column) -> Column:
+    """False only for pairs below the threshold: by their sizes, or by the population count of the XOR of their odd sketches.
+
+    Sets of n_a and n_b shingles at similarity J = PERCENT / 100 share J (n_a + n_b) / (1 + J) of them, of which the sparser
+    sample holds its share; all else in the samples differs. The XOR has at most one bit for each sampled shingle that differs,
+    so without sampling (sets up to SAMPLE) no similar pair is lost; with it, six standard deviations are allowed for."""
+    k_a, k_b = (F.least(n, F.lit(SAMPLE)).cast("double") for n in (n_a, n_b))
+    rate = F.least(k_a / n_a, k_b / n_b)
+    shared = F.lit(PERCENT / (100.0 + PERCENT)) * (n_a + n_b)
+    deviation = 2 * F.sqrt(shared * rate * (1 - rate) + 0.0)
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get(odd_a, F.lit(i)).bitwiseXOR(F.get(odd_b, F.lit(i)))) for i in range(BITS // 64)))
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (differ <= k_a + k_b - 2 * shared * rate + 6 * deviation + 1e-6)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in pieces(batches, "text", PIECE):
         sets = shingle_sets(texts, WIDTH)
@@ -45,7 +56,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = min_hashes([sets[i] for i in full], BANDS * ROWS)
         joint = (low.reshape(len(full), BANDS, ROWS) * constants(ROWS, 61)).sum(axis=2, dtype=np.uint64) + constants(BANDS, 67)
         bands, odd = [None] * len(sets), [None] * len(sets)
-        for i, b, o in zip(full, mix(joint).view(np.int64), odd_sketches(low), strict=True):
+        for i, b, o in zip(full, mix(joint).view(np.int64), odd_sketches([sets[i] for i in full]), strict=True):
             bands[i], odd[i] = b, o
         sums = [np.array([mix(s + np.uint64(c)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64) for c in (7, 11)]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd"])
@@ -73,19 +84,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCH)
 
 
-def _confirmed(pairs: DataFrame, side: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar: sizes and odd sketches first, then the full sets of the documents that are left."""
-    x, y = (side.select(F.col("id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("odd").alias(f"odd_{n}")) for n in "ab")
-    differ = reduce(lambda s, i: s + F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])), range(1, BITS // 64), F.bit_count(F.col("odd_a")[0].bitwiseXOR(F.col("odd_b")[0])))
-    close = pairs.join(x, "a").join(y, "b").where((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (differ <= most_odd_bits()))
-    close = saved(close.select("a", "b"), "close")
-    ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, by the full shingle sets of the documents that occur in them."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = by_ids(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
     sets = saved(sets, "sets")
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
 
+def _named(side: DataFrame, name: str) -> DataFrame:
+    return side.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_shingles_{name}"), F.col("odd").alias(f"odd_{name}"))
+
+
+def _sketch_columns(*names: str) -> list[Column]:
+    return [F.col(f"{c}_{n}") for n in names for c in ("n_shingles", "odd")]
+
+
 def _live(entries: DataFrame) -> DataFrame:
     """Buckets that still hold more than one component, with their smallest member and their largest component."""
     parts = entries.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("low"))
@@ -98,7 +113,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with equal shingle sets form a class. Class representatives are banded. Three rounds look for links, each only
     between classes that are not yet in one component: (1) each member with the smallest hub of its buckets, (2) with the hub of
     every bucket, (3) in buckets that still hold several components, every member outside the largest one with all others.
-    So a group of copies or near copies costs rows in proportion to its size, and no link between components is skipped.
+    Odd sketches are compared inside the joins, so only plausible pairs become rows: a group of copies or near copies costs rows
+    in proportion to its size, and no link between components is skipped.
 
     Null and empty texts and texts of white space have n_shingles 0 and link with nothing. Rows with a null doc_id link with
     nothing and have component_id null and kept true. Repeated rows of one doc_id are one document: all are returned, alike;
@@ -110,6 +126,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = saved(full.select("doc_id", *keys).join(classes, keys).select("doc_id", "id").distinct(), "member")
     side = saved(by_ids(full.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "odd"), member.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "classes")
     entries = side.select("id", F.explode("bands").alias("key"))
+    side = side.select("id", "n_shingles", "odd")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = saved(entries.join(shared, "key"), "entries")
     checked = found = comps = None
@@ -120,15 +137,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if step < 2:
             pairs = seen.where("comp <> hub_comp")
             pairs = pairs.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")) if step == 0 else pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+            pairs = pairs.join(_named(side, "a"), "a").join(_named(side, "b"), "b").where(plausible(*_sketch_columns("a", "b")))
         else:
-            minor = seen.where("comp <> main").select("key", F.col("id").alias("p"), F.col("comp").alias("p_comp"))
-            pairs = minor.join(now, "key").where("p_comp <> comp").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+            seen = seen.join(side, "id").select("key", "id", "comp", "main", "n_shingles", "odd")
+            minor, other = (df.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("id", "comp", "n_shingles", "odd"))) for df, n in ((seen.where("comp <> main"), "a"), (seen, "b")))
+            pairs = minor.join(other, "key").where((F.col("comp_a") != F.col("comp_b")) & plausible(*_sketch_columns("a", "b")))
+            pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         pairs = pairs.select("a", "b")
         pairs = saved(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         checked = pairs if checked is None else checked.unionByName(pairs)
-        new = _confirmed(pairs, side.select("id", "n_shingles", "odd"), docs)
+        new = _confirmed(pairs, docs)
         found = new if found is None else found.unionByName(new)
         comps = components(found, "a", "b").select("id", "component")
     groups = _members(member, comps)
