@@ -1 +1 @@
-"""."""
+"""Operators: DataFrame to DataFrame, lazy, keyed on ids."""

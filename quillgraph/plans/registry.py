@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import code_queries, note_queries, page_queries
+
+QUERIES: dict = page_queries.QUERIES | note_queries.QUERIES | code_queries.QUERIES
+ORACLE_SQL: dict[str, str] = page_queries.ORACLE_SQL | note_queries.ORACLE_SQL | code_queries.ORACLE_SQL
