@@ -72,7 +72,7 @@ def _first_line(x: Column, tidy) -> Column:
 
 def page_title(x: Column, fallback: Column) -> Column:
     """The first level-one heading, else the first line with anything on it (160 characters at most), else the fallback."""
-    return F.coalesce(_filled(normalize(F.regexp_extract(x, H1, 1))), F.left(_first_line(x, F.trim), F.lit(160)), fallback)
+    return F.coalesce(_filled(normalize(F.regexp_extract(x, H1, 1))), F.left(_first_line(x, lambda line: F.trim(line)), F.lit(160)), fallback)
 
 
 def note_title(x: Column, fallback: Column) -> Column:

@@ -1 +1 @@
-"""."""
+"""An extension: incremental refresh of derived tables."""
