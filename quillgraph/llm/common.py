@@ -42,6 +42,16 @@ def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small(ids) else ids, on, how)
 
 
+def in_batches(df: DataFrame, most: int) -> DataFrame:
+    """df, after the session's limit on the bytes of an Arrow batch has been lowered to `most` (never raised): what a Python worker
+    and its executor hold at a time follows the bytes of texts, not their number."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, "1g")).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        conf.set(name, most)
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts together hold about `most` bytes (one row at least), with the UTF-8 texts.
 

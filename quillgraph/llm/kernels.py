@@ -10,7 +10,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
+_BLOCK = 1 << 20  # bytes of text hashed at a time: working arrays are some fifty times as large
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,31 +25,37 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _BASE + _U(seed)) | _U(1)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(n, base, dtype=_U)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, dtype=_U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lower-cased) of the texts, and where each text's words begin.
-
-    Returns (hashes, bounds): text i has hashes[bounds[i]:bounds[i + 1]]."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, dtype=np.uint8)
+def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     ends_of_texts = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     inside = ~_SPACE[raw]
     edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(len(raw))
-    total = np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * up[: len(raw)])
+    total = np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * _powers(int(_BASE), len(raw)))
     before = np.where(first > 0, total[first - 1], _U(0))
-    hashes = mix((total[last - 1] - before) * down[first] ^ (last - first).astype(_U))
-    return hashes, np.concatenate(([0], np.searchsorted(first, ends_of_texts)))
+    hashes = mix((total[last - 1] - before) * _powers(pow(int(_BASE), -1, 1 << 64), len(raw))[first] ^ (last - first).astype(_U))
+    return hashes, np.searchsorted(first, ends_of_texts)
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without ASCII white space, A-Z lower-cased) of the texts, and where each text's words begin.
+
+    Returns (hashes, bounds): text i has hashes[bounds[i]:bounds[i + 1]]. Texts are hashed in blocks of about a megabyte."""
+    hashes, bounds, start, size, n = [np.empty(0, dtype=_U)], [np.zeros(1, dtype=np.int64)], 0, 0, 0
+    for i, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= _BLOCK or i == len(texts) - 1:
+            h, b = _block_words(texts[start : i + 1])
+            hashes.append(h)
+            bounds.append(b + n)
+            n, start, size = n + len(h), i + 1, 0
+    return np.concatenate(hashes), np.concatenate(bounds)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

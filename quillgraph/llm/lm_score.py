@@ -1,6 +1,6 @@
 """LM scoring (operator 2): stupid-backoff scores from n-gram counts partitioned by hash and joined to each chunk's n-grams.
 
-A chunk is about 16 MB of text. It sends every distinct n-gram once, with its number, to the partition of the n-gram's hash; the
+A chunk is about 8 MB of text. It sends every distinct n-gram once, with its number, to the partition of the n-gram's hash; the
 partition sums the counts over all chunks and sends the totals back to the chunks that asked. So the most frequent n-gram costs
 one entry per chunk, not one per document, and no partition holds more than its share of distinct n-grams."""
 
@@ -15,31 +15,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, table
+from .common import in_batches, pieces, saved, table
 from .kernels import constants, mix, words
 
 ORDER = 2
 BACKOFF = 0.4
-PIECE = 16 << 20
+PIECE = 8 << 20
 BUCKET = 1_500_000  # entries (distinct n-grams of chunks) that a partition of the count table should get
 _U = np.uint64
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x.astype("<u4")[:, None].view(np.uint8).T).tobytes(), codec="zstd", asbytes=True)
+    """Numbers as compressed planes of their first, second, ... bytes: small numbers cost little."""
+    return pa.compress(np.ascontiguousarray(x[:, None].view(np.uint8).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+def _unpacked(blob: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=width * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number = TaskContext.get().partitionId(), 0
     for part, texts in pieces(batches, "text", PIECE):
         hashes, bounds = words(texts)
-        distinct, index = np.unique(hashes, return_inverse=True)
-        columns = [[(task << 24) | number], [part.column("doc_id").to_pylist()], [np.diff(bounds).tolist()], [len(distinct)], [_packed(index)], [distinct.tobytes()]]
+        distinct, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        frequent = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(distinct), dtype="<u4")
+        rank[frequent] = np.arange(len(distinct))
+        columns = [[(task << 24) | number], [part.column("doc_id").to_pylist()], [np.diff(bounds).tolist()], [len(distinct)], [_packed(rank[index])], [distinct[frequent].tobytes()]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "doc_ids", "sizes", "n_words", "tokens", "words"])
         number += 1
@@ -52,8 +57,12 @@ class Grams:
         self.sizes = np.array(sizes, dtype=np.int64)
         n = int(self.sizes.sum())
         self.owner = np.repeat(np.arange(len(sizes)), self.sizes)
-        first = np.frombuffer(distinct, dtype=_U)
-        index = _unpacked(tokens, n)
+        by_rank = np.frombuffer(distinct, dtype=_U)
+        order_of = np.argsort(by_rank)
+        first = by_rank[order_of]
+        place_of = np.empty(len(first), dtype=np.int64)
+        place_of[order_of] = np.arange(len(first))
+        index = place_of[_unpacked(tokens, n, "<u4")]
         self.hashes, self.index = [first], [index]
         place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         running = first[index] if n else np.empty(0, dtype=_U)
@@ -87,7 +96,7 @@ def _ask(order: int, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterato
                 counts = grams.counts(k).astype("<u4")
                 cut = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1))  # hashes are sorted, so buckets are runs
                 for b in np.flatnonzero(np.diff(cut)).tolist():
-                    rows.append((b, chunk, k, hashes[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].tobytes()))
+                    rows.append((b, chunk, k, _packed(np.diff(hashes[cut[b] : cut[b + 1]], prepend=_U(0))), counts[cut[b] : cut[b + 1]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "k", "hashes", "counts"])
 
 
@@ -97,12 +106,13 @@ def _answer(group: pa.Table) -> pa.Table:
     kinds = np.array(group.column("k"))
     for k in np.unique(kinds).tolist():
         part = group.filter(pa.array(kinds == k))
-        asked = [np.frombuffer(x, dtype=_U) for x in part.column("hashes").to_pylist()]
-        numbers = np.concatenate([np.frombuffer(x, dtype="<u4") for x in part.column("counts").to_pylist()])
+        counts = [np.frombuffer(x, dtype="<u4") for x in part.column("counts").to_pylist()]
+        asked = [np.cumsum(_unpacked(x, len(c), "<u8"), dtype=_U) for x, c in zip(part.column("hashes").to_pylist(), counts, strict=True)]
+        numbers = np.concatenate(counts)
         _, index = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(index, weights=numbers).astype(np.int64)[index].astype("<u8")
         for bucket, chunk, t in zip(part.column("bucket").to_pylist(), part.column("chunk").to_pylist(), np.split(totals, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
-            out.append((chunk, k, bucket, pa.compress(np.ascontiguousarray(t[:, None].view(np.uint8).T).tobytes(), codec="zstd", asbytes=True), len(t)))
+            out.append((chunk, k, bucket, _packed(t), len(t)))
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["chunk", "k", "bucket", "totals", "n"])
 
 
@@ -113,7 +123,7 @@ def _score(order: int, total: int, key: tuple, chunk: pa.Table, answers: pa.Tabl
     documents = len(grams.sizes)
     others = []  # for each order and place: how often the n-gram ending there occurs in other documents
     for k in range(order):
-        parts = [np.ascontiguousarray(np.frombuffer(pa.decompress(r["totals"], decompressed_size=8 * r["n"], codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel() for r in rows if r["k"] == k]
+        parts = [_unpacked(r["totals"], r["n"], "<u8") for r in rows if r["k"] == k]
         everywhere = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
         at, there = grams.index[k], grams.index[k] >= 0
         own_key = grams.owner[there] * max(len(everywhere), 1) + at[there]
@@ -148,7 +158,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     documents; an empty table gives no rows. Other columns are ignored."""
     if order < 1:
         raise ValueError("order must be at least 1")
-    chunks = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, "chunk long, doc_ids array<long>, sizes array<long>, n_words long, tokens binary, words binary"), "lm-chunks")
+    chunks = saved(in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunks, "chunk long, doc_ids array<long>, sizes array<long>, n_words long, tokens binary, words binary"), "lm-chunks")
     totals = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words"), F.sum("n_words").alias("distinct")).first()
     total = int(totals.words or 0)
     buckets = max(8, -(-(int(totals.distinct or 0) + (order - 1) * total) // BUCKET))
