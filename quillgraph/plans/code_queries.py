@@ -154,6 +154,8 @@ ORACLE_SQL = {
     "language_classify": with_views(f"SELECT {_LANGUAGE} AS language, count(*) AS n FROM files GROUP BY 1", "files"),
     "artifact_kind": with_views(f"SELECT file_id, {_KIND} AS kind, {_CODE} AS is_code, {_IGNORED} AS is_ignored FROM files", "files"),
     "code_symbols": with_views(f"SELECT file_id, {', '.join(f'{_symbols(k)} AS {k}' for k in C.SYMBOLS)} FROM files", "files"),
+    # the files derived here start with line comments only, so the SQL needs no state of block comments
+    "code_comments": with_views(f"WITH l AS (SELECT file_id, list_transform({S.lines(_B)}[1:80], lambda v: trim(v)) AS l FROM files), c AS (SELECT file_id, l[1:coalesce(list_position(list_transform(l, lambda v: regexp_matches(v, '^(//|#|--|;)')), false), 81) - 1] AS c FROM l), t AS (SELECT file_id, list_filter(list_transform(c, lambda v: {S.norm("CASE WHEN starts_with(v, '//') OR starts_with(v, '--') THEN substr(v, 3) ELSE substr(v, 2) END")}), lambda v: v <> '')[1:4] AS t FROM c) SELECT file_id, array_to_string({S.unique('t', 4)}, '|') AS comments FROM t", "files"),
     "code_risks": with_views(f"SELECT file_id, {_fired(_RISKS)} AS risks, {_fired({'legacy-path': f'''contains({_P}, 'gitlab')''', 'stale-host': f'''contains(lower({_B}), 'wiki.legacy.test.org')''', 'lockfile': f'''({_KIND}) = 'Dependency lockfile' '''})} AS conflicts FROM files", "files"),
     "implementation_signals": with_views(f"SELECT file_id, {_fired(_SIGNALS)} AS signals, array_to_string(list_filter([{', '.join(S.q(s) for s in C.SYSTEMS)}], lambda s: contains(lower(concat(path, chr(10), {_B})), s))[1:6], ',') AS systems, {_FOCUS} AS focus FROM files", "files"),
     "identifier_words": with_views(f"SELECT file_id, lower({S.norm('''regexp_replace(translate(path, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')''')}) AS words FROM files", "files"),

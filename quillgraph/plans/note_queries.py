@@ -250,6 +250,10 @@ _HEADINGS = S.unique(f"regexp_extract_all(body, '{_H}', 1)", 12)
 _BULLETS = S.unique(f"list_filter(list_transform(list_filter({_BODY}, lambda s: starts_with(s, '- ')), lambda s: {S.norm('substr(s, 3)')}), lambda s: length(s) > 8)", 12)
 _PARAS = S.unique(f"list_filter({_BODY}, lambda s: NOT starts_with(s, '- ') AND length(s) > 30)", 8)
 _URLS = f"list_sort(list_distinct(list_transform(regexp_extract_all(body, 'https?://[^\\s)>\\]\"'']+'), lambda u: {S.strip('u')})))[1:15]"
+_LINK = S.q(N.LINK)
+_LABEL = "regexp_extract(m, '^\\[([^\\]]+)\\]', 1)"
+_TARGET = "trim(regexp_extract(m, '\\]\\(([^)]+)\\)$', 1))"
+_BARE = f"string_split(string_split({_TARGET}, '#')[1], '?')[1]"
 _REFS = "list_sort(list_distinct(regexp_extract_all(body, '(?i)\\bArticle\\s+(\\d{4,6})\\b', 1)))"
 _REDACT = "regexp_replace(regexp_replace(regexp_replace({x}, '(https?://)([^/\\s@]+)@', '\\1[REDACTED_CREDENTIALS]@', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[REDACTED_EMAIL]', 'g'), '\\b(?:10(?:\\.\\d{{1,3}}){{3}}|172\\.(?:1[6-9]|2\\d|3[0-1])(?:\\.\\d{{1,3}}){{2}}|192\\.168(?:\\.\\d{{1,3}}){{2}})\\b', '[REDACTED_PRIVATE_IP]', 'g')"
 _NAMES = "name_lines AS (SELECT note_id, regexp_extract(l[i], '^\\s*(?:- |## )([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\\s*$', 1) AS name, lower(array_to_string(l[greatest(i - 3, 1):i + 3], ' ')) AS near FROM (SELECT note_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT note_id, %s AS l FROM notes))), found AS (SELECT name, count(*) AS n FROM name_lines WHERE name <> '' AND regexp_matches(near, 'posted|comments|author') AND name NOT IN (%s) GROUP BY name HAVING count(*) >= 2)" % (S.lines("body"), ", ".join(S.q(n) for n in N.NOT_NAMES))
@@ -296,6 +300,7 @@ ORACLE_SQL = {
     "related_notes": with_views(f"WITH {_TOP}, ranked AS (SELECT topic, note_id, row_number() OVER (PARTITION BY topic ORDER BY note_id) AS k FROM top), pairs AS (SELECT a.note_id, a.topic, b.note_id AS other_id, row_number() OVER (PARTITION BY a.note_id, a.topic ORDER BY b.note_id) AS place FROM top a JOIN ranked b ON b.topic = a.topic AND b.note_id <> a.note_id AND b.k <= 17) SELECT * FROM pairs WHERE place <= 16", "notes"),
     "search_keywords": with_views(f"WITH s AS (SELECT note_id, title, {_HEADINGS} AS h, {_BULLETS} AS b, {_PARAS} AS p FROM notes), c AS (SELECT note_id, list_filter(list_concat([title], h[1:6], b[1:4], list_transform(p[1:2], lambda v: left(v, 80)), ['Delivery', 'api']), lambda v: length({S.norm('v')}) > 2) AS l FROM s), u AS (SELECT note_id, {S.unique('l', 16)} AS u FROM c) SELECT note_id, md5(array_to_string(u, '|')) AS keywords_md5, len(u) AS n_keywords FROM u", "notes"),
     "note_stems": with_views(f"WITH t AS (SELECT note_id, kind, path, {S.display_title('title')} AS d FROM notes), s AS (SELECT note_id, CASE WHEN kind = 'wiki' THEN 180 ELSE 120 END AS n, CASE WHEN kind = 'wiki' THEN concat('Wiki - ', split_part(path, '/', 1), ' - ', d, ' - ', left(sha1(path), 8)) ELSE concat('Support - ', note_id, ' - ', d) END AS s FROM t) SELECT note_id, coalesce(nullif(rtrim(left(trim(regexp_replace(s, '[^A-Za-z0-9 ._-]+', '', 'g')), n::INT), ' .'), ''), 'Untitled') AS stem FROM s", "notes"),
+    "wikified": with_views(f"WITH b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.note_id % 2 = 0 AND an.note_id < 300 AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.note_id % 7 = 0 AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id) SELECT c.note_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '')) AS body_md5 FROM c LEFT JOIN l USING (note_id)", "notes"),
     "note_conflicts": with_views(f"WITH {_CONFLICT} SELECT note_id, n_stale, n_links, array_to_string(kinds, ',') AS conflicts FROM con", "notes"),
     "conflict_counts": with_views(f"WITH {_CONFLICT} SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM con) GROUP BY kind", "notes"),
     "graph_links": with_views(f"WITH {_NODES} SELECT src, target, dst, count(*) AS n FROM edges GROUP BY src, target, dst", "graph_notes"),
