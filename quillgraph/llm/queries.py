@@ -17,4 +17,8 @@ QUERIES = {
     "op10_quality_classifier": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_stupid_backoff": lm_score.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_stupid_backoff": lm_score.SQL,
+    "op5_cross_polytope": embed_dup.SQL,
+    "op9_minhash_near_dedup": near_dup.SQL,
+}
