@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 
 
+LISTED = 25  # references that a listing shows of each URL
+
+
 def merge_refs(*links: DataFrame) -> DataFrame:
-    """url, refs (sorted set) of (url, ref) rows. Sets are made map-side first, so a common URL shuffles once per task."""
-    rows = reduce(DataFrame.unionByName, (x.select("url", "ref") for x in links))
-    return rows.distinct().groupBy("url").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    """Distinct (url, ref) rows of several (url, ref) tables: the merged references, one row each, so that a URL which a third of
+    all documents cite stays a set of rows and never becomes one list."""
+    return reduce(DataFrame.unionByName, (x.select("url", "ref") for x in links)).distinct()
+
+
+def listed(merged: DataFrame, limit: int = LISTED) -> DataFrame:
+    """url, n_refs, more, refs: how many references a URL has, how many beyond the limit, and the first ones in order. References
+    are ranked with the limit below the shuffle before any are gathered."""
+    first = merged.withColumn("rank", F.row_number().over(Window.partitionBy("url").orderBy("ref"))).where(F.col("rank") <= limit)
+    first = first.groupBy("url").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    return merged.groupBy("url").agg(F.count("*").alias("n_refs")).join(first, "url").select("url", "n_refs", F.greatest(F.col("n_refs") - limit, F.lit(0)).alias("more"), "refs")
 
 
 def clean_links(links: DataFrame) -> DataFrame:

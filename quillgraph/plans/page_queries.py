@@ -65,8 +65,8 @@ def _links(spark, sf_dir):
 def link_refs_merge(spark, sf_dir):
     links = _links(spark, sf_dir)
     wiki = F.startswith("ref", F.lit("wiki/"))
-    merged = L.merge_refs(links.where(~wiki), links.where(wiki))
-    return merged.select("url", F.array_join("refs", ",").alias("refs"), F.size("refs").cast("long").alias("n_refs"))
+    merged = L.listed(L.merge_refs(links.where(~wiki), links.where(wiki)))
+    return merged.select("url", F.array_join("refs", ",").alias("refs"), "n_refs", F.col("more").cast("long").alias("more"))
 
 
 def _inventory(spark, sf_dir):
@@ -133,7 +133,7 @@ ORACLE_SQL = {
     "mirror_files": f"SELECT page_id, {S.host('url')} || '/' || {S.slug('''regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)''')} || '.md' AS mirror_path, md5(left({S.html_text('html')}, 20000)) AS body_md5 FROM pages",
     "url_sanitize": with_views(f"SELECT page_id, ref, url, {S.clean_url('url')} AS clean FROM links", "links"),
     "article_url_normalize": with_views(f"SELECT page_id, ref, {S.known_article(S.strip('url'))} AS known_url, CASE WHEN {S.article_id(S.strip('url'))} IS NOT NULL THEN 'https://kb.test.org/a/' || {S.article_id(S.strip('url'))} ELSE '' END AS article_url FROM links", "links"),
-    "link_refs_merge": with_views(f"WITH {_CLEAN} SELECT url, array_to_string(list_sort(list(DISTINCT ref)), ',') AS refs, count(DISTINCT ref) AS n_refs FROM clean GROUP BY url", "links"),
+    "link_refs_merge": with_views(f"WITH {_CLEAN} SELECT url, array_to_string(list_sort(list(DISTINCT ref))[1:25], ',') AS refs, count(DISTINCT ref) AS n_refs, greatest(count(DISTINCT ref) - 25, 0) AS more FROM clean GROUP BY url", "links"),
     "link_inventory": with_views(f"WITH {_INVENTORY} SELECT status, domain, url, http_status::BIGINT AS http_status, n_refs FROM inv", *_ALL),
     "link_status_counts": with_views(f"WITH {_INVENTORY} SELECT status, count(*) AS n FROM inv GROUP BY status", *_ALL),
     "local_vs_remote_links": with_views(f"WITH {_CLEAN}, {_KNOWN} SELECT DISTINCT url, ref, CASE WHEN {S.known_article('url')} IN (SELECT k FROM ours) THEN 'local' ELSE 'remote' END AS side FROM clean", "links", "known"),
