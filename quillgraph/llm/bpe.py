@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import in_batches, pieces, table
 
-PIECE = 16 << 20
+PIECE = 6 << 20  # bytes of text at a time: working memory is some twenty times as large
 _SHIFT = 20
 _NONE = (1 << _SHIFT) - 1  # the token of a list's end; no vocabulary has so many tokens
 
@@ -228,14 +228,14 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, decoded: bool = False) ->
 
     docs has doc_id and text; other columns are ignored. raw is a rank file's content. Every row of docs gives one row, repeated
     rows too; a null text counts as an empty one (no tokens); a null doc_id stays null; an empty table gives no rows. Each task
-    takes about 16 MB of text at a time and no text is cut. No shuffle: a lost executor's tasks run again elsewhere."""
+    takes about 6 MB of text at a time and no text is cut. No shuffle: a lost executor's tasks run again elsewhere."""
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, raw, pattern, decoded), schema)
+    return in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, raw, pattern, decoded), schema)
 
 
 def decode(encoded: DataFrame, raw: bytes, pattern: str) -> DataFrame:
     """doc_id, decoded (binary) for rows of doc_id, ids; null ids decode to no bytes."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, raw, pattern), "doc_id long, decoded binary")
+    return in_batches(encoded, PIECE).select("doc_id", "ids").mapInArrow(partial(_decode, raw, pattern), "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, raw: bytes, pattern: str) -> DataFrame:
