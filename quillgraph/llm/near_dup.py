@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, pieces, saved, table
+from .common import by_ids, in_batches, pieces, saved, table
 from .components import components
 from .kernels import constants, min_hashes, mix, shingle_sets
 
@@ -81,7 +81,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """One row per document: set size, a 128-bit sum over the set, band keys and the odd sketch (null for an empty set)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCH)
+    return in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCH)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
