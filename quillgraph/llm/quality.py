@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, table
+from .common import in_batches, pieces, saved, table
 from .kernels import words
 
 FEATURES = 192  # random Fourier features
@@ -99,7 +99,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of its whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_featurise, "doc_id long, x array<double>")
+    return in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_featurise, "doc_id long, x array<double>")
 
 
 def _sums(mean: np.ndarray, scale: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
