@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 8  # highest-IDF licence words that are looked up for a file
+RARE = 8  # highest-IDF words of a template that are looked up
 SUPPORT = 0.6  # share of a template's rarest words, by IDF, that must stand at one relative position
 # Phrases and labels of the contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -81,8 +81,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
 
     base_labels come from places where the words of a phrase of BASE stand consecutively. The method adds a label of TEMPLATES
-    where at least SUPPORT of a template's rarest words (of the file's RARE highest-IDF ones, weighted by IDF) stand at one
-    relative position and a mandatory key phrase occurs. IDF counts all rows. score: 1 with a base place, else the best share.
+    where at least SUPPORT of a template's RARE highest-IDF words (weighted by IDF) stand at one relative position and a mandatory
+    key phrase occurs; what else the file holds takes nothing from that. IDF counts all rows. score: 1 with a base place, else the best share.
 
     A null text counts as an empty one: no words, no labels (empty strings), null first_word and last_word, score 0. Rows with
     null doc_ids and repeated rows are returned like any other. An empty table gives no rows. No text is cut."""
@@ -92,14 +92,12 @@ def scan(docs: DataFrame) -> DataFrame:
     counts = dict(hits.select(F.explode(F.array_distinct("found.word")).alias("word")).groupBy("word").count().collect())  # at most the vocabulary
     total = rows.count()
     idf = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for w in vocabulary()}
-    of_word = F.create_map(*(F.lit(x) for w in vocabulary() for x in (w, idf[w])))
-    ranked = F.array_sort(F.transform(F.array_distinct("found.word"), lambda w: F.struct((-of_word[w]).alias("minus"), w.alias("word"))))
-    top = hits.select("row", "proven", "found", F.slice(ranked, 1, RARE).getField("word").alias("top")).where(F.size("proven") > 0)
-    places = top.select("row", "proven", "top", F.explode("found").alias("hit")).where("array_contains(top, hit.word)").select("row", "proven", "hit.at", "hit.word")
-    whole: dict[int, float] = {}
+    rarest: dict[int, dict[str, float]] = {}
     for number in {p[1] for p in postings()}:
-        whole[number] = sum(sorted({w: idf[w] for _, t, w, _ in postings() if t == number}.values(), reverse=True)[:RARE]) or 1.0
-    index = F.broadcast(spark.createDataFrame([(label, t, w, i, idf[w], whole[t]) for label, t, w, i in postings()], "label string, template int, word string, place int, idf double, whole double"))  # fixed size
+        words = {w: idf[w] for _, t, w, _ in postings() if t == number}
+        rarest[number] = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:RARE])
+    index = F.broadcast(spark.createDataFrame([(label, t, w, i, idf[w], sum(rarest[t].values()) or 1.0) for label, t, w, i in postings() if w in rarest[t]], "label string, template int, word string, place int, idf double, whole double"))  # fixed size
+    places = hits.where(F.size("proven") > 0).select("row", "proven", F.explode("found").alias("hit")).select("row", "proven", "hit.at", "hit.word")
     aligned = places.join(index, "word").where("array_contains(proven, label)").select("row", "label", "template", "whole", "word", "idf", (F.col("at") - F.col("place")).alias("offset")).distinct()
     best = aligned.groupBy("row", "label", "template", "offset").agg((F.sum("idf") / F.first("whole")).alias("share")).where(F.col("share") >= SUPPORT)
     method = best.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))

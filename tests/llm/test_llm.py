@@ -245,6 +245,18 @@ def test_licences(spark, sf, odd):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licences_keep_their_words_beside_others(spark, sf):
+    planted = "Licensed under the GNU General Public License version 3. Licensed under the Apache License, Version 2.0. Released under the MIT license. Licensed under CC BY-NC 4.0."
+    every = ". ".join(t for texts, _ in license_scan.TEMPLATES.values() for t in texts)
+    stray = "binary universal domain granted software hereby dedication redistribution modification obtaining affero mozilla"
+    long_one = prose(3, 3000) + " " + stray.replace(" ", f" {prose(4, 200)} ") + " licensed under the apache license version 2.0 " + prose(5, 3000)
+    rows = [*documents(sf), (600, planted), (601, every), (602, long_one), (603, stray)]
+    by_id = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert by_id[600].labels == "apache,apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0,mit"
+    assert by_id[601].labels == ",".join(sorted({*license_scan.TEMPLATES, *license_scan.BASE.values()}))
+    assert by_id[602].labels == "apache,apache-2.0" and by_id[603].labels == ""
+
+
 # 7 BPE
 
 
