@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .common import saved, table
 
 #: A candidate is a run of at least 16 of these characters; the look-behind keeps the search linear.
@@ -75,17 +76,44 @@ class Forest:
         return reduce(lambda a, b: a + b, map(of, self.trees)) / len(self.trees)
 
 
+def _around(gaps: Column, found: Column, i: Column) -> tuple[Column, Column]:
+    """The BEFORE characters before the candidate found[i] and the AFTER after it, other candidates among them included; each gap is
+    given with its own BEFORE last and AFTER first characters. Between two candidates stands a character at least, so a candidate and
+    its gap fill 17 characters, and a fixed number of neighbours fills the context."""
+    part = 17
+    left, right = [gaps[i]["before"]], []
+    for k in range(1, -(-BEFORE // part) + 1):
+        left += [F.right(F.get(found, i - k), F.lit(BEFORE)), F.get(gaps, i - k)["before"]]
+    for k in range(1, -(-AFTER // part) + 1):
+        right += [F.get(gaps, i + k)["after"], F.left(F.get(found, i + k), F.lit(AFTER))]
+    before = F.concat(*(F.coalesce(c, F.lit("")) for c in reversed(left)))
+    return F.right(before, F.lit(BEFORE)), F.left(F.concat(*(F.coalesce(c, F.lit("")) for c in right)), F.lit(AFTER))
+
+
+def _pieces(gaps: Column, found: Column) -> Column:
+    """For each candidate a struct of its value and its neighbourhood."""
+
+    def piece(value: Column, i: Column) -> Column:
+        before, after = _around(gaps, found, i)
+        return F.struct(value.alias("value"), before.alias("before"), after.alias("after"))
+
+    return F.transform(found, piece)
+
+
+def _ends(gaps: Column) -> Column:
+    return F.transform(gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(BEFORE)).alias("before"), F.left(g, F.lit(AFTER)).alias("after")))
+
+
 def candidates(docs: DataFrame, path: str) -> DataFrame:
     """One row per candidate: row (of docs), doc_id, place (its number in the text), start, value, before, after, path."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     some = docs.where(text.rlike(CANDIDATE))
     cut = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).cast("string").alias("path") if path in docs.columns else F.lit(None).cast("string").alias("path"), F.split(text, CANDIDATE).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    gaps = F.transform("gaps", lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(BEFORE)).alias("before"), F.left(g, F.lit(AFTER)).alias("after")))
-    held = saved(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", "found", gaps.alias("gaps")), "candidates")
-    each = held.select("row", "doc_id", "path", "gaps", F.posexplode("found").alias("place", "value"))
-    each = each.select("row", "doc_id", "path", "place", "value", F.get("gaps", F.col("place")).alias("gap"), F.get("gaps", F.col("place") + 1)["after"].alias("after"))
-    so_far = F.sum(F.col("gap.n") + F.length("value")).over(Window.partitionBy("row").orderBy("place"))
-    return each.select("row", "doc_id", "path", "place", (so_far - F.length("value")).cast("long").alias("start"), "value", F.col("gap.before").alias("before"), "after")
+    held = saved(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", "found", _ends(F.col("gaps")).alias("gaps")), "candidates")
+    each = held.select("row", "doc_id", "path", F.transform("gaps", lambda g: g["n"]).alias("sizes"), F.posexplode(_pieces(F.col("gaps"), F.col("found"))).alias("place", "piece"))
+    each = each.select("row", "doc_id", "path", "place", "piece.*", F.get("sizes", F.col("place")).alias("n"))
+    so_far = F.sum(F.col("n") + F.length("value")).over(Window.partitionBy("row").orderBy("place"))
+    return each.select("row", "doc_id", "path", "place", (so_far - F.length("value")).cast("long").alias("start"), "value", "before", "after")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -137,16 +165,16 @@ def redact(docs: DataFrame, path: str = "source", labelled: DataFrame | None = N
     forest = train(labelled if labelled is not None else rule_labels(saved(candidates(docs, path), "found")))
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     any_found = F.col("text").rlike(CANDIDATE)
-    gaps, found = "__gaps_of_text", "__candidates_of_text"
+    gaps, found, pieces = "__gaps_of_text", "__candidates_of_text", "__pieces_of_text"
     cut = docs.withColumns({gaps: F.when(any_found, F.split("text", CANDIDATE)), found: F.when(any_found, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))})
+    cut = cut.withColumn(pieces, let(_ends(F.col(gaps)), lambda g: _pieces(g, F.col(found))))
 
-    def piece(value: Column, i: Column) -> Column:
-        gap = F.get(F.col(gaps), i)
-        x = signals(value, F.right(gap, F.lit(BEFORE)), F.left(F.get(F.col(gaps), i + 1), F.lit(AFTER)), where)
-        return F.concat(gap, F.when(forest.score(x) >= THRESHOLD, F.lit(MARK)).otherwise(value))
+    def shown(piece: Column, i: Column) -> Column:
+        x = signals(piece["value"], piece["before"], piece["after"], where)
+        return F.concat(F.get(F.col(gaps), i), F.when(forest.score(x) >= THRESHOLD, F.lit(MARK)).otherwise(piece["value"]))
 
-    text = F.concat(F.array_join(F.transform(found, piece), ""), F.element_at(gaps, -1))
-    return cut.withColumn("text", F.coalesce(text, "text")).drop(gaps, found)
+    text = F.concat(F.array_join(F.transform(pieces, shown), ""), F.element_at(gaps, -1))
+    return cut.withColumn("text", F.coalesce(text, "text")).drop(gaps, found, pieces)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,27 @@ def test_secrets_odd(spark, odd):
     assert not any(r.secret for r in secret_scan.scan(docs, labelled=labelled).collect())
 
 
+def test_secrets_see_long_key_names(spark, sf):
+    keys = ["my_application_token", "billing_service_password", "payment_gateway_api_key", "some_provider_account_secret"]
+    values = [hashlib.sha256(k.encode()).hexdigest()[:40] for k in keys]
+    rows = [(9000 + i, f'word {k} = "{v}" word') for i, (k, v) in enumerate(zip(keys, values, strict=True))]
+    rows += [(9010, "one_candidate_of_many two_candidates_of_many/three_candidates_of_many " * 40), (9011, f"installer_package_checksum {'0f1e2d3c' * 5} word")]
+    rows += [(9012, "a_first_candidate_here"), (9013, f"é {'x' * 100} {'y' * 16}:{'z' * 16};{'w' * 30}.")]
+    found = secret_scan.candidates(frame(spark, rows), "source").collect()
+    texts = dict(rows)
+    assert len(found) > 80
+    for r in found:
+        text, end = texts[r.doc_id], r.start + len(r.value)
+        assert text[r.start : end] == r.value and r.before == text[max(r.start - 40, 0) : r.start] and r.after == text[end : end + 20]
+    sure = {r.value: r.label for r in secret_scan.rule_labels(spark.createDataFrame(found)).collect()}
+    assert all(sure[v] == 1 for v in values) and sure["0f1e2d3c" * 5] == 0
+    docs = common.table(spark, sf, "documents").select("doc_id", "text", "source").unionByName(frame(spark, rows).select("doc_id", "text", "source"))
+    secret = {r.value for r in secret_scan.scan(docs).collect() if r.secret}
+    assert set(values) <= secret and "0f1e2d3c" * 5 not in secret
+    redacted = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(redacted[9000 + i] == f'word {k} = "[SECRET]" word' for i, k in enumerate(keys)) and redacted[9011] == rows[5][1]
+
+
 # 2 LM scores
 
 
