@@ -1,22 +1,29 @@
-"""Helpers shared by the operators: tables in the shared folder, checked broadcasts, Arrow sub-batches."""
+"""Helpers shared by the operators: tables in the shared folder, checked broadcasts, joins with hot keys, Arrow sub-batches."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A set of 8-byte ids of at most this many rows may be broadcast (16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: A set of ids of at most this many rows may be broadcast (about 100 bytes a row in a hash table: 50 MB); beyond it the join shuffles.
+BROADCAST_IDS = 500_000
+#: A key with more than this share of the rows is hot; there are at most 1 / HOT of them.
+HOT = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, which has one machine, the warehouse
+    will do where that is unset; a cluster without it is refused, as its executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
 
 
@@ -25,7 +32,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that saved() wrote, once nothing will read them again: what came of them has been written itself."""
+    for df in tables:
+        if (at := getattr(df, "_saved_at", None)) is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +59,30 @@ def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small(ids) else ids, on, how)
 
 
-def in_batches(df: DataFrame, most: int) -> DataFrame:
-    """df, after the session's limit on the bytes of an Arrow batch has been lowered to `most` (never raised): what a Python worker
-    and its executor hold at a time follows the bytes of texts, not their number."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(conf.get(name, "1g")).lower().removesuffix("b")
-    if not now.isdigit() or int(now) > most:
-        conf.set(name, most)
-    return df
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined with classes, which has one row for each value of `on` and how many rows have it in `copies`.
+
+    The classes that hold more than HOT of the total are broadcast (at most 1 / HOT of them), so that no task gets the rows of a hot
+    key; for all others a shuffled join is even enough."""
+    hot = F.col("copies") > total * HOT
+    heavy, light = F.broadcast(classes.where(hot)), classes.where(~hot)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """While the block runs, the session's limit on the bytes of an Arrow batch is at most `most`; afterwards it is as before. What a
+    Python worker and its executor hold at a time then follows the bytes of texts, not their number. Jobs must end in the block."""
+    conf, name = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(name)
+    if (now := before.lower().removesuffix("b")).isdigit() and int(now) <= most:
+        yield
+        return
+    conf.set(name, most)
+    try:
+        yield
+    finally:
+        conf.set(name, before)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
