@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, decontaminate, near_dup, quality, secret_scan
-from quillgraph.llm.common import by_ids, saved, table
+from quillgraph.llm.common import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,10 +20,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows that repeat it are one document."""
-    copies = saved(near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "copies")
-    left = by_ids(docs, copies, "doc_id", "left_anti")
-    return left.select(COLUMNS)
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Where that doc_id has several texts in the group, the one with the smallest hash stays; of rows that repeat doc_id and text one
+    stays. Documents without words or doc_id are in no group and stay. An empty table stays empty."""
+    return near_dup.one_of_each(docs).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
