@@ -40,11 +40,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) for every row of docs (doc_id, text).
 
     The law is `bytes`: sizes of shards are near equal, and tokens and rows are balanced with them. Groups of equal texts stay
-    together, unless one holds more than a shard's fair share of a measure: it is then dealt in parts by doc_id. What the driver
+    together, unless one holds more than a shard's fair share of a measure: it is then dealt in parts, row by row. What the driver
     packs is bounded: BUNDLES bundles and at most 3 * BUNDLES heavy groups, whatever the size of the input. A null text counts
     as an empty one (size 1); null doc_ids and repeated rows are placed like any other row; an empty table gives no rows."""
     spark = docs.sparkSession
-    base = saved(measures(docs), "measures")
+    base = saved(measures(docs).withColumn("row", F.monotonically_increasing_id()), "measures")  # a row's number splits groups of equal ids
     groups = saved(base.groupBy(*_KEY).agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "groups")
     totals = groups.agg(*(F.sum(m).alias(m) for m in _MEASURES)).first()
     share = F.greatest(*(F.col(m) / F.lit(max(totals[m] or 1, 1)) for m in _MEASURES))
@@ -64,7 +64,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         following += parts
     # both tables that follow have at most BUNDLES + 3 * BUNDLES + 8 * shards rows
     of_group = F.broadcast(spark.createDataFrame(whole, "key_a long, key_b int, size long, first long, parts int"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts"))
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))
     if any(g[-1] > 1 for g in whole):  # what each part of a dealt group holds
         dealt_parts = base.join(of_group.where("parts > 1"), _KEY).groupBy((F.col("first") + part).alias("bundle"))
         for r in dealt_parts.agg(F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("bundle").collect():
@@ -73,12 +73,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = pack(np.array(items, dtype=float).reshape(-1, 3) / unit, shards)
     of_bundle = F.broadcast(spark.createDataFrame([(int(b), int(s)) for b, s in zip(bundles, placed, strict=True)], "bundle long, shard int"))
     bundle = F.coalesce(F.col("first") + part, F.pmod("key_a", F.lit(BUNDLES)).cast("long"))
-    dealt = base.join(of_group, _KEY, "left").withColumn("bundle", bundle).join(of_bundle, "bundle").select("doc_id", "size", "text_crc32", "shard")
+    dealt = base.join(of_group, _KEY, "left").withColumn("bundle", bundle).join(of_bundle, "bundle").select("doc_id", "size", "text_crc32", "row", "shard")
     pieces = max(1, -(-int(totals["rows"] or 0) // (shards * ROWS_OF_A_PIECE)))
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces)))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)))
     before = dealt.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = before.select("shard", "piece", (F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")).alias("offset"))
-    order = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("shard", "piece").orderBy("row")
     ranked = dealt.withColumn("rank", F.row_number().over(order)).join(before, ["shard", "piece"])
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
