@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, pieces, table
+from .common import batches_of, pieces, saved, table
 
 PIECE = 6 << 20  # bytes of text at a time: working memory is some twenty times as large
 _SHIFT = 20
@@ -203,7 +203,7 @@ def vocabulary(raw: bytes, pattern: str) -> Bpe:
 def _encode(raw: bytes, pattern: str, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(raw, pattern)
     for part, texts in pieces(batches, "text", PIECE):
-        ids = bpe.encode([t.decode() for t in texts])
+        ids = bpe.encode([t.decode(errors="replace") for t in texts])
         columns = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
         if with_text:
             columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
@@ -227,21 +227,23 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, decoded: bool = False) ->
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), and with `decoded` the bytes that these ids stand for.
 
     docs has doc_id and text; other columns are ignored. raw is a rank file's content. Every row of docs gives one row, repeated
-    rows too; a null text counts as an empty one (no tokens); a null doc_id stays null; an empty table gives no rows. Each task
-    takes about 6 MB of text at a time and no text is cut. No shuffle: a lost executor's tasks run again elsewhere."""
+    rows too; a null text counts as an empty one (no tokens); a null doc_id stays null; an empty table gives no rows. Bytes of a text
+    that are no UTF-8 are read as U+FFFD, as Python decodes them with errors="replace", and decode to it. Each task takes about 6 MB
+    of text at a time and no text is cut. No shuffle: a lost executor's tasks run again elsewhere."""
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, raw, pattern, decoded), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, raw, pattern, decoded), schema)
 
 
 def decode(encoded: DataFrame, raw: bytes, pattern: str) -> DataFrame:
     """doc_id, decoded (binary) for rows of doc_id, ids; null ids decode to no bytes."""
-    return in_batches(encoded, PIECE).select("doc_id", "ids").mapInArrow(partial(_decode, raw, pattern), "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, raw, pattern), "doc_id long, decoded binary")
 
 
 def digests(docs: DataFrame, raw: bytes, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 digests of the ids and of the decoded bytes."""
+    """doc_id, n_tokens and SHA-256 digests of the ids and of the decoded bytes, written to the shared folder (some 100 bytes a row)."""
     done = encode(docs, raw, pattern, decoded=True)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with batches_of(docs.sparkSession, PIECE):
+        return saved(done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")), "digests")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
