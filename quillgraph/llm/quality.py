@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, pieces, saved, table
+from .common import batches_of, pieces, saved, small, table
 from .kernels import words
 
 FEATURES = 192  # random Fourier features
 WIDTH = 3.0  # of the Gaussian kernel, in standard deviations of the statistics
 RIDGE = 1e-3  # for each labelled row
 BINS = 512  # of raw scores, for the isotonic fit
-SUMMERS = 32  # partitions that sum normal equations: what reaches the driver is bounded by it
+CALIBRATED = 4  # labelled rows whose crc32(doc_id as text) mod 5 is this calibrate the scores; the others fit the ridge
 THRESHOLD = 0.3
 PIECE = 4 << 20
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 control, 1 space, 2 digit, 3 upper, 4 lower, 5 beyond ASCII, 6 sentence marks, 7 symbols
@@ -98,45 +98,75 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of its whole text."""
-    return in_batches(docs, PIECE).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_featurise, "doc_id long, x array<double>")
+    """doc_id and the statistics of its whole text, written to the shared folder."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_featurise, "doc_id long, x array<double>")
+    with batches_of(docs.sparkSession, PIECE):
+        return saved(rows, "features")
 
 
-def _sums(mean: np.ndarray, scale: np.ndarray, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sums(mean: np.ndarray, scale: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition's share of the normal equations, as numbered cells: the upper triangle of Z'Z, then Z'y."""
     left, right = 0, 0
-    for frame in frames:
-        z = expand((np.stack(frame["x"].to_numpy()) - mean) / scale) if len(frame) else np.zeros((0, FEATURES + STATISTICS + 1))
-        left, right = left + z.T @ z, right + z.T @ frame["quality"].to_numpy(dtype=float)
+    for batch in batches:
+        if len(batch):
+            z = expand((_matrix(batch) - mean) / scale)
+            left, right = left + z.T @ z, right + z.T @ np.array(batch.column("quality"), dtype=float)
     if not np.isscalar(left):
-        yield pd.DataFrame({"a": [left.ravel()], "b": [right]})
+        cells = np.concatenate((left[np.triu_indices(len(left))], right))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "value"])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column("x").flatten()).reshape(-1, STATISTICS)
 
 
-def held_out(doc_id) -> F.Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+def held_out(doc_id: str) -> F.Column:
+    return F.coalesce(_rest(doc_id) == 0, F.lit(False))
+
+
+def _raw(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.drop_columns(["x"]).append_column("raw", pa.array(model.raw(_matrix(batch)), pa.float64()))
 
 
-def _scored(model: Model, column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.array(batch.column("x").flatten()).reshape(-1, STATISTICS)
-        y = model.raw(x) if column == "raw" else model.score(x)
-        yield batch.drop_columns(["x"]).append_column(column, pa.array(y, pa.float64()))
+        yield batch.drop_columns(["x"]).append_column("score", pa.array(model.score(_matrix(batch)), pa.float64()))
+
+
+def _rest(doc_id: str) -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def _solved(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, n: int) -> np.ndarray:
+    """Ridge weights. Partitions sum their rows where these lie, and a shuffle sums the cells, so that only one value for each cell
+    (some 22,000) reaches the driver, however many partitions there are."""
+    width = FEATURES + STATISTICS + 1
+    cells = rows.mapInArrow(partial(_sums, mean, scale), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    flat = np.zeros(width * (width + 1) // 2 + width)
+    flat[[c.cell for c in cells]] = [c.value for c in cells]
+    upper = np.zeros((width, width))
+    upper[np.triu_indices(width)] = flat[:-width]
+    return np.linalg.solve(upper + np.triu(upper, 1).T + RIDGE * n / 1000 * np.eye(width), flat[-width:])
 
 
 def train(feats: DataFrame, labels: DataFrame) -> Model:
-    """Fit on every labelled row whose crc32(doc_id as text) mod 5 is not 0; rows without doc_id or quality teach nothing.
+    """Fit on the labelled rows whose crc32(doc_id as text) mod 5 is not 0; rows without doc_id or quality teach nothing, and a doc_id
+    that is labelled both good and bad counts as good.
 
-    Partitions sum their normal equations (SUMMERS of them at most), and the driver adds these and solves. Without any labelled
-    row all scores are 0.5."""
+    One fold of five (CALIBRATED) is kept from the ridge fit and calibrates its scores isotonically; where a fold has no rows of both
+    labels, the other rows do both. Without any labelled row all scores are 0.5."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    taught = saved(feats.where(~held_out("doc_id")).join(known, "doc_id").select("x", "quality"), "taught")
-    moments = taught.agg(F.count("*"), *(f(F.col("x")[i]) for i in range(STATISTICS) for f in (F.avg, F.stddev_pop))).first()
+    taught = saved(feats.where(~held_out("doc_id")).join(known, "doc_id").select("x", "quality", (_rest("doc_id") == CALIBRATED).alias("later")), "taught")
+    model = Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros(FEATURES + STATISTICS + 1), np.array([0.0]), np.array([0.5]))
+    both = {r.later for r in taught.groupBy("later").agg(F.countDistinct("quality").alias("n")).collect() if r.n > 1}
+    fit, calibrate = (taught.where("NOT later"), taught.where("later")) if both == {False, True} else (taught, taught)
+    moments = fit.agg(F.count("*"), *(f(F.col("x")[i]) for i in range(STATISTICS) for f in (F.avg, F.stddev_pop))).first()
     if not moments[0]:
-        return Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros(FEATURES + STATISTICS + 1), np.array([0.0]), np.array([0.5]))
-    mean, scale = np.array(moments[1::2]), np.maximum(np.array(moments[2::2]), 1e-9)
-    sums = taught.repartition(SUMMERS).mapInPandas(partial(_sums, mean, scale), "a array<double>, b array<double>").collect()
-    a, b = sum(np.array(r.a) for r in sums).reshape(FEATURES + STATISTICS + 1, -1), sum(np.array(r.b) for r in sums)
-    model = Model(mean, scale, np.linalg.solve(a + RIDGE * moments[0] / 1000 * np.eye(len(b)), b), np.array([0.0]), np.array([0.5]))
-    raw = taught.mapInArrow(partial(_scored, model, "raw"), "quality int, raw double")
+        return model
+    model.mean, model.scale = np.array(moments[1::2]), np.maximum(np.array(moments[2::2]), 1e-9)
+    model.weights = _solved(fit.select("x", "quality"), model.mean, model.scale, moments[0])
+    raw = calibrate.select("x", "quality").mapInArrow(partial(_raw, model), "quality int, raw double")
     bins = raw.groupBy(F.floor(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * (BINS // 3)).alias("bin")).agg(F.avg("raw").alias("x"), F.count("*").alias("n"), F.sum("quality").alias("p")).orderBy("bin").collect()
     model.knots, model.levels = isotonic(*(np.array([r[c] for r in bins], dtype=float) for c in "xnp"))
     return model
@@ -145,24 +175,30 @@ def train(feats: DataFrame, labels: DataFrame) -> Model:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id and quality (0 or 1).
 
-    Only whole texts enter a score. Null and empty texts are scored too, as statistics of nothing; a null doc_id is not held out
-    and gets a score; repeated rows are all returned. An empty table gives no rows."""
-    feats = saved(features(docs), "features")
+    Only whole texts enter a score, as bytes, so that text which is no UTF-8 is scored too. Null and empty texts are scored as
+    statistics of nothing; a null doc_id is not held out and gets a score; repeated rows are all returned. An empty table gives no
+    rows."""
+    feats = features(docs)
     model = train(feats, labels)
-    scores = feats.mapInArrow(partial(_scored, model, "score"), "doc_id long, score double")
+    scores = feats.mapInArrow(partial(_scored, model), "doc_id long, score double")
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is predicted good."""
-    model = train(saved(features(docs), "features"), labels)
+    """The rows of docs, with all their columns, whose text is predicted good.
+
+    The model learns from the statistics of labelled documents; then each text is read and scored where it lies, which costs its
+    statistics a second time for these documents and no shuffle of texts."""
+    ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_labelled")).distinct()
+    ids = F.broadcast(ids) if small(ids) else ids
+    model = train(features(docs.join(ids, F.col("doc_id").cast("long") == F.col("_labelled"), "left_semi")), labels)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in texts:
-            yield pd.Series(model.score(statistics([(t or "").encode() for t in column]))) if len(column) else pd.Series([], dtype=float)
+            yield pd.Series(model.score(statistics([t or b"" for t in column]))) if len(column) else pd.Series([], dtype=float)
 
-    return docs.where(score(F.col("text").cast("string")) >= THRESHOLD)
+    return docs.where(score(F.col("text").cast("binary")) >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
