@@ -110,37 +110,47 @@ def test_secrets_see_long_key_names(spark, sf):
 # 2 LM scores
 
 
-def brute_lm(rows):
+def brute_lm(rows, order):
     words = [(i, (t or "").encode().lower().split()) for i, t in rows]
-    uni, bi = collections.Counter(w for _, ws in words for w in ws), collections.Counter(p for _, ws in words for p in zip(ws, ws[1:]))
-    total, out = sum(uni.values()), []
+    grams = lambda ws, n: list(zip(*(ws[j:] for j in range(n))))
+    whole = [collections.Counter(g for _, ws in words for g in grams(ws, n)) for n in range(1, order + 1)]
+    total, out = sum(whole[0].values()), []
     for i, ws in words:
-        own1, own2 = collections.Counter(ws), collections.Counter(zip(ws, ws[1:]))
+        own = [collections.Counter(grams(ws, n)) for n in range(1, order + 1)]
+        left = lambda g: whole[len(g) - 1][g] - own[len(g) - 1][g]
         rest, score, missed = total - len(ws), 0.0, 0
-        for k, w in enumerate(ws):
-            c = uni[w] - own1[w]
-            single = math.log(c / rest) if c else math.log(1 / (rest + 1))
-            if k and (n := bi[ws[k - 1], w] - own2[ws[k - 1], w]):
-                score += math.log(n / (uni[ws[k - 1]] - own1[ws[k - 1]]))
-            else:
-                score += single + (math.log(0.4) if k else 0)
-                missed += k > 0
+        for k in range(len(ws)):
+            longest = min(k + 1, order)
+            missed += longest == order > 1 and left(tuple(ws[k - order + 1 : k + 1])) == 0
+            for n in range(longest, 0, -1):
+                g = tuple(ws[k - n + 1 : k + 1])
+                if n == 1:
+                    score += math.log(left(g) / rest) if left(g) else math.log(1 / (rest + 1))
+                elif left(g):
+                    score += math.log(left(g) / left(g[:-1]))
+                    break
+                else:
+                    score += math.log(0.4)
         out.append((i, len(ws), missed, round(score, 4)))
     return sorted(out, key=str)
 
 
-def test_lm_scores(spark, odd):
-    got = lm_score.score(frame(spark, odd)).collect()
-    assert sorted(((r.doc_id, r.n_tokens, r.n_backed_off, round(r.log_score, 4)) for r in got), key=str) == brute_lm(odd)
-    assert lm_score.score(frame(spark, odd).limit(0)).count() == 0
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, odd, order, monkeypatch):
+    monkeypatch.setattr(lm_score, "BUCKET", 1 << 14)  # many partitions of the count table
+    got = lm_score.score(frame(spark, odd), order).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.n_backed_off, round(r.log_score, 4)) for r in got), key=str) == brute_lm(odd, order)
+    assert lm_score.score(frame(spark, odd).limit(0), order).count() == 0
+
 
+def test_lm_words_by_wide_numbers():
+    """Word numbers beyond 32 bits are told apart too."""
+    columns = [np.array([1 << 40, 5, 1 << 40, 5], dtype="<u8"), np.array([7, 1 << 33, 7, 1 << 34], dtype="<u8")]
+    rows = [(1, 0, c, 2, [lm_score._packed(np.diff(columns[0][a:b], prepend=np.uint64(0))), lm_score._packed(columns[1][a:b])], lm_score._packed(np.array([2, 3], dtype="<u4"))) for c, a, b in ((1, 0, 2), (2, 2, 4))]
+    import pyarrow as pa
 
-def test_lm_orders(spark):
-    rows = [(1, "a b c d"), (2, "a b c e"), (3, "b c e")]
-    three = {r.doc_id: r for r in lm_score.score(frame(spark, rows), order=3).collect()}
-    assert three[2].n_backed_off == 0 or three[2].n_tokens == 4
-    # "b c e" after "b c" in another document: 1 of 2; "c" after "b": 2 of 2; first word b: 2 of 8
-    assert math.isclose(three[3].log_score, math.log(2 / 8) + math.log(2 / 2) + math.log(1 / 2))
+    found = lm_score._answer(8, pa.Table.from_batches([lm_score._batch(rows, lm_score._ASKED)])).to_pylist()
+    assert [lm_score._unpacked(r["totals"], 2, "<u8").tolist() for r in found] == [[4, 3], [4, 3]]
 
 
 # 3 decontamination
@@ -203,6 +213,31 @@ def test_shards_balance_and_hot_group(spark):
     assert max(counts.values()) - min(counts.values()) <= 0.05 * len(rows) / 8
 
 
+def test_shards_of_rows_that_look_alike(spark):
+    """Null and repeated ids don't keep a group in one piece."""
+    rows = [(None, "one and the same text"[:29])] * 2000 + [(7, "another such text")] * 500 + [(i, prose(i, 3 + i % 5)) for i in range(200)]
+    got = sharding.shard(frame(spark, rows)).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 8
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_pack_is_greedy_by_dot_product():
+    rng = np.random.default_rng(5)
+    items = rng.random((300, 3)) ** 3
+    items /= items.sum(axis=0)
+    room = [[1 / 8] * 3 for _ in range(8)]
+    want = [0] * len(items)
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i]), i)):
+        gain = [sum(w * a * b for w, a, b in zip(sharding.WEIGHTS, items[i], r)) for r in room]
+        want[i] = gain.index(max(gain))
+        room[want[i]] = [a - b for a, b in zip(room[want[i]], items[i])]
+    assert sharding.pack(items, 8).tolist() == want
+
+
 # 5 embeddings
 
 
@@ -233,15 +268,46 @@ def test_embeddings(spark):
     assert embed_dup.near_duplicates(df).count() == len(rows) and embed_dup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_of_two_rotations():
+def brute_vectors(rows):
+    """n_links and component_id of each row: distinct (vec_id, vector) pairs are the nodes."""
+    good = [(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    nodes = list(dict.fromkeys(good))
+    unit = []
+    for _, v in nodes:
+        w = [x / max(map(abs, v)) for x in v]
+        unit.append(np.array(w) / math.sqrt(sum(x * x for x in w)))
+    link = {k: [j for j in range(len(nodes)) if j != k and len(unit[k]) == len(unit[j]) and float(unit[k] @ unit[j]) >= 0.9] for k in range(len(nodes))}
+    low = [i for i, _ in nodes]
+    for _ in nodes:
+        low = [min([low[k], *(low[j] for j in link[k])]) for k in range(len(nodes))]
+    found = {n: (len(link[k]), low[k]) for k, n in enumerate(nodes)}
+    key = lambda i, v: (i, tuple(v) if v else None)
+    return sorted(((i, *found.get(key(i, v), (0, i)), found.get(key(i, v), (0, i))[1] == i or i is None) for i, v in rows), key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_embeddings_with_repeated_ids(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((6, 8))
+    near = lambda k: (base[k] + 0.02 * rng.standard_normal(8)).tolist()
+    rows = [(5, base[0].tolist()), (5, base[1].tolist()), (9, near(1)), (11, near(0)), (5, near(1)), (3, near(2)), (4, base[2].tolist()), (4, base[2].tolist())]
+    rows += [(100 + k % 40, base[3].tolist()) for k in range(400)] + [(90, near(3)), (None, base[3].tolist()), (12, (1e200 * base[4]).tolist()), (13, (1e-200 * base[4]).tolist()), (14, (1e200 * base[4] + 1e198).tolist())]
+    rows += [(20, None), (21, [0.0] * 8), (22, [float("inf")] * 8), (23, []), (24, [1.0, None]), (25, [1.0, 2.0]), (25, [2.0, 4.0])]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    got = embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_vectors(rows)
+
+
+@pytest.mark.parametrize(("rotations", "dim"), [(1, 64), (2, 64), (3, 64), (1, 768), (2, 768), (3, 768), (2, 1536)])
+def test_recall_of_rotations(rotations, dim):
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((400, 64))
+    x = rng.standard_normal((300, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    u = rng.standard_normal((400, 64))
+    u = rng.standard_normal((300, dim))
     u -= (u * x).sum(axis=1)[:, None] * x
     y = 0.9 * x + math.sqrt(1 - 0.81) * u / np.linalg.norm(u, axis=1)[:, None]
-    k, tables, probes = embed_dup.plan(1_000_000, 64)
-    assert k == 2
+    k, tables, probes = embed_dup.plan(embed_dup.FILL * (2 * dim) ** rotations, dim)
+    assert k == rotations
     a, b = embed_dup.codes(x, k, tables, probes), embed_dup.codes(y, k, tables, probes)
     met = ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1)
     assert met.mean() >= 0.99
@@ -346,36 +412,64 @@ def test_long_chain(spark):
 
 
 def brute_groups(rows):
-    sets = {}
+    """n_shingles and component_id of each row: rows are the nodes."""
+    sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    ids, group = sorted(sets), {i: i for i in sets}
-    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    for _ in ids:
+        sets.append(({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())) if i is not None else set())
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    low, moved = [i for i, _ in rows], True
+    while moved:
+        moved = False
         for a, b in links:
-            group[a] = group[b] = min(group[a], group[b])
-    return {i: (len(sets[i]), group[i]) for i in ids}
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                moved = True
+    return [(i, len((t or "").encode().lower().split()), c) if i is None else (i, len(s), c) for (i, t), s, c in zip(rows, sets, low, strict=True)]
 
 
-def test_near_duplicates(spark, odd):
-    rng = np.random.default_rng(6)
-    rows = [(i, t) for i, t in odd if i is not None]
-    base = prose(9, 120).split()
-    for k in range(60):  # a group of variants around the threshold
+def variants(rng, first, n, base):
+    """Texts around the threshold."""
+    out = []
+    for k in range(n):
         w = base.copy()
         for at in rng.integers(0, len(w), size=k % 7):
             w[at] = f"changed{rng.integers(0, 9)}"
-        rows.append((1000 + k, " ".join(w)))
-    rows += [(2000 + k, prose(100 + k, 40)) for k in range(30)]
+        out.append((first + k, " ".join(w)))
+    return out
+
+
+def test_near_duplicates(spark, odd):
+    rng = np.random.default_rng(6)
+    rows = [(i, t) for i, t in odd if i is not None] + variants(rng, 1000, 60, prose(9, 120).split()) + [(2000 + k, prose(100 + k, 40)) for k in range(30)]
     got = near_dup.near_duplicates(frame(spark, [*rows, (None, rows[0][1])])).collect()
-    want = brute_groups(rows)
     assert len(got) == len(rows) + 1
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted(brute_groups(rows))
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
     assert near_dup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_duplicates_with_repeated_ids(spark, seed, monkeypatch):
+    """One id before several texts, 2,000 equal rows, a shared header in every bucket, rows in any order."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rng = np.random.default_rng(seed)
+    a, b, header = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(5, a), (5, b), (9, b + " tail"), (11, a + " tail"), (5, ""), (3, b + " other tail"), (5, a), (7, None), (7, "two words"), (8, "Two words")]
+    rows += [(100 + k % 3, prose(4, 30)) for k in range(2000)] + [(99, prose(4, 30) + " x")] + variants(rng, 5000, 40, prose(9, 90).split())
+    rows += [(6000 + k, header + " " + prose(500 + k // 2, 45)) for k in range(80)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    got = near_dup.near_duplicates(frame(spark, rows).repartition(3)).collect()
+    few = list(dict.fromkeys(rows))
+    want = dict(zip(few, brute_groups(few), strict=True))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want[r] for r in rows)
+    left = [(r.doc_id, r.text) for r in near_dup.one_of_each(frame(spark, rows).repartition(3)).collect()]
+    low = {n: want[n][2] for n in few}
+    in_group = [n for n in few if want[n][1]]
+    assert collections.Counter(low[n] for n in left if want[n][1]) == {c: 1 for c in {low[n] for n in in_group}}
+    assert all(n[0] == low[n] for n in left) and collections.Counter(n for n in left if not want[n][1]) == collections.Counter(n for n in rows if not want[n][1])
+
+
 def test_sketches_lose_no_pair():
     rng = np.random.default_rng(2)
     for n in (10, 100, 512, 900, 5000):
