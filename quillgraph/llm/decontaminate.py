@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .common import saved, small, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -15,13 +16,13 @@ MASKS = ("1110111", "11011011", "110101011")
 MATCH, MISMATCH = 1, -2
 #: A segment along one diagonal counts with this score, or with SHARE of the item's length if that is less.
 SCORE, SHARE = 12, 0.7
-#: Words of benchmark items that are broadcast at once (3 seeds of 24 bytes each): a larger benchmark takes more passes.
-BLOCK_WORDS = 200_000
+BLOCK_SEEDS = 600_000  # of the benchmark, broadcast at once (some 60 bytes each): a larger benchmark takes more passes
+BROADCAST_PAIRS, BROADCAST_WORDS = 200_000, 1_000_000  # larger tables of diagonals or items are joined by a shuffle
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits (all of non-ASCII counts as such)."""
-    return F.split(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), f"^{SEPARATORS}", ""), SEPARATORS)
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), f"^{SEPARATORS}|{SEPARATORS}$", ""), SEPARATORS)
 
 
 def seeds(words: Column, place: Column) -> list[Column]:
@@ -54,38 +55,52 @@ def _segment(doc: Column, item: Column) -> Column:
     return F.aggregate(hits, start, step)
 
 
+def _verified(text: Column, item: Column, diagonals: Column) -> Column:
+    """The best segment on any of the diagonals: struct(score, length, first_word). The text is tokenised once."""
+
+    def on(words: Column, diagonal: Column) -> Column:
+        from_doc, from_item = F.greatest(diagonal, F.lit(0)), F.greatest(-diagonal, F.lit(0))
+        common = F.least(F.size(words) - from_doc, F.size(item) - from_item)
+        best = _segment(F.slice(words, from_doc + 1, common), F.slice(item, from_item + 1, common))
+        return let(best, lambda s: F.struct(s["score"].alias("score"), s["best"].alias("length"), (from_doc + s["last"] - s["best"] + 1).alias("first_word")))
+
+    return let(tokens(text), lambda words: F.array_max(F.transform(diagonals, lambda d: on(words, d))))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, score, length, first_word for every document (doc_id, text) and benchmark item (item_id, text)
     that share a passage: a run of tokens, equal but for substitutions, found around a common seed and verified word by word.
 
-    Each seed hit fixes a diagonal, on which the best local segment is scored; it counts from SCORE on, or SHARE of the length of
-    a shorter item. All places of all texts are seeded. Items enter in blocks of at most BLOCK_WORDS words, each broadcast
-    against one scan of the documents, so a large benchmark costs scans and no shuffle of the corpus.
+    Each seed hit fixes a diagonal. Hits become the distinct diagonals of a document and an item before anything is scored, so a
+    shared passage is scored once, however long it is; on each diagonal the best local segment counts from SCORE on, or SHARE of the
+    length of a shorter item. All places of all texts are seeded. The benchmark's seeds enter in blocks of about BLOCK_SEEDS, dealt
+    by hash and each broadcast against one scan of the documents: a large benchmark costs scans and no shuffle of the corpus, and
+    none is too large.
 
-    Texts that are null or have fewer tokens than the shortest mask (7) share nothing. Items with equal tokens are one item (the
-    smallest item_id; null ids are left out). Repeated rows of a document give one row; a null doc_id stays null. Empty tables
+    Texts that are null or have fewer tokens than the shortest mask (7) share nothing, and items of fewer tokens say too little to
+    tell a leak from chance: they match nothing. Items with equal tokens are one item (the smallest item_id; null ids are left out),
+    other texts of one item_id are searched each. Repeated rows of a document give one row; a null doc_id stays null. Empty tables
     give no rows. Other columns are ignored."""
-    shape = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("words"))
+    shape = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(f"item_id IS NOT NULL AND size(item) >= {min(map(len, MASKS))}")
-    items = items.groupBy("item").agg(F.min("item_id").alias("item_id"))
-    if not small(items, BLOCK_WORDS):
-        raise ValueError(f"more than {BLOCK_WORDS} distinct items: call overlaps() with parts of the benchmark")
-    so_far = F.sum(F.size("item")).over(Window.orderBy("item_id"))  # over at most BLOCK_WORDS items
-    items = saved(items.withColumn("block", F.floor((so_far - 1) / BLOCK_WORDS)), "items")
-    found = []
-    for block in range(int(items.agg(F.max("block")).first()[0] or 0) + 1):
-        part = items.where(F.col("block") == block)
-        index = _seeded(part.select("item_id", F.col("item").alias("words")), ["item_id", "words"]).where("seed IS NOT NULL").select("seed", "item_id", F.col("place").alias("item_place"))
-        hits = _seeded(shape, ["doc_id", "text_hash", "words"]).join(F.broadcast(index), "seed")
-        hits = hits.select("doc_id", "text_hash", "words", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).join(F.broadcast(part.select("item_id", "item")), "item_id")
-        from_doc, from_item = F.greatest("diagonal", F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
-        common = F.least(F.size("words") - from_doc, F.size("item") - from_item)
-        best = _segment(F.slice("words", from_doc + 1, common), F.slice("item", from_item + 1, common))
-        scored = hits.select("doc_id", "text_hash", "item_id", F.size("item").alias("size"), from_doc.alias("from_doc"), best.alias("s"))
-        enough = F.col("s.score") >= F.least(F.lit(float(SCORE)), SHARE * F.col("size"))
-        found.append(scored.where(enough).select("doc_id", "text_hash", "item_id", F.struct(F.col("s.score").alias("score"), F.col("s.best").alias("length"), (F.col("from_doc") + F.col("s.last") - F.col("s.best") + 1).alias("first_word")).alias("s")))
-    whole = reduce(DataFrame.unionByName, found)
-    return whole.groupBy("doc_id", "text_hash", "item_id").agg(F.max("s").alias("s")).select("doc_id", "text_hash", "item_id", "s.*")
+    items = saved(items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("no", F.monotonically_increasing_id()), "items")
+    index = _seeded(items.select("no", F.col("item").alias("words")), ["no", "words"]).where("seed IS NOT NULL").select("seed", "no", F.col("place").alias("item_place"))
+    index = saved(index, "item-seeds")
+    blocks, found = max(1, -(-index.count() // BLOCK_SEEDS)), []
+    for block in range(blocks):
+        part = index.where(F.pmod(F.xxhash64("no", "item_place"), F.lit(blocks)) == block)
+        hits = _seeded(shape.select("doc_id", "text_hash", tokens(F.col("text")).alias("words")), ["doc_id", "text_hash", "words"]).join(F.broadcast(part), "seed")
+        found.append(hits.select("doc_id", "text_hash", "no", (F.col("place") - F.col("item_place")).alias("diagonal")))
+    pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "no").agg(F.collect_set("diagonal").alias("diagonals"))
+    pairs = saved(pairs.withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"}), "diagonals")
+    size = pairs.agg(F.count("*").alias("n"), F.sum(F.size("diagonals")).alias("diagonals")).first()
+    few_pairs = size.n + (size.diagonals or 0) <= BROADCAST_PAIRS  # some 100 bytes each
+    few_words = (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_WORDS  # some 20 bytes each
+    same = shape["doc_id"].eqNullSafe(pairs["of_id"]) & (shape["text_hash"] == pairs["of_hash"])
+    both = shape.join(F.broadcast(pairs) if few_pairs else pairs, same).join(F.broadcast(items) if few_words else items, "no")
+    scored = both.select("doc_id", "text_hash", "item_id", F.size("item").alias("size"), _verified(F.col("text"), F.col("item"), F.col("diagonals")).alias("s"))
+    enough = F.col("s.score") >= F.least(F.lit(float(SCORE)), SHARE * F.col("size"))
+    return scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max("s").alias("s")).select("doc_id", "text_hash", "item_id", "s.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
