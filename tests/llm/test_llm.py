@@ -156,11 +156,71 @@ def test_lm_words_by_wide_numbers():
 # 3 decontamination
 
 
+def brute_overlaps(docs, items):
+    """Both sides: every diagonal with a seed hit, its best segment, and nothing else."""
+    cut = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+    out = {}
+    for d, text in docs:
+        w = cut(text)
+        at = collections.defaultdict(list)
+        for m, mask in enumerate(decontaminate.MASKS):
+            for p in range(len(w) - len(mask) + 1):
+                at[m, tuple(w[p + i] for i, bit in enumerate(mask) if bit == "1")].append(p)
+        for i, item_text in items:
+            v = cut(item_text)
+            if i is None or len(v) < 7:
+                continue
+            diagonals = {p - q for m, mask in enumerate(decontaminate.MASKS) for q in range(len(v) - len(mask) + 1) for p in at.get((m, tuple(v[q + j] for j, bit in enumerate(mask) if bit == "1")), [])}
+            best = (0, 0, 0)
+            for g in diagonals:
+                run = length = 0
+                top = (0, 0, 0)
+                for p in range(max(g, 0), min(len(w), len(v) + g)):
+                    step = 1 if w[p] == v[p - g] else -2
+                    run, length = (run + step, length + 1) if run + step > 0 else (0, 0)
+                    if run > top[0]:
+                        top = (run, length, p - length + 1)
+                best = max(best, top)
+            if best[0] >= min(12, 0.7 * len(v)):
+                out[d, i] = max(out.get((d, i), (0, 0, 0)), best)
+    return out
+
+
 def test_decontamination(spark, sf):
-    got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, sf).collect()}
+    got = {(r.doc_id, r.item_id): (r.score, r.n_words, r.first_word) for r in decontaminate.query(spark, sf).collect()}
     items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
-    want = {(d, i) for d, t in documents(sf) for i, item in items if item in t}
-    assert want and want <= got
+    want = brute_overlaps(documents(sf), items)
+    assert want and got == want and {(d, i) for d, t in documents(sf) for i, item in items if item in t} <= set(want)
+
+
+def test_decontamination_in_blocks_and_shuffles(spark, monkeypatch):
+    """Substituted passages, repeated lines, one item in full, by any plan of joins."""
+    rng = np.random.default_rng(3)
+    items = [(k, prose(700 + k, int(n))) for k, n in enumerate(rng.integers(5, 60, 25))] + [(3, prose(900, 30)), (40, "again and again " * 30), (41, prose(901, 500))]
+    docs = [(100, items[-1][1]), (101, "again and again " * 100), (102, prose(902, 300))]
+    for k in range(40):
+        words = items[k % 25][1].split()
+        for at in rng.integers(0, len(words), k % 6):
+            words[at] = "swapped"
+        docs.append((200 + k, " ".join([prose(k, 20), *words[k % 4 :], prose(k + 50, 20)])))
+    want = brute_overlaps(docs, items)
+    for name, value in ((None, 0), ("BLOCK_SEEDS", 400), ("BROADCAST_PAIRS", 0), ("BROADCAST_WORDS", 0)):
+        if name:
+            monkeypatch.setattr(decontaminate, name, value)
+        found = decontaminate.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id): (r.score, r.length, r.first_word) for r in found} == want
+
+
+def test_decontamination_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        text = prose(n, n)
+        began = time.time()
+        assert decontaminate.overlaps(frame(spark, [(1, text)]), spark.createDataFrame([(1, text)], "item_id long, text string")).first().score == n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 5
 
 
 def test_decontamination_odd(spark, odd):
