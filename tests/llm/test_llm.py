@@ -455,17 +455,66 @@ def test_tool_calls(spark):
         (1, "f", "missing", "lookup", "{bad", "x"), (2, "a", None, "lookup", '{"key":"k"}', "x"), (2, "a", None, "lookup", '{"key":"k"}', "x"), (None, "a", None, "lookup", "{}", "x"), (3, "z", None, None, None, "x"),
     ], "conv_id long, call_id string, parent_id string, name string, arguments string, depth string")
     results = spark.createDataFrame([(1, "a", 1, "ok"), (1, "a", 2, None), (1, "zz", 1, "lost"), (None, None, 9, "none"), (1, "d", 1, "r")], "conv_id long, call_id string, result_no long, content string")
-    schemas = spark.createDataFrame([(k, json.dumps(v)) for k, v in tool_calls.SCHEMAS.items()], "name string, schema string")
-    got = sorted(((r.conv_id or 0, r.call_id or "", r.result_no or 0, r.depth, r.status) for r in tool_calls.link(calls, results, schemas).collect()), key=str)
-    assert got == sorted([(1, "a", 1, 0, "ok"), (1, "a", 2, 0, "ok"), (1, "b", 0, 1, "invalid"), (1, "c", 0, 2, "invalid"), (1, "d", 1, None, "cycle"), (1, "e", 0, None, "cycle"), (1, "f", 0, 0, "invalid"), (2, "a", 0, 0, "unanswered"), (3, "z", 0, 0, "invalid"), (1, "zz", 1, None, "orphan"), (0, "", 9, None, "orphan")], key=str)
+    schemas = spark.createDataFrame([*((k, json.dumps(v)) for k, v in tool_calls.SCHEMAS.items()), ("search", None)], "name string, schema string")
+    got = sorted(((r.conv_id or 0, r.call_id or "", r.result_no or 0, r.depth, r.status, r.position) for r in tool_calls.link(calls, results, schemas).collect()), key=str)
+    want = [
+        (1, "a", 1, 0, "ok", 0), (1, "a", 2, 0, "ok", 1), (1, "b", 0, 1, "invalid", 3), (1, "c", 0, 2, "invalid", 4), (1, "d", 1, None, "cycle", 5), (1, "e", 0, None, "cycle", 6), (1, "f", 0, 0, "invalid", 2),
+        (2, "a", 0, 0, "unanswered", 0), (3, "z", 0, 0, "invalid", 0), (1, "zz", 1, None, "orphan", 7), (0, "", 9, None, "orphan", 0),
+    ]
+    assert got == sorted(want, key=str)
     message = tool_calls.link(calls, results, schemas).where("conv_id = 1 AND call_id = 'a' AND result_no = 1").first().message
-    assert message == '{"call":{"arguments":{"limit":3,"query":"é"},"id":"a","name":"search","parent":null},"conversation":1,"depth":0,"result":{"content":"ok","id":"a"}}'
+    assert message == '{"call":{"arguments":{"limit":3,"query":"é"},"id":"a","name":"search","parents":[]},"conversation":1,"depth":0,"result":{"content":"ok","id":"a"}}'
     assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
-def test_long_chain(spark):
-    chain = spark.createDataFrame([(1, f"c{i}", f"c{i - 1}") for i in range(400)], "conv_id long, call_id string, parent_id string")
-    assert {int(r.call_id[1:]): r.depth for r in tool_calls.depths(chain).collect()} == {i: i for i in range(400)}
+def test_positions_go_on_from_part_to_part(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        calls = spark.createDataFrame([(1 + (i % 50 == 0) * (i % 3), f"c{i:03}", f"c{i - 1:03}", "free", "1") for i in range(500)], "conv_id long, call_id string, parent_id string, name string, arguments string")
+        results = spark.createDataFrame([(None, None, i, "x") for i in range(100)], "conv_id long, call_id string, result_no long, content string")
+        got = tool_calls.link(calls, results, spark.createDataFrame([("free", "true")], "name string, schema string")).collect()
+    finally:
+        spark.conf.unset(name)
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r.position):
+        by[r.conv_id].append(r)
+    assert all([r.position for r in rows] == list(range(len(rows))) for rows in by.values()) and len(by[None]) == 100
+    assert all([r.depth for r in rows if r.conv_id] == sorted(r.depth for r in rows if r.conv_id) for rows in by.values())
+
+
+def test_tool_calls_odd(spark):
+    """Surrogates, numbers, schemas of any kind, long texts."""
+    calls = [("s", "free", '{"k\\ud800": "\\udc00 \\ud83d\\ude00"}'), ("deep", "free", "[" * 100_000), ("nan", "free", "[NaN]"), ("far", "free", "[1e999999999999999999999999]"), ("list", "either", "3.0"), ("list2", "either", '"x"'), ("list3", "either", "1.5"), ("bad", "broken", "{}"), ("arr", "array", "{}"), ("odd", "odd", '{"a": 1}'), ("long", "free", json.dumps("é" * 300_000)), ("no", "never", "1")]
+    schemas = [("free", "true"), ("either", '{"type": ["integer", "string", 7]}'), ("broken", "{"), ("array", "[]"), ("odd", '{"type": 5, "required": "a", "properties": [], "enum": 3, "minimum": "x"}'), ("never", "false"), (None, None)]
+    got = {r.call_id: r for r in tool_calls.link(spark.createDataFrame([(1, i, n, a) for i, n, a in calls], "conv_id long, call_id string, name string, arguments string"), spark.createDataFrame([], "conv_id long, call_id string, result_no long, content string"), spark.createDataFrame(schemas, "name string, schema string")).collect()}
+    wrong = {i: r.errors for i, r in got.items() if r.errors}
+    assert wrong == {"deep": ["$: not JSON"], "nan": ["$: not JSON"], "far": ["$: not JSON"], "list3": ["$: not of type integer or string"], "bad": ["$: its schema can't be read"], "arr": ["$: not allowed"], "no": ["$: not allowed"]}
+    assert '"arguments":{"k\\ud800":"\\udc00 😀"}' in got["s"].message and len(got["long"].message) > 300_000 and '"arguments":3,' in got["list"].message
+
+
+def test_canonical_numbers():
+    same = [["1", "1.0", "1e0", "10e-1"], ["0", "-0", "0.00", "0e5"], ["1e21", "1000000000000000000000"], ["1e22", "10000000000000000000000"], ["0.001", "1e-3"], ["-2.50", "-25e-1"], ["12345678901234567890123.5", "123456789012345678901235e-1"]]
+    texts = [{tool_calls.canonical(tool_calls.parsed(x)) for x in group} for group in same]
+    assert all(len(t) == 1 for t in texts) and len(set.union(*texts)) == len(same)
+    assert texts[0] == {"1"} and texts[4] == {"0.001"} and texts[5] == {"-2.5"} and texts[3] == {"1e22"}
+    for t in set.union(*texts):
+        assert tool_calls.canonical(tool_calls.parsed(t)) == t
+
+
+@pytest.mark.parametrize("in_task", [20_000, 0])
+def test_depths_of_several_parents(spark, in_task, monkeypatch):
+    monkeypatch.setattr(tool_calls, "IN_TASK", in_task)
+    rng = np.random.default_rng(4)
+    calls = {(c, f"n{i}"): sorted({f"n{p}" for p in rng.integers(max(i - 6, 0), i, rng.integers(0, 4))} if i else set()) for c in range(3) for i in range(40)}
+    calls |= {(7, f"c{i}"): [f"c{i - 1}"] * (i > 0) for i in range(400)} | {(8, "x"): ["y", "z"], (8, "y"): ["x"], (8, "z"): [], (8, "w"): ["x", "z"], (8, "v"): ["z", "nobody"], (8, "u"): ["u"]}
+    want = {}
+    for (c, i) in sorted(calls, key=lambda k: (k[0], int(k[1][1:]) if k[1][1:] else 0)):
+        known = [p for p in calls[c, i] if (c, p) in calls]
+        want[c, i] = 1 + max((want[c, p] for p in known), default=-1) if c != 8 else {"z": 0, "v": 1}.get(i)
+    rows = [(c, i, p) for (c, i), p in calls.items()]
+    got = {(r.conv_id, r.call_id): r.depth for r in tool_calls.depths(spark.createDataFrame(rows, "conv_id long, call_id string, parents array<string>")).collect()}
+    assert got == want
 
 
 # 9 near duplicates
