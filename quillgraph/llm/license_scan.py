@@ -3,47 +3,35 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
+from .license_texts import TEMPLATES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE = 8  # highest-IDF words of a template that are looked up
 SUPPORT = 0.6  # share of a template's rarest words, by IDF, that must stand at one relative position
+SLACK = 8  # the relative position may vary by one word in so many of the template: names and years stand between
 # Phrases and labels of the contract.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label -> (templates, mandatory key phrases of which one must occur)
-TEMPLATES = {
-    "agpl": (["licensed under the gnu affero general public license version 3"], ["affero general public license"]),
-    "apache-2.0": (["licensed under the apache license version 2 0", "licensed under the apache license 2 0"], ["apache license version 2 0", "apache license 2 0"]),
-    "bsd": (["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license"], ["redistribution and use in source and binary forms", "bsd license"]),
-    "cc-by-nc": (["licensed under cc by nc 4 0", "creative commons attribution noncommercial license"], ["cc by nc", "creative commons attribution noncommercial"]),
-    "cc-by-sa": (["licensed under cc by sa 4 0", "creative commons attribution sharealike license"], ["cc by sa", "creative commons attribution sharealike"]),
-    "cc0": (["creative commons zero universal public domain dedication"], ["creative commons zero"]),
-    "gpl-3.0": (["licensed under the gnu general public license version 3"], ["gnu general public license version 3"]),
-    "isc": (["released under the isc license"], ["isc license"]),
-    "lgpl": (["licensed under the gnu lesser general public license version 3"], ["lesser general public license"]),
-    "mit": (["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"], ["mit license", "permission is hereby granted free of charge"]),
-    "mpl": (["subject to the terms of the mozilla public license version 2 0"], ["mozilla public license"]),
-}
-#: Words of templates that prose is full of; they are not indexed.
-COMMON = "a and any are by charge copy forms free in is of or person source subject terms the this to under use with without 0 2 3 4".split()
-
-
-def postings() -> list[tuple[str, int, str, int]]:
-    """(label, template number, word, position) of every indexed word of every template."""
-    out, number = [], 0
-    for label, (texts, _) in TEMPLATES.items():
-        for text in texts:
-            out += [(label, number, w, i) for i, w in enumerate(text.split()) if w not in COMMON]
-            number += 1
-    return out
-
-
-def vocabulary() -> list[str]:
-    return sorted({w for _, _, w, _ in postings()} | {p.split()[0] for p in BASE})
+
+
+def templates() -> list[tuple[str, list[str]]]:
+    """Label and words of every template."""
+    return [(label, [w for w in re.split(SEPARATORS, text.lower()) if w]) for label, (texts, _) in TEMPLATES.items() for text in texts]
+
+
+def width(words: list[str]) -> int:
+    return 1 + len(words) // SLACK
+
+
+def rarest(idf: dict[str, float]) -> list[dict[str, float]]:
+    """The RARE words of each template that fewest documents hold, with their IDF."""
+    each = ({w: idf[w] for w in words} for _, words in templates())
+    return [dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:RARE]) for words in each]
 
 
 def _phrase(phrase: str) -> str:
@@ -62,43 +50,55 @@ def _starts(phrase: str, words: Column, found: Column) -> Column:
     return F.transform(F.filter(found, whole), lambda h: F.struct(h["at"].alias("at"), F.lit(BASE[phrase]).alias("label")))
 
 
-def findings(docs: DataFrame) -> DataFrame:
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, text, words: lower() folds all letters, but what it makes of letters beyond ASCII is no licence word, once the Kelvin
+    sign is out of the way, which it makes a k; so in all that follows only A-Z count as folded."""
+    text = F.lower(F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\ufffd")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.split(text, SEPARATORS).alias("words"))
+
+
+def document_counts(docs: DataFrame) -> dict[str, int]:
+    """How many rows hold each word of the templates; at most as many entries as these have words."""
+    vocabulary = sorted({w for _, words in templates() for w in words})
+    held = _split(docs).select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))).alias("word"))
+    return dict(held.groupBy("word").count().collect())
+
+
+def findings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """One pass over the texts: words counted, places of indexed words, base places, labels whose key phrase occurs."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.split(text, SEPARATORS).alias("words"))
+    split = _split(docs)
     words = F.col("words")
     lead = (words[0] == "").cast("int")
     n = F.greatest(F.size(words) - lead - (F.element_at(words, -1) == "").cast("int"), F.lit(0))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).isin(vocabulary()))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get(F.col("words"), i).isin(vocabulary))
     found = split.select("doc_id", "text", "words", n.cast("long").alias("n_words"), lead.alias("lead"), F.transform(at, lambda i: F.struct(i.alias("at"), F.get(F.col("words"), i).alias("word"))).alias("found"))
     some = F.size("found") > 0
     base = F.when(some, F.concat(*(_starts(p, F.col("words"), F.col("found")) for p in BASE)))
     proven = F.when(some, F.array_compact(F.array(*(F.when(F.col("text").rlike("|".join(map(_phrase, keys))), F.lit(label)) for label, (_, keys) in TEMPLATES.items()))))
-    return found.select("doc_id", "n_words", "lead", "found", base.alias("base"), proven.alias("proven"))
+    return found.select("doc_id", "n_words", "lead", F.when(F.size(proven) > 0, F.col("found")).alias("found"), base.alias("base"), proven.alias("proven"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
 
     base_labels come from places where the words of a phrase of BASE stand consecutively. The method adds a label of TEMPLATES
-    where at least SUPPORT of a template's RARE highest-IDF words (weighted by IDF) stand at one relative position and a mandatory
-    key phrase occurs; what else the file holds takes nothing from that. IDF counts all rows. score: 1 with a base place, else the best share.
+    where at least SUPPORT of a template's RARE highest-IDF words (weighted by IDF) stand at one relative position, within a word in
+    SLACK of the template, and a mandatory key phrase occurs; what else the file holds takes nothing from that. IDF counts all rows.
+    score: 1 with a base place, else the best share.
 
     A null text counts as an empty one: no words, no labels (empty strings), null first_word and last_word, score 0. Rows with
     null doc_ids and repeated rows are returned like any other. An empty table gives no rows. No text is cut."""
     spark = docs.sparkSession
-    rows = saved(findings(docs).withColumn("row", F.monotonically_increasing_id()), "licence-words")
-    hits = rows.where(F.size("found") > 0)
-    counts = dict(hits.select(F.explode(F.array_distinct("found.word")).alias("word")).groupBy("word").count().collect())  # at most the vocabulary
-    total = rows.count()
-    idf = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for w in vocabulary()}
-    rarest: dict[int, dict[str, float]] = {}
-    for number in {p[1] for p in postings()}:
-        words = {w: idf[w] for _, t, w, _ in postings() if t == number}
-        rarest[number] = dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:RARE])
-    index = F.broadcast(spark.createDataFrame([(label, t, w, i, idf[w], sum(rarest[t].values()) or 1.0) for label, t, w, i in postings() if w in rarest[t]], "label string, template int, word string, place int, idf double, whole double"))  # fixed size
-    places = hits.where(F.size("proven") > 0).select("row", "proven", F.explode("found").alias("hit")).select("row", "proven", "hit.at", "hit.word")
-    aligned = places.join(index, "word").where("array_contains(proven, label)").select("row", "label", "template", "whole", "word", "idf", (F.col("at") - F.col("place")).alias("offset")).distinct()
+    counts, total = document_counts(docs), docs.count()
+    idf = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for _, words in templates() for w in words}
+    rare = rarest(idf)
+    rows = saved(findings(docs, sorted({w for words in rare for w in words} | {p.split()[0] for p in BASE})).withColumn("row", F.monotonically_increasing_id()), "licence-words")
+    index = [(label, t, w, i, idf[w], sum(rare[t].values()) or 1.0, width(words)) for t, (label, words) in enumerate(templates()) for i, w in enumerate(words) if w in rare[t]]
+    index = F.broadcast(spark.createDataFrame(index, "label string, template int, word string, place int, idf double, whole double, width int"))  # fixed size
+    places = rows.where(F.size("proven") > 0).select("row", "proven", F.explode("found").alias("hit")).select("row", "proven", "hit.at", "hit.word")
+    offset, w = F.col("at") - F.col("place"), F.col("width")
+    grids = F.explode(F.array(F.floor(offset / w) * 2, F.floor((offset + F.floor(w / 2)) / w) * 2 + 1))  # two grids, so that no border parts what is near
+    aligned = places.join(index, "word").where("array_contains(proven, label)").select("row", "label", "template", "whole", "word", "idf", grids.alias("offset")).distinct()
     best = aligned.groupBy("row", "label", "template", "offset").agg((F.sum("idf") / F.first("whole")).alias("share")).where(F.col("share") >= SUPPORT)
     method = best.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
     all_rows = rows.select("row", "doc_id", "n_words", "lead", F.coalesce("base", F.expr("cast(array() as array<struct<at:int,label:string>>)")).alias("base")).join(method, "row", "left")
