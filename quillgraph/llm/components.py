@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, saved, with_class
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _lowest(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the smallest v of each u; a hub's edges are spread over tasks."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
+    return with_class(edges, low, ["u"], total).select("u", "v", "m")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    both = _lowest(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total)
+    return both.withColumn("m", F.least("u", "m")).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    moved = _lowest(edges, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).distinct()
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(id, component): component is the smallest id reachable. Ids without links are absent; an empty input gives no rows.
 
     Each round is two joins of the edges with one row per node, so a hub costs one row for each of its edges and no list of
-    neighbours is ever built. Rounds grow with the logarithm of the longest path."""
+    neighbours is ever built; the rows of large hubs are dealt over tasks. Rounds grow with the logarithm of the longest path."""
     edges = saved(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
+    total, mark = edges.count(), None
     for _ in range(most_rounds):
-        edges, before = saved(_small_star(_large_star(edges)), "edges"), edges
+        edges, before = saved(_small_star(saved(_large_star(edges, total), "edges"), total), "edges"), edges
         forget(before)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

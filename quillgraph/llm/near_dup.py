@@ -119,10 +119,11 @@ def _sketch_columns(*names: str) -> list[Column]:
 
 
 def _live(entries: DataFrame) -> DataFrame:
-    """Buckets that still hold more than one component, with their size, their smallest member and their largest component."""
+    """Buckets that still hold more than one component, with their size (copies), their smallest member, their largest component and
+    how many members lie outside it."""
     parts = entries.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    live = parts.groupBy("key").agg(F.min("low").alias("hub"), F.min_by("comp", "low").alias("hub_comp"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("comps"))
-    return live.where("comps > 1").drop("comps")
+    live = parts.groupBy("key").agg(F.min("low").alias("hub"), F.min_by("comp", "low").alias("hub_comp"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("copies"), (F.sum("n") - F.max("n")).alias("minor"))
+    return saved(live.where("minor > 0"), "live")
 
 
 def _in_blocks(seen: DataFrame, side: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def _in_blocks(seen: DataFrame, side: DataFrame) -> DataFrame:
 
     The members of a bucket are dealt in blocks of about BLOCK, and each block meets each block under a key of its own: a large
     bucket makes many equal tasks instead of one, and a pair becomes a row only if the sketches find it plausible."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
+    blocks = F.greatest(F.ceil(F.col("copies") / BLOCK), F.lit(1))
     rows = seen.join(side, "id").select("key", "id", "comp", "main", "n_shingles", "odd", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
 
     def named(df: DataFrame, n: str, at: list[str]) -> DataFrame:
@@ -144,11 +145,12 @@ def _in_blocks(seen: DataFrame, side: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs (doc_id long, text string; other columns are ignored).
 
-    Rows with equal shingle sets form a class, which has a number of its own. Classes are banded. Three rounds look for links, each
-    only between classes that are not yet in one component: (1) each member with the smallest hub of its buckets, (2) with the hub
-    of every bucket, (3) in buckets that still hold several components, every member outside the largest one with all others, in
-    blocks. Odd sketches are compared inside the joins, so only plausible pairs become rows: a group of copies or near copies costs
-    rows in proportion to its size, and no link between components is skipped.
+    Rows with equal shingle sets form a class, which has a number of its own. Classes are banded. Up to three rounds look for links,
+    each only between classes that are not yet in one component: (1) each member with the smallest hub of its buckets, (2) with the
+    hub of every bucket, where round three would have more pairs to compare than there are entries, (3) in buckets that still hold
+    several components, every member outside the largest one with all others, in blocks. Odd sketches are compared inside the joins,
+    so only plausible pairs become rows: a group of copies or near copies costs rows in proportion to its size, and no link between
+    components is skipped.
 
     A row is a document. component_id is the smallest doc_id of the rows that can be reached by links, kept says that it is the
     row's own. Rows that repeat a doc_id with the same text, or with other texts, are returned each with its own text's component.
@@ -162,12 +164,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = classes.select("id", "n_shingles", "odd")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = saved(entries.join(shared, "key"), "entries")
+    total = entries.count()
     checked = found = comps = None
-    for step in range(3):
-        now = entries.withColumn("comp", F.col("id")) if comps is None else entries.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        seen = saved(now.join(_live(now), "key"), "now")
-        if seen.isEmpty():  # all buckets lie inside one component each: nothing is left to be found
+    step = 0
+    while step < 3:
+        now = entries.withColumn("comp", F.col("id")) if comps is None else saved(entries.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "now")
+        live = _live(now)
+        pairs_left = live.agg(F.sum(F.col("minor").cast("double") * F.col("copies"))).first()[0]
+        if not pairs_left:  # all buckets lie inside one component each: nothing is left to be found
             break
+        step += step == 1 and pairs_left <= total
+        seen = with_class(now, live, ["key"], total)
         if step < 2:
             pairs = seen.where("comp <> hub_comp")
             pairs = pairs.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")) if step == 0 else pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -175,7 +182,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             pairs = _in_blocks(seen, side)
         pairs = saved(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        forget(seen)
+        forget(live, now if comps is not None else None)
+        step += 1
         if pairs.isEmpty():
             continue
         checked = pairs if checked is None else checked.unionByName(pairs)
