@@ -32,8 +32,9 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     edges = saved(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     total, mark = edges.count(), None
     for _ in range(most_rounds):
-        edges, before = saved(_small_star(saved(_large_star(edges, total), "edges"), total), "edges"), edges
-        forget(before)
+        half, before = saved(_large_star(edges, total), "edges"), edges
+        edges = saved(_small_star(half, total), "edges")
+        forget(before, half)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

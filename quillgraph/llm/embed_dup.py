@@ -149,9 +149,9 @@ def _blocks(kernel: Callable, names: tuple[str, str], batches: Iterator[pa.Recor
 
 def _dealt(rows: DataFrame, vectors: DataFrame, kernel: Callable, names: tuple[str, str]) -> DataFrame:
     """rows has key, role (1 query, 0 target), id, comp, n_q, n_t: both sides are cut in blocks of at most about BLOCK rows, and every
-    block of queries meets every block of targets in one group of the shuffle. Smaller sides are cut too, in SPREAD blocks at most,
-    so that one large group is the work of many tasks."""
-    n_q, n_t = (F.greatest(F.ceil(F.col(c) / BLOCK), F.least(F.ceil(F.col(c) / 128), F.lit(SPREAD)), F.lit(1)) for c in ("n_q", "n_t"))
+    block of queries meets every block of targets in one group of the shuffle. Sides of more than 2 * FILL rows are cut too, in SPREAD
+    blocks at most, so that one large group is the work of many tasks."""
+    n_q, n_t = (F.greatest(F.ceil(F.col(c) / BLOCK), F.when(F.col(c) > 2 * FILL, F.least(F.ceil(F.col(c) / 256), F.lit(SPREAD))), F.lit(1)) for c in ("n_q", "n_t"))
     own = F.when(F.col("role") == 1, F.pmod(F.xxhash64("id"), n_q)).otherwise(F.pmod(F.xxhash64("id"), n_t))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("role") == 1, n_t).otherwise(n_q) - 1))
     cut = rows.withColumn("own", own).withColumn("other", other)
