@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .let import let
 from .lists import unique_lines
 
 MAX_CHARS = 32_000
@@ -16,17 +17,20 @@ LANGUAGES = {
     ".js": "JavaScript", ".jsx": "JSX", ".ts": "TypeScript", ".tsx": "TSX", ".rb": "Ruby", ".go": "Go", ".yml": "YAML", ".yaml": "YAML",
     ".json": "JSON", ".swift": "Swift", ".m": "Objective-C", ".mm": "Objective-C++", ".h": "C/Objective-C header", ".sh": "Shell", ".sql": "SQL", ".py": "Python",
 }
+# File names, folders, path and name parts that are told apart.
 SPECIAL_FILES = ["Dockerfile", "Gemfile", "Podfile", "Fastfile", "Rakefile"]
 IGNORED_FOLDERS = [".git", "node_modules", "Pods", "vendor", "dist", "build", "__pycache__"]
 LOW_SIGNAL = [".gitlab-ci", "package-lock.json", "yarn.lock", "pnpm-lock", "jquery", "bootstrap", "react-16", "test-data", "fake-cards", "graphiql/rails"]
 TEST_ENDINGS = [".test.js", ".test.jsx", ".test.ts", ".test.tsx", ".spec.js", ".spec.jsx", ".spec.ts", ".spec.tsx", "_test.go", "_spec.rb"]
-SYSTEMS = "salesforce marketo hubspot eloqua tango oauth sso captcha redis postgres mysql metabase looker docker kubernetes fastlane referral".split()
-GENERIC_FOLDERS = (
-    "src lib internal app apps services service components component modules module shared common utils devops domain api client server web mobile ios android "
-    "config configs scripts test tests spec specs"
-).split()
-UI = r"\b(?:React|render\(|useState|useEffect|Component\b|UIViewController)\b"
+# Systems that a file may mention.
+SYSTEMS = ["salesforce", "marketo", "hubspot", "eloqua", "tango", "oauth", "sso", "captcha", "redis", "postgres", "mysql", "metabase", "looker", "docker", "kubernetes", "fastlane", "referral"]
+# Folders that say nothing of what a file is about.
+GENERIC_FOLDERS = [
+    "src", "lib", "internal", "app", "apps", "services", "service", "components", "component", "modules", "module", "shared", "common", "utils", "devops", "domain", "api", "client", "server", "web",
+    "mobile", "ios", "android", "config", "configs", "scripts", "test", "tests", "spec", "specs",
+]
 # What each detector looks for.
+UI = r"\b(?:React|render\(|useState|useEffect|Component\b|UIViewController)\b"
 RISKS = {
     "todo": r"(?i)\b(?:TODO|FIXME|XXX)\b",
     "debug-log": r"\b(?:console\.(?:log|debug|warn|error)|print)\s*\(",
@@ -88,6 +92,7 @@ def language(path: Column) -> Column:
 
 def artifact_kind(path: Column, body: Column) -> Column:
     """The first rule that holds names the kind of file."""
+    # The labels of kinds.
     low, end = F.lower(path), suffix(path)
     rules = [
         (file_name(path) == "Dockerfile", "Container build definition"),
@@ -119,8 +124,9 @@ def symbols(body: Column, kind: str) -> Column:
 
 
 def systems(body: Column, path: Column) -> Column:
-    low = F.lower(F.concat(path, F.lit("\n"), body))
-    return F.slice(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s)), F.lit(s)) for s in SYSTEMS))), 1, 6)
+    """Systems that path or body name, with a capital, at most six."""
+    found = let(F.lower(F.concat(path, F.lit("\n"), body)), lambda low: F.array(*(F.when(F.contains(low, F.lit(s)), F.lit(s.title())) for s in SYSTEMS)))
+    return F.slice(F.array_compact(found), 1, 6)
 
 
 def risks(body: Column, path: Column) -> Column:
@@ -144,6 +150,26 @@ def signals(body: Column, path: Column) -> Column:
     return F.array_compact(F.array(*(F.when(body.rlike(p) | (suffix(path) == ".sql" if n == "sql" else F.lit(False)), F.lit(n)) for n, p in SIGNALS.items())))
 
 
+def _named(label: str, names: Column, limit: int) -> Column:
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(names, 1, limit), ", ")))
+
+
+def implementation(kind: Column, symbols_of: dict[str, Column], shown: Column, found: Column) -> Column:
+    """What a file is made of, a line each, ten at most: its kind, its main classes, functions and types, its behaviour, its systems."""
+    lines = [F.concat(F.lit("kind: "), kind), *(_named(k, symbols_of[k], n) for k, n in (("classes", 5), ("functions", 6), ("types", 5)))]
+    return F.slice(F.array_compact(F.concat(F.array(*lines), F.transform(shown, lambda n: F.concat(F.lit("shows: "), n)), F.array(_named("systems", found, 6)))), 1, 10)
+
+
+def intentions(kind: Column, focus: Column, symbols_of: dict[str, Column], comments: Column, sample: Column) -> Column:
+    """What a file is there for, six lines at most: its first two comment lines, what its path and its symbols are about, and the
+    sample line that a search found; without any of them, that it was found."""
+    words = unique_lines(F.transform(F.concat(*(symbols_of[k] for k in ("classes", "functions", "types"))), T.identifier_words), 5)
+    shown = F.when(F.coalesce(sample, F.lit("")) != "", F.concat(F.lit("matches: "), F.left(T.normalize(sample), F.lit(180))))
+    lines = F.array_compact(F.concat(F.slice(comments, 1, 2), F.array(_named("path", focus, 5), _named("symbols", words, 5), shown)))
+    none = F.array(F.concat(F.lit("found by search: "), F.lower(kind)))
+    return unique_lines(let(lines, lambda found: F.when(F.size(found) > 0, found).otherwise(none)), 6)
+
+
 def path_focus(path: Column) -> Column:
     """Words of the path's parts, without generic folders, at most five."""
     parts = F.filter(F.split(path, "/"), lambda p: (T.dedupe_key(p) != "") & ~T.dedupe_key(p).isin(GENERIC_FOLDERS))
@@ -157,12 +183,12 @@ def leading_comments(body: Column, limit: int = 4) -> Column:
     start = F.struct(F.lit(False).alias("block"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("found"))
 
     def step(s: Column, raw: Column) -> Column:
-        line = F.trim(raw)
+        line = T.strip(raw)
         opens = F.startswith(line, F.lit("/*"))
         inside = s["block"] | opens
         rest = F.when(opens, F.substring(line, 3, 1 << 30)).otherwise(line)
         closes = F.contains(rest, F.lit("*/"))
-        in_block = F.trim(F.ltrim(F.when(closes, F.substring_index(rest, "*/", 1)).otherwise(rest), F.lit("*")))
+        in_block = T.strip(F.ltrim(F.when(closes, F.substring_index(rest, "*/", 1)).otherwise(rest), F.lit("*")))
         marked = line.rlike("^(//|#|--|;)")
         comment = T.normalize(F.when(line.rlike("^(//|--)"), F.substring(line, 3, 1 << 30)).otherwise(F.substring(line, 2, 1 << 30)))
         shebang, nothing = F.startswith(line, F.lit("#!")), line == ""
@@ -175,11 +201,19 @@ def leading_comments(body: Column, limit: int = 4) -> Column:
     return unique_lines(F.aggregate(F.slice(T.lines(body), 1, 80), start, step, lambda s: s["found"]), limit)
 
 
-def analysis(body: Column, path: Column, stale_hosts: list[str]) -> dict[str, Column]:
-    """All of it for one file, from its first MAX_CHARS characters."""
-    body = F.left(body, F.lit(MAX_CHARS))
-    kinds = {k: symbols(body, k) for k in SYMBOLS}
-    return {
-        "language": language(path), "artifact_kind": artifact_kind(path, body), **kinds, "comments": leading_comments(body),
-        "signals": signals(body, path), "systems": systems(body, path), "risks": risks(body, path), "conflicts": conflicts(body, path, stale_hosts), "focus": path_focus(path),
-    }
+def analysis(body: Column, path: Column, sample: Column, stale_hosts: list[str], most: int | None = None) -> Column:
+    """All of it for one file, as a struct; of a whole body, or of its first `most` characters (MAX_CHARS is a usual limit)."""
+
+    def of(body: Column) -> Column:
+        kinds = F.struct(*(symbols(body, k).alias(k) for k in SYMBOLS))
+        first = F.struct(artifact_kind(path, body).alias("artifact_kind"), kinds.alias("symbols"), leading_comments(body).alias("comments"), signals(body, path).alias("behaviour"), systems(body, path).alias("systems"), path_focus(path).alias("focus"))
+        return let(first, lambda f: rest(body, f, {k: f["symbols"][k] for k in SYMBOLS}))
+
+    def rest(body: Column, f: Column, named: dict[str, Column]) -> Column:
+        return F.struct(
+            language(path).alias("language"), f["artifact_kind"].alias("artifact_kind"), *(x.alias(k) for k, x in named.items()), f["comments"].alias("comments"),
+            implementation(f["artifact_kind"], named, f["behaviour"], f["systems"]).alias("implementation"), intentions(f["artifact_kind"], f["focus"], named, f["comments"], sample).alias("intentions"),
+            risks(body, path).alias("risks"), conflicts(body, path, stale_hosts).alias("conflicts"),
+        )
+
+    return let(body if most is None else F.left(body, F.lit(most)), of)

@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .let import let
 from .urls import URL, strip_trailing
 
 
 def unique_lines(x: Column, limit: int) -> Column:
-    """The first line of each dedupe key (lines without one are left out), normalised, at most `limit`; one pass over the lines."""
-    keyed = F.transform(x, lambda line: F.struct(T.dedupe_key(line).alias("key"), line.alias("line")))
-    none = F.array().cast("array<struct<key:string,line:string>>")
-    kept = F.aggregate(keyed, none, lambda s, e: F.when((F.size(s) < limit) & (e["key"] != "") & ~F.exists(s, lambda o: o["key"] == e["key"]), F.array_append(s, e)).otherwise(s))
-    return F.transform(kept, lambda e: T.normalize(e["line"]))
+    """The first line of each dedupe key (lines without one are left out), normalised, at most `limit`; one pass over the lines, which
+    keys no further line once the limit is reached."""
+    none = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("lines"))
+
+    def add(s: Column, line: Column) -> Column:
+        new = lambda key: F.when((key != "") & ~F.array_contains(s["keys"], key), F.struct(F.array_append(s["keys"], key).alias("keys"), F.array_append(s["lines"], T.normalize(line)).alias("lines"))).otherwise(s)
+        return F.when(F.size(s["keys"]) < limit, let(T.dedupe_key(line), new)).otherwise(s)
+
+    return F.aggregate(x, none, add)["lines"]
 
 
 def headings(x: Column) -> Column:
@@ -26,13 +31,27 @@ def _body(x: Column) -> Column:
     return F.filter(flat, lambda s: ~T.is_noise(s) & (s != "---") & ~F.startswith(s, F.lit("#")))
 
 
-def bullets(x: Column) -> Column:
-    found = F.transform(F.filter(_body(x), lambda s: F.startswith(s, F.lit("- "))), lambda s: T.normalize(F.substring(s, 3, 1 << 30)))
+def _bullets(body: Column) -> Column:
+    found = F.transform(F.filter(body, lambda s: F.startswith(s, F.lit("- "))), lambda s: T.normalize(F.substring(s, 3, 1 << 30)))
     return unique_lines(F.filter(found, lambda s: F.length(s) > 8), 12)
 
 
+def _paragraphs(body: Column) -> Column:
+    return unique_lines(F.filter(body, lambda s: ~F.startswith(s, F.lit("- ")) & (F.length(s) > 30)), 8)
+
+
+def bullets(x: Column) -> Column:
+    return _bullets(_body(x))
+
+
 def paragraphs(x: Column) -> Column:
-    return unique_lines(F.filter(_body(x), lambda s: ~F.startswith(s, F.lit("- ")) & (F.length(s) > 30)), 8)
+    return _paragraphs(_body(x))
+
+
+def signals(x: Column) -> Column:
+    """struct(headings, bullets, paragraphs, urls, article_refs) of a note's text; its lines are cut and judged once."""
+    said = let(_body(x), lambda body: F.struct(_bullets(body).alias("bullets"), _paragraphs(body).alias("paragraphs")))
+    return let(said, lambda s: F.struct(headings(x).alias("headings"), s["bullets"].alias("bullets"), s["paragraphs"].alias("paragraphs"), urls(x).alias("urls"), article_refs(x).alias("article_refs")))
 
 
 def urls(x: Column, limit: int = 15) -> Column:

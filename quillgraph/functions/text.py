@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .let import let
 
-# Entities that are unescaped, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Named entities of HTML 5, as the html module lists them; those without a semicolon are read only where no longer name goes on.
+ENTITIES = {name.rstrip(";"): text for name, text in sorted(html5.items(), key=lambda e: e[0].endswith(";"))}
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+#: Numbers that stand for other characters, as browsers read them.
+ODD_NUMBERS = {n: bytes([n]).decode("cp1252", errors="replace") for n in range(0x80, 0xA0)}
 # Lines that are left-overs of a web page.
 NOISE = "^(?i)(pleasesign into comment|comments|posted|sign in|log in|login)$"
 SOURCE_LINE = "*source:*"
@@ -19,6 +23,11 @@ H1 = r"(?m)^[ \t]*#[ \t]+([^\n]*[^\s])[ \t]*$"
 ARTICLE = r"(?i)\bArticle\s+(\d{4,6})\b"
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(x: Column) -> Column:
     """White space of any kind collapses to single spaces; none is left at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -72,7 +81,7 @@ def _first_line(x: Column, tidy) -> Column:
 
 def page_title(x: Column, fallback: Column) -> Column:
     """The first level-one heading, else the first line with anything on it (160 characters at most), else the fallback."""
-    return F.coalesce(_filled(normalize(F.regexp_extract(x, H1, 1))), F.left(_first_line(x, lambda line: F.trim(line)), F.lit(160)), fallback)
+    return F.coalesce(_filled(normalize(F.regexp_extract(x, H1, 1))), F.left(_first_line(x, strip), F.lit(160)), fallback)
 
 
 def note_title(x: Column, fallback: Column) -> Column:
@@ -85,14 +94,47 @@ def tokens(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[A-Za-z0-9]{3,}"), F.lit(0)))
 
 
+def unescape(x: Column) -> Column:
+    """Text of HTML with its numeric and named entities read; what is none stays. Texts without an ampersand are not searched."""
+
+    def named(raw: Column) -> Column:
+        bare = F.regexp_extract(raw, f"^&({_BARE})", 1)
+        start = F.when(bare != "", F.concat(F.try_element_at(_entities(), bare), F.substring(raw, F.length(bare) + 2, F.length(raw))))
+        return F.coalesce(F.try_element_at(_entities(), F.regexp_extract(raw, "^&([^;]+);$", 1)), start, raw)
+
+    def numbered(digits: Column, base: int) -> Column:
+        n = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("int"))
+        odd = F.try_element_at(F.create_map(*(F.lit(v) for kv in ODD_NUMBERS.items() for v in kv)), n)
+        wrong = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        utf16 = F.lpad(F.hex(n), 8, "0")
+        return F.when(wrong, F.lit("\ufffd")).otherwise(F.coalesce(odd, F.decode(F.unhex(utf16), "UTF-32")))
+
+    def read(e: Column) -> Column:
+        hexes, digits = F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);?$", 1), F.regexp_extract(e, "^&#([0-9]+);?$", 1)
+        return F.when(hexes != "", numbered(hexes, 16)).when(digits != "", numbered(digits, 10)).otherwise(named(e))
+
+    pattern = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|{_BARE})"
+
+    def whole(text: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read)
+        pieces = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("shown"))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["shown"], F.lit("")))), "")
+
+    return let(x, lambda text: F.when(F.contains(text, F.lit("&")), whole(text)).otherwise(text))
+
+
+def _entities() -> Column:
+    return F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+
 def html_text(x: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]+>", " ")
-    return normalize(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare))
+    return normalize(unescape(bare))
 
 
 def html_title(x: Column, fallback: Column) -> Column:
     found = F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.coalesce(_filled(normalize(reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), found))), fallback)
+    return F.coalesce(_filled(normalize(unescape(found))), fallback)
 
 
 def identifier_words(x: Column) -> Column:
@@ -110,17 +152,17 @@ def imported_markdown(x: Column) -> Column:
     def body(flat: Column) -> Column:
         return let(F.instr(flat, "\n---\n"), lambda at: F.when((at > 0) & F.contains(F.left(flat, at - 1), F.lit("*Source:*")), F.substring(flat, at + 5, F.length(flat))).otherwise(flat))
 
-    kept = F.filter(F.transform(lines(let(F.replace(x, F.lit("\r\n"), F.lit("\n")), body)), lambda s: F.rtrim(s)), lambda s: ~let(normalize(s), is_noise))
-    return F.trim(F.array_join(kept, "\n"))
+    kept = F.filter(F.transform(lines(let(F.replace(x, F.lit("\r\n"), F.lit("\n")), body)), lambda s: F.regexp_replace(s, r"(?U)\s+$", "")), lambda s: ~let(normalize(s), is_noise))
+    return strip(F.array_join(kept, "\n"))
 
 
 def link_target(x: Column) -> Column:
-    return F.regexp_replace(F.rtrim(F.trim(x), F.lit("/")), r"\.md$", "")
+    return F.regexp_replace(F.rtrim(strip(x), F.lit("/")), r"\.md$", "")
 
 
 def wiki_target(target: Column, path: Column) -> Column:
     """The path of a relative link to a markdown file, seen from the folder of `path`; null for anything else."""
-    bare = F.substring_index(F.substring_index(F.trim(target), "#", 1), "?", 1)
+    bare = F.substring_index(F.substring_index(strip(target), "#", 1), "?", 1)
     folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
     ok = ~F.contains(target, F.lit("://")) & F.endswith(bare, F.lit(".md"))
     return F.when(ok, F.when(folder == "", bare).otherwise(F.concat(folder, F.lit("/"), bare)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions import text as T
-from .topics import Topic
+from ..functions.let import let
+from .topics import Topic, of_topics
 
 LINES_PER_FILE = 3
 SEARCHED, KEPT, PER_NOTE = 40, 24, 8
@@ -17,19 +18,21 @@ SEARCHED, KEPT, PER_NOTE = 40, 24, 8
 
 def hits(files: DataFrame, profile: list[Topic]) -> DataFrame:
     """files (repo, path, body) to topic, repo, path, score, line_number, sample: the lines (three at most) of each code file that
-    contain a keyword of more than two characters. The keywords of a topic are one pattern, and a file is split in lines once."""
+    contain a keyword of more than two characters, in the repositories of the topic. The keywords of a topic are one pattern, and a
+    file is split in lines once."""
     wanted = files.where(C.is_code(F.col("path")) & ~C.is_ignored(F.col("path")))
     numbered = F.transform(T.lines(F.col("body")), lambda s, i: F.struct((i + 1).alias("line_number"), s.alias("line")))
     split = wanted.select("repo", "path", numbered.alias("lines"))
 
     def of(topic: Topic) -> Column | None:
         words = [re.escape(w) for w in topic.keywords if len(w) > 2]
-        if not words:
+        if not words or not topic.repos:
             return None
         found = F.filter("lines", lambda e: e["line"].rlike("(?i)" + "|".join(words)))
-        return F.struct(F.lit(topic.key).alias("topic"), F.slice(found, 1, LINES_PER_FILE).alias("found"))
+        return F.struct(F.lit(topic.key).alias("topic"), F.when(F.col("repo").isin(list(topic.repos)), F.slice(found, 1, LINES_PER_FILE)).alias("found"))
 
-    each = split.select("repo", "path", F.explode(F.array(*(c for c in map(of, profile) if c is not None))).alias("e")).where("size(e.found) > 0")
+    kind = "array<struct<topic:string,found:array<struct<line_number:int,line:string>>>>"
+    each = split.select("repo", "path", F.explode(F.array(*(c for c in map(of, profile) if c is not None)).cast(kind)).alias("e")).where("size(e.found) > 0")
     first = F.col("e.found")[0]
     return each.select("e.topic", "repo", "path", F.size("e.found").alias("score"), first["line_number"].alias("line_number"), F.left(T.normalize(first["line"]), F.lit(180)).alias("sample"))
 
@@ -52,22 +55,36 @@ def for_notes(notes: DataFrame, kept: DataFrame, limit: int = PER_NOTE) -> DataF
     """notes (note_id, topics, keywords) to the hits of each note: those of its topics (first topic first, each file once),
     ranked by score plus shared tokens, four less for low signal, then path; low signal last; at most `limit`.
 
-    A note has three topics of at most KEPT files, so the join is bounded by the notes."""
-    asked = notes.select("note_id", F.flatten(F.transform("keywords", T.tokens)).alias("words"), F.posexplode("topics").alias("topic_no", "topic"))
-    both = asked.join(kept.select("topic", "repo", "path", "score", "line_number", "sample", "place"), "topic")
-    once = both.withColumn("nth", F.row_number().over(Window.partitionBy("note_id", "repo", "path").orderBy("topic_no", "place"))).where("nth = 1")
-    shared = F.size(F.array_intersect(F.col("words"), T.tokens(F.concat_ws(" ", "path", "sample", "repo"))))
+    kept has at most KEPT files a topic: one list per topic is broadcast, and a note ranks its own lists where it lies."""
     low = C.is_low_signal(F.col("repo"), F.col("path"), F.col("sample"))
-    scored = once.withColumn("low", low).withColumn("points", F.col("score") + shared - F.when(F.col("low"), 4).otherwise(0))
-    order = Window.partitionBy("note_id").orderBy("low", F.desc("points"), "path", "repo")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("note_id", "repo", "path", "line_number", "sample", "points", "place")
-
-
-def registry(found: DataFrame) -> DataFrame:
-    """note hits (note_id, kind, repo, path, line_number, sample, place) to one row per file: its first hit and notes by kind."""
-    first = F.min_by(F.struct("line_number", "sample"), F.struct(F.when(F.col("kind") == "support", 0).when(F.col("kind") == "wiki", 1).otherwise(2), "note_id", "place"))
-    counted = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("support", "wiki", "topic")]
-    return found.groupBy("repo", "path").agg(first.alias("hit"), *counted).select("repo", "path", "hit.line_number", "hit.sample", "n_support", "n_wiki", "n_topic")
+    entry = F.struct("place", low.alias("low"), "repo", "path", "score", "line_number", "sample", T.tokens(F.concat_ws(" ", "path", "sample", "repo")).alias("tokens"))
+    lists = kept.groupBy("topic").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+    asked = of_topics(notes.select("note_id", "topics", F.array_distinct(F.flatten(F.transform("keywords", T.tokens))).alias("words")), lists, ["hits"])
+    same = lambda a, b: (a["repo"] == b["repo"]) & (a["path"] == b["path"])
+    once = let(F.col("hits"), lambda all_: F.filter(all_, lambda h, i: ~F.exists(F.slice(all_, 1, i), lambda o: same(o, h))))
+    points = lambda h: h["score"] + F.size(F.array_intersect(F.col("words"), h["tokens"])) - F.when(h["low"], 4).otherwise(0)
+    scored = F.transform(once, lambda h: F.struct(h["low"].alias("low"), (-points(h)).alias("minus"), h["path"].alias("path"), h["repo"].alias("repo"), h["line_number"].alias("line_number"), h["sample"].alias("sample")))
+    each = asked.select("note_id", F.posexplode(F.slice(F.array_sort(scored), 1, limit)).alias("at", "h"))
+    return each.select("note_id", "h.repo", "h.path", "h.line_number", "h.sample", (-F.col("h.minus")).alias("points"), (F.col("at") + 1).alias("place"))
+
+
+def registry(found: DataFrame, kept: DataFrame, limits: tuple[int, int, int] = (60, 60, 40)) -> DataFrame:
+    """One row per file: its first hit, how many support notes, wiki notes and topics use it, and the first of each as lists.
+
+    found: hits of notes (note_id, kind, topics, repo, path, line_number, sample, place); kept: hits of topics (topic, repo, path,
+    line_number, sample, place). Notes come before topics, support notes first. Names are ranked with the limit below the shuffle
+    before any are gathered, so a file that a third of all notes use stays a set of rows."""
+    number = F.when(F.col("kind") == "support", 0).when(F.col("kind") == "wiki", 1).otherwise(2)
+    users = found.select("repo", "path", number.alias("kind"), F.lpad(F.col("note_id").cast("string"), 20, "0").alias("name"), "line_number", "sample", "place")
+    users = users.unionByName(kept.select("repo", "path", F.lit(2).alias("kind"), F.col("topic").alias("name"), "line_number", "sample", "place"))
+    first = users.groupBy("repo", "path").agg(F.min_by(F.struct("line_number", "sample"), F.struct("kind", "name", "place")).alias("hit"))
+    topics = found.select("repo", "path", F.lit(2).alias("kind"), F.explode("topics").alias("name"))
+    names = users.select("repo", "path", "kind", "name").unionByName(topics).distinct()
+    counts = names.groupBy("repo", "path").agg(*(F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(("support", "wiki", "topic"))))
+    rank = F.row_number().over(Window.partitionBy("repo", "path", "kind").orderBy("name"))
+    listed = names.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, limits[0]).when(F.col("kind") == 1, limits[1]).otherwise(limits[2])).where(F.col("rank") <= max(limits))
+    lists = listed.groupBy("repo", "path").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("rank", (F.regexp_replace("name", "^0+(?=[0-9])", "") if i < 2 else F.col("name")).alias("name")))))["name"].alias(k) for i, k in enumerate(("support", "wiki", "topics"))))
+    return first.join(counts, ["repo", "path"]).join(lists, ["repo", "path"]).select("repo", "path", "hit.line_number", "hit.sample", "n_support", "n_wiki", "n_topic", "support", "wiki", "topics")
 
 
 def owner(files: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:

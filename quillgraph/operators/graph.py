@@ -65,9 +65,42 @@ def missing_fields(known: DataFrame, templates: str = "Templates/") -> DataFrame
     return known.where(~F.startswith("path", F.lit(templates))).select("path", "type", chain.alias("missing")).where("size(missing) > 0")
 
 
-def view(known: DataFrame, kind: str, statuses: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
-    """A saved view: notes of a type, with or without some statuses."""
-    status = F.coalesce(F.try_element_at("fields", F.lit("status")), F.lit(""))
-    rows = known.where(F.col("type") == kind).select("path", "stem", status.alias("status"), F.coalesce(F.try_element_at("fields", F.lit("area")), F.lit("")).alias("area"))
-    rows = rows.where(F.col("status").isin(statuses)) if statuses else rows
-    return rows.where(~F.col("status").isin(without)) if without else rows
+def field(name: str) -> Column:
+    """A frontmatter field of nodes(), '' if it is missing."""
+    return F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+
+
+def view(known: DataFrame, kind: str, statuses: list[str] | None = None, without: list[str] | None = None, columns: tuple[str, ...] = ("status", "area")) -> DataFrame:
+    """A saved view: notes of a type, with or without some statuses, and some of their fields."""
+    rows = known.where(F.col("type") == kind)
+    rows = rows.where(field("status").isin(statuses)) if statuses else rows
+    rows = rows.where(~field("status").isin(without)) if without else rows
+    return rows.select("path", "stem", *(field(c).alias(c) for c in columns))
+
+
+def tagged(known: DataFrame, tag: str) -> DataFrame:
+    """Notes whose tags (a list or words in one line) hold the tag."""
+    return known.where(F.array_contains(F.split(F.lower(F.regexp_replace(field("tags"), r"[\[\]#,]+", " ")), r"\s+"), tag))
+
+
+def below(known: DataFrame, prefix: str) -> DataFrame:
+    """Notes in a folder or under it."""
+    return known.where(F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
+
+
+#: Saved views: name -> (type, fields that are shown); the inbox goes by tag.
+SAVED = {
+    "Areas": ("area", ("status", "metric", "confidence")),
+    "Experiments": ("experiment", ("area", "status", "metric")),
+    "Metrics": ("metric", ("area", "status")),
+    "Research Signals": ("insight", ("area", "confidence")),
+    "Entities": ("intelligence-summary", ("entity", "category", "status", "last_updated")),
+    "Hub Nodes": ("node", ("node_type", "title", "entity_count")),
+}
+
+
+def saved_views(known: DataFrame) -> DataFrame:
+    """view, path, shown: the rows of all views of SAVED and of the inbox, each with its fields in order, in one pass over the notes."""
+    own = F.array(*(F.when(F.col("type") == kind, F.struct(F.lit(name).alias("view"), F.array(*map(field, columns)).alias("shown"))) for name, (kind, columns) in SAVED.items()))
+    typed = known.select("path", F.explode(F.array_compact(own)).alias("v")).select("v.view", "path", "v.shown")
+    return typed.unionByName(tagged(known, "inbox").select(F.lit("Inbox").alias("view"), "path", F.array("type", field("status")).alias("shown")))

@@ -30,6 +30,21 @@ def conflicts(text: Column, n_stale: Column, n_blocked: Column, n_drive: Column,
     ))
 
 
+def link_counts(links: DataFrame, records: DataFrame) -> DataFrame:
+    """note_id, n_links, n_stale, n_blocked, n_drive: links (note_id, url) of each note by their status in the inventory (url, status)."""
+    found = links.distinct().join(records.select("url", "status"), "url")
+    by = {"n_stale": "stale-doc-reference", "n_blocked": "blocked", "n_drive": "needs-google-drive"}
+    return found.groupBy("note_id").agg(F.count("*").alias("n_links"), *(F.count_if(F.col("status") == status).alias(n) for n, status in by.items()))
+
+
+def with_conflicts(notes: DataFrame, links: DataFrame, records: DataFrame, hits: DataFrame) -> DataFrame:
+    """notes (note_id, body, repos) with n_links, n_stale, n_hits and conflicts, from the inventory and from the code hits (note_id)."""
+    counted = hits.groupBy("note_id").agg(F.count("*").alias("n_hits"))
+    full = notes.join(link_counts(links, records), "note_id", "left").join(counted, "note_id", "left").na.fill(0, ["n_links", "n_stale", "n_blocked", "n_drive", "n_hits"])
+    kinds = conflicts(F.col("body"), F.col("n_stale"), F.col("n_blocked"), F.col("n_drive"), F.size("repos"), F.col("n_hits"))
+    return full.select("note_id", "n_links", "n_stale", "n_hits", kinds.alias("conflicts"))
+
+
 def person_names(texts: DataFrame, least: int = 2) -> DataFrame:
     """name, n: two or three capitalised words alone on a list or heading line, with an author term within three lines, seen
     `least` times or more. The neighbourhood is a slice of the row's own lines: no shuffle but the final count."""
@@ -40,13 +55,16 @@ def person_names(texts: DataFrame, least: int = 2) -> DataFrame:
     return named.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def redacted(texts: DataFrame, most_names: int = 10_000) -> DataFrame:
-    """texts (…, text) with credentials, addresses and the names of person_names() removed. The names reach the driver only after
-    a count has shown that there are at most `most_names`."""
-    names = person_names(texts).limit(most_names + 1).collect()
-    if len(names) > most_names:
-        raise ValueError(f"more than {most_names} names: raise `least` or `most_names`")
-    return texts.withColumn("text", privacy.redact_names(privacy.redact(F.col("text")), [r.name for r in names]))
+def redacted(texts: DataFrame, least: int = 2) -> DataFrame:
+    """texts (…, text) with credentials, addresses and the names of person_names() removed, however many names there are.
+
+    The capitalised phrases of each text meet the names in a join; what returns to a text, by its MD5, are the few that it holds."""
+    masked = texts.withColumn("text", privacy.redact(F.col("text"))).withColumn("_key", F.md5("text"))
+    said = masked.select("_key", F.explode(privacy.phrases(F.col("text"))).alias("name"))
+    held = said.join(person_names(texts, least).select("name"), "name").groupBy("_key").agg(F.collect_set("name").alias("_names"))
+    both = masked.join(held, "_key", "left")
+    text = F.when(F.col("_names").isNull(), F.col("text")).otherwise(privacy.redact_names(F.col("text"), F.col("_names")))
+    return both.withColumn("text", text).select(*texts.columns)
 
 
 def wikified(notes: DataFrame, articles: DataFrame, pages: DataFrame) -> DataFrame:

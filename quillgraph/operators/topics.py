@@ -55,15 +55,50 @@ def rollup(notes: DataFrame, kind: str = "kind") -> DataFrame:
     return notes.select(F.explode("topics").alias("topic"), kind).groupBy("topic", kind).agg(F.count("*").alias("n_notes"))
 
 
-def related(notes: DataFrame, limit: int = RELATED) -> DataFrame:
-    """note_id, topic, other_id, place: for each topic of a note, the first `limit` other notes of that topic.
-
-    Each topic offers only its first limit + 1 notes (ranked before the join, with the limit pushed below the shuffle), so pairs
-    grow with the notes and not with the square of a topic's size."""
-    each = notes.select("note_id", F.explode("topics").alias("topic"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("note_id"))).where(F.col("rank") <= limit + 1)
-    offered = ranked.select("topic", F.col("note_id").alias("other_id"), "rank")
-    pairs = each.join(offered, "topic").where("note_id <> other_id")
-    mine = ranked.select("topic", "note_id", F.col("rank").alias("own_rank"))
-    placed = pairs.join(mine, ["topic", "note_id"], "left").withColumn("place", F.col("rank") - F.when(F.col("own_rank") < F.col("rank"), 1).otherwise(0))
-    return placed.where(F.col("place") <= limit).select("note_id", "topic", "other_id", "place")
+def rollup_lists(notes: DataFrame, limit: int = 25) -> DataFrame:
+    """topic, kind, n_notes, more, first: notes of each topic by kind, how many beyond the limit, and the first stems in order.
+
+    notes (note_id, stem, topics, kind). Stems are ranked with the limit below the shuffle before any are gathered."""
+    each = notes.select(F.explode("topics").alias("topic"), "kind", "stem", "note_id")
+    first = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "kind").orderBy("stem", "note_id"))).where(F.col("rank") <= limit)
+    first = first.groupBy("topic", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "stem")))["stem"].alias("first"))
+    counted = each.groupBy("topic", "kind").agg(F.count("*").alias("n_notes"))
+    return counted.join(first, ["topic", "kind"]).select("topic", "kind", "n_notes", F.greatest(F.col("n_notes") - limit, F.lit(0)).alias("more"), "first")
+
+
+def topic_links(notes: DataFrame, records: DataFrame) -> DataFrame:
+    """topic, status, n: links of the notes of each topic, by the status of the inventory. notes (topics, urls), records (url, status).
+
+    A URL counts once for each note and topic; pairs are counted by (topic, url) before they meet the inventory."""
+    each = notes.select("note_id", F.explode("topics").alias("topic"), "urls").select("topic", F.explode("urls").alias("url"))
+    counted = each.groupBy("topic", "url").agg(F.count("*").alias("n"))
+    return counted.join(records.select("url", "status"), "url").groupBy("topic", "status").agg(F.sum("n").alias("n"))
+
+
+def of_topics(notes: DataFrame, lists: DataFrame, names: list[str]) -> DataFrame:
+    """notes (topics: KEPT at most) with the lists of their topics, one after another. lists (topic, and arrays named in `names`) has
+    a row for each topic of the profile at most, so it is broadcast: no note is shuffled."""
+    out, kinds = notes, {f.name: f.dataType for f in lists.schema}
+    for i in range(KEPT):
+        side = lists.select(F.col("topic").alias(f"_topic{i}"), *(F.col(n).alias(f"_{n}{i}") for n in names))
+        out = out.join(F.broadcast(side), F.get(F.col("topics"), F.lit(i)) == F.col(f"_topic{i}"), "left")
+    whole = [F.concat(*(F.coalesce(f"_{n}{i}", F.array().cast(kinds[n])) for i in range(KEPT))).alias(n) for n in names]
+    return out.select(*(c for c in notes.columns if c not in names), *whole)
+
+
+def related(notes: DataFrame, refs: DataFrame | None = None, kinds: tuple[str, ...] = ("support", "wiki"), limit: int = RELATED) -> DataFrame:
+    """note_id, kind and related_<kind> for each kind: the first `limit` other notes of that kind on the note's topics, best topic
+    first, each once; notes of its own kind that it refers to (refs: note_id, refs as an array of ids) come before.
+
+    Each topic offers its first limit + 1 notes of a kind, which is enough for any note: these are ranked with the limit below the
+    shuffle, gathered into one list per topic and broadcast, so that no pair of notes is ever a row."""
+    each = notes.select("note_id", "kind", F.explode("topics").alias("topic"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "kind").orderBy("note_id"))).where(F.col("rank") <= limit + 1)
+    offered = ranked.groupBy("topic").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("note_id")))).alias(k) for k in kinds))
+    asked = notes.select("note_id", F.col("kind").alias("own_kind"), "topics")
+    asked = asked.withColumn("refs", F.array().cast("array<long>")) if refs is None else asked.join(refs, "note_id", "left")
+    found = of_topics(asked, offered, list(kinds))
+    none = F.array().cast("array<long>")
+    lists = {k: F.concat(F.when(F.col("own_kind") == k, F.coalesce("refs", none)).otherwise(none), F.col(k)) for k in kinds}
+    shown = [F.slice(F.filter(F.array_distinct(x), lambda o: o != F.col("note_id")), 1, limit).alias(f"related_{k}") for k, x in lists.items()]
+    return found.select("note_id", F.col("own_kind").alias("kind"), *shown)

@@ -8,16 +8,14 @@ from ..functions import code as C
 from ..functions import text as T
 from ..operators import code_search as Cs
 from ..operators import links as L
+from ..operators import notes as N
 from ..operators import topics as To
+from . import note_queries as Q
 from . import sqltext as S
+from .profile import PROFILE
 from .views import derive, with_views
 
-PROFILE = [
-    To.Topic("loading", "Loading", ("loaditem", "fetch(", "db"), ("src0",)),
-    To.Topic("models", "Models", ("class model", "accounts_"), ("src1",)),
-    To.Topic("cleanup", "Cleanup", ("todo", "innerhtml"), ("src2",)),
-]
-
+STALE_HOSTS = ["wiki.legacy.test.org"]
 
 def _files(spark, sf_dir):
     return derive(spark, sf_dir, "files")
@@ -28,24 +26,24 @@ def language_classify(spark, sf_dir):
 
 
 def artifact_kind(spark, sf_dir):
-    return _files(spark, sf_dir).select("file_id", C.artifact_kind(F.col("path"), F.left("body", F.lit(C.MAX_CHARS))).alias("kind"), C.is_code(F.col("path")).alias("is_code"), C.is_ignored(F.col("path")).alias("is_ignored"))
+    return _files(spark, sf_dir).select("file_id", C.artifact_kind(F.col("path"), F.col("body")).alias("kind"), C.is_code(F.col("path")).alias("is_code"), C.is_ignored(F.col("path")).alias("is_ignored"))
 
 
 def code_symbols(spark, sf_dir):
-    body = F.left("body", F.lit(C.MAX_CHARS))
+    body = F.col("body")
     return _files(spark, sf_dir).select("file_id", *(F.array_join(C.symbols(body, k), ",").alias(k) for k in C.SYMBOLS))
 
 
 def code_comments(spark, sf_dir):
-    return _files(spark, sf_dir).select("file_id", F.array_join(C.leading_comments(F.left("body", F.lit(C.MAX_CHARS))), "|").alias("comments"))
+    return _files(spark, sf_dir).select("file_id", F.array_join(C.leading_comments(F.col("body")), "|").alias("comments"))
 
 
 def code_risks(spark, sf_dir):
-    return _files(spark, sf_dir).select("file_id", F.array_join(C.risks(F.left("body", F.lit(C.MAX_CHARS)), F.col("path")), ",").alias("risks"), F.array_join(C.conflicts(F.left("body", F.lit(C.MAX_CHARS)), F.col("path"), ["wiki.legacy.test.org"]), ",").alias("conflicts"))
+    return _files(spark, sf_dir).select("file_id", F.array_join(C.risks(F.col("body"), F.col("path")), ",").alias("risks"), F.array_join(C.conflicts(F.col("body"), F.col("path"), STALE_HOSTS), ",").alias("conflicts"))
 
 
 def implementation_signals(spark, sf_dir):
-    body = F.left("body", F.lit(C.MAX_CHARS))
+    body = F.col("body")
     return _files(spark, sf_dir).select("file_id", F.array_join(C.signals(body, F.col("path")), ",").alias("signals"), F.array_join(C.systems(body, F.col("path")), ",").alias("systems"), F.array_join(C.path_focus(F.col("path")), ",").alias("focus"))
 
 
@@ -73,22 +71,52 @@ def code_hit_prune(spark, sf_dir):
     return _kept(spark, sf_dir).select("topic", "repo", "path", F.col("place").cast("long").alias("place"))
 
 
-def _note_hits(spark, sf_dir):
-    notes = derive(spark, sf_dir, "notes")
-    topics = F.when(F.col("note_id") % 3 == 0, F.array(F.lit("loading"), F.lit("models"))).otherwise(F.array(F.lit("cleanup"), F.lit("loading")))
-    return Cs.for_notes(notes.select("note_id", "kind", topics.alias("topics"), F.array("title", "section").alias("keywords")), _kept(spark, sf_dir)).join(notes.select("note_id", "kind"), "note_id")
+def note_hits(spark, sf_dir):
+    """The code found for each note, by its topics."""
+    notes = Q.classified(spark, sf_dir).select("note_id", "topics", F.array("title", "section").alias("keywords"))
+    return Cs.for_notes(notes, _kept(spark, sf_dir))
 
 
 def code_hit_rerank(spark, sf_dir):
-    return _note_hits(spark, sf_dir).select("note_id", "repo", "path", F.col("points").cast("long").alias("points"), F.col("place").cast("long").alias("place"))
+    return note_hits(spark, sf_dir).select("note_id", "repo", "path", F.col("points").cast("long").alias("points"), F.col("place").cast("long").alias("place"))
+
+
+def _registry(spark, sf_dir):
+    """Files that notes and topics use."""
+    found = note_hits(spark, sf_dir).join(Q.classified(spark, sf_dir).select("note_id", "kind", "topics"), "note_id")
+    return Cs.registry(found, _kept(spark, sf_dir))
 
 
 def code_reference_registry(spark, sf_dir):
-    return Cs.registry(_note_hits(spark, sf_dir)).select("repo", "path", F.col("line_number").cast("long").alias("line_number"), "sample", "n_support", "n_wiki", "n_topic")
+    rows = _registry(spark, sf_dir)
+    return rows.select("repo", "path", F.col("line_number").cast("long").alias("line_number"), "sample", "n_support", "n_wiki", "n_topic", *(F.array_join(c, ",").alias(c) for c in ("support", "wiki", "topics")))
 
 
 def code_refs_per_repo(spark, sf_dir):
-    return L.counts(Cs.registry(_note_hits(spark, sf_dir)), "repo")
+    return L.counts(_registry(spark, sf_dir), "repo")
+
+
+def code_analysis(spark, sf_dir):
+    """What there is to say of each file, with the sample line of the files that topics keep."""
+    samples = _kept(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("sample", F.struct("topic", "place")).alias("sample"))  # KEPT files a topic at most
+    files = _files(spark, sf_dir).join(F.broadcast(samples), ["repo", "path"], "left")
+    told = files.select("file_id", C.analysis(F.col("body"), F.col("path"), F.col("sample"), STALE_HOSTS).alias("a")).select("file_id", "a.*")
+    lists = ("classes", "functions", "types", "comments", "implementation", "intentions", "risks", "conflicts")
+    return told.select("file_id", "language", "artifact_kind", *(F.array_join(c, "|").alias(c) for c in lists))
+
+
+def _conflicts(spark, sf_dir):
+    rows = Q.classified(spark, sf_dir).select("note_id", "body", To.repos_of(F.col("topics"), PROFILE).alias("repos"))
+    return N.with_conflicts(rows, *Q.link_records(spark, sf_dir), note_hits(spark, sf_dir))
+
+
+def note_conflicts(spark, sf_dir):
+    """Conflicts of each note, from the inventory of its links and the code found for it."""
+    return _conflicts(spark, sf_dir).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
+def conflict_counts(spark, sf_dir):
+    return L.counts(_conflicts(spark, sf_dir).select(F.explode("conflicts").alias("kind")), "kind")
 
 
 def representative_files(spark, sf_dir):
@@ -101,7 +129,7 @@ def file_owner(spark, sf_dir):
     return Cs.owner(_files(spark, sf_dir).select("file_id", "path"), roots).groupBy("repo").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, representative_files, file_owner)}
+QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, representative_files, file_owner)}
 
 _NAME = "list_last(string_split(path, '/'))"
 _SUFFIX = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1))"
@@ -109,7 +137,7 @@ _LANG = "CASE " + " ".join(f"WHEN {_SUFFIX} = '{k}' THEN '{v}'" for k, v in C.LA
 _LANGUAGE = f"CASE WHEN {_NAME} = 'Dockerfile' THEN 'Dockerfile' WHEN {_NAME} IN ('Gemfile', 'Podfile', 'Fastfile', 'Rakefile') THEN 'Ruby DSL' ELSE {_LANG} END"
 _CODE = f"({_NAME} IN ('Dockerfile', 'Gemfile', 'Podfile', 'Fastfile', 'Rakefile') OR {_SUFFIX} IN ({', '.join(S.q(k) for k in C.LANGUAGES)}))"
 _IGNORED = "list_has_any(string_split(path, '/'), ['.git', 'node_modules', 'Pods', 'vendor', 'dist', 'build', '__pycache__'])"
-_B = "left(body, 32000)"
+_B = "body"
 _P = "lower(path)"
 
 
@@ -140,30 +168,97 @@ def _symbols(kind: str) -> str:
 _RISKS = {n: f"regexp_matches({_B}, {S.q(p)})" for n, p in C.RISKS.items()}
 _RISKS = dict([*list(_RISKS.items())[:3], ("legacy-path", f"contains({_P}, 'gitlab')"), *list(_RISKS.items())[3:]])
 _SIGNALS = {n: f"regexp_matches({_B}, {S.q(p)})" + (f" OR {_SUFFIX} = '.sql'" if n == "sql" else "") for n, p in C.SIGNALS.items()}
-_FOCUS = f"array_to_string({S.unique(f'''list_transform(list_filter(string_split(path, '/'), lambda p: {S.key('p')} <> '' AND {S.key('p')} NOT IN ({', '.join(S.q(g) for g in C.GENERIC_FOLDERS)})), lambda p: lower({S.norm('''regexp_replace(translate(regexp_replace(p, '^(.+)\\.[^.]+$', '\\1'), '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')''')}))''', 5)}, ',')"
-_PATTERNS = {"loading": r"(?i)loaditem|fetch\(", "models": "(?i)class model|accounts_", "cleanup": "(?i)todo|innerhtml"}
-_HITS = f"wanted AS (SELECT repo, path, {S.lines('body')} AS l FROM files WHERE {_CODE} AND NOT {_IGNORED}), split AS (SELECT repo, path, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM wanted), matched AS (" + " UNION ALL ".join(f"SELECT '{t}' AS topic, repo, path, n, line FROM split WHERE regexp_matches(line, {S.q(p)})" for t, p in _PATTERNS.items()) + "), numbered AS (SELECT *, count(*) OVER (PARTITION BY topic, repo, path) AS c FROM matched)"
-_HITS = _HITS.replace("numbered AS (SELECT *, count(*) OVER (PARTITION BY topic, repo, path) AS c FROM matched)", f"hits AS (SELECT topic, repo, path, file_id, least(count(*), 3) AS score, min(n) AS line_number, left({S.norm('arg_min(line, n)')}, 180) AS sample FROM matched GROUP BY topic, repo, path, file_id)").replace("SELECT repo, path, ", "SELECT file_id, repo, path, ").replace(" AS topic, repo, path, n, line", " AS topic, file_id, repo, path, n, line")
-_LOW = _has("lower(concat_ws(' ', repo, path, sample))", C.LOW_SIGNAL)
+_SYSTEMS = ["salesforce", "marketo", "hubspot", "eloqua", "tango", "oauth", "sso", "captcha", "redis", "postgres", "mysql", "metabase", "looker", "docker", "kubernetes", "fastlane", "referral"]
+_GENERIC = [
+    "src", "lib", "internal", "app", "apps", "services", "service", "components", "component", "modules", "module", "shared", "common", "utils", "devops", "domain", "api", "client", "server", "web",
+    "mobile", "ios", "android", "config", "configs", "scripts", "test", "tests", "spec", "specs",
+]
+
+
+def _words(x: str) -> str:
+    spaced = f"regexp_replace(translate({x}, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+    return f"lower({S.norm(spaced)})"
+
+
+def _line(label: str, names: str, n: int) -> str:
+    return f"CASE WHEN len({names}) > 0 THEN concat('{label}: ', array_to_string({names}[1:{n}], ', ')) END"
+
+
+def _list(items: list[str]) -> str:
+    return f"list_filter([{', '.join(items)}], lambda v: v IS NOT NULL)"
+
+
+_NO_SUFFIX = r"regexp_replace(p, '^(.+)\.[^.]+$', '\1')"
+_FOCUS_LIST = S.unique(f"list_transform(list_filter(string_split(path, '/'), lambda p: {S.key('p')} <> '' AND {S.key('p')} NOT IN ({', '.join(map(S.q, _GENERIC))})), lambda p: {_words(_NO_SUFFIX)})", 5)
+_SYSTEM_LIST = _list([f"CASE WHEN contains(lower(concat(path, chr(10), body)), '{x}') THEN '{x.title()}' END" for x in _SYSTEMS]) + "[1:6]"
+_FOCUS = f"array_to_string({_FOCUS_LIST}, ',')"
+# the files derived here start with line comments only, so the SQL needs no state of block comments
+_SAID = S.norm("CASE WHEN starts_with(v, '//') OR starts_with(v, '--') THEN substr(v, 3) ELSE substr(v, 2) END")
+_COMMENTS = rf"""l AS (SELECT file_id, list_transform({S.lines('body')}[1:80], lambda v: regexp_replace(v, '^\s+|\s+$', '', 'g')) AS l FROM files),
+c AS (SELECT file_id, l[1:coalesce(list_position(list_transform(l, lambda v: regexp_matches(v, '^(//|#|--|;)')), false), 81) - 1] AS c FROM l),
+t AS (SELECT file_id, list_filter(list_transform(c, lambda v: {_SAID}), lambda v: v <> '')[1:4] AS t FROM c)"""
+_PATTERNS = {
+    "delivery": ("ion|loaditem", ["src1", "src2"]), "billing": ("eau|ent|accounts_", ["src0", "src3", "src4"]), "access": ("password|sch|innerhtml", ["src5"]),
+    "search": ("ción|ado|class model", ["src6", "src7"]), "legacy": ("gitlab|old pages", ["src99"]),
+}
+_MATCHED = " UNION ALL ".join(f"SELECT '{t}' AS topic, file_id, repo, path, n, line FROM split WHERE repo IN ({', '.join(map(S.q, repos))}) AND regexp_matches(line, '(?i){p}')" for t, (p, repos) in _PATTERNS.items())
+_HITS = f"""wanted AS (SELECT file_id, repo, path, {S.lines('body')} AS l FROM files WHERE {_CODE} AND NOT {_IGNORED}),
+split AS (SELECT file_id, repo, path, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM wanted), matched AS ({_MATCHED}),
+hits AS (SELECT topic, repo, path, file_id, least(count(*), 3) AS score, min(n) AS line_number, left({S.norm('arg_min(line, n)')}, 180) AS sample FROM matched GROUP BY topic, repo, path, file_id)"""
+_LOW = _has("lower(concat_ws(' ', repo, path, sample))", [".gitlab-ci", "package-lock.json", "yarn.lock", "pnpm-lock", "jquery", "bootstrap", "react-16", "test-data", "fake-cards", "graphiql/rails"])
 _RANKED = f"{_HITS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, repo, path, line_number, sample) AS rank FROM hits)"
-_KEPT = f"{_RANKED}, once AS (SELECT *, {_LOW} AS low, row_number() OVER (PARTITION BY topic, repo, path ORDER BY {_LOW}, rank) AS nth FROM ranked WHERE rank <= 60), kept AS (SELECT * EXCLUDE (place) , place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY low, rank) AS place FROM once WHERE nth = 1) WHERE place <= 24)"
-_PICKED = f"{_KEPT}, asked AS (SELECT note_id, kind, list_concat({S.tokens('title')}, {S.tokens('section')}) AS words, unnest(CASE WHEN note_id % 3 = 0 THEN ['loading', 'models'] ELSE ['cleanup', 'loading'] END) AS topic, unnest([0, 1]) AS topic_no FROM notes), both_ AS (SELECT a.note_id, a.kind, a.words, k.*, row_number() OVER (PARTITION BY a.note_id, k.repo, k.path ORDER BY a.topic_no, k.place) AS nth2 FROM asked a JOIN kept k ON k.topic = a.topic), pts AS (SELECT *, score + len(list_intersect(words, {S.tokens('''concat_ws(' ', path, sample, repo)''')})) - CASE WHEN low THEN 4 ELSE 0 END AS points FROM both_ WHERE nth2 = 1), picked AS (SELECT note_id, kind, repo, path, line_number, sample, points, row_number() OVER (PARTITION BY note_id ORDER BY low, points DESC, path, repo) AS pos FROM pts)"
-_REGISTRY = f"{_PICKED}, reg AS (SELECT repo, path, arg_min(line_number, o) AS line_number, arg_min(sample, o) AS sample, count(*) FILTER (WHERE kind = 'support') AS n_support, count(*) FILTER (WHERE kind = 'wiki') AS n_wiki, 0::BIGINT AS n_topic FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN kind = 'support' THEN 0 ELSE 1 END, note_id, pos) AS o FROM picked WHERE pos <= 8) GROUP BY repo, path)"
+_KEPT = f"""{_RANKED}, once AS (SELECT *, {_LOW} AS low, row_number() OVER (PARTITION BY topic, repo, path ORDER BY {_LOW}, rank) AS nth FROM ranked WHERE rank <= 60),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY low, rank) AS place FROM once WHERE nth = 1) WHERE place <= 24)"""
+_FILE_TOKENS = S.tokens("concat_ws(' ', path, sample, repo)")
+_PICKED = f"""{_KEPT}, {Q.TOP},
+asked AS (SELECT note_id, n.kind, list_concat({S.tokens('title')}, {S.tokens('section')}) AS words, t.topic, t.place AS topic_no FROM top t JOIN notes n USING (note_id)),
+both_ AS (SELECT a.note_id, a.kind, a.words, k.*, row_number() OVER (PARTITION BY a.note_id, k.repo, k.path ORDER BY a.topic_no, k.place) AS nth2 FROM asked a JOIN kept k ON k.topic = a.topic),
+pts AS (SELECT *, score + len(list_intersect(words, {_FILE_TOKENS})) - CASE WHEN low THEN 4 ELSE 0 END AS points FROM both_ WHERE nth2 = 1),
+picked AS (SELECT * FROM (SELECT note_id, kind, repo, path, line_number, sample, points, row_number() OVER (PARTITION BY note_id ORDER BY low, points DESC, path, repo) AS pos FROM pts) WHERE pos <= 8)"""
+_REGISTRY = f"""{_PICKED},
+users AS (SELECT repo, path, line_number, sample, CASE kind WHEN 'support' THEN 0 ELSE 1 END AS k, note_id AS who, NULL AS topic, pos FROM picked UNION ALL SELECT repo, path, line_number, sample, 2, NULL, topic, place FROM kept),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY k, who, topic, pos) AS o FROM users) WHERE o = 1),
+of_topics AS (SELECT DISTINCT repo, path, topic FROM (SELECT repo, path, topic FROM kept UNION ALL SELECT p.repo, p.path, t.topic FROM picked p JOIN top t USING (note_id))),
+by_notes AS (SELECT repo, path, list(DISTINCT who ORDER BY who) FILTER (WHERE k = 0) AS s, list(DISTINCT who ORDER BY who) FILTER (WHERE k = 1) AS w FROM users GROUP BY repo, path),
+by_topics AS (SELECT repo, path, list(topic ORDER BY topic) AS t FROM of_topics GROUP BY repo, path),
+reg AS (SELECT f.repo, f.path, f.line_number, f.sample, coalesce(len(s), 0) AS n_support, coalesce(len(w), 0) AS n_wiki, len(t) AS n_topic,
+  coalesce(array_to_string(s[1:60], ','), '') AS support, coalesce(array_to_string(w[1:60], ','), '') AS wiki, array_to_string(t[1:40], ',') AS topics FROM first f JOIN by_notes USING (repo, path) JOIN by_topics USING (repo, path))"""
+_KINDS = _list(["CASE WHEN n_stale > 0 THEN 'documentation-drift' END", "CASE WHEN n_shut > 0 THEN 'restricted-source' END", "CASE WHEN r.note_id IS NOT NULL AND n_hits IS NULL THEN 'code-traceability-gap' END", "CASE WHEN contains(lower(body), 'gitlab') AND coalesce(n_stale, 0) = 0 THEN 'documentation-drift' END"])
+_CONFLICT = f"""{_PICKED}, {Q.REPOS}, {Q.RECORDS},
+per AS (SELECT note_id, count(*) AS n_links, count(*) FILTER (WHERE status = 'stale-doc-reference') AS n_stale, count(*) FILTER (WHERE status IN ('blocked', 'needs-google-drive')) AS n_shut FROM said JOIN rec USING (url) GROUP BY note_id),
+found AS (SELECT note_id, count(*) AS n_hits FROM picked GROUP BY note_id), roots AS (SELECT DISTINCT note_id FROM top JOIN repos USING (topic)),
+con AS (SELECT n.note_id, coalesce(n_links, 0) AS n_links, coalesce(n_stale, 0) AS n_stale, coalesce(n_hits, 0) AS n_hits, {_KINDS} AS kinds
+  FROM notes n LEFT JOIN per ON per.note_id = n.note_id LEFT JOIN found ON found.note_id = n.note_id LEFT JOIN roots r ON r.note_id = n.note_id)"""
+_RISK_LIST, _SHOWN = _fired(_RISKS), _fired(_SIGNALS)
+_CONFLICT_LIST = _fired({"legacy-path": f"contains({_P}, 'gitlab')", "stale-host": f"contains(lower({_B}), 'wiki.legacy.test.org')", "lockfile": f"({_KIND}) = 'Dependency lockfile'"})
+_SYMBOL_LISTS = {k: S.unique("list_concat(" + ", ".join(f"regexp_extract_all(body, {S.q(p)}, 1)" for p in patterns) + ")", limit) for k, (limit, patterns) in C.SYMBOLS.items()}
+_MADE = f"list_filter(list_concat([concat('kind: ', kind), {_line('classes', 'classes', 5)}, {_line('functions', 'functions', 6)}, {_line('types', 'types', 5)}], list_transform(shown, lambda v: concat('shows: ', v)), [{_line('systems', 'systems', 6)}]), lambda v: v IS NOT NULL)[1:10]"
+_NAMES = S.unique(f"list_transform(list_concat(classes, functions, types), lambda v: {_words('v')})", 5)
+_MEANT = f"list_filter(list_concat(t[1:2], [{_line('path', 'focus', 5)}, {_line('symbols', 'named', 5)}, CASE WHEN coalesce(sample, '') <> '' THEN concat('matches: ', left({S.norm('sample')}, 180)) END]), lambda v: v IS NOT NULL)"
+_TOLD = S.unique("CASE WHEN len(meant) > 0 THEN meant ELSE [concat('found by search: ', lower(kind))] END", 6)
+_ANALYSIS = f"""WITH {_COMMENTS}, {_KEPT}, samples AS (SELECT repo AS r, path AS of_path, arg_min(sample, (topic, place)) AS sample FROM kept GROUP BY repo, path),
+whole AS (SELECT files.*, {S.unique('t', 4)} AS t, sample FROM files JOIN t USING (file_id) LEFT JOIN samples ON r = repo AND of_path = path),
+each AS (SELECT *, {_LANGUAGE} AS language, {_KIND} AS kind, {', '.join(f'{x} AS {k}' for k, x in _SYMBOL_LISTS.items())}, string_split(nullif({_SHOWN}, ''), ',') AS shown, {_SYSTEM_LIST} AS systems, {_FOCUS_LIST} AS focus, {_RISK_LIST} AS risks, {_CONFLICT_LIST} AS conflicts FROM whole),
+named AS (SELECT *, {_NAMES} AS named FROM each), meant AS (SELECT *, {_MEANT} AS meant FROM named)
+SELECT file_id, language, kind AS artifact_kind, {', '.join(f"array_to_string({k}, '|') AS {k}" for k in _SYMBOL_LISTS)}, array_to_string(t, '|') AS comments, array_to_string({_MADE}, '|') AS implementation,
+  array_to_string({_TOLD}, '|') AS intentions, replace(risks, ',', '|') AS risks, replace(conflicts, ',', '|') AS conflicts FROM meant"""
 
 ORACLE_SQL = {
     "language_classify": with_views(f"SELECT {_LANGUAGE} AS language, count(*) AS n FROM files GROUP BY 1", "files"),
     "artifact_kind": with_views(f"SELECT file_id, {_KIND} AS kind, {_CODE} AS is_code, {_IGNORED} AS is_ignored FROM files", "files"),
     "code_symbols": with_views(f"SELECT file_id, {', '.join(f'{_symbols(k)} AS {k}' for k in C.SYMBOLS)} FROM files", "files"),
-    # the files derived here start with line comments only, so the SQL needs no state of block comments
-    "code_comments": with_views(f"WITH l AS (SELECT file_id, list_transform({S.lines(_B)}[1:80], lambda v: trim(v)) AS l FROM files), c AS (SELECT file_id, l[1:coalesce(list_position(list_transform(l, lambda v: regexp_matches(v, '^(//|#|--|;)')), false), 81) - 1] AS c FROM l), t AS (SELECT file_id, list_filter(list_transform(c, lambda v: {S.norm("CASE WHEN starts_with(v, '//') OR starts_with(v, '--') THEN substr(v, 3) ELSE substr(v, 2) END")}), lambda v: v <> '')[1:4] AS t FROM c) SELECT file_id, array_to_string({S.unique('t', 4)}, '|') AS comments FROM t", "files"),
-    "code_risks": with_views(f"SELECT file_id, {_fired(_RISKS)} AS risks, {_fired({'legacy-path': f'''contains({_P}, 'gitlab')''', 'stale-host': f'''contains(lower({_B}), 'wiki.legacy.test.org')''', 'lockfile': f'''({_KIND}) = 'Dependency lockfile' '''})} AS conflicts FROM files", "files"),
-    "implementation_signals": with_views(f"SELECT file_id, {_fired(_SIGNALS)} AS signals, array_to_string(list_filter([{', '.join(S.q(s) for s in C.SYSTEMS)}], lambda s: contains(lower(concat(path, chr(10), {_B})), s))[1:6], ',') AS systems, {_FOCUS} AS focus FROM files", "files"),
+    "code_comments": with_views(f"WITH {_COMMENTS} SELECT file_id, array_to_string({S.unique('t', 4)}, '|') AS comments FROM t", "files"),
+    "code_risks": with_views(f"SELECT file_id, {_RISK_LIST} AS risks, {_CONFLICT_LIST} AS conflicts FROM files", "files"),
+    "implementation_signals": with_views(f"SELECT file_id, {_SHOWN} AS signals, array_to_string({_SYSTEM_LIST}, ',') AS systems, {_FOCUS} AS focus FROM files", "files"),
+    "code_analysis": with_views(_ANALYSIS, "files"),
+    "note_conflicts": with_views(f"WITH {_CONFLICT} SELECT note_id, n_links, n_stale, n_hits, array_to_string(kinds, ',') AS conflicts FROM con", "files", "notes", "known", "note_pages"),
+    "conflict_counts": with_views(f"WITH {_CONFLICT} SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM con) GROUP BY kind", "files", "notes", "known", "note_pages"),
     "identifier_words": with_views(f"SELECT file_id, lower({S.norm('''regexp_replace(translate(path, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')''')}) AS words FROM files", "files"),
     "code_search": with_views(f"WITH {_HITS} SELECT topic, repo, path, score, line_number, sample FROM hits", "files"),
     "code_hit_top_files": with_views(f"WITH {_RANKED} SELECT topic, repo, path, score, rank FROM ranked WHERE rank <= 40", "files"),
     "code_hit_prune": with_views(f"WITH {_KEPT} SELECT topic, repo, path, place FROM kept", "files"),
-    "code_hit_rerank": with_views(f"WITH {_PICKED} SELECT note_id, repo, path, points, pos AS place FROM picked WHERE pos <= 8", "files", "notes"),
-    "code_reference_registry": with_views(f"WITH {_REGISTRY} SELECT repo, path, line_number, sample, n_support, n_wiki, n_topic FROM reg", "files", "notes"),
+    "code_hit_rerank": with_views(f"WITH {_PICKED} SELECT note_id, repo, path, points, pos AS place FROM picked", "files", "notes"),
+    "code_reference_registry": with_views(f"WITH {_REGISTRY} SELECT * FROM reg", "files", "notes"),
     "code_refs_per_repo": with_views(f"WITH {_REGISTRY} SELECT repo, count(*) AS n FROM reg GROUP BY repo", "files", "notes"),
     "representative_files": with_views(f"SELECT repo, path, place FROM (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN path = 'Dockerfile' THEN 3 ELSE 10 END, path) AS place FROM (SELECT DISTINCT repo, path FROM files) WHERE len(string_split(path, '/')) <= 4 AND {_CODE} AND NOT {_IGNORED}) WHERE place <= 14", "files"),
     "file_owner": with_views("SELECT CASE WHEN starts_with(path, 'src/components/') THEN 'web' WHEN starts_with(path, 'services/') THEN 'api' WHEN starts_with(path, 'legacy/') THEN 'legacy' WHEN starts_with(path, 'lib/') THEN 'all' END AS repo, count(*) AS n_files FROM files GROUP BY 1", "files"),

@@ -13,16 +13,12 @@ from ..operators import graph as G
 from ..operators import links as L
 from ..operators import notes as N
 from ..operators import topics as To
+from . import manifest as M
 from . import sqltext as S
+from .profile import PROFILE
 from .views import derive, with_views
 
-PROFILE = [
-    To.Topic("delivery", "Delivery", ("the", "ion", "setup"), ("src1", "src2")),
-    To.Topic("billing", "Billing", ("eau", "ent", "token"), ("src0", "src3", "src4")),
-    To.Topic("access", "Access", ("password", "sch", "guide to"), ("src5",)),
-    To.Topic("search", "Search", ("ción", "ado", "article"), ("src6", "src7")),
-    To.Topic("platform", "Platform", ("ci", "api", "zz"), ()),
-]
+STALE_HOSTS = ["wiki.legacy.test.org"]
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +67,8 @@ def unique_lines_dedup(spark, sf_dir):
 
 
 def extract_signals(spark, sf_dir):
-    body = F.col("body")
-    return _notes(spark, sf_dir).select(
-        "note_id", _joined(Li.headings(body)).alias("headings"), _joined(Li.bullets(body)).alias("bullets"), F.md5(_joined(Li.paragraphs(body))).alias("paragraphs_md5"),
-        _joined(Li.urls(body)).alias("urls"), _joined(Li.article_refs(body)).alias("article_refs"),
-    )
+    found = _notes(spark, sf_dir).select("note_id", Li.signals(F.col("body")).alias("s")).select("note_id", "s.*")
+    return found.select("note_id", *(_joined(F.col(c)).alias(c) for c in ("headings", "bullets")), F.md5(_joined(F.col("paragraphs"))).alias("paragraphs_md5"), *(_joined(F.col(c)).alias(c) for c in ("urls", "article_refs")))
 
 
 def wiki_targets(spark, sf_dir):
@@ -105,7 +98,7 @@ def redact_people(spark, sf_dir):
     return done.select("note_id", F.md5("text").alias("text_md5"))
 
 
-def _classified(spark, sf_dir):
+def classified(spark, sf_dir):
     return To.classify(_notes(spark, sf_dir), PROFILE)
 
 
@@ -115,31 +108,64 @@ def capability_scores(spark, sf_dir):
 
 
 def capability_top3(spark, sf_dir):
-    return _classified(spark, sf_dir).select("note_id", F.posexplode("topics").alias("at", "topic")).select("note_id", "topic", (F.col("at") + 1).cast("long").alias("place"))
+    return classified(spark, sf_dir).select("note_id", F.posexplode("topics").alias("at", "topic")).select("note_id", "topic", (F.col("at") + 1).cast("long").alias("place"))
 
 
 def capability_rollup_counts(spark, sf_dir):
-    return To.rollup(_classified(spark, sf_dir))
+    return To.rollup(classified(spark, sf_dir))
 
 
 def note_repos(spark, sf_dir):
-    return _classified(spark, sf_dir).select("note_id", _joined(To.repos_of(F.col("topics"), PROFILE), ",").alias("repos"))
+    return classified(spark, sf_dir).select("note_id", _joined(To.repos_of(F.col("topics"), PROFILE), ",").alias("repos"))
 
 
 def repo_topics(spark, sf_dir):
     """Repositories by the notes whose topics name them."""
-    each = _classified(spark, sf_dir).select("note_id", F.explode(To.repos_of(F.col("topics"), PROFILE)).alias("repo"))
+    each = classified(spark, sf_dir).select("note_id", F.explode(To.repos_of(F.col("topics"), PROFILE)).alias("repo"))
     return each.groupBy("repo").agg(F.count("*").alias("n_notes"))
 
 
+def _refs(rows: DataFrame) -> DataFrame:
+    """note_id, refs: the support notes that support notes mention as articles, in order of the mentions."""
+    support = rows.where("kind = 'support'")
+    said = support.select("note_id", F.posexplode(F.slice(Li.article_refs(F.col("body")), 1, 20)).alias("at", "article_id"))
+    known = support.select((F.col("note_id") + 1000).cast("string").alias("article_id"), F.col("note_id").alias("other_id"))
+    return said.join(known, "article_id").groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("at", "other_id")))["other_id"].alias("refs"))
+
+
 def related_notes(spark, sf_dir):
-    return To.related(_classified(spark, sf_dir)).select("note_id", "topic", "other_id", F.col("place").cast("long").alias("place"))
+    rows = classified(spark, sf_dir)
+    found = To.related(rows.select("note_id", "kind", "topics"), _refs(_notes(spark, sf_dir)))
+    return found.select("note_id", "kind", _joined(F.col("related_support"), ",").alias("related_support"), _joined(F.col("related_wiki"), ",").alias("related_wiki"))
+
+
+def capability_rollup(spark, sf_dir):
+    """The notes of each topic by kind: how many, and the first stems."""
+    rows = classified(spark, sf_dir).withColumn("stem", T.display_title(F.col("title")))
+    return To.rollup_lists(rows).select("topic", "kind", "n_notes", F.col("more").cast("long").alias("more"), F.md5(_joined(F.col("first"))).alias("first_md5"))
+
+
+def link_records(spark, sf_dir):
+    """(note_id, url) of all notes, and the inventory of these URLs."""
+    each = _notes(spark, sf_dir).select("note_id", F.explode(Li.urls(F.col("body"))).alias("url"))
+    links = each.withColumn("url", U.clean_url(F.col("url"))).where("url IS NOT NULL")
+    listed = links.select("url", F.col("note_id").cast("string").alias("ref"))
+    return links, L.inventory(listed, derive(spark, sf_dir, "known"), derive(spark, sf_dir, "note_pages"), STALE_HOSTS)
+
+
+def capability_links(spark, sf_dir):
+    """Links of the notes of each topic by what became of them."""
+    _, records = link_records(spark, sf_dir)
+    rows = classified(spark, sf_dir)
+    cleaned = F.array_distinct(F.array_compact(F.transform(Li.urls(F.col("body")), U.clean_url)))
+    return To.topic_links(rows.select("note_id", "topics", cleaned.alias("urls")), records)
 
 
 def search_keywords(spark, sf_dir):
-    body = F.col("body")
-    words = Li.search_keywords(F.col("title"), Li.headings(body), Li.bullets(body), Li.paragraphs(body), F.array(F.lit("Delivery"), F.lit("api")))
-    return _notes(spark, sf_dir).select("note_id", F.md5(_joined(words)).alias("keywords_md5"), F.size(words).cast("long").alias("n_keywords"))
+    found = _notes(spark, sf_dir).select("note_id", "title", Li.signals(F.col("body")).alias("s"))
+    words = Li.search_keywords(F.col("title"), F.col("s.headings"), F.col("s.bullets"), F.col("s.paragraphs"), F.array(F.lit("Delivery"), F.lit("api")))
+    kept = found.select("note_id", words.alias("words"))
+    return kept.select("note_id", F.md5(_joined(F.col("words"))).alias("keywords_md5"), F.size("words").cast("long").alias("n_keywords"))
 
 
 def note_stems(spark, sf_dir):
@@ -151,35 +177,16 @@ def note_stems(spark, sf_dir):
 
 
 def wikified(spark, sf_dir):
+    """Links to articles and pages as wikilinks: support notes are articles, by number, and wiki notes are pages, by path."""
     rows = _notes(spark, sf_dir)
-    articles = rows.where("note_id % 2 = 0 AND note_id < 300").select((F.col("note_id") + 1000).cast("string").alias("article_id"), F.concat(F.lit("Support - "), F.col("note_id") + 1000).alias("stem"))
-    pages = rows.where("note_id % 7 = 0").select("path", F.concat(F.lit("Wiki - "), "note_id").alias("stem"))
+    articles = rows.where("kind = 'support'").select((F.col("note_id") + 1000).cast("string").alias("article_id"), F.concat(F.lit("Support - "), F.col("note_id") + 1000).alias("stem"))
+    pages = rows.where("kind = 'wiki'").select("path", F.concat(F.lit("Wiki - "), "note_id").alias("stem"))
     return N.wikified(rows, articles, pages).select("note_id", F.md5("body").alias("body_md5"))
 
 
-def note_links(spark, sf_dir):
-    """Links of each note by status before any fetch, and the note's conflicts."""
-    rows = _notes(spark, sf_dir)
-    each = rows.select("note_id", F.explode(Li.urls(F.col("body"))).alias("url"))
-    status = U.special_status(F.col("url"), ["wiki.legacy.test.org"])
-    per = each.groupBy("note_id").agg(F.count_if(status == "stale-doc-reference").alias("n_stale"), F.count("*").alias("n_links"))
-    zero = F.lit(0).cast("long")
-    joined = rows.join(per, "note_id", "left").withColumns({"n_stale": F.coalesce("n_stale", zero), "n_links": F.coalesce("n_links", zero)})
-    kinds = N.conflicts(F.col("body"), F.col("n_stale"), F.col("note_id") % 5 - 3, zero, F.col("note_id") % 2, F.col("note_id") % 3)
-    return joined.select("note_id", "n_stale", "n_links", kinds.alias("conflicts"))
-
-
-def note_conflicts(spark, sf_dir):
-    return note_links(spark, sf_dir).select("note_id", "n_stale", "n_links", _joined(F.col("conflicts"), ",").alias("conflicts"))
-
-
-def conflict_counts(spark, sf_dir):
-    return L.counts(note_links(spark, sf_dir).select(F.explode("conflicts").alias("kind")), "kind")
-
-
 def _graph(spark, sf_dir):
     rows = derive(spark, sf_dir, "graph_notes")
-    known = G.nodes(rows).dropDuplicates(["path"])
+    known = G.nodes(rows).select("path", "rel", "stem").distinct()
     return rows, known, G.resolve(G.edges(rows), known)
 
 
@@ -227,19 +234,28 @@ def recent_decisions_view(spark, sf_dir):
     return G.view(G.nodes(derive(spark, sf_dir, "graph_notes")), "decision")
 
 
+def saved_views(spark, sf_dir):
+    return G.saved_views(G.nodes(derive(spark, sf_dir, "graph_notes"))).withColumn("shown", _joined(F.col("shown")))
+
+
+def notes_below(spark, sf_dir):
+    """Notes in one folder, by type."""
+    return L.counts(G.below(G.nodes(derive(spark, sf_dir, "graph_notes")), "src1"), "type")
+
+
 def readiness_counts(spark, sf_dir):
-    """Statuses of notes by section as done, partial or missing: active, proposed, anything else."""
-    known = G.nodes(derive(spark, sf_dir, "graph_notes"))
-    status, area = (F.coalesce(F.try_element_at("fields", F.lit(c)), F.lit("")) for c in ("status", "area"))
-    rows = known.select(area.alias("area"), status.alias("status"))
-    return rows.groupBy("area").agg(F.count_if(F.col("status") == "active").alias("done"), F.count_if(F.col("status") == "proposed").alias("partial"), F.count_if(~F.col("status").isin("active", "proposed")).alias("missing"))
+    """Readiness of areas, by the statuses of their notes: active is done, proposed is partial, anything else is missing."""
+    status = G.field("status")
+    said = F.when(status == "active", "done").when(status == "proposed", "partial")
+    known = G.nodes(derive(spark, sf_dir, "graph_notes")).select(G.field("area").alias("area"), said.alias("status"))
+    return M.readiness(known, "area")
 
 
 QUERIES = {f.__name__: f for f in (
     title_from_text, display_titles, dedupe_key_groups, token_set_size, token_overlap, imported_markdown, unique_lines_dedup, extract_signals, wiki_targets, section_index, redact_pii,
     redact_documents, person_names, redact_people, capability_scores, capability_top3, capability_rollup_counts, note_repos, repo_topics, related_notes, search_keywords, note_stems, wikified,
-    note_conflicts, conflict_counts, graph_links, graph_degrees, graph_orphans, graph_missing_links, duplicate_stems, missing_fields, note_types, open_problems_view, active_bets_view,
-    recent_decisions_view, readiness_counts,
+    graph_links, graph_degrees, graph_orphans, graph_missing_links, duplicate_stems, missing_fields, note_types, open_problems_view, active_bets_view,
+    recent_decisions_view, readiness_counts, capability_rollup, capability_links, saved_views, notes_below,
 )}
 
 _H = r"(?m)^[ \t]{0,3}#{1,6}[ \t]+([^\n]*[^\s])[ \t]*$"
@@ -264,18 +280,32 @@ def _score(topic: To.Topic) -> str:
     return f"SELECT note_id, kind, '{topic.key}' AS topic, {' + '.join(parts)} AS score FROM notes"
 
 
-_SCORED = "scored AS (SELECT * FROM (" + " UNION ALL ".join(_score(t) for t in PROFILE) + ") WHERE score > 0)"
-_TOP = f"{_SCORED}, best AS (SELECT note_id, kind, topic, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, topic) AS place FROM scored), top AS (SELECT * FROM best WHERE place <= 3 UNION ALL SELECT note_id, kind, 'platform-core', 1 FROM notes WHERE note_id NOT IN (SELECT note_id FROM scored))"
-_REPOS = "repos AS (SELECT * FROM (VALUES " + ", ".join(f"('{t.key}', '{r}', {i})" for t in PROFILE for i, r in enumerate(t.repos)) + ") v(topic, repo, ord))"
+SCORED = "scored AS (SELECT * FROM (" + " UNION ALL ".join(_score(t) for t in PROFILE) + ") WHERE score > 0)"
+TOP = f"{SCORED}, best AS (SELECT note_id, kind, topic, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, topic) AS place FROM scored), top AS (SELECT * FROM best WHERE place <= 3 UNION ALL SELECT note_id, kind, 'platform-core', 1 FROM notes WHERE note_id NOT IN (SELECT note_id FROM scored))"
+REPOS = "repos AS (SELECT * FROM (VALUES " + ", ".join(f"('{t.key}', '{r}', {i})" for t in PROFILE for i, r in enumerate(t.repos)) + ") v(topic, repo, ord))"
+def _field(name: str) -> str:
+    return f"trim(regexp_extract(block, '(?m)^{name}:(.*)$', 1))"
+
+
 _NODES = r"""fm AS (SELECT path, regexp_replace(path, '\.md$', '') AS rel, regexp_extract(body, '^---\n((?s).*?)\n---\n?', 1) AS block FROM graph_notes),
-nodes AS (SELECT path, rel, list_last(string_split(rel, '/')) AS stem, trim(regexp_extract(block, '(?m)^type:(.*)$', 1)) AS type, trim(regexp_extract(block, '(?m)^status:(.*)$', 1)) AS status, trim(regexp_extract(block, '(?m)^area:(.*)$', 1)) AS area, trim(regexp_extract(block, '(?m)^title:(.*)$', 1)) AS title FROM fm),
+nodes AS (SELECT path, rel, list_last(string_split(rel, '/')) AS stem, trim(regexp_extract(block, '(?m)^type:(.*)$', 1)) AS type, trim(regexp_extract(block, '(?m)^status:(.*)$', 1)) AS status, trim(regexp_extract(block, '(?m)^area:(.*)$', 1)) AS area, trim(regexp_extract(block, '(?m)^title:(.*)$', 1)) AS title, block FROM fm),
 single AS (SELECT DISTINCT path, rel, stem FROM nodes),
 raw AS (SELECT path AS src, regexp_replace(rtrim(trim(unnest(regexp_extract_all(body, '\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]', 1))), '/'), '\.md$', '') AS target FROM graph_notes),
 stems AS (SELECT stem, min(path) AS at FROM single GROUP BY stem HAVING count(*) = 1),
 edges AS (SELECT r.src, r.target, coalesce(p.path, s.at) AS dst FROM raw r LEFT JOIN single p ON p.rel = r.target LEFT JOIN stems s ON s.stem = r.target)"""
 _DEGREES = f"{_NODES}, degrees AS (SELECT n.path, coalesce(i.n, 0) AS n_in, coalesce(o.n, 0) AS n_out FROM single n LEFT JOIN (SELECT dst, count(*) AS n FROM edges WHERE dst IS NOT NULL GROUP BY dst) i ON i.dst = n.path LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = n.path)"
-_CONFLICT = f"urls AS (SELECT note_id, unnest({_URLS}) AS url FROM notes), per AS (SELECT note_id, count(*) FILTER (WHERE {S.special('url')} = 'stale-doc-reference') AS n_stale, count(*) AS n_links FROM urls GROUP BY note_id), con AS (SELECT n.note_id, coalesce(n_stale, 0) AS n_stale, coalesce(n_links, 0) AS n_links, list_filter([CASE WHEN coalesce(n_stale, 0) > 0 THEN 'documentation-drift' END, CASE WHEN n.note_id % 5 - 3 > 0 THEN 'restricted-source' END, CASE WHEN n.note_id % 2 > 0 AND n.note_id % 3 = 0 THEN 'code-traceability-gap' END, CASE WHEN contains(lower(body), 'gitlab') AND coalesce(n_stale, 0) = 0 THEN 'documentation-drift' END], lambda v: v IS NOT NULL) AS kinds FROM notes n LEFT JOIN per USING (note_id))"
-_LACKS = "list_filter([" + ", ".join(f"CASE WHEN {c} = '' THEN '{c}' END" for c in ("type", "area", "status")) + "], lambda v: v IS NOT NULL)"
+RECORDS = f"""said AS (SELECT DISTINCT note_id, url FROM (SELECT note_id, {S.clean_url('url')} AS url FROM (SELECT note_id, unnest({_URLS}) AS url FROM notes)) WHERE url IS NOT NULL),
+ours AS (SELECT DISTINCT {S.known_article('url')} AS k FROM known),
+rec AS (SELECT u.url, CASE WHEN {S.known_article('u.url')} IN (SELECT k FROM ours) THEN 'local-support-evidence' WHEN {S.special('u.url')} IN ('needs-google-drive', 'stale-doc-reference') THEN {S.special('u.url')}
+  WHEN f.url IS NULL THEN 'blocked' WHEN f.http_status IN (401, 403) THEN 'auth-gated' WHEN f.http_status >= 400 OR f.error IS NOT NULL THEN 'blocked'
+  WHEN coalesce(f.body, '') = '' THEN 'binary-or-empty' ELSE 'mirrored' END AS status FROM (SELECT DISTINCT url FROM said) u LEFT JOIN note_pages f ON f.url = u.url)"""
+
+
+def _lacking(names: tuple[str, ...]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {_field(c)} = '' THEN '{c}' END" for c in names) + "], lambda v: v IS NOT NULL)"
+
+
+_LACKS = _lacking(("type", "area", "status"))
 
 ORACLE_SQL = {
     "title_from_text": with_views(f"SELECT note_id, coalesce(nullif({S.norm('''regexp_extract(body, '(?m)^[ \\t]*#[ \\t]+([^\\n]*[^\\s])[ \\t]*$', 1)''')}, ''), left({_FIRST}, 160), path) AS page_title, {S.display_title(f'''coalesce(nullif(regexp_extract(body, '{_H}', 1), ''), {_FIRST}, path)''')} AS note_title FROM notes", "notes"),
@@ -291,27 +321,32 @@ ORACLE_SQL = {
     "redact_pii": with_views(f"SELECT note_id, md5({_REDACT.format(x='body')}) AS body_md5 FROM notes", "notes"),
     "redact_documents": f"SELECT doc_id, md5({_REDACT.format(x='text')}) AS text_md5, {_REDACT.format(x='text')} <> text AS changed FROM documents",
     "person_names": with_views(f"WITH {_NAMES} SELECT name, n FROM found", "notes"),
-    "redact_people": with_views(f"SELECT note_id, md5(regexp_replace({_REDACT.format(x='body')}, '\\bAda Lovelace\\b', '[REDACTED_PERSON]', 'g')) AS text_md5 FROM notes", "notes"),
-    "capability_scores": with_views(f"WITH {_SCORED} SELECT note_id, topic, score::BIGINT AS score FROM scored", "notes"),
-    "capability_top3": with_views(f"WITH {_TOP} SELECT note_id, topic, place::BIGINT AS place FROM top", "notes"),
-    "capability_rollup_counts": with_views(f"WITH {_TOP} SELECT topic, kind, count(*) AS n_notes FROM top GROUP BY topic, kind", "notes"),
-    "note_repos": with_views(f"WITH {_TOP}, {_REPOS} SELECT n.note_id, coalesce(array_to_string(x.r, ','), '') AS repos FROM notes n LEFT JOIN (SELECT note_id, list(repo ORDER BY place, ord) AS r FROM top JOIN repos USING (topic) GROUP BY note_id) x USING (note_id)", "notes"),
-    "repo_topics": with_views(f"WITH {_TOP}, {_REPOS} SELECT repo, count(DISTINCT note_id) AS n_notes FROM top JOIN repos USING (topic) GROUP BY repo", "notes"),
-    "related_notes": with_views(f"WITH {_TOP}, ranked AS (SELECT topic, note_id, row_number() OVER (PARTITION BY topic ORDER BY note_id) AS k FROM top), pairs AS (SELECT a.note_id, a.topic, b.note_id AS other_id, row_number() OVER (PARTITION BY a.note_id, a.topic ORDER BY b.note_id) AS place FROM top a JOIN ranked b ON b.topic = a.topic AND b.note_id <> a.note_id AND b.k <= 17) SELECT * FROM pairs WHERE place <= 16", "notes"),
+    "redact_people": with_views(f"SELECT note_id, md5(regexp_replace({_REDACT.format(x='body')}, '\\b(Grace Brewster Hopper|Alan Turing Prize|Ada Lovelace|Alan Turing)\\b', '[REDACTED_PERSON]', 'g')) AS text_md5 FROM notes", "notes"),
+    "capability_scores": with_views(f"WITH {SCORED} SELECT note_id, topic, score::BIGINT AS score FROM scored", "notes"),
+    "capability_top3": with_views(f"WITH {TOP} SELECT note_id, topic, place::BIGINT AS place FROM top", "notes"),
+    "capability_rollup_counts": with_views(f"WITH {TOP} SELECT topic, kind, count(*) AS n_notes FROM top GROUP BY topic, kind", "notes"),
+    "note_repos": with_views(f"WITH {TOP}, {REPOS} SELECT n.note_id, coalesce(array_to_string(x.r, ','), '') AS repos FROM notes n LEFT JOIN (SELECT note_id, list(repo ORDER BY place, ord) AS r FROM top JOIN repos USING (topic) GROUP BY note_id) x USING (note_id)", "notes"),
+    "repo_topics": with_views(f"WITH {TOP}, {REPOS} SELECT repo, count(DISTINCT note_id) AS n_notes FROM top JOIN repos USING (topic) GROUP BY repo", "notes"),
+    "related_notes": with_views(f"WITH {TOP}, ranked AS (SELECT topic, kind, note_id, row_number() OVER (PARTITION BY topic, kind ORDER BY note_id) AS k FROM top), mentions AS (SELECT note_id, unnest({_REFS}[1:20]) AS a, unnest(range(1, len({_REFS}[1:20]) + 1)) AS i FROM notes WHERE kind = 'support'), offers AS (SELECT n.note_id, r.kind AS other_kind, r.note_id AS other, n.place, r.k FROM top n JOIN ranked r ON r.topic = n.topic AND r.k <= 17 UNION ALL SELECT m.note_id, 'support', o.note_id, 0, m.i FROM mentions m JOIN notes o ON o.kind = 'support' AND (o.note_id + 1000)::VARCHAR = m.a), once AS (SELECT note_id, other_kind, other, min((place, k)) AS o FROM offers WHERE other <> note_id GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY note_id, other_kind ORDER BY o) AS p FROM once), lists AS (SELECT note_id, other_kind, string_agg(other::VARCHAR, ',' ORDER BY p) AS l FROM placed WHERE p <= 16 GROUP BY ALL) SELECT n.note_id, n.kind, coalesce(s.l, '') AS related_support, coalesce(w.l, '') AS related_wiki FROM notes n LEFT JOIN lists s ON s.note_id = n.note_id AND s.other_kind = 'support' LEFT JOIN lists w ON w.note_id = n.note_id AND w.other_kind = 'wiki'", "notes"),
+    "capability_rollup": with_views(f"WITH {TOP}, r AS (SELECT t.topic, t.kind, {S.display_title('title')} AS stem, row_number() OVER (PARTITION BY t.topic, t.kind ORDER BY {S.display_title('title')}, t.note_id) AS k FROM top t JOIN notes USING (note_id)) SELECT topic, kind, count(*) AS n_notes, greatest(count(*) - 25, 0) AS more, md5(string_agg(stem, '|' ORDER BY k) FILTER (WHERE k <= 25)) AS first_md5 FROM r GROUP BY topic, kind", "notes"),
+    "capability_links": with_views(f"WITH {TOP}, {RECORDS} SELECT topic, status, count(*) AS n FROM top JOIN said USING (note_id) JOIN rec USING (url) GROUP BY topic, status", "notes", "known", "note_pages"),
     "search_keywords": with_views(f"WITH s AS (SELECT note_id, title, {_HEADINGS} AS h, {_BULLETS} AS b, {_PARAS} AS p FROM notes), c AS (SELECT note_id, list_filter(list_concat([title], h[1:6], b[1:4], list_transform(p[1:2], lambda v: left(v, 80)), ['Delivery', 'api']), lambda v: length({S.norm('v')}) > 2) AS l FROM s), u AS (SELECT note_id, {S.unique('l', 16)} AS u FROM c) SELECT note_id, md5(array_to_string(u, '|')) AS keywords_md5, len(u) AS n_keywords FROM u", "notes"),
     "note_stems": with_views(f"WITH t AS (SELECT note_id, kind, path, {S.display_title('title')} AS d FROM notes), s AS (SELECT note_id, CASE WHEN kind = 'wiki' THEN 180 ELSE 120 END AS n, CASE WHEN kind = 'wiki' THEN concat('Wiki - ', split_part(path, '/', 1), ' - ', d, ' - ', left(sha1(path), 8)) ELSE concat('Support - ', note_id, ' - ', d) END AS s FROM t) SELECT note_id, coalesce(nullif(rtrim(left(trim(regexp_replace(s, '[^A-Za-z0-9 ._-]+', '', 'g')), n::INT), ' .'), ''), 'Untitled') AS stem FROM s", "notes"),
-    "wikified": with_views(f"WITH b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.note_id % 2 = 0 AND an.note_id < 300 AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.note_id % 7 = 0 AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id) SELECT c.note_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '')) AS body_md5 FROM c LEFT JOIN l USING (note_id)", "notes"),
-    "note_conflicts": with_views(f"WITH {_CONFLICT} SELECT note_id, n_stale, n_links, array_to_string(kinds, ',') AS conflicts FROM con", "notes"),
-    "conflict_counts": with_views(f"WITH {_CONFLICT} SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM con) GROUP BY kind", "notes"),
+    "wikified": with_views(f"WITH b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.kind = 'support' AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.kind = 'wiki' AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id) SELECT c.note_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '')) AS body_md5 FROM c LEFT JOIN l USING (note_id)", "notes"),
     "graph_links": with_views(f"WITH {_NODES} SELECT src, target, dst, count(*) AS n FROM edges GROUP BY src, target, dst", "graph_notes"),
     "graph_degrees": with_views(f"WITH {_DEGREES} SELECT * FROM degrees", "graph_notes"),
     "graph_orphans": with_views(f"WITH {_DEGREES} SELECT path FROM degrees WHERE n_in = 0 AND n_out = 0", "graph_notes"),
     "graph_missing_links": with_views(f"WITH {_NODES} SELECT target, count(*) AS n, min(src) AS first_src FROM edges WHERE dst IS NULL GROUP BY target", "graph_notes"),
     "duplicate_stems": with_views(f"WITH {_NODES} SELECT stem, count(*) AS n FROM single GROUP BY stem HAVING count(*) > 1", "graph_notes"),
-    "missing_fields": with_views(f"WITH {_NODES}, m AS (SELECT type, CASE WHEN type IN ('problem', 'initiative', 'decision') THEN {_LACKS} WHEN type = 'node' THEN list_filter(['node_type', CASE WHEN title = '' THEN 'title' END], lambda v: v IS NOT NULL) WHEN type = 'playbook' THEN ['entity', 'date'] WHEN type = 'intelligence-summary' THEN list_filter(['entity', 'category', CASE WHEN status = '' THEN 'status' END, 'last_updated'], lambda v: v IS NOT NULL) ELSE [] END AS l FROM nodes WHERE NOT starts_with(path, 'Templates/')) SELECT type, array_to_string(l, ',') AS missing, count(*) AS n FROM m WHERE len(l) > 0 GROUP BY 1, 2", "graph_notes"),
+    "missing_fields": with_views(f"WITH {_NODES}, m AS (SELECT type, CASE WHEN type IN ('area', 'problem', 'initiative', 'decision', 'experiment', 'metric', 'insight') THEN {_LACKS} {' '.join(f"WHEN type = '{kind}' THEN {_lacking(names)}" for kind, names in (('node', ('node_type', 'title')), ('playbook', ('entity', 'date')), ('intelligence-summary', ('entity', 'category', 'status', 'last_updated'))))} ELSE [] END AS l FROM nodes WHERE NOT starts_with(path, 'Templates/')) SELECT type, array_to_string(l, ',') AS missing, count(*) AS n FROM m WHERE len(l) > 0 GROUP BY 1, 2", "graph_notes"),
     "note_types": with_views(f"WITH {_NODES} SELECT type, count(*) AS n FROM nodes GROUP BY type", "graph_notes"),
     "open_problems_view": with_views(f"WITH {_NODES} SELECT path, stem, status, area FROM nodes WHERE type = 'problem' AND status <> 'resolved'", "graph_notes"),
     "active_bets_view": with_views(f"WITH {_NODES} SELECT path, stem, status, area FROM nodes WHERE type = 'initiative' AND status IN ('active', 'proposed')", "graph_notes"),
     "recent_decisions_view": with_views(f"WITH {_NODES} SELECT path, stem, status, area FROM nodes WHERE type = 'decision'", "graph_notes"),
-    "readiness_counts": with_views(f"WITH {_NODES} SELECT area, count(*) FILTER (WHERE status = 'active') AS done, count(*) FILTER (WHERE status = 'proposed') AS partial, count(*) FILTER (WHERE status NOT IN ('active', 'proposed')) AS missing FROM nodes GROUP BY area", "graph_notes"),
+    "readiness_counts": with_views(f"WITH {_NODES} SELECT area, CASE status WHEN 'active' THEN 'done' WHEN 'proposed' THEN 'partial' ELSE 'missing' END AS status, count(*) AS n FROM nodes GROUP BY 1, 2", "graph_notes"),
+    "saved_views": with_views(f"WITH {_NODES}, f AS (SELECT *, {', '.join(f'{_field(c)} AS {c}' for c in ('metric', 'confidence', 'entity', 'category', 'last_updated', 'node_type', 'entity_count', 'tags'))} FROM nodes) " + " UNION ALL ".join([*(f"SELECT '{name}' AS \"view\", path, concat_ws('|', {', '.join(columns)}) AS shown FROM f WHERE type = '{kind}'" for name, kind, columns in (
+        ("Areas", "area", ("status", "metric", "confidence")), ("Experiments", "experiment", ("area", "status", "metric")), ("Metrics", "metric", ("area", "status")), ("Research Signals", "insight", ("area", "confidence")),
+        ("Entities", "intelligence-summary", ("entity", "category", "status", "last_updated")), ("Hub Nodes", "node", ("node_type", "title", "entity_count")),
+    )), "SELECT 'Inbox' AS \"view\", path, concat_ws('|', type, status) AS shown FROM f WHERE contains(tags, 'inbox')"]), "graph_notes"),
+    "notes_below": with_views(f"WITH {_NODES} SELECT type, count(*) AS n FROM nodes WHERE starts_with(path, 'src1/') GROUP BY type", "graph_notes"),
 }

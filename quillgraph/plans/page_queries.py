@@ -43,9 +43,9 @@ def slugify_title(spark, sf_dir):
 
 
 def mirror_files(spark, sf_dir):
-    """Where the text of each page is mirrored: <domain>/<slug>.md, and the text (20,000 characters are kept, as configured)."""
+    """Where the text of each page is mirrored: <domain>/<slug>.md, and the whole text."""
     path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
-    return _pages(spark, sf_dir).select("page_id", F.concat(U.host(F.col("url")), F.lit("/"), T.slug(path), F.lit(".md")).alias("mirror_path"), F.md5(F.left(T.html_text(F.col("html")), F.lit(20000))).alias("body_md5"))
+    return _pages(spark, sf_dir).select("page_id", F.concat(U.host(F.col("url")), F.lit("/"), T.slug(path), F.lit(".md")).alias("mirror_path"), F.md5(T.html_text(F.col("html"))).alias("body_md5"))
 
 
 def url_sanitize(spark, sf_dir):
@@ -130,7 +130,7 @@ ORACLE_SQL = {
     "page_domain_top": f"SELECT {S.host('url')} AS domain, count(*) AS n_pages, min(page_id) AS first_page, sum(length({S.html_text('html')}))::BIGINT AS n_chars, sum(length({_TITLE}))::BIGINT AS n_title FROM pages GROUP BY 1 ORDER BY n_pages DESC, first_page LIMIT 30",
     "page_domains": f"SELECT {S.host('url')} AS domain, count(*) AS n FROM pages GROUP BY 1",
     "slugify_title": f"SELECT page_id, {S.slug(_TITLE)} AS slug, coalesce(nullif(rtrim(left(trim(regexp_replace({_TITLE}, '[^A-Za-z0-9 ._-]+', '', 'g')), 120), ' .'), ''), 'Untitled') AS file_name, trim(regexp_replace({_TITLE}, '[^A-Za-z0-9]+', ' ', 'g')) AS spaced FROM pages",
-    "mirror_files": f"SELECT page_id, {S.host('url')} || '/' || {S.slug('''regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)''')} || '.md' AS mirror_path, md5(left({S.html_text('html')}, 20000)) AS body_md5 FROM pages",
+    "mirror_files": f"SELECT page_id, {S.host('url')} || '/' || {S.slug('''regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)''')} || '.md' AS mirror_path, md5({S.html_text('html')}) AS body_md5 FROM pages",
     "url_sanitize": with_views(f"SELECT page_id, ref, url, {S.clean_url('url')} AS clean FROM links", "links"),
     "article_url_normalize": with_views(f"SELECT page_id, ref, {S.known_article(S.strip('url'))} AS known_url, CASE WHEN {S.article_id(S.strip('url'))} IS NOT NULL THEN 'https://kb.test.org/a/' || {S.article_id(S.strip('url'))} ELSE '' END AS article_url FROM links", "links"),
     "link_refs_merge": with_views(f"WITH {_CLEAN} SELECT url, array_to_string(list_sort(list(DISTINCT ref))[1:25], ',') AS refs, count(DISTINCT ref) AS n_refs, greatest(count(DISTINCT ref) - 25, 0) AS more FROM clean GROUP BY url", "links"),

@@ -19,7 +19,8 @@ VIEWS = {
     '# Guide to ', split_part(text, ' ', 1), ' ', split_part(text, ' ', 3), {NL}, {NL}, '## Setup ', split_part(text, ' ', 2), {NL},
     '- see [the article](https://kb.', source, '.test.org/article/', 1000 + doc_id % 300, ') and Article ', 1000 + doc_id % 400, {NL},
     '- also [[', CASE WHEN doc_id % 5 = 0 THEN concat('src', doc_id % 7, '/en/', doc_id % 211, '-note-en') ELSE concat(doc_id % 500, '-note-', lang) END, '|other]]', {NL},
-    CASE WHEN doc_id % 6 = 0 THEN concat('Posted', {NL}, '- Ada Lovelace', {NL}, 'Comments', {NL}) ELSE '' END,
+    CASE WHEN doc_id % 6 = 0 THEN concat('Posted', {NL}, '- ', CASE doc_id % 24 WHEN 6 THEN 'Grace Brewster Hopper' WHEN 12 THEN 'Alan Turing' WHEN 18 THEN 'Alan Turing Prize' ELSE 'Ada Lovelace' END, {NL}, 'Comments', {NL}) ELSE '' END,
+    CASE WHEN doc_id % 5 = 1 THEN concat('With thanks to Alan Turing Prize Winner Grace Hopper and Dear Grace Brewster Hopper.', {NL}) ELSE '' END,
     CASE WHEN doc_id % 9 = 0 THEN 'Old pages live on gitlab and http://wiki.legacy.test.org/start.' ELSE '' END,
     'Mail ops', doc_id % 5, '@mail.test.org or http://bot:pw', doc_id, '@host.test.org/x at 10.1.', doc_id % 250, '.7.', {NL}, '---', {NL}, text) AS body
 FROM documents""",
@@ -30,7 +31,7 @@ FROM documents""",
   concat(CASE doc_id % 9 WHEN 0 THEN 'src/components/' WHEN 1 THEN 'services/api/' WHEN 2 THEN 'vendor/lib/' WHEN 3 THEN '.github/workflows/' WHEN 4 THEN 'legacy/gitlab/' WHEN 5 THEN 'test-data/' ELSE 'lib/billingCore/' END,
     CASE doc_id % 12 WHEN 0 THEN 'Dockerfile' WHEN 1 THEN concat('mod', doc_id, '.test.js') WHEN 2 THEN concat('mod', doc_id, '.py') WHEN 3 THEN concat('mod', doc_id, '.tsx') WHEN 4 THEN concat('mod', doc_id, '.sql')
       WHEN 5 THEN concat('mod', doc_id, '.ts') WHEN 6 THEN concat('mod', doc_id, '.go') WHEN 7 THEN 'package-lock.json' WHEN 8 THEN concat('conf', doc_id, '.yml') WHEN 9 THEN concat('mod', doc_id, '.js') WHEN 10 THEN concat('mod', doc_id, '.rb') ELSE concat('note', doc_id, '.txt') END) AS path,
-  concat('// handles ', split_part(text, ' ', 2), {NL}, CASE WHEN doc_id % 2 = 0 THEN concat('// TODO: split ', split_part(text, ' ', 1), {NL}) ELSE '' END,
+  concat(CASE WHEN doc_id % 4 = 1 THEN concat(chr(9), ' ') ELSE '' END, '// handles ', split_part(text, ' ', 2), {NL}, CASE WHEN doc_id % 2 = 0 THEN concat('// TODO: split ', split_part(text, ' ', 1), {NL}) ELSE '' END,
     'class Model', doc_id % 40, ' {{', {NL}, 'export async function loadItem', doc_id % 30, '(a) {{ try {{ await fetch(u); }} catch (e) {{ return null; }} }}', {NL},
     CASE WHEN doc_id % 3 = 0 THEN concat('const pick', doc_id % 8, ' = (x) => x;', {NL}, 'console.log(process.env.HOME);', {NL}) ELSE '' END,
     CASE WHEN doc_id % 7 = 0 THEN concat('el.innerHTML = eval(q); // http://wiki.legacy.test.org', {NL}) ELSE '' END,
@@ -49,11 +50,18 @@ UNION ALL SELECT url, concat('wiki/', page_id % 13) AS ref, page_id FROM pages""
         ["pages"],
         """SELECT url, CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 503 ELSE 200 END AS http_status, CASE WHEN page_id % 13 = 5 THEN 'timeout' END AS error,
   CASE page_id % 17 WHEN 3 THEN '' WHEN 4 THEN concat('Please Log In first. ', html) ELSE html END AS body FROM pages WHERE page_id % 19 <> 7""",
+    ),
+    "note_pages": (
+        ["documents"],
+        """SELECT url, CASE k % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS http_status, CAST(NULL AS STRING) AS error, CASE WHEN k % 7 = 0 THEN '' ELSE 'a page' END AS body
+FROM (SELECT concat('https://kb.', source, '.test.org/article/', 1000 + doc_id % 300) AS url, min(doc_id) AS k FROM documents GROUP BY 1) WHERE k % 3 > 0
+UNION ALL SELECT concat('http://bot:pw', doc_id, '@host.test.org/x') AS url, 200 AS http_status, CAST(NULL AS STRING) AS error, 'a page' AS body FROM documents WHERE doc_id % 4 > 0""",
     ),
     "graph_notes": (
         ["documents"],
-        f"""SELECT concat(CASE WHEN doc_id % 50 = 1 THEN 'Templates/' ELSE '' END, source, '/', CASE WHEN doc_id % 10 = 0 THEN concat('shared', doc_id % 300) ELSE concat('n', doc_id) END, '.md') AS path,
-  concat('---', {NL}, 'type: ', CASE doc_id % 7 WHEN 0 THEN 'problem' WHEN 1 THEN 'initiative' WHEN 2 THEN 'node' WHEN 3 THEN 'playbook' WHEN 4 THEN 'decision' WHEN 5 THEN 'intelligence-summary' ELSE 'note' END, {NL},
+        f"""SELECT concat(CASE WHEN doc_id % 50 = 1 THEN 'Templates/' ELSE '' END, source, '/', CASE WHEN doc_id % 10 = 0 THEN concat('shared', doc_id % 70 * 10) ELSE concat('n', doc_id) END, '.md') AS path,
+  concat('---', {NL}, 'type: ', CASE doc_id % 13 WHEN 0 THEN 'problem' WHEN 1 THEN 'initiative' WHEN 2 THEN 'node' WHEN 3 THEN 'playbook' WHEN 4 THEN 'decision' WHEN 5 THEN 'intelligence-summary' WHEN 6 THEN 'area' WHEN 7 THEN 'experiment' WHEN 8 THEN 'metric' WHEN 9 THEN 'insight' WHEN 10 THEN 'capture' ELSE 'note' END, {NL}, CASE WHEN doc_id % 5 = 3 THEN concat('tags: raw, inbox', {NL}) ELSE '' END,
+    CASE WHEN doc_id % 2 = 0 THEN concat('metric: m', doc_id % 9, {NL}, 'confidence: high', {NL}, 'date: 2024-01-0', doc_id % 9 + 1, {NL}) ELSE '' END, CASE WHEN doc_id % 3 = 1 THEN concat('entity: e', doc_id % 11, {NL}, 'category: c', {NL}, 'node_type: hub', {NL}, 'entity_count: ', doc_id % 5, {NL}) ELSE '' END,
     CASE WHEN doc_id % 3 <> 0 THEN concat('status: ', CASE doc_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'proposed' WHEN 2 THEN 'resolved' ELSE 'open' END, {NL}) ELSE '' END,
     CASE WHEN doc_id % 4 <> 1 THEN concat('area: ', source, {NL}) ELSE concat('area:', {NL}) END, 'title: n', doc_id, {NL}, '---', {NL},
     CASE WHEN doc_id % 8 < 5 THEN concat('see [[n', doc_id % 97 + 1, '#part|label]] and [[', source, '/n', doc_id + 1, '.md]] or [[shared', doc_id % 30 * 10, '/]]', {NL}) ELSE '' END, text) AS body

@@ -1,5 +1,6 @@
 """Text scalars against plain specifications, and the traps of the survey."""
 
+import html
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -62,8 +63,8 @@ def test_fetch_status(spark):
 
 def test_redaction(spark):
     text = "x http://u:p@h.org/ me@mail.org 10.0.0.1 172.16.3.4 172.32.0.1 192.168.1.1 Ada Lovelace Ada"
-    out = rows(spark, [text], P.redact_names(P.redact(F.col("x")), ["Ada", "Ada Lovelace"]))[0][0]
-    assert out == "x http://[REDACTED_CREDENTIALS]@h.org/ [REDACTED_EMAIL] [REDACTED_PRIVATE_IP] [REDACTED_PRIVATE_IP] 172.32.0.1 [REDACTED_PRIVATE_IP] [REDACTED_PERSON] [REDACTED_PERSON]"
+    out = rows(spark, [text], P.redact_names(P.redact(F.col("x")), F.array(F.lit("Ada Byron"), F.lit("Ada Lovelace"))))[0][0]
+    assert out == "x http://[REDACTED_CREDENTIALS]@h.org/ [REDACTED_EMAIL] [REDACTED_PRIVATE_IP] [REDACTED_PRIVATE_IP] 172.32.0.1 [REDACTED_PRIVATE_IP] [REDACTED_PERSON] Ada"
 
 
 def test_code(spark):
@@ -78,6 +79,36 @@ def test_code(spark):
     assert [g[1] for g in got] == [True, True, True, False, False, True] and got[5][2] == ["user auth.service"]
 
 
+def test_analysis(spark):
+    body = "\t// handles  billing\r\n\t\t# more\nclass UserAccount {\nfunction loadItem(a) { fetch(u) }\n// Redis"
+    sample = "  loadItem(a)\t{ "
+    a = rows(spark, [body], C.analysis(F.col("x"), F.lit("src/billing/userAuth.js"), F.lit(sample), ["old.org"]))[0][0]
+    assert (a.language, a.artifact_kind, a.comments, a.classes, a.functions) == ("JavaScript", "Service or integration module", ["handles billing", "more"], ["UserAccount"], ["loadItem"])
+    assert a.implementation == ["kind: Service or integration module", "classes: UserAccount", "functions: loadItem", "shows: http", "systems: Redis"]
+    assert a.intentions == ["handles billing", "more", "path: billing, user auth", "symbols: user account, load item", "matches: loadItem(a) {"]
+    assert (a.risks, a.conflicts) == ([], [])
+    plain = rows(spark, [""], C.analysis(F.col("x"), F.lit("src/lib/app"), F.lit(None).cast("string"), []))[0][0]
+    assert plain.intentions == ["found by search: code artifact"]
+
+
+def test_white_space(spark):
+    values = ["\t// one\n \t/* two\r\n\t * three */\nx", "\t \r\n\t\u00a0Title \t\r\nrest", "\t a/b.md/ \r"]
+    got = rows(spark, values, C.leading_comments(F.col("x")), T.page_title(F.col("x"), F.lit("none")), T.link_target(F.col("x")), T.imported_markdown(F.col("x")))
+    assert got[0][0] == ["one", "two", "three"] and got[1][1] == "Title" and got[2][2] == "a/b" and got[1][3] == "Title\nrest"
+    assert rows(spark, ["\tc.md#x\t"], T.wiki_target(F.col("x"), F.lit("a/b.md")))[0][0] == "a/c.md"
+
+
+def test_entities(spark):
+    values = ["a &amp; b &lt;&gt; &#65;&#x42;", "&eacute;&nbsp;|&hellip; &amp;lt;", "&#0; &#x80; &#128512; &#99999999999;", "&copy 2 &ltx &notit; &nothing &", "none"]
+    assert [r[0] for r in rows(spark, values, T.unescape(F.col("x")))] == [html.unescape(v) for v in values]
+
+
+def test_signals(spark):
+    text = "# Head\n\n- a bullet of some length\n- a bullet of some length\nA paragraph that goes on for more than thirty.\nhttps://a.test.org/x. Article 12345"
+    s = rows(spark, [text], L.signals(F.col("x")))[0][0]
+    assert (s.headings, s.bullets, s.paragraphs[0][:11], s.urls, s.article_refs) == (["Head"], ["a bullet of some length"], "A paragraph", ["https://a.test.org/x"], ["12345"])
+
+
 def test_imported_markdown(spark):
     values = ["head\n*Source:* x\n---\n\nBody  \nComments\n\n*Source:* y\nmore", "a\n---\nb", "x\r\n\r\ny"]
     assert [r[0] for r in rows(spark, values, T.imported_markdown(F.col("x")))] == ["Body\nmore", "a\n---\nb", "x\ny"]
