@@ -52,20 +52,21 @@ def prune(ranked: DataFrame, limit: int = KEPT, by: str = "topic") -> DataFrame:
 
 
 def for_notes(notes: DataFrame, kept: DataFrame, limit: int = PER_NOTE) -> DataFrame:
-    """notes (note_id, topics, keywords) to the hits of each note: those of its topics (first topic first, each file once),
-    ranked by score plus shared tokens, four less for low signal, then path; low signal last; at most `limit`.
+    """notes (note_id, topics, keywords, and columns to keep) to the hits of each note: those of its topics (first topic first, each
+    file once), ranked by score plus shared tokens, four less for low signal, then path; low signal last; at most `limit`.
 
     kept has at most KEPT files a topic: one list per topic is broadcast, and a note ranks its own lists where it lies."""
     low = C.is_low_signal(F.col("repo"), F.col("path"), F.col("sample"))
     entry = F.struct("place", low.alias("low"), "repo", "path", "score", "line_number", "sample", T.tokens(F.concat_ws(" ", "path", "sample", "repo")).alias("tokens"))
     lists = kept.groupBy("topic").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
-    asked = of_topics(notes.select("note_id", "topics", F.array_distinct(F.flatten(F.transform("keywords", T.tokens))).alias("words")), lists, ["hits"])
+    keep = [c for c in notes.columns if c != "keywords"]
+    asked = of_topics(notes.select(*keep, F.array_distinct(F.flatten(F.transform("keywords", T.tokens))).alias("words")), lists, ["hits"])
     same = lambda a, b: (a["repo"] == b["repo"]) & (a["path"] == b["path"])
     once = let(F.col("hits"), lambda all_: F.filter(all_, lambda h, i: ~F.exists(F.slice(all_, 1, i), lambda o: same(o, h))))
     points = lambda h: h["score"] + F.size(F.array_intersect(F.col("words"), h["tokens"])) - F.when(h["low"], 4).otherwise(0)
     scored = F.transform(once, lambda h: F.struct(h["low"].alias("low"), (-points(h)).alias("minus"), h["path"].alias("path"), h["repo"].alias("repo"), h["line_number"].alias("line_number"), h["sample"].alias("sample")))
-    each = asked.select("note_id", F.posexplode(F.slice(F.array_sort(scored), 1, limit)).alias("at", "h"))
-    return each.select("note_id", "h.repo", "h.path", "h.line_number", "h.sample", (-F.col("h.minus")).alias("points"), (F.col("at") + 1).alias("place"))
+    each = asked.select(*keep, F.posexplode(F.slice(F.array_sort(scored), 1, limit)).alias("at", "h"))
+    return each.select(*keep, "h.repo", "h.path", "h.line_number", "h.sample", (-F.col("h.minus")).alias("points"), (F.col("at") + 1).alias("place"))
 
 
 def registry(found: DataFrame, kept: DataFrame, limits: tuple[int, int, int] = (60, 60, 40)) -> DataFrame:
@@ -75,16 +76,19 @@ def registry(found: DataFrame, kept: DataFrame, limits: tuple[int, int, int] = (
     line_number, sample, place). Notes come before topics, support notes first. Names are ranked with the limit below the shuffle
     before any are gathered, so a file that a third of all notes use stays a set of rows."""
     number = F.when(F.col("kind") == "support", 0).when(F.col("kind") == "wiki", 1).otherwise(2)
-    users = found.select("repo", "path", number.alias("kind"), F.lpad(F.col("note_id").cast("string"), 20, "0").alias("name"), "line_number", "sample", "place")
-    users = users.unionByName(kept.select("repo", "path", F.lit(2).alias("kind"), F.col("topic").alias("name"), "line_number", "sample", "place"))
-    first = users.groupBy("repo", "path").agg(F.min_by(F.struct("line_number", "sample"), F.struct("kind", "name", "place")).alias("hit"))
-    topics = found.select("repo", "path", F.lit(2).alias("kind"), F.explode("topics").alias("name"))
-    names = users.select("repo", "path", "kind", "name").unionByName(topics).distinct()
-    counts = names.groupBy("repo", "path").agg(*(F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(("support", "wiki", "topic"))))
+    user = lambda kind, name, place, line_number, sample: F.struct(kind.alias("kind"), name.alias("name"), place.cast("int").alias("place"), line_number.cast("int").alias("line_number"), sample.cast("string").alias("sample"))
+    hit = [F.col(c) for c in ("place", "line_number", "sample")]
+    own = F.array(user(number, F.lpad(F.col("note_id").cast("string"), 20, "0"), *hit))
+    more = F.transform("topics", lambda t: user(F.lit(2), t, F.lit(None), F.lit(None), F.lit(None)))
+    rows = found.select("repo", "path", F.explode(F.concat(own, more)).alias("u")).unionByName(kept.select("repo", "path", user(F.lit(2), F.col("topic"), *hit).alias("u"))).select("repo", "path", "u.*")
+    once = rows.groupBy("repo", "path", "kind", "name").agg(F.min(F.when(F.col("place").isNotNull(), F.struct(*hit))).alias("hit"))
+    first = F.min(F.when(F.col("hit").isNotNull(), F.struct("kind", "name", "hit"))).alias("first")
+    counts = once.groupBy("repo", "path").agg(first, *(F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(("support", "wiki", "topic"))))
     rank = F.row_number().over(Window.partitionBy("repo", "path", "kind").orderBy("name"))
-    listed = names.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, limits[0]).when(F.col("kind") == 1, limits[1]).otherwise(limits[2])).where(F.col("rank") <= max(limits))
-    lists = listed.groupBy("repo", "path").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("rank", (F.regexp_replace("name", "^0+(?=[0-9])", "") if i < 2 else F.col("name")).alias("name")))))["name"].alias(k) for i, k in enumerate(("support", "wiki", "topics"))))
-    return first.join(counts, ["repo", "path"]).join(lists, ["repo", "path"]).select("repo", "path", "hit.line_number", "hit.sample", "n_support", "n_wiki", "n_topic", "support", "wiki", "topics")
+    listed = once.select("repo", "path", "kind", "name").withColumn("rank", rank).where(F.col("rank") <= max(limits)).where(F.col("rank") <= F.get(F.array(*map(F.lit, limits)), F.col("kind")))
+    named = [F.when(F.col("kind") == i, F.struct("rank", F.regexp_replace("name", "^0+(?=[0-9])", "").alias("name"))) for i in range(3)]
+    lists = listed.groupBy("repo", "path").agg(*(F.array_sort(F.collect_list(x))["name"].alias(k) for x, k in zip(named, ("support", "wiki", "topics"), strict=True)))
+    return counts.join(lists, ["repo", "path"]).select("repo", "path", "first.hit.line_number", "first.hit.sample", "n_support", "n_wiki", "n_topic", "support", "wiki", "topics")
 
 
 def owner(files: DataFrame, roots: list[tuple[str, str]]) -> DataFrame:

@@ -73,7 +73,7 @@ def code_hit_prune(spark, sf_dir):
 
 def note_hits(spark, sf_dir):
     """The code found for each note, by its topics."""
-    notes = Q.classified(spark, sf_dir).select("note_id", "topics", F.array("title", "section").alias("keywords"))
+    notes = Q.classified(spark, sf_dir).select("note_id", "kind", "topics", F.array("title", "section").alias("keywords"))
     return Cs.for_notes(notes, _kept(spark, sf_dir))
 
 
@@ -83,8 +83,7 @@ def code_hit_rerank(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     """Files that notes and topics use."""
-    found = note_hits(spark, sf_dir).join(Q.classified(spark, sf_dir).select("note_id", "kind", "topics"), "note_id")
-    return Cs.registry(found, _kept(spark, sf_dir))
+    return Cs.registry(note_hits(spark, sf_dir), _kept(spark, sf_dir))
 
 
 def code_reference_registry(spark, sf_dir):

@@ -55,7 +55,7 @@ def test_code_search(spark):
     kept = Cs.prune(Cs.top(found))
     assert [r.path for r in kept.orderBy("place").collect()] == ["a.py", "c.py", "package-lock.json"]
     notes = spark.createDataFrame([(1, "wiki", ["t"], ["about c.py load py"])], "note_id long, kind string, topics array<string>, keywords array<string>")
-    picked = Cs.for_notes(notes, kept).join(notes.select("note_id", "kind", "topics"), "note_id")
+    picked = Cs.for_notes(notes, kept)
     assert [(r.path, r.points) for r in picked.orderBy("place").collect()] == [("a.py", 4), ("c.py", 2), ("package-lock.json", -1)]
     assert Cs.hits(table, profile[1:]).count() == 0
     many = picked.unionByName(picked.withColumns({"note_id": F.lit(12).cast("long"), "kind": F.lit("support")})).unionByName(picked.withColumn("note_id", F.lit(9).cast("long")))
