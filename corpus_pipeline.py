@@ -15,7 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, by their text alone: null and empty texts are judged like any other (as
+    statistics of nothing), rows without doc_id too, and repeated rows all stay or go. An empty table stays empty."""
     return quality.good(docs, table(spark, sf_dir, "labels")).select(COLUMNS)
 
 
@@ -28,18 +29,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark. Null, empty and very short texts share none; repeated rows and rows
+    without doc_id are judged by their texts. With an empty benchmark all stay; an empty table stays empty."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced, and n_chars follows the text."""
+    """All documents; secrets in their texts are replaced, and n_chars follows the text. Null texts stay null, with n_chars null; other
+    rows without a secret, repeated ones and those without doc_id among them, keep their texts. An empty table stays empty."""
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the token ids and of the bytes they decode to."""
+    """doc_id, n_tokens and digests of the token ids and of the bytes they decode to, for every row; null texts have no tokens."""
     return bpe.digests(docs, *bpe.default_vocabulary())
 
 
@@ -51,7 +54,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the classifier nor the forest: tests compare the stages with brute-force versions.
+#: SQL can express neither the classifier nor the forest: tests/llm/test_pipeline.py compares each stage with a plain version on its own input.
 ORACLE_SQL = None
 
 
