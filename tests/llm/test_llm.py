@@ -704,25 +704,3 @@ def test_quality_odd(spark, odd):
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(y) > 0).all() and y.tolist() == [0, 0.5, 1] and len(x) == 3
-
-
-# pipeline
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as p
-
-    assert [n for n, _ in p.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "bpe"]
-    docs = common.table(spark, sf, "documents")
-    good = p.keep_good(spark, docs, sf)
-    assert good.columns == p.COLUMNS
-    kept = common.saved(p.keep_one_of_each_group(spark, common.saved(good, "t"), sf), "t")
-    groups = {r.doc_id: r for r in near_dup.near_duplicates(good).collect()}
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in groups.items() if r.kept}
-    clean = common.saved(p.drop_leaks(spark, kept, sf), "t")
-    leaks = {r.doc_id for r in decontaminate.overlaps(kept, common.table(spark, sf, "benchmark")).collect()}
-    assert leaks and {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()} - leaks
-    safe = p.redact_secrets(spark, clean, sf)
-    assert safe.columns == p.COLUMNS and safe.where(F.col("n_chars") != F.length("text")).count() == 0
-    last = p.encode(spark, safe, sf)
-    assert last.count() == clean.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
