@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import links as L
 from ..operators import notes as N
 from ..operators import topics as To
+from ..sources.tables import table
 from . import manifest as M
 from . import sqltext as S
 from .profile import PROFILE
@@ -42,19 +43,19 @@ def display_titles(spark, sf_dir):
 
 def dedupe_key_groups(spark, sf_dir):
     """Documents whose texts have one dedupe key (ASCII letters and digits only)."""
-    keyed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(T.dedupe_key(F.col("text"))).alias("key"))
+    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedupe_key(F.col("text"))).alias("key"))
     return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
 def token_set_size(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 def token_overlap(spark, sf_dir):
     """For each document and topic, how many of the topic's keywords are tokens of the document."""
     words = sorted({w for t in PROFILE for w in t.keywords})
     shared = F.array_intersect(T.tokens(F.col("text")), F.array(*map(F.lit, words)))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", _joined(F.array_sort(shared), ",").alias("shared"), F.size(shared).cast("long").alias("n_shared"))
+    return table(spark, sf_dir, "documents").select("doc_id", _joined(F.array_sort(shared), ",").alias("shared"), F.size(shared).cast("long").alias("n_shared"))
 
 
 def imported_markdown(spark, sf_dir):
@@ -63,7 +64,7 @@ def imported_markdown(spark, sf_dir):
 
 def unique_lines_dedup(spark, sf_dir):
     found = Li.unique_lines(T.lines(F.col("text")), 12)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(found).cast("long").alias("n_lines"), F.md5(_joined(found, "\n")).alias("lines_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_lines"), F.md5(_joined(found, "\n")).alias("lines_md5"))
 
 
 def extract_signals(spark, sf_dir):
@@ -86,7 +87,7 @@ def redact_pii(spark, sf_dir):
 
 
 def redact_documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(P.redact(F.col("text"))).alias("text_md5"), (P.redact(F.col("text")) != F.col("text")).alias("changed"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.redact(F.col("text"))).alias("text_md5"), (P.redact(F.col("text")) != F.col("text")).alias("changed"))
 
 
 def person_names(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import links as L
+from ..sources.tables import table
 from . import sqltext as S
 from .views import derive, with_views
 
@@ -15,7 +16,7 @@ STALE_HOSTS = ["wiki.legacy.test.org"]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return table(spark, sf_dir, "pages")
 
 
 def html_text(spark, sf_dir):

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import table
+
 NL = "chr(10)"
 
 VIEWS = {
@@ -72,7 +74,7 @@ FROM documents""",
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = VIEWS[name]
-    return spark.sql(_spark_sql(sql, tables[0]), t=spark.read.parquet(f"{sf_dir}/{tables[0]}.parquet"))
+    return spark.sql(_spark_sql(sql, tables[0]), t=table(spark, sf_dir, tables[0]))
 
 
 def _spark_sql(sql: str, table: str) -> str:
