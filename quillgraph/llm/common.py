@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table as table
+
 #: A set of ids of at most this many rows may be broadcast (about 100 bytes a row in a hash table: 50 MB); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: A key with more than this share of the rows is hot; there are at most 1 / HOT of them.
@@ -45,10 +47,6 @@ def forget(*tables: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def small(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
     """True if ids has at most `most` rows; counts no further than that."""
     return ids.limit(most + 1).count() <= most
