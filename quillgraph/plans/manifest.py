@@ -26,7 +26,10 @@ def load(text: str) -> dict:
     try:
         import yaml
     except ImportError:
-        found = json.loads(text)
+        try:
+            found = json.loads(text)
+        except json.JSONDecodeError as e:
+            raise ValueError("no YAML reader is installed, and this is no JSON") from e
     else:
         found = yaml.safe_load(text)
     if not isinstance(found, dict):
