@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import privacy, urls
+from ..functions import lists, privacy, urls
 from ..functions import text as T
+from ..sources import sinks
 
 LINK = r"\[[^\]]+\]\([^)]+\)|(?i:\bArticle\s+\d{4,6}\b)"
 # Capitalised phrases that are no names, and words that tell of an author.
@@ -45,6 +46,25 @@ def with_conflicts(notes: DataFrame, links: DataFrame, records: DataFrame, hits:
     return full.select("note_id", "n_links", "n_stale", "n_hits", kinds.alias("conflicts"))
 
 
+def rendered(notes: DataFrame, near: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
+    """note_id, body: whole notes from structured rows.
+
+    notes (note_id, kind, section, title, body, topics), near (note_id, related_support, related_wiki: arrays of ids), hits (note_id,
+    repo, path, place; few a note), found (note_id, conflicts). All meet by note_id; each note is one row expression."""
+    code = hits.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "repo", "path").alias("at"))))["at"].alias("code"))
+    full = notes.withColumn("said", lists.signals(F.col("body"))).join(near.drop("kind"), "note_id", "left").join(code, "note_id", "left").join(found.select("note_id", "conflicts"), "note_id", "left")
+    linked = lambda ids: F.transform(ids, lambda i: F.concat(F.lit("[[note-"), i.cast("string"), F.lit("]]")))
+    none = F.array().cast("array<string>")
+    sections = [
+        ("Summary", F.slice("said.paragraphs", 1, 1), "Nothing is said."), ("Key sections", F.slice("said.headings", 1, 8), "None."), ("Key evidence", F.slice("said.bullets", 1, 10), "None."),
+        ("Related support notes", linked(F.col("related_support")), "None."), ("Related wiki notes", linked(F.col("related_wiki")), "None."), ("Topics", F.col("topics"), "None."),
+        ("Source code", F.coalesce("code", none), "No code was found."), ("Conflicts", F.coalesce("conflicts", none), "None."),
+    ]
+    fields = {"type": F.lit("concept"), "source": F.col("kind"), "section": F.col("section"), "topics": F.array_join("topics", " ")}
+    whole = sinks.render_note(T.display_title(F.col("title")), fields, sections, T.imported_markdown(F.col("body")))
+    return full.select("note_id", whole.alias("body"))
+
+
 def person_names(texts: DataFrame, least: int = 2) -> DataFrame:
     """name, n: two or three capitalised words alone on a list or heading line, with an author term within three lines, seen
     `least` times or more. The neighbourhood is a slice of the row's own lines: no shuffle but the final count."""

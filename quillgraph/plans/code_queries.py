@@ -128,7 +128,14 @@ def file_owner(spark, sf_dir):
     return Cs.owner(_files(spark, sf_dir).select("file_id", "path"), roots).groupBy("repo").agg(F.count("*").alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, representative_files, file_owner)}
+def rendered_notes(spark, sf_dir):
+    """Every note as a whole: what is known of it, and its own text."""
+    rows = Q.classified(spark, sf_dir).select("note_id", "kind", "section", "title", "body", "topics")
+    done = N.rendered(rows, Q.related(spark, sf_dir), note_hits(spark, sf_dir), _conflicts(spark, sf_dir))
+    return done.select("note_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
+QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, rendered_notes, representative_files, file_owner)}
 
 _NAME = "list_last(string_split(path, '/'))"
 _SUFFIX = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1))"
@@ -242,7 +249,26 @@ named AS (SELECT *, {_NAMES} AS named FROM each), meant AS (SELECT *, {_MEANT} A
 SELECT file_id, language, kind AS artifact_kind, {', '.join(f"array_to_string({k}, '|') AS {k}" for k in _SYMBOL_LISTS)}, array_to_string(t, '|') AS comments, array_to_string({_MADE}, '|') AS implementation,
   array_to_string({_TOLD}, '|') AS intentions, replace(risks, ',', '|') AS risks, replace(conflicts, ',', '|') AS conflicts FROM meant"""
 
+def _part(title: str, lines: str, otherwise: str) -> str:
+    return f"concat('## {title}', chr(10), chr(10), CASE WHEN len({lines}) > 0 THEN array_to_string(list_transform({lines}, lambda v: concat('- ', v)), chr(10)) ELSE '{otherwise}' END)"
+
+
+def _ids(x: str) -> str:
+    return f"list_transform(string_split(nullif({x}, ''), ','), lambda v: concat('[[note-', v, ']]'))"
+
+
+_GAP = "concat(chr(10), chr(10))"
+_RENDERED = f"""WITH {_CONFLICT}, {Q.RELATED},
+code AS (SELECT note_id, list(concat(repo, ':', path) ORDER BY pos) AS code FROM picked GROUP BY note_id), topics AS (SELECT note_id, list(topic ORDER BY place) AS topics FROM top GROUP BY note_id),
+facts AS (SELECT n.*, {Q.HEADINGS} AS h, {Q.BULLETS} AS b, {Q.PARAS} AS p, code, topics, kinds, related_support, related_wiki, {S.display_title('title')} AS shown, {S.imported('body')} AS content
+  FROM notes n LEFT JOIN code USING (note_id) LEFT JOIN topics USING (note_id) LEFT JOIN con USING (note_id) LEFT JOIN related USING (note_id)),
+whole AS (SELECT note_id, concat_ws({_GAP}, concat('---', chr(10), 'type: "concept"', chr(10), 'source: "', kind, '"', chr(10), 'section: "', section, '"', chr(10), 'topics: "', array_to_string(topics, ' '), '"', chr(10), '---'), concat('# ', shown),
+  {_part('Summary', 'p[1:1]', 'Nothing is said.')}, {_part('Key sections', 'h[1:8]', 'None.')}, {_part('Key evidence', 'b[1:10]', 'None.')}, {_part('Related support notes', _ids('related_support'), 'None.')}, {_part('Related wiki notes', _ids('related_wiki'), 'None.')},
+  {_part('Topics', 'topics', 'None.')}, {_part('Source code', 'code', 'No code was found.')}, {_part('Conflicts', 'kinds', 'None.')}, '## Content', content) AS body FROM facts)
+SELECT note_id, length(body) AS n_chars, md5(body) AS body_md5 FROM whole"""
+
 ORACLE_SQL = {
+    "rendered_notes": with_views(_RENDERED, "files", "notes", "known", "note_pages"),
     "language_classify": with_views(f"SELECT {_LANGUAGE} AS language, count(*) AS n FROM files GROUP BY 1", "files"),
     "artifact_kind": with_views(f"SELECT file_id, {_KIND} AS kind, {_CODE} AS is_code, {_IGNORED} AS is_ignored FROM files", "files"),
     "code_symbols": with_views(f"SELECT file_id, {', '.join(f'{_symbols(k)} AS {k}' for k in C.SYMBOLS)} FROM files", "files"),

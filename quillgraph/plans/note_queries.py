@@ -134,9 +134,13 @@ def _refs(rows: DataFrame) -> DataFrame:
     return said.join(known, "article_id").groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("at", "other_id")))["other_id"].alias("refs"))
 
 
-def related_notes(spark, sf_dir):
+def related(spark, sf_dir):
     rows = classified(spark, sf_dir)
-    found = To.related(rows.select("note_id", "kind", "topics"), _refs(_notes(spark, sf_dir)))
+    return To.related(rows.select("note_id", "kind", "topics"), _refs(_notes(spark, sf_dir)))
+
+
+def related_notes(spark, sf_dir):
+    found = related(spark, sf_dir)
     return found.select("note_id", "kind", _joined(F.col("related_support"), ",").alias("related_support"), _joined(F.col("related_wiki"), ",").alias("related_wiki"))
 
 
@@ -263,9 +267,9 @@ _H = r"(?m)^[ \t]{0,3}#{1,6}[ \t]+([^\n]*[^\s])[ \t]*$"
 _FIRST = f"list_filter(list_transform({S.lines('body')}, lambda v: {S.norm('v')}), lambda v: v <> '')[1]"
 _FLAT = f"list_transform({S.lines('body')}, lambda v: {S.norm('v')})"
 _BODY = f"list_filter({_FLAT}, lambda s: NOT {S.noise('s')} AND s <> '---' AND NOT starts_with(s, '#'))"
-_HEADINGS = S.unique(f"regexp_extract_all(body, '{_H}', 1)", 12)
-_BULLETS = S.unique(f"list_filter(list_transform(list_filter({_BODY}, lambda s: starts_with(s, '- ')), lambda s: {S.norm('substr(s, 3)')}), lambda s: length(s) > 8)", 12)
-_PARAS = S.unique(f"list_filter({_BODY}, lambda s: NOT starts_with(s, '- ') AND length(s) > 30)", 8)
+HEADINGS = S.unique(f"regexp_extract_all(body, '{_H}', 1)", 12)
+BULLETS = S.unique(f"list_filter(list_transform(list_filter({_BODY}, lambda s: starts_with(s, '- ')), lambda s: {S.norm('substr(s, 3)')}), lambda s: length(s) > 8)", 12)
+PARAS = S.unique(f"list_filter({_BODY}, lambda s: NOT starts_with(s, '- ') AND length(s) > 30)", 8)
 _URLS = f"list_sort(list_distinct(list_transform(regexp_extract_all(body, 'https?://[^\\s)>\\]\"'']+'), lambda u: {S.strip('u')})))[1:15]"
 _LINK = S.q(N.LINK)
 _LABEL = "regexp_extract(m, '^\\[([^\\]]+)\\]', 1)"
@@ -306,6 +310,7 @@ def _lacking(names: tuple[str, ...]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {_field(c)} = '' THEN '{c}' END" for c in names) + "], lambda v: v IS NOT NULL)"
 
 
+RELATED = f"first_notes AS (SELECT topic, kind, note_id, row_number() OVER (PARTITION BY topic, kind ORDER BY note_id) AS k FROM top), mentions AS (SELECT note_id, unnest({_REFS}[1:20]) AS a, unnest(range(1, len({_REFS}[1:20]) + 1)) AS i FROM notes WHERE kind = 'support'), offers AS (SELECT n.note_id, r.kind AS other_kind, r.note_id AS other, n.place, r.k FROM top n JOIN first_notes r ON r.topic = n.topic AND r.k <= 17 UNION ALL SELECT m.note_id, 'support', o.note_id, 0, m.i FROM mentions m JOIN notes o ON o.kind = 'support' AND (o.note_id + 1000)::VARCHAR = m.a), offered AS (SELECT note_id, other_kind, other, min((place, k)) AS o FROM offers WHERE other <> note_id GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY note_id, other_kind ORDER BY o) AS p FROM offered), lists AS (SELECT note_id, other_kind, string_agg(other::VARCHAR, ',' ORDER BY p) AS l FROM placed WHERE p <= 16 GROUP BY ALL), related AS (SELECT n.note_id, n.kind, coalesce(s.l, '') AS related_support, coalesce(w.l, '') AS related_wiki FROM notes n LEFT JOIN lists s ON s.note_id = n.note_id AND s.other_kind = 'support' LEFT JOIN lists w ON w.note_id = n.note_id AND w.other_kind = 'wiki')"
 _LACKS = _lacking(("type", "area", "status"))
 
 ORACLE_SQL = {
@@ -316,7 +321,7 @@ ORACLE_SQL = {
     "token_overlap": f"WITH s AS (SELECT doc_id, list_sort(list_intersect({S.tokens('text')}, [{', '.join(S.q(w) for w in sorted({w for t in PROFILE for w in t.keywords}))}])) AS s FROM documents) SELECT doc_id, array_to_string(s, ',') AS shared, len(s) AS n_shared FROM s",
     "imported_markdown": with_views(f"SELECT note_id, md5({S.imported('body')}) AS body_md5 FROM notes", "notes"),
     "unique_lines_dedup": f"WITH u AS (SELECT doc_id, {S.unique(S.lines('text'), 12)} AS u FROM documents) SELECT doc_id, len(u) AS n_lines, md5(array_to_string(u, chr(10))) AS lines_md5 FROM u",
-    "extract_signals": with_views(f"SELECT note_id, array_to_string({_HEADINGS}, '|') AS headings, array_to_string({_BULLETS}, '|') AS bullets, md5(array_to_string({_PARAS}, '|')) AS paragraphs_md5, array_to_string({_URLS}, '|') AS urls, array_to_string({_REFS}, '|') AS article_refs FROM notes", "notes"),
+    "extract_signals": with_views(f"SELECT note_id, array_to_string({HEADINGS}, '|') AS headings, array_to_string({BULLETS}, '|') AS bullets, md5(array_to_string({PARAS}, '|')) AS paragraphs_md5, array_to_string({_URLS}, '|') AS urls, array_to_string({_REFS}, '|') AS article_refs FROM notes", "notes"),
     "wiki_targets": with_views("SELECT note_id, concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', note_id, '-next.md') AS resolved, regexp_replace(path, '\\.md$', '') AS link FROM notes", "notes"),
     "section_index": with_views("WITH r AS (SELECT section, title, row_number() OVER (PARTITION BY section ORDER BY title, note_id) AS k, count(*) OVER (PARTITION BY section) AS n FROM notes) SELECT section, max(n) AS n_notes, greatest(max(n) - 25, 0) AS more, md5(array_to_string(list(title ORDER BY k) FILTER (WHERE k <= 25), '|')) AS first_md5 FROM r GROUP BY section", "notes"),
     "redact_pii": with_views(f"SELECT note_id, md5({_REDACT.format(x='body')}) AS body_md5 FROM notes", "notes"),
@@ -328,10 +333,10 @@ ORACLE_SQL = {
     "capability_rollup_counts": with_views(f"WITH {TOP} SELECT topic, kind, count(*) AS n_notes FROM top GROUP BY topic, kind", "notes"),
     "note_repos": with_views(f"WITH {TOP}, {REPOS} SELECT n.note_id, coalesce(array_to_string(x.r, ','), '') AS repos FROM notes n LEFT JOIN (SELECT note_id, list(repo ORDER BY place, ord) AS r FROM top JOIN repos USING (topic) GROUP BY note_id) x USING (note_id)", "notes"),
     "repo_topics": with_views(f"WITH {TOP}, {REPOS} SELECT repo, count(DISTINCT note_id) AS n_notes FROM top JOIN repos USING (topic) GROUP BY repo", "notes"),
-    "related_notes": with_views(f"WITH {TOP}, ranked AS (SELECT topic, kind, note_id, row_number() OVER (PARTITION BY topic, kind ORDER BY note_id) AS k FROM top), mentions AS (SELECT note_id, unnest({_REFS}[1:20]) AS a, unnest(range(1, len({_REFS}[1:20]) + 1)) AS i FROM notes WHERE kind = 'support'), offers AS (SELECT n.note_id, r.kind AS other_kind, r.note_id AS other, n.place, r.k FROM top n JOIN ranked r ON r.topic = n.topic AND r.k <= 17 UNION ALL SELECT m.note_id, 'support', o.note_id, 0, m.i FROM mentions m JOIN notes o ON o.kind = 'support' AND (o.note_id + 1000)::VARCHAR = m.a), once AS (SELECT note_id, other_kind, other, min((place, k)) AS o FROM offers WHERE other <> note_id GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY note_id, other_kind ORDER BY o) AS p FROM once), lists AS (SELECT note_id, other_kind, string_agg(other::VARCHAR, ',' ORDER BY p) AS l FROM placed WHERE p <= 16 GROUP BY ALL) SELECT n.note_id, n.kind, coalesce(s.l, '') AS related_support, coalesce(w.l, '') AS related_wiki FROM notes n LEFT JOIN lists s ON s.note_id = n.note_id AND s.other_kind = 'support' LEFT JOIN lists w ON w.note_id = n.note_id AND w.other_kind = 'wiki'", "notes"),
+    "related_notes": with_views(f"WITH {TOP}, {RELATED} SELECT note_id, kind, related_support, related_wiki FROM related", "notes"),
     "capability_rollup": with_views(f"WITH {TOP}, r AS (SELECT t.topic, t.kind, {S.display_title('title')} AS stem, row_number() OVER (PARTITION BY t.topic, t.kind ORDER BY {S.display_title('title')}, t.note_id) AS k FROM top t JOIN notes USING (note_id)) SELECT topic, kind, count(*) AS n_notes, greatest(count(*) - 25, 0) AS more, md5(string_agg(stem, '|' ORDER BY k) FILTER (WHERE k <= 25)) AS first_md5 FROM r GROUP BY topic, kind", "notes"),
     "capability_links": with_views(f"WITH {TOP}, {RECORDS} SELECT topic, status, count(*) AS n FROM top JOIN said USING (note_id) JOIN rec USING (url) GROUP BY topic, status", "notes", "known", "note_pages"),
-    "search_keywords": with_views(f"WITH s AS (SELECT note_id, title, {_HEADINGS} AS h, {_BULLETS} AS b, {_PARAS} AS p FROM notes), c AS (SELECT note_id, list_filter(list_concat([title], h[1:6], b[1:4], list_transform(p[1:2], lambda v: left(v, 80)), ['Delivery', 'api']), lambda v: length({S.norm('v')}) > 2) AS l FROM s), u AS (SELECT note_id, {S.unique('l', 16)} AS u FROM c) SELECT note_id, md5(array_to_string(u, '|')) AS keywords_md5, len(u) AS n_keywords FROM u", "notes"),
+    "search_keywords": with_views(f"WITH s AS (SELECT note_id, title, {HEADINGS} AS h, {BULLETS} AS b, {PARAS} AS p FROM notes), c AS (SELECT note_id, list_filter(list_concat([title], h[1:6], b[1:4], list_transform(p[1:2], lambda v: left(v, 80)), ['Delivery', 'api']), lambda v: length({S.norm('v')}) > 2) AS l FROM s), u AS (SELECT note_id, {S.unique('l', 16)} AS u FROM c) SELECT note_id, md5(array_to_string(u, '|')) AS keywords_md5, len(u) AS n_keywords FROM u", "notes"),
     "note_stems": with_views(f"WITH t AS (SELECT note_id, kind, path, {S.display_title('title')} AS d FROM notes), s AS (SELECT note_id, CASE WHEN kind = 'wiki' THEN 180 ELSE 120 END AS n, CASE WHEN kind = 'wiki' THEN concat('Wiki - ', split_part(path, '/', 1), ' - ', d, ' - ', left(sha1(path), 8)) ELSE concat('Support - ', note_id, ' - ', d) END AS s FROM t) SELECT note_id, coalesce(nullif(rtrim(left(trim(regexp_replace(s, '[^A-Za-z0-9 ._-]+', '', 'g')), n::INT), ' .'), ''), 'Untitled') AS stem FROM s", "notes"),
     "wikified": with_views(f"WITH b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.kind = 'support' AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.kind = 'wiki' AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id) SELECT c.note_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '')) AS body_md5 FROM c LEFT JOIN l USING (note_id)", "notes"),
     "graph_links": with_views(f"WITH {_NODES} SELECT src, target, dst, count(*) AS n FROM edges GROUP BY src, target, dst", "graph_notes"),
