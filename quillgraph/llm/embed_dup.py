@@ -223,7 +223,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     asked = sized.select(F.col("component").alias("key"), F.explode(F.array(F.lit(0), F.lit(1))).alias("role"), "id", F.col("component").alias("comp"), F.col("copies").alias("n_q"), F.col("copies").alias("n_t"))
     counted = _dealt(asked, vector, _count_block, ("id", "linked")).groupBy("id").agg(F.sum("linked").alias("linked"))
     low = comps.join(reps.select("id", "first_id"), "id").groupBy("component").agg(F.min("first_id").alias("low"))
-    found = comps.join(counted, "id", "left").join(low, "component").select("id", "linked", "low")
+    found = saved(comps.join(counted, "id", "left").join(low, "component").select("id", "linked", "low"), "counted")
     per_class = reps.select("embedding", "id", "first_id", "copies").join(found, "id", "left").select("embedding", "copies", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("low", "first_id").alias("component_id"))
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = with_class(rows.where(usable), per_class, ["embedding"], size.rows or 0).select("vec_id", "n_links", "component_id").unionByName(alone)

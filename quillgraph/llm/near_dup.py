@@ -105,7 +105,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
         made = saved(texts.mapInArrow(_sets, "n_shingles long, set_a long, set_b long, shingles binary"), "sets")
     sets = made.join(wanted.select("id", *_KEY), _KEY).select("id", "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    links = saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct(), "links")
+    with batches_of(docs.sparkSession, PIECE):
+        links = saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct(), "links")
     forget(made)
     return links
 
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if comps is not None:
         low = comps.join(classes.select("id", "first_id"), "id").groupBy("component").agg(F.min("first_id").alias("low"))
         groups = groups.join(comps.join(low, "component").select("id", "low"), "id", "left").withColumn("first_id", F.coalesce("low", "first_id"))
-    groups = groups.select(*_KEY, "copies", F.col("first_id").alias("component_id"))
+    groups = saved(groups.select(*_KEY, "copies", F.col("first_id").alias("component_id")), "groups")
     rows = sk.select("doc_id", "text_hash", *_KEY)
     linked = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").isNull()
     alone = rows.where(linked).withColumn("component_id", F.col("doc_id"))

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,12 +93,13 @@ def isotonic(x: np.ndarray, total: np.ndarray, positive: np.ndarray) -> tuple[np
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in pieces(batches, "text", PIECE):
         x = statistics(texts)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "text_hash", "x"])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of its whole text, written to the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_featurise, "doc_id long, x array<double>")
+    """doc_id, a hash of the text and the statistics of the whole text, written to the shared folder."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    rows = rows.mapInArrow(_featurise, "doc_id long, text_hash long, x array<double>")
     with batches_of(docs.sparkSession, PIECE):
         return saved(rows, "features")
 
@@ -180,25 +180,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows."""
     feats = features(docs)
     model = train(feats, labels)
-    scores = feats.mapInArrow(partial(_scored, model), "doc_id long, score double")
+    scores = feats.mapInArrow(partial(_scored, model), "doc_id long, text_hash long, score double")
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text is predicted good.
 
-    The model learns from the statistics of labelled documents; then each text is read and scored where it lies, which costs its
-    statistics a second time for these documents and no shuffle of texts."""
-    ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_labelled")).distinct()
-    ids = F.broadcast(ids) if small(ids) else ids
-    model = train(features(docs.join(ids, F.col("doc_id").cast("long") == F.col("_labelled"), "left_semi")), labels)
-
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in texts:
-            yield pd.Series(model.score(statistics([t or b"" for t in column]))) if len(column) else pd.Series([], dtype=float)
-
-    return docs.where(score(F.col("text").cast("binary")) >= THRESHOLD)
+    Texts are read once for their statistics; what returns to the rows are the rejected ones, by doc_id and text hash, broadcast if
+    they are few and joined by a shuffle otherwise."""
+    feats = features(docs)
+    scores = feats.mapInArrow(partial(_scored, train(feats, labels)), "doc_id long, text_hash long, score double")
+    bad = saved(scores.where(F.col("score") < THRESHOLD).select(F.col("doc_id").alias("_of_id"), F.col("text_hash").alias("_of_text")).distinct(), "rejected")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_of_id"]) & (F.xxhash64(docs["text"]) == bad["_of_text"])
+    return docs.join(F.broadcast(bad) if small(bad) else bad, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
