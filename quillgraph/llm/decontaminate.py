@@ -108,7 +108,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = [f"_{n}" for n in ("hit_id", "hit_hash")]
     hits = saved(overlaps(docs, benchmark).select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct(), "leaks")
     same = docs["doc_id"].cast("long").eqNullSafe(hits[names[0]]) & (F.xxhash64(docs["text"]) == hits[names[1]])
-    return docs.join(F.broadcast(hits) if small(hits, 1_000_000) else hits, same, "left_anti")
+    return docs.join(F.broadcast(hits) if small(hits) else hits, same, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

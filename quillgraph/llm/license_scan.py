@@ -12,7 +12,7 @@ from .common import saved, table
 from .license_texts import TEMPLATES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 8  # highest-IDF words of a template that are looked up
+RARE, LEAST, COMMON = 8, 3, 0.05  # highest-IDF words of a template that are looked up: see rarest()
 SUPPORT = 0.6  # share of a template's rarest words, by IDF, that must stand at one relative position
 SLACK = 8  # the relative position may vary by one word in so many of the template: names and years stand between
 # Phrases and labels of the contract.
@@ -28,10 +28,15 @@ def width(words: list[str]) -> int:
     return 1 + len(words) // SLACK
 
 
-def rarest(idf: dict[str, float]) -> list[dict[str, float]]:
-    """The RARE words of each template that fewest documents hold, with their IDF."""
-    each = ({w: idf[w] for w in words} for _, words in templates())
-    return [dict(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:RARE]) for words in each]
+def rarest(counts: dict[str, int], total: int) -> list[dict[str, float]]:
+    """The words of each template that are looked up, with their IDF: the RARE words that fewest documents hold, of which only the
+    first LEAST may stand in more than a share of COMMON of them."""
+    idf = lambda w: math.log((total + 2) / (counts.get(w, 0) + 1))
+    found = []
+    for _, words in templates():
+        ranked = sorted(set(words), key=lambda w: (-idf(w), w))[:RARE]
+        found.append({w: idf(w) for i, w in enumerate(ranked) if i < LEAST or counts.get(w, 0) <= COMMON * total})
+    return found
 
 
 def _phrase(phrase: str) -> str:
@@ -75,7 +80,8 @@ def findings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     some = F.size("found") > 0
     base = F.when(some, F.concat(*(_starts(p, F.col("words"), F.col("found")) for p in BASE)))
     proven = F.when(some, F.array_compact(F.array(*(F.when(F.col("text").rlike("|".join(map(_phrase, keys))), F.lit(label)) for label, (_, keys) in TEMPLATES.items()))))
-    return found.select("doc_id", "n_words", "lead", F.when(F.size(proven) > 0, F.col("found")).alias("found"), base.alias("base"), proven.alias("proven"))
+    told = found.select("doc_id", "n_words", "lead", "found", base.alias("base"), proven.alias("proven"))  # its own step, so that the phrases are searched once
+    return told.select("doc_id", "n_words", "lead", F.when(F.size("proven") > 0, F.col("found")).alias("found"), "base", "proven")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -90,10 +96,9 @@ def scan(docs: DataFrame) -> DataFrame:
     null doc_ids and repeated rows are returned like any other. An empty table gives no rows. No text is cut."""
     spark = docs.sparkSession
     counts, total = document_counts(docs), docs.count()
-    idf = {w: math.log((total + 2) / (counts.get(w, 0) + 1)) for _, words in templates() for w in words}
-    rare = rarest(idf)
+    rare = rarest(counts, total)
     rows = saved(findings(docs, sorted({w for words in rare for w in words} | {p.split()[0] for p in BASE})).withColumn("row", F.monotonically_increasing_id()), "licence-words")
-    index = [(label, t, w, i, idf[w], sum(rare[t].values()) or 1.0, width(words)) for t, (label, words) in enumerate(templates()) for i, w in enumerate(words) if w in rare[t]]
+    index = [(label, t, w, i, rare[t][w], sum(rare[t].values()) or 1.0, width(words)) for t, (label, words) in enumerate(templates()) for i, w in enumerate(words) if w in rare[t]]
     index = F.broadcast(spark.createDataFrame(index, "label string, template int, word string, place int, idf double, whole double, width int"))  # fixed size
     places = rows.where(F.size("proven") > 0).select("row", "proven", F.explode("found").alias("hit")).select("row", "proven", "hit.at", "hit.word")
     offset, w = F.col("at") - F.col("place"), F.col("width")
