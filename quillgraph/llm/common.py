@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import forget as forget
+from ..sources.shared import saved as saved
+from ..sources.shared import shared_dir as shared_dir
 from ..sources.tables import table as table
 
 #: A set of ids of at most this many rows may be broadcast (about 100 bytes a row in a hash table: 50 MB); beyond it the join shuffles.
@@ -20,33 +21,6 @@ BROADCAST_IDS = 500_000
 HOT = 1 / 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, which has one machine, the warehouse
-    will do where that is unset; a cluster without it is refused, as its executors would write to their own disks."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it back with its schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def forget(*tables: DataFrame | None) -> None:
-    """Delete tables that saved() wrote, once nothing will read them again: what came of them has been written itself."""
-    for df in tables:
-        if (at := getattr(df, "_saved_at", None)) is not None:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def small(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
     """True if ids has at most `most` rows; counts no further than that."""
     return ids.limit(most + 1).count() <= most
