@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions import keywords
 from ..functions import text as T
 from ..functions.let import let
 from .topics import Topic, of_topics
 
-LINES_PER_FILE = 3
+LINES_PER_FILE = keywords.LINES_PER_FILE
 SEARCHED, KEPT, PER_NOTE = 40, 24, 8
 
 
 def hits(files: DataFrame, profile: list[Topic]) -> DataFrame:
     """files (repo, path, body) to topic, repo, path, score, line_number, sample: the lines (three at most) of each code file that
-    contain a keyword of more than two characters, in the repositories of the topic. The keywords of a topic are one pattern, and a
-    file is split in lines once."""
+    contain a keyword of more than two characters, in the repositories of the topic. The keywords of all topics are one automaton: a
+    file is read once, up to where all topics of its repository have their lines."""
     wanted = files.where(C.is_code(F.col("path")) & ~C.is_ignored(F.col("path")))
-    numbered = F.transform(T.lines(F.col("body")), lambda s, i: F.struct((i + 1).alias("line_number"), s.alias("line")))
-    split = wanted.select("repo", "path", numbered.alias("lines"))
-
-    def of(topic: Topic) -> Column | None:
-        words = [re.escape(w) for w in topic.keywords if len(w) > 2]
-        if not words or not topic.repos:
-            return None
-        found = F.filter("lines", lambda e: e["line"].rlike("(?i)" + "|".join(words)))
-        return F.struct(F.lit(topic.key).alias("topic"), F.when(F.col("repo").isin(list(topic.repos)), F.slice(found, 1, LINES_PER_FILE)).alias("found"))
-
-    kind = "array<struct<topic:string,found:array<struct<line_number:int,line:string>>>>"
-    each = split.select("repo", "path", F.explode(F.array(*(c for c in map(of, profile) if c is not None)).cast(kind)).alias("e")).where("size(e.found) > 0")
-    first = F.col("e.found")[0]
-    return each.select("e.topic", "repo", "path", F.size("e.found").alias("score"), first["line_number"].alias("line_number"), F.left(T.normalize(first["line"]), F.lit(180)).alias("sample"))
+    keyed = [(t.key, [w for w in t.keywords if len(w) > 2], t.repos) for t in profile]
+    each = wanted.select("repo", "path", F.explode(keywords.lines(F.col("repo"), F.col("body"), keyed, LINES_PER_FILE)).alias("e"))
+    return each.select("e.topic", "repo", "path", "e.score", "e.line_number", F.left(T.normalize(F.col("e.line")), F.lit(180)).alias("sample"))
 
 
 def top(found: DataFrame, limit: int = SEARCHED) -> DataFrame:

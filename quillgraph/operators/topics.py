@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keywords
 from ..functions.let import let
 
 DEFAULT = "platform-core"
@@ -25,17 +26,9 @@ class Topic:
 def scores(title: Column, text: Column, hints: Column, profile: list[Topic]) -> Column:
     """array<struct<minus, key>> of topics with a score: 3 for a keyword in the title, else 1 for one in title, text or hints.
 
-    The profile is configuration, so it is unrolled into the expression: no join, and the text is lower-cased once."""
-
-    def score(topic: Topic, seen: Column) -> Column:
-        total = F.lit(0)
-        for word in topic.keywords:
-            total = total + F.when(F.contains(seen["head"], F.lit(word.lower())), 3).when(F.contains(seen["low"], F.lit(word.lower())), 1).otherwise(0)
-        return total
-
-    lowered = F.struct(F.lower(title).alias("head"), F.lower(F.concat_ws("\n", title, text, hints)).alias("low"))
-    every = let(lowered, lambda seen: F.array(*(F.struct((-score(t, seen)).alias("minus"), F.lit(t.key).alias("key")) for t in profile)))
-    return F.filter(every, lambda e: e["minus"] < 0)
+    The keywords of all topics are one automaton, so a text is read once, whatever the size of the profile."""
+    keyed = [(t.key, [w.lower() for w in t.keywords]) for t in profile]
+    return keywords.scores(F.lower(title), F.lower(F.concat_ws("\n", title, text, hints)), keyed)
 
 
 def classify(notes: DataFrame, profile: list[Topic]) -> DataFrame:
