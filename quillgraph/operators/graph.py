@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lookup import lookup
 
 WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 # What the frontmatter of each type of note must hold.
@@ -30,10 +31,11 @@ def nodes(notes: DataFrame) -> DataFrame:
 
 
 def resolve(links: DataFrame, known: DataFrame) -> DataFrame:
-    """links with `dst`: the note at that relative path, else the note of that stem if only one has it, else null."""
+    """links with `dst`: the note at that relative path, else the note of that stem if only one has it, else null. Targets that many
+    notes link to are spread (see lookup(), which reads links twice)."""
     by_path = known.select(F.col("rel").alias("target"), F.col("path").alias("at_path"))
     by_stem = known.groupBy("stem").agg(F.count("*").alias("n"), F.min("path").alias("at_stem")).where("n = 1").select(F.col("stem").alias("target"), "at_stem")
-    return links.join(by_path, "target", "left").join(by_stem, "target", "left").select("src", "target", F.coalesce("at_path", "at_stem").alias("dst"))
+    return lookup(links, by_path.join(by_stem, "target", "full"), "target").select("src", "target", F.coalesce("at_path", "at_stem").alias("dst"))
 
 
 def degrees(known: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from .lookup import lookup
 
 
 LISTED = 25  # references that a listing shows of each URL
@@ -77,6 +78,6 @@ def most_common(records: DataFrame, column: str, first: str, limit: int) -> Data
 
 
 def stale_refs(links: DataFrame, records: DataFrame) -> DataFrame:
-    """How many stale links each source document has."""
+    """How many stale links each source document has; a URL that many documents cite is spread."""
     stale = records.where("status = 'stale-doc-reference'").select("url")
-    return links.select("url", "ref").distinct().join(stale, "url", "left_semi").groupBy("ref").agg(F.count("*").alias("n_stale"))
+    return lookup(links.select("url", "ref").distinct(), stale, "url", how="left_semi").groupBy("ref").agg(F.count("*").alias("n_stale"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lists, privacy, urls
 from ..functions import text as T
 from ..sources import sinks
+from ..sources.shared import saved
+from .lookup import lookup
 
 LINK = r"\[[^\]]+\]\([^)]+\)|(?i:\bArticle\s+\d{4,6}\b)"
 # Capitalised phrases that are no names, and words that tell of an author.
@@ -32,8 +34,9 @@ def conflicts(text: Column, n_stale: Column, n_blocked: Column, n_drive: Column,
 
 
 def link_counts(links: DataFrame, records: DataFrame) -> DataFrame:
-    """note_id, n_links, n_stale, n_blocked, n_drive: links (note_id, url) of each note by their status in the inventory (url, status)."""
-    found = links.distinct().join(records.select("url", "status"), "url")
+    """note_id, n_links, n_stale, n_blocked, n_drive: links (note_id, url) of each note by their status in the inventory (url, status).
+    A URL that many notes cite is spread (see lookup(), which reads links twice)."""
+    found = lookup(links.distinct(), records.select("url", "status"), "url", how="inner")
     by = {"n_stale": "stale-doc-reference", "n_blocked": "blocked", "n_drive": "needs-google-drive"}
     return found.groupBy("note_id").agg(F.count("*").alias("n_links"), *(F.count_if(F.col("status") == status).alias(n) for n, status in by.items()))
 
@@ -91,16 +94,18 @@ def wikified(notes: DataFrame, articles: DataFrame, pages: DataFrame) -> DataFra
     """notes (note_id, path, body) with markdown links and article mentions turned into wikilinks where the target is known.
 
     articles: article_id, stem; pages: path, stem. Matches are exploded, looked up by two equi-joins (article first, then page) and
-    put back in place. Only notes with a match shuffle, by note and match, and keep their text once."""
+    put back in place. Matches lie in the shared folder while they are looked up; popular targets, and matches that name none, are
+    spread over all tasks. Notes meet their matches by note, and keep their text once."""
     body = T.imported_markdown(F.col("body"))
     cut = notes.select("note_id", "path", F.split(body, LINK).alias("gaps"), F.regexp_extract_all(body, F.lit(LINK), F.lit(0)).alias("found"))
     each = cut.select("note_id", "path", F.posexplode("found").alias("at", "match"))
     label = T.normalize(F.regexp_extract("match", r"^\[([^\]]+)\]", 1))
     target = F.trim(F.regexp_extract("match", r"\]\(([^)]+)\)$", 1))
     each = each.select("note_id", "at", "match", label.alias("label"), F.coalesce(urls.article_id(target), F.nullif(F.regexp_extract("match", T.ARTICLE, 1), F.lit(""))).alias("article_id"), T.wiki_target(target, F.col("path")).alias("page"))
+    each = saved(each, "wikilinks")
     by_article = articles.select("article_id", F.col("stem").alias("article_stem"))
     by_page = pages.select(F.col("path").alias("page"), F.col("stem").alias("page_stem"))
-    known = each.join(by_article, "article_id", "left").join(by_page, "page", "left")
+    known = lookup(lookup(each, by_article, "article_id"), by_page, "page")
     stem = F.coalesce("article_stem", "page_stem")
     name = F.coalesce(F.nullif(F.col("label"), F.lit("")), F.concat(F.lit("Article "), F.col("article_id")), F.col("page_stem"))
     shown = known.select("note_id", "at", F.when(stem.isNotNull(), F.concat(F.lit("[["), stem, F.lit("|"), name, F.lit("]]"))).otherwise(F.col("match")).alias("shown"))

@@ -13,6 +13,7 @@ from ..operators import graph as G
 from ..operators import links as L
 from ..operators import notes as N
 from ..operators import topics as To
+from ..sources.shared import saved
 from ..sources.tables import table
 from . import manifest as M
 from . import sqltext as S
@@ -153,7 +154,7 @@ def capability_rollup(spark, sf_dir):
 def link_records(spark, sf_dir):
     """(note_id, url) of all notes, and the inventory of these URLs."""
     each = _notes(spark, sf_dir).select("note_id", F.explode(Li.urls(F.col("body"))).alias("url"))
-    links = each.withColumn("url", U.clean_url(F.col("url"))).where("url IS NOT NULL")
+    links = saved(each.withColumn("url", U.clean_url(F.col("url"))).where("url IS NOT NULL").distinct(), "note-links")
     listed = links.select("url", F.col("note_id").cast("string").alias("ref"))
     return links, L.inventory(listed, derive(spark, sf_dir, "known"), derive(spark, sf_dir, "note_pages"), STALE_HOSTS)
 
@@ -192,7 +193,7 @@ def wikified(spark, sf_dir):
 def _graph(spark, sf_dir):
     rows = derive(spark, sf_dir, "graph_notes")
     known = G.nodes(rows).select("path", "rel", "stem").distinct()
-    return rows, known, G.resolve(G.edges(rows), known)
+    return rows, known, G.resolve(saved(G.edges(rows), "wikilink-edges"), known)
 
 
 def graph_links(spark, sf_dir):

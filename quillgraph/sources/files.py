@@ -30,15 +30,21 @@ INVENTORIES = {
 KEY_FILES = ["README.md", "package.json", "Gemfile", "Podfile", "DockerFile", "docker-compose.yml"]
 
 
-def _relative(root: str) -> Column:
-    return F.regexp_replace("absolute_path", "^.*?" + re.escape(root.split("://")[-1].strip("/")) + "/", "")
+def absolute_path(x: str) -> Column:
+    """A file's path as it is named, from the URL that Spark gives."""
+    return F.url_decode(F.replace(F.col(x), F.lit("+"), F.lit("%2B")))
+
+
+def relative_to(root: str) -> Column:
+    """`absolute_path` as seen from root."""
+    return F.regexp_replace("absolute_path", "^.*?" + re.escape(re.sub("^[a-z0-9]+:/+", "", root).strip("/")) + "/", "")
 
 
 def texts(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """relative_path, text: one row per file below root whose name matches; the whole text, whatever its size."""
     rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(root, wholetext=True)
-    named = rows.select(F.col("value").alias("text"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("absolute_path"))
-    return named.select(_relative(root).alias("relative_path"), "text")
+    named = rows.select(F.col("value").alias("text"), absolute_path("_metadata.file_path").alias("absolute_path"))
+    return named.select(relative_to(root).alias("relative_path"), "text")
 
 
 def support_articles(spark: SparkSession, root: str, template: str = "") -> DataFrame:
@@ -85,7 +91,7 @@ def _docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def docx(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, text, char_count, error: a file that can't be read has its error, the others go on."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(root)
-    named = rows.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("absolute_path"), "content").select(_relative(root).alias("relative_path"), "content")
+    named = rows.select(absolute_path("path").alias("absolute_path"), "content").select(relative_to(root).alias("relative_path"), "content")
     return named.mapInPandas(_docx, "relative_path string, text string, char_count int, error string")
 
 
