@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import frontmatter
 from ..functions import text as T
 from .lookup import lookup
 
@@ -24,10 +25,10 @@ def edges(notes: DataFrame) -> DataFrame:
 
 
 def nodes(notes: DataFrame) -> DataFrame:
-    """path, rel (without .md), stem, type ('' if missing), fields."""
-    fields = T.flat_frontmatter(F.col("body"))
+    """path, rel (without .md), stem, type ('' if missing), fields (name -> values)."""
+    fields = frontmatter.parse(F.col("body"))
     named = notes.select("path", F.regexp_replace("path", r"\.md$", "").alias("rel"), fields.alias("fields"))
-    return named.select("path", "rel", F.element_at(F.split("rel", "/"), -1).alias("stem"), F.coalesce(F.try_element_at("fields", F.lit("type")), F.lit("")).alias("type"), "fields")
+    return named.select("path", "rel", F.element_at(F.split("rel", "/"), -1).alias("stem"), field("type").alias("type"), "fields")
 
 
 def resolve(links: DataFrame, known: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def missing_fields(known: DataFrame, templates: str = "Templates/") -> DataFrame
     """path, type, missing: required fields that are absent or empty; notes below the templates folder are exempt."""
 
     def lacking(names: list[str]) -> Column:
-        return F.filter(F.array(*map(F.lit, names)), lambda f: F.coalesce(F.try_element_at(F.col("fields"), f), F.lit("")) == "")
+        return F.filter(F.array(*map(F.lit, names)), lambda f: field(f) == "")
 
     chain = None
     for kind, names in REQUIRED.items():
@@ -67,9 +68,9 @@ def missing_fields(known: DataFrame, templates: str = "Templates/") -> DataFrame
     return known.where(~F.startswith("path", F.lit(templates))).select("path", "type", chain.alias("missing")).where("size(missing) > 0")
 
 
-def field(name: str) -> Column:
-    """A frontmatter field of nodes(), '' if it is missing."""
-    return F.coalesce(F.try_element_at("fields", F.lit(name)), F.lit(""))
+def field(name: str | Column) -> Column:
+    """A frontmatter field of nodes() as one line, '' if it is missing or has no values."""
+    return F.coalesce(F.array_join(F.try_element_at(F.col("fields"), F.lit(name) if isinstance(name, str) else name), ", "), F.lit(""))
 
 
 def view(known: DataFrame, kind: str, statuses: list[str] | None = None, without: list[str] | None = None, columns: tuple[str, ...] = ("status", "area")) -> DataFrame:
@@ -81,8 +82,13 @@ def view(known: DataFrame, kind: str, statuses: list[str] | None = None, without
 
 
 def tagged(known: DataFrame, tag: str) -> DataFrame:
-    """Notes whose tags (a list or words in one line) hold the tag."""
-    return known.where(F.array_contains(F.split(F.lower(F.regexp_replace(field("tags"), r"[\[\]#,]+", " ")), r"\s+"), tag))
+    """Notes whose tags (a list, or words in one line) hold the tag."""
+    return known.where(F.array_contains(tags(), tag))
+
+
+def tags() -> Column:
+    """The tags of a note, in lower case, each once."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.regexp_replace(field("tags"), r"[\[\]#,]+", " ")), r"\s+")), "")
 
 
 def below(known: DataFrame, prefix: str) -> DataFrame:

@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import frontmatter
 from ..functions import stems as St
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import graph as G
+from ..operators import links as L
 from ..operators import naming
 from ..sources import files, note_files
 from ..sources.shared import remove, saved, shared_dir
@@ -50,7 +53,18 @@ def mirrored_tree(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree)}
+def frontmatter_fields(spark, sf_dir):
+    """Every field at the top of every note, with its values."""
+    read = derive(spark, sf_dir, "vault_notes").select("note_id", F.explode(frontmatter.parse(F.col("body"))).alias("field", "values"))
+    return read.select("note_id", "field", F.size("values").cast("long").alias("n"), F.array_join("values", "|").alias("shown"))
+
+
+def tag_counts(spark, sf_dir):
+    """Notes by tag."""
+    return L.counts(G.nodes(derive(spark, sf_dir, "vault_notes")).select(F.explode(G.tags()).alias("tag")), "tag")
+
+
+QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree, frontmatter_fields, tag_counts)}
 
 _SAFE = "coalesce(nullif(rtrim(left(trim(regexp_replace({x}, '[^A-Za-z0-9 ._-]+', '', 'g')), {n}), ' .'), ''), 'Untitled')"
 
@@ -84,7 +98,24 @@ done{i} AS (SELECT * FROM done{i - 1} UNION ALL SELECT * FROM won{i}), left{i} A
 _BODY = f"concat('# ', coalesce(nullif({S.norm(S.unescape('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)'''))}, ''), url), chr(10), chr(10), '- URL: ', url, chr(10), chr(10), {S.html_text('html')})"
 _URL_PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
 
+def _unquoted(x: str) -> str:
+    quote, double = "chr(39)", "chr(34)"
+    return f"CASE WHEN starts_with({x}, {double}) THEN replace(substr({x}, 2, length({x}) - 2), chr(92) || {double}, {double}) WHEN starts_with({x}, {quote}) THEN replace(regexp_extract({x}, '^.(.*?).( +#.*)?$', 1), {quote} || {quote}, {quote}) ELSE {x} END"
+
+
+#: Fields by their lines: each line belongs to the last line before it that begins a field.
+_FIELDS = rf"""block AS (SELECT note_id, string_split(regexp_extract(body, '^---\n((?s).*?)\n---\n', 1), chr(10)) AS l FROM vault_notes),
+lined AS (SELECT note_id, l[i] AS line, i FROM (SELECT note_id, l, unnest(range(1, len(l) + 1)) AS i FROM block)),
+owned AS (SELECT *, max(CASE WHEN regexp_matches(line, '^[a-z]+:') THEN i END) OVER (PARTITION BY note_id ORDER BY i) AS owner FROM lined),
+field AS (SELECT note_id, owner, min(regexp_extract(line, '^([a-z]+):', 1)) FILTER (WHERE i = owner) AS field, min(trim(regexp_extract(line, '^[a-z]+:(.*)$', 1))) FILTER (WHERE i = owner) AS value,
+  list(trim(line) ORDER BY i) FILTER (WHERE i > owner) AS more FROM owned WHERE owner IS NOT NULL GROUP BY note_id, owner),
+valued AS (SELECT note_id, field, CASE WHEN starts_with(value, '[') THEN list_transform(regexp_extract_all(substr(value, 2, length(value) - 2), '"[^"]*"|[^,\s][^,]*'), lambda v: {_unquoted("v")})
+  WHEN value = '' AND more IS NULL THEN [] WHEN value = '' THEN list_transform(more, lambda v: {_unquoted("trim(substr(v, 2))")}) WHEN value = '>' THEN [array_to_string(more, ' ')]
+  WHEN more IS NOT NULL THEN [concat(value, ' ', array_to_string(more, ' '))] ELSE [{_unquoted("value")}] END AS v FROM field)"""
+
 ORACLE_SQL = {
+    "frontmatter_fields": with_views(f"WITH {_FIELDS} SELECT note_id, field, len(v) AS n, array_to_string(v, '|') AS shown FROM valued", "vault_notes"),
+    "tag_counts": with_views(rf"WITH {_FIELDS}, t AS (SELECT DISTINCT note_id, unnest(regexp_split_to_array(lower(regexp_replace(array_to_string(v, ', '), '[\[\]#,]+', ' ', 'g')), '\s+')) AS tag FROM valued WHERE field = 'tags') SELECT tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY tag", "vault_notes"),
     "unique_stems": with_views(f"WITH {_STEMS}, {_round(1)}, {_round(2)}, {_round(3)} SELECT key, name FROM done3", "notes", "files"),
     "mirrored_tree": f"SELECT concat({S.host('url')}, '/', {_safe(f'''concat(page_id, ' - ', left({S.slug(_URL_PATH)}, 80))''')}, '.md') AS path, md5(regexp_replace({_BODY}, '\\s+$', '') || chr(10)) AS body_md5 FROM pages",
 }

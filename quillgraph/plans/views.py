@@ -58,6 +58,16 @@ UNION ALL SELECT url, concat('wiki/', page_id % 13) AS ref, page_id FROM pages""
         """SELECT url, CASE k % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS http_status, CAST(NULL AS STRING) AS error, CASE WHEN k % 7 = 0 THEN '' ELSE 'a page' END AS body
 FROM (SELECT concat('https://kb.', source, '.test.org/article/', 1000 + doc_id % 300) AS url, min(doc_id) AS k FROM documents GROUP BY 1) WHERE k % 3 > 0
 UNION ALL SELECT concat('http://bot:pw', doc_id, '@host.test.org/x') AS url, 200 AS http_status, CAST(NULL AS STRING) AS error, 'a page' AS body FROM documents WHERE doc_id % 4 > 0""",
+    ),
+    "vault_notes": (
+        ["documents"],
+        f"""SELECT doc_id AS note_id, concat(source, '/n', doc_id, '.md') AS path,
+  concat('---', {NL}, '# written by hand', {NL}, 'type: ', CASE doc_id % 3 WHEN 0 THEN 'problem' WHEN 1 THEN '"insight"' ELSE concat(chr(39), 'capture', chr(39), '  # odd') END, {NL},
+    CASE doc_id % 5 WHEN 0 THEN concat('tags:', {NL}, '  - inbox', {NL}, '  - ', lang, {NL}, '  - "', source, ', raw"', {NL}) WHEN 1 THEN concat('tags: [inbox, ', lang, ', "a, b"]', {NL})
+      WHEN 2 THEN concat('tags:', {NL}, '- ', source, {NL}, '- ', chr(39), 'it', chr(39), chr(39), 's ', lang, chr(39), {NL}) WHEN 3 THEN concat('tags: []', {NL}) ELSE concat('tags: ', lang, {NL}) END,
+    'title: "say ', doc_id, ': ', chr(92), '"', lang, chr(92), '""', {NL}, CASE WHEN doc_id % 2 = 0 THEN concat('summary: >', {NL}, '  first ', lang, {NL}, '  then ', source, {NL}) ELSE concat('summary: one ', source, {NL}, '  and ', lang, {NL}) END,
+    'empty:', {NL}, 'at: 10:', doc_id % 60, {NL}, '---', {NL}, text) AS body
+FROM documents""",
     ),
     "graph_notes": (
         ["documents"],
