@@ -50,7 +50,7 @@ def _state(s: Column | None = None, **new: Column) -> Column:
 def _value(s: Column) -> Column:
     """The values of the key at hand: none for an empty or null one."""
     text = F.when(s["text"].isin("", "~", "null"), F.expr(_NONE)).otherwise(F.array(s["text"]))
-    return F.when(s["mode"].isin("list", "done"), s["items"]).when(s["mode"] == "block", F.array(F.rtrim(s["text"], F.lit(" \n")))).when(s["mode"] == "open", F.expr(_NONE)).otherwise(text)
+    return F.when(s["mode"].isin("list", "done"), s["items"]).when(s["mode"].isin("literal", "folded"), F.array(F.rtrim(s["text"], F.lit(" \n")))).when(s["mode"] == "open", F.expr(_NONE)).otherwise(text)
 
 
 def _flushed(s: Column) -> Column:
@@ -93,15 +93,10 @@ def _step(s: Column, line: Column) -> Column:
     return let(bare, told)
 
 
-def _finished(s: Column) -> Column:
-    ended = F.when(s["mode"].isin("literal", "folded"), _state(s, mode=F.lit("block"))).otherwise(s)
-    return let(ended, _flushed)
-
-
 def parse(x: Column) -> Column:
     """map<string, array<string>> of the block at the top of a text; of repeated keys the last counts. A text without a block (or a null
     one) has an empty map; a key without a value, or with null or ~, has no values; block
     text ends without a line break."""
     start = _state(key=F.lit(None), mode=F.lit("open"), text=F.lit(""), items=F.expr(_NONE), out=F.expr("cast(array() as array<struct<k:string,v:array<string>>>)"))
-    found = F.aggregate(F.split(F.coalesce(frontmatter_block(x), F.lit("")), "\n"), start, _step, _finished)
+    found = F.aggregate(F.split(F.coalesce(frontmatter_block(x), F.lit("")), "\n"), start, _step, _flushed)
     return let(found, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o["k"] == e["k"]))))
