@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 
@@ -429,33 +430,38 @@ def test_licences(spark, sf, odd):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
-def brute_licences(rows):
-    """labels and score of each row, by trying every template at every relative position."""
+def brute_licences(rows, rare_words=8, support=0.6, rest=0.5, slack=8):
+    """labels and score of each row, by trying every template at every relative position; the constants are the test's own."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))
+    base = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     texts = [cut(t) for _, t in rows]
     templates = [(label, cut(t)) for label, (ts, _) in license_scan.TEMPLATES.items() for t in ts]
-    holds = collections.Counter(w for t in texts for w in set(t))
-    idf = lambda w: math.log((len(rows) + 2) / (holds[w] + 1))
     has = lambda t, p: any(t[k : k + len(p.split())] == p.split() for k in range(len(t)))
+    proven = [{label for label, (_, keys) in license_scan.TEMPLATES.items() if any(has(t, p) for p in keys)} for t in texts]
+    others = [t for t, labels in zip(texts, proven, strict=True) if not labels]
+    holds = collections.Counter(w for t in others for w in set(t))
+    idf = lambda w: math.log((len(others) + 2) / (holds[w] + 1))
+    among = collections.Counter(w for _, words in templates for w in set(words))
     out = []
-    for (i, _), t in zip(rows, texts, strict=True):
-        labels, share = {x for p, x in license_scan.BASE.items() if has(t, p)}, 0.0
+    for (i, _), t, known in zip(rows, texts, proven, strict=True):
+        labels, share = {x for p, x in base.items() if has(t, p)}, 0.0
         score = 1.0 if labels else 0.0
         for label, words in templates:
-            if not any(has(t, p) for p in license_scan.TEMPLATES[label][1]):
+            if label not in known:
                 continue
-            rare = sorted(set(words), key=lambda w: (-idf(w), w))[: license_scan.RARE]
-            rare = [w for i, w in enumerate(rare) if i < license_scan.LEAST or holds[w] <= license_scan.COMMON * len(rows)]
-            wide = 1 + len(words) // license_scan.SLACK
+            by_rank = sorted(set(words), key=lambda w: (-idf(w), among[w], w))
+            rare = [w for w in by_rank if w in t][:rare_words]
+            whole = max(sum(map(idf, rare)), rest * sum(map(idf, by_rank[:rare_words])))
+            wide = 1 + len(words) // slack
             groups = collections.defaultdict(set)
             for place, w in enumerate(words):
                 for at, x in enumerate(t):
                     if x == w and w in rare:
                         groups[0, (at - place) // wide].add(w)
                         groups[1, (at - place + wide // 2) // wide].add(w)
-            best = max((sum(map(idf, g)) / sum(map(idf, rare)) for g in groups.values()), default=0)
-            if best >= license_scan.SUPPORT:
+            best = max((sum(map(idf, g)) / whole for g in groups.values()), default=0)
+            if best >= support - 1e-9:
                 labels.add(label)
                 share = max(share, best)
         out.append((i, ",".join(sorted(labels)), round(score or min(share, 1.0), 6)))
@@ -487,6 +493,28 @@ def test_licences_keep_their_words_beside_others(spark, sf):
     assert by_id[602].labels == "apache,apache-2.0" and by_id[603].labels == ""
 
 
+def test_licences_cut_or_edited_are_found_however_many_there_are(spark, sf):
+    rng, rows, want = random.Random(11), [], {}
+    cut = lambda t: re.findall("[A-Za-z0-9]+", t)
+    has = lambda t, keys: any(p in " ".join(t).lower() for p in keys)
+    for label, (texts, keys) in license_scan.TEMPLATES.items():
+        for text in (t for t in texts if len(cut(t)) >= 20):
+            for share in (0.6, 0.7, 0.8, 0.9, 0.95):
+                words = cut(text)
+                some = words[: int(len(words) * share)]
+                edited = [rng.choice(["foo", "bar", "qux"]) if rng.random() < 0.1 else w for w in words]
+                for kind in (some, edited):
+                    if has(kind, keys):  # the key phrase is mandatory
+                        want[len(rows)] = label
+                        rows.append((len(rows), f"{prose(len(rows), 40)} {' '.join(kind)} {prose(len(rows) + 1, 40)}"))
+    few = {r.doc_id: r.labels.split(",") for r in license_scan.scan(frame(spark, [*rows, *((10_000 + i, t) for i, t in documents(sf))])).collect()}
+    found = sum(label in few[i] for i, label in want.items())
+    assert found >= 0.9 * len(want) and len(want) > 60, (found, len(want))
+    many = [(20_000 + i, t) for i in range(30) for _, t in rows[::3]]
+    more = {r.doc_id: r.labels.split(",") for r in license_scan.scan(frame(spark, [*rows, *many, *((10_000 + i, t) for i, t in documents(sf))])).collect()}
+    assert all(more[i] == few[i] for i in want)  # a label depends on no other licence
+
+
 # 7 BPE
 
 
