@@ -12,8 +12,9 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import graph as G
 from ..operators import links as L
+from ..operators import manifests as Ms
 from ..operators import naming
-from ..sources import files, note_files
+from ..sources import files, note_files, sinks
 from ..sources.shared import remove, saved, shared_dir
 from ..sources.tables import table
 from . import sqltext as S
@@ -64,7 +65,50 @@ def tag_counts(spark, sf_dir):
     return L.counts(G.nodes(derive(spark, sf_dir, "vault_notes")).select(F.explode(G.tags()).alias("tag")), "tag")
 
 
-QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree, frontmatter_fields, tag_counts)}
+def _records(spark, sf_dir):
+    links = saved(L.clean_links(derive(spark, sf_dir, "links")).select("url", "ref").distinct(), "page-links")
+    answers = derive(spark, sf_dir, "answers")
+    listed = L.inventory(links, derive(spark, sf_dir, "known"), answers.select("url", "http_status", "error", "body"), ["wiki.legacy.test.org"])
+    return L.records(listed, L.listed(links, 3), answers)
+
+
+def inventory_ordered(spark, sf_dir):
+    """The inventory of links in its order, with complete records."""
+    return L.in_order(_records(spark, sf_dir)).withColumn("refs", F.array_join("refs", ",")).withColumn("http_status", F.col("http_status").cast("long"))
+
+
+def sink_counts(spark, sf_dir):
+    """Rows of the inventories that are written as JSON, counted on their way."""
+    notes = derive(spark, sf_dir, "notes")
+    article = F.col("kind") == "support"
+    named = {
+        "support_articles": notes.where(article).select(F.col("note_id").cast("string").alias("article_id"), "title", F.col("path").alias("relative_path")),
+        "wiki_pages": notes.where(~article).select("title", F.col("path").alias("relative_path"), "section"),
+        "external_links": _records(spark, sf_dir), "repo_snapshots": files.repo_snapshot(derive(spark, sf_dir, "files").select("repo", "path")),
+    }
+    at = f"{shared_dir(spark)}/inventories-{uuid.uuid4().hex}"
+    counts = sinks.write_inventories(named, at)
+    remove(spark, at)
+    return spark.createDataFrame(list(counts.items()), "name string, n long")
+
+
+def manifest_violations(spark, sf_dir):
+    """Broken rules of all manifests, with the paths that they name and nobody has."""
+    return Ms.violations(derive(spark, sf_dir, "manifests"), derive(spark, sf_dir, "paths"))
+
+
+def manifest_readiness(spark, sf_dir):
+    """Readiness categories of all manifests by status."""
+    found = Ms.readiness(Ms.fields(Ms.parsed(derive(spark, sf_dir, "manifests"))))
+    return found.groupBy("status", "n").agg(F.count("*").alias("n_manifests"))
+
+
+def portfolio_doctor(spark, sf_dir):
+    """The state of every product of the portfolio."""
+    return Ms.doctor(derive(spark, sf_dir, "manifests"), derive(spark, sf_dir, "paths"))
+
+
+QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree, frontmatter_fields, tag_counts, inventory_ordered, sink_counts, manifest_violations, manifest_readiness, portfolio_doctor)}
 
 _SAFE = "coalesce(nullif(rtrim(left(trim(regexp_replace({x}, '[^A-Za-z0-9 ._-]+', '', 'g')), {n}), ' .'), ''), 'Untitled')"
 
@@ -113,7 +157,66 @@ valued AS (SELECT note_id, field, CASE WHEN starts_with(value, '[') THEN list_tr
   WHEN value = '' AND more IS NULL THEN [] WHEN value = '' THEN list_transform(more, lambda v: {_unquoted("trim(substr(v, 2))")}) WHEN value = '>' THEN [array_to_string(more, ' ')]
   WHEN more IS NOT NULL THEN [concat(value, ' ', array_to_string(more, ' '))] ELSE [{_unquoted("value")}] END AS v FROM field)"""
 
+_PAGE_TITLE = f"coalesce(nullif({S.norm(S.unescape('''regexp_extract(a.body, '(?is)<title[^>]*>(.*?)</title>', 1)'''))}, ''), a.url)"
+_ASKED = "status NOT IN ('local-support-evidence', 'needs-google-drive', 'stale-doc-reference') AND a.url IS NOT NULL"
+_FINAL_PATH = "regexp_extract(a.final_url, '^https?://[^/?#]*([^?#]*)', 1)"
+_RECORDS = f"""clean AS (SELECT DISTINCT ref, url FROM (SELECT ref, {S.clean_url('url')} AS url FROM links) WHERE url IS NOT NULL),
+ours AS (SELECT DISTINCT {S.known_article('url')} AS k FROM known),
+per AS (SELECT url, count(*) AS n_refs, array_to_string(list(ref ORDER BY ref)[1:3], ',') AS refs FROM clean GROUP BY url),
+inv AS (SELECT p.*, {S.host('p.url')} AS domain, CASE WHEN {S.known_article('p.url')} IN (SELECT k FROM ours) THEN 'local-support-evidence'
+    WHEN {S.special('p.url')} IN ('needs-google-drive', 'stale-doc-reference') THEN {S.special('p.url')}
+    WHEN f.url IS NULL THEN 'blocked' WHEN f.http_status IN (401, 403) THEN 'auth-gated' WHEN f.http_status >= 400 OR f.error IS NOT NULL THEN 'blocked'
+    WHEN coalesce(f.body, '') = '' THEN 'binary-or-empty' WHEN regexp_matches(left(f.body, 2000), '(?i)sign in|log in|login') THEN 'auth-gated' ELSE 'mirrored' END AS status FROM per p LEFT JOIN answers f ON f.url = p.url),
+rec AS (SELECT i.url, i.domain, i.status, CASE WHEN {_ASKED} THEN a.http_status::BIGINT END AS http_status, CASE WHEN {_ASKED} THEN a.final_url END AS final_url, CASE WHEN {_ASKED} THEN {S.host('a.final_url')} END AS final_domain,
+  CASE WHEN {_ASKED} THEN a.content_type END AS content_type, CASE WHEN {_ASKED} AND a.error IS NULL AND a.http_status < 400 THEN CASE WHEN contains(a.content_type, 'text/html') THEN {_PAGE_TITLE} ELSE a.url END END AS title,
+  CASE WHEN {_ASKED} THEN a.error END AS error, CASE WHEN status = 'mirrored' THEN concat({S.host('a.final_url')}, '/', {S.slug(f"CASE WHEN {_FINAL_PATH} = '' THEN {S.host('a.final_url')} ELSE {_FINAL_PATH} END")}, '.md') END AS mirror_path, i.n_refs, i.refs
+  FROM inv i LEFT JOIN answers a ON a.url = i.url)"""
+
+# What a manifest must have.
+_TOP = ["product", "sources", "profile", "repositories", "automation_pack", "engineering_readiness"]
+_PARTS = ["product.name", "product.slug", "product.mode", "product.vault_path", "product.workspace_path", "sources.corpus_path", "sources.mirror_path", "sources.auth_cache_path", "profile.intelligence_path", "repositories.local_clone_root", "repositories.safe_mirror_root"]
+_OF_ITEM = ["owner", "name", "role", "default_branch", "local_path", "url"]
+
+
+def _given(x: str) -> str:
+    return f"""coalesce({x}::VARCHAR, 'null') NOT IN ('null', 'false', '0', '0.0', '""', '[]', '{{}}')"""
+
+
+def _at(path: str) -> str:
+    return f"json_extract(j, '$.{path}')"
+
+
+def _rule(field: str, message: str, broken: str, source: str = "good", level: str = "error") -> str:
+    return f"SELECT manifest, '{level}' AS level, {field} AS field, {message} AS message FROM {source} WHERE {broken}"
+
+
+_PARSED = """root AS (SELECT manifest, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text::JSON END AS j FROM manifests), good AS (SELECT * FROM root WHERE j IS NOT NULL),
+items AS (SELECT manifest, unnest(l) AS item, unnest(range(0, len(l))) AS i FROM (SELECT manifest, json_extract(j, '$.repositories.items[*]') AS l FROM good)),
+named AS (SELECT manifest, item ->> '$.name' AS name, count(*) AS n FROM items WHERE json_type(item) = 'OBJECT' GROUP BY 1, 2),
+cats AS (SELECT manifest, unnest(json_extract(j, '$.engineering_readiness.categories[*]')) AS c FROM good)"""
+_VIOLATIONS = " UNION ALL ".join([
+    _rule("''", "'the root must be a mapping'", "j IS NULL", "root"),
+    *(_rule(f"'{k}'", "'is required'", f"{_at(k)} IS NULL") for k in _TOP), *(_rule(f"'{k}'", "'is no mapping'", f"{_at(k)} IS NOT NULL AND json_type(j, '$.{k}') <> 'OBJECT'") for k in _TOP),
+    *(_rule(f"'{k}'", "'is required'", f"NOT {_given(_at(k))}") for k in _PARTS), _rule("'repositories.items'", "'is empty'", f"NOT {_given(_at('repositories.items'))}"),
+    _rule("concat('repositories.items[', i, ']')", "'is no mapping'", "json_type(item) <> 'OBJECT'", "items"),
+    *(_rule(f"concat('repositories.items[', i, '].{k}')", "'is required'", f"json_type(item) = 'OBJECT' AND {_given('item')} AND NOT {_given(f'''json_extract(item, '$.{k}')''')}", "items") for k in _OF_ITEM),
+    _rule("'repositories.items'", "concat(name, ' occurs more than once')", "n > 1 AND name IS NOT NULL", "named"),
+    _rule("concat('engineering_readiness.', c ->> '$.key')", "'status is none of done, partial, missing'", "(c ->> '$.status') NOT IN ('done', 'partial', 'missing')", "cats"),
+    *(_rule(f"'{k}'", "'is empty'", f"NOT {_given(_at(k))}", level="warning") for k in ("engineering_readiness.categories", "automation_pack")),
+])
+_MISSING = " UNION ALL ".join([
+    *(_rule(f"'{k}'", f"concat(j ->> '$.{k}', ' does not exist')", f"{_given(_at(k))} AND (j ->> '$.{k}') NOT IN (SELECT path FROM paths)", level="warning") for k in ("product.vault_path", "product.workspace_path", "sources.corpus_path", "repositories.local_clone_root")),
+    _rule("concat('repositories.items[', i, '].local_path')", "concat(item ->> '$.local_path', ' does not exist')", "(item ->> '$.local_path') NOT IN (SELECT path FROM paths)", "items", "warning"),
+])
+
 ORACLE_SQL = {
+    "manifest_violations": with_views(f"WITH {_PARSED} {_VIOLATIONS} UNION ALL {_MISSING}", "manifests", "paths"),
+    "manifest_readiness": with_views(f"WITH {_PARSED}, s AS (SELECT manifest, CASE WHEN (c ->> '$.status') IN ('done', 'partial') THEN c ->> '$.status' ELSE 'missing' END AS status, count(*) AS n FROM cats GROUP BY 1, 2) SELECT status, n, count(*) AS n_manifests FROM s GROUP BY 1, 2", "manifests"),
+    "portfolio_doctor": with_views(f"""WITH {_PARSED}, v AS ({_VIOLATIONS}), d AS (SELECT manifest, j IS NOT NULL AS manifest_ok, manifest NOT IN (SELECT manifest FROM v WHERE level = 'error') AS validate_ok, coalesce(j ->> '$.product.vault_path', '?') AS vault FROM root),
+e AS (SELECT manifest, manifest_ok, validate_ok, vault IN (SELECT path FROM paths) AS vault_ok, vault || '/audit.md' IN (SELECT path FROM paths) AS audit_ok, vault || '/readiness.md' IN (SELECT path FROM paths) AS readiness_ok FROM d)
+SELECT *, manifest_ok AND validate_ok AND vault_ok AND audit_ok AND readiness_ok AS healthy FROM e""", "manifests", "paths"),
+    "inventory_ordered": with_views(f"WITH {_RECORDS} SELECT *, row_number() OVER (ORDER BY status, domain, url) AS position FROM rec", "links", "known", "answers"),
+    "sink_counts": with_views(f"WITH {_RECORDS} SELECT 'support_articles' AS name, count(*) AS n FROM notes WHERE kind = 'support' UNION ALL SELECT 'wiki_pages', count(*) FROM notes WHERE kind = 'wiki' UNION ALL SELECT 'external_links', count(*) FROM rec UNION ALL SELECT 'repo_snapshots', count(DISTINCT repo) FROM files", "notes", "files", "links", "known", "answers"),
     "frontmatter_fields": with_views(f"WITH {_FIELDS} SELECT note_id, field, len(v) AS n, array_to_string(v, '|') AS shown FROM valued", "vault_notes"),
     "tag_counts": with_views(rf"WITH {_FIELDS}, t AS (SELECT DISTINCT note_id, unnest(regexp_split_to_array(lower(regexp_replace(array_to_string(v, ', '), '[\[\]#,]+', ' ', 'g')), '\s+')) AS tag FROM valued WHERE field = 'tags') SELECT tag, count(*) AS n FROM t WHERE tag <> '' GROUP BY tag", "vault_notes"),
     "unique_stems": with_views(f"WITH {_STEMS}, {_round(1)}, {_round(2)}, {_round(3)} SELECT key, name FROM done3", "notes", "files"),

@@ -52,6 +52,13 @@ UNION ALL SELECT url, concat('wiki/', page_id % 13) AS ref, page_id FROM pages""
         ["pages"],
         """SELECT url, CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 503 ELSE 200 END AS http_status, CASE WHEN page_id % 13 = 5 THEN 'timeout' END AS error,
   CASE page_id % 17 WHEN 3 THEN '' WHEN 4 THEN concat('Please Log In first. ', html) ELSE html END AS body FROM pages WHERE page_id % 19 <> 7""",
+    ),
+    "answers": (
+        ["pages"],
+        """SELECT url, CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 401 WHEN 2 THEN 503 ELSE 200 END AS http_status, CASE WHEN page_id % 13 = 5 THEN 'timeout' END AS error,
+  CASE page_id % 17 WHEN 3 THEN '' WHEN 4 THEN concat('Please Log In first. ', html) ELSE html END AS body,
+  CASE page_id % 5 WHEN 0 THEN concat('https://moved.test.org/to/', page_id, '?from=1') WHEN 1 THEN 'https://Home.test.org' ELSE url END AS final_url,
+  CASE page_id % 7 WHEN 0 THEN 'text/plain' WHEN 1 THEN '' ELSE 'text/html; charset=utf-8' END AS content_type FROM pages WHERE page_id % 19 <> 7""",
     ),
     "note_pages": (
         ["documents"],
@@ -68,6 +75,22 @@ UNION ALL SELECT concat('http://bot:pw', doc_id, '@host.test.org/x') AS url, 200
     'title: "say ', doc_id, ': ', chr(92), '"', lang, chr(92), '""', {NL}, CASE WHEN doc_id % 2 = 0 THEN concat('summary: >', {NL}, '  first ', lang, {NL}, '  then ', source, {NL}) ELSE concat('summary: one ', source, {NL}, '  and ', lang, {NL}) END,
     'empty:', {NL}, 'at: 10:', doc_id % 60, {NL}, '---', {NL}, text) AS body
 FROM documents""",
+    ),
+    "manifests": (
+        ["documents"],
+        """SELECT concat('p', doc_id) AS manifest, CASE WHEN doc_id % 31 = 0 THEN '{"product": ' ELSE concat('{"product": {"name": "P ', lang, '", "slug": ', CASE WHEN doc_id % 7 = 0 THEN '""' ELSE concat('"p', doc_id, '"') END,
+  ', "mode": "product", "vault_path": "vaults/', doc_id % 50, '", "workspace_path": ', CASE WHEN doc_id % 9 = 5 THEN 'null' ELSE '"."' END, '}, ',
+  CASE WHEN doc_id % 5 = 1 THEN '' ELSE '"sources": {"corpus_path": "c", "mirror_path": "m", "auth_cache_path": "a"}, ' END, '"profile": ', CASE WHEN doc_id % 11 = 2 THEN '3' ELSE '{"intelligence_path": "i.yaml"}' END,
+  ', "repositories": {"local_clone_root": "r", "safe_mirror_root": "m", "items": [', CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('{"owner": "o", "name": "', source, '", "role": "web", "default_branch": "main", "local_path": "x', doc_id % 3, '", "url": "u"}, {"owner": "o", "name": "',
+    CASE WHEN doc_id % 6 = 1 THEN source ELSE 'other' END, '", "role": "api", "default_branch": "main", "local_path": "x1"', CASE WHEN doc_id % 8 = 3 THEN '' ELSE ', "url": "u"' END, '}', CASE WHEN doc_id % 13 = 4 THEN ', 5' ELSE '' END) END,
+  ']}, "automation_pack": {', CASE WHEN doc_id % 10 = 3 THEN '' ELSE '"daily": {"automation_id": "d", "status": "on"}' END, '}, "engineering_readiness": {"categories": [',
+    CASE WHEN doc_id % 12 = 7 THEN '' ELSE concat('{"key": "tests", "status": "done"}, {"key": "docs"', CASE doc_id % 3 WHEN 0 THEN ', "status": "partial"' WHEN 1 THEN ', "status": "odd"' ELSE '' END, '}') END, ']}}') END AS text
+FROM documents""",
+    ),
+    "paths": (
+        ["documents"],
+        """SELECT concat('vaults/', doc_id % 40) AS path FROM documents UNION ALL SELECT concat('vaults/', doc_id % 30, '/audit.md') FROM documents
+UNION ALL SELECT concat('vaults/', doc_id % 45, '/readiness.md') FROM documents UNION ALL SELECT concat('x', doc_id % 2) FROM documents UNION ALL SELECT 'c' AS path FROM documents""",
     ),
     "graph_notes": (
         ["documents"],

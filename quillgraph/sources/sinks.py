@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,6 +32,16 @@ def summary(**tables: DataFrame) -> DataFrame:
     return first
 
 
+def write_inventories(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
+    """Write every table as JSON below path/<name>, and tell how many rows each has: they are counted while they are written."""
+    counts = {}
+    for name, df in tables.items():
+        seen = Observation(name)
+        write_json(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{name}")
+        counts[name] = seen.get["n"]
+    return counts
+
+
 def scalar(x: Column) -> Column:
     """A YAML scalar: JSON text, which YAML reads."""
     return F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
