@@ -63,18 +63,18 @@ def code_hit_top_files(spark, sf_dir):
     return Cs.top(_hits(spark, sf_dir)).select("topic", "repo", "path", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _kept(spark, sf_dir):
+def kept(spark, sf_dir):
     return Cs.prune(Cs.top(_hits(spark, sf_dir), 60))
 
 
 def code_hit_prune(spark, sf_dir):
-    return _kept(spark, sf_dir).select("topic", "repo", "path", F.col("place").cast("long").alias("place"))
+    return kept(spark, sf_dir).select("topic", "repo", "path", F.col("place").cast("long").alias("place"))
 
 
 def note_hits(spark, sf_dir):
     """The code found for each note, by its topics."""
     notes = Q.classified(spark, sf_dir).select("note_id", "kind", "topics", F.array("title", "section").alias("keywords"))
-    return Cs.for_notes(notes, _kept(spark, sf_dir))
+    return Cs.for_notes(notes, kept(spark, sf_dir))
 
 
 def code_hit_rerank(spark, sf_dir):
@@ -83,7 +83,7 @@ def code_hit_rerank(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     """Files that notes and topics use."""
-    return Cs.registry(note_hits(spark, sf_dir), _kept(spark, sf_dir))
+    return Cs.registry(note_hits(spark, sf_dir), kept(spark, sf_dir))
 
 
 def code_reference_registry(spark, sf_dir):
@@ -97,25 +97,25 @@ def code_refs_per_repo(spark, sf_dir):
 
 def code_analysis(spark, sf_dir):
     """What there is to say of each file, with the sample line of the files that topics keep."""
-    samples = _kept(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("sample", F.struct("topic", "place")).alias("sample"))  # KEPT files a topic at most
+    samples = kept(spark, sf_dir).groupBy("repo", "path").agg(F.min_by("sample", F.struct("topic", "place")).alias("sample"))  # KEPT files a topic at most
     files = _files(spark, sf_dir).join(F.broadcast(samples), ["repo", "path"], "left")
     told = files.select("file_id", C.analysis(F.col("body"), F.col("path"), F.col("sample"), STALE_HOSTS).alias("a")).select("file_id", "a.*")
     lists = ("classes", "functions", "types", "comments", "implementation", "intentions", "risks", "conflicts")
     return told.select("file_id", "language", "artifact_kind", *(F.array_join(c, "|").alias(c) for c in lists))
 
 
-def _conflicts(spark, sf_dir):
+def conflicts(spark, sf_dir):
     rows = Q.classified(spark, sf_dir).select("note_id", "body", To.repos_of(F.col("topics"), PROFILE).alias("repos"))
     return N.with_conflicts(rows, *Q.link_records(spark, sf_dir), note_hits(spark, sf_dir))
 
 
 def note_conflicts(spark, sf_dir):
     """Conflicts of each note, from the inventory of its links and the code found for it."""
-    return _conflicts(spark, sf_dir).withColumn("conflicts", F.array_join("conflicts", ","))
+    return conflicts(spark, sf_dir).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 def conflict_counts(spark, sf_dir):
-    return L.counts(_conflicts(spark, sf_dir).select(F.explode("conflicts").alias("kind")), "kind")
+    return L.counts(conflicts(spark, sf_dir).select(F.explode("conflicts").alias("kind")), "kind")
 
 
 def representative_files(spark, sf_dir):
@@ -131,7 +131,7 @@ def file_owner(spark, sf_dir):
 def rendered_notes(spark, sf_dir):
     """Every note as a whole: what is known of it, and its own text."""
     rows = Q.classified(spark, sf_dir).select("note_id", "kind", "section", "title", "body", "topics")
-    done = N.rendered(rows, Q.related(spark, sf_dir), note_hits(spark, sf_dir), _conflicts(spark, sf_dir))
+    done = N.rendered(rows, Q.related(spark, sf_dir), note_hits(spark, sf_dir), conflicts(spark, sf_dir))
     return done.select("note_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
@@ -230,7 +230,7 @@ by_topics AS (SELECT repo, path, list(topic ORDER BY topic) AS t FROM of_topics
 reg AS (SELECT f.repo, f.path, f.line_number, f.sample, coalesce(len(s), 0) AS n_support, coalesce(len(w), 0) AS n_wiki, len(t) AS n_topic,
   coalesce(array_to_string(s[1:60], ','), '') AS support, coalesce(array_to_string(w[1:60], ','), '') AS wiki, array_to_string(t[1:40], ',') AS topics FROM first f JOIN by_notes USING (repo, path) JOIN by_topics USING (repo, path))"""
 _KINDS = _list(["CASE WHEN n_stale > 0 THEN 'documentation-drift' END", "CASE WHEN n_shut > 0 THEN 'restricted-source' END", "CASE WHEN r.note_id IS NOT NULL AND n_hits IS NULL THEN 'code-traceability-gap' END", "CASE WHEN contains(lower(body), 'gitlab') AND coalesce(n_stale, 0) = 0 THEN 'documentation-drift' END"])
-_CONFLICT = f"""{_PICKED}, {Q.REPOS}, {Q.RECORDS},
+CONFLICT = f"""{_PICKED}, {Q.REPOS}, {Q.RECORDS},
 per AS (SELECT note_id, count(*) AS n_links, count(*) FILTER (WHERE status = 'stale-doc-reference') AS n_stale, count(*) FILTER (WHERE status IN ('blocked', 'needs-google-drive')) AS n_shut FROM said JOIN rec USING (url) GROUP BY note_id),
 found AS (SELECT note_id, count(*) AS n_hits FROM picked GROUP BY note_id), roots AS (SELECT DISTINCT note_id FROM top JOIN repos USING (topic)),
 con AS (SELECT n.note_id, coalesce(n_links, 0) AS n_links, coalesce(n_stale, 0) AS n_stale, coalesce(n_hits, 0) AS n_hits, {_KINDS} AS kinds
@@ -258,7 +258,7 @@ def _ids(x: str) -> str:
 
 
 _GAP = "concat(chr(10), chr(10))"
-_RENDERED = f"""WITH {_CONFLICT}, {Q.RELATED},
+_RENDERED = f"""WITH {CONFLICT}, {Q.RELATED},
 code AS (SELECT note_id, list(concat(repo, ':', path) ORDER BY pos) AS code FROM picked GROUP BY note_id), topics AS (SELECT note_id, list(topic ORDER BY place) AS topics FROM top GROUP BY note_id),
 facts AS (SELECT n.*, {Q.HEADINGS} AS h, {Q.BULLETS} AS b, {Q.PARAS} AS p, code, topics, kinds, related_support, related_wiki, {S.display_title('title')} AS shown, {S.imported('body')} AS content
   FROM notes n LEFT JOIN code USING (note_id) LEFT JOIN topics USING (note_id) LEFT JOIN con USING (note_id) LEFT JOIN related USING (note_id)),
@@ -276,8 +276,8 @@ ORACLE_SQL = {
     "code_risks": with_views(f"SELECT file_id, {_RISK_LIST} AS risks, {_CONFLICT_LIST} AS conflicts FROM files", "files"),
     "implementation_signals": with_views(f"SELECT file_id, {_SHOWN} AS signals, array_to_string({_SYSTEM_LIST}, ',') AS systems, {_FOCUS} AS focus FROM files", "files"),
     "code_analysis": with_views(_ANALYSIS, "files"),
-    "note_conflicts": with_views(f"WITH {_CONFLICT} SELECT note_id, n_links, n_stale, n_hits, array_to_string(kinds, ',') AS conflicts FROM con", "files", "notes", "known", "note_pages"),
-    "conflict_counts": with_views(f"WITH {_CONFLICT} SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM con) GROUP BY kind", "files", "notes", "known", "note_pages"),
+    "note_conflicts": with_views(f"WITH {CONFLICT} SELECT note_id, n_links, n_stale, n_hits, array_to_string(kinds, ',') AS conflicts FROM con", "files", "notes", "known", "note_pages"),
+    "conflict_counts": with_views(f"WITH {CONFLICT} SELECT kind, count(*) AS n FROM (SELECT unnest(kinds) AS kind FROM con) GROUP BY kind", "files", "notes", "known", "note_pages"),
     "identifier_words": with_views(f"SELECT file_id, lower({S.norm('''regexp_replace(translate(path, '_-', '  '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')''')}) AS words FROM files", "files"),
     "code_search": with_views(f"WITH {_HITS} SELECT topic, repo, path, score, line_number, sample FROM hits", "files"),
     "code_hit_top_files": with_views(f"WITH {_RANKED} SELECT topic, repo, path, score, rank FROM ranked WHERE rank <= 40", "files"),
