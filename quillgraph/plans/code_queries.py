@@ -8,8 +8,11 @@ from ..functions import code as C
 from ..functions import text as T
 from ..operators import code_search as Cs
 from ..operators import links as L
+from ..operators import note_pages as Np
 from ..operators import notes as N
 from ..operators import topics as To
+from ..sources import files
+from ..sources.shared import saved
 from . import note_queries as Q
 from . import sqltext as S
 from .profile import PROFILE
@@ -81,18 +84,18 @@ def code_hit_rerank(spark, sf_dir):
     return note_hits(spark, sf_dir).select("note_id", "repo", "path", F.col("points").cast("long").alias("points"), F.col("place").cast("long").alias("place"))
 
 
-def _registry(spark, sf_dir):
+def registry(spark, sf_dir):
     """Files that notes and topics use."""
     return Cs.registry(note_hits(spark, sf_dir), kept(spark, sf_dir))
 
 
 def code_reference_registry(spark, sf_dir):
-    rows = _registry(spark, sf_dir)
+    rows = registry(spark, sf_dir)
     return rows.select("repo", "path", F.col("line_number").cast("long").alias("line_number"), "sample", "n_support", "n_wiki", "n_topic", *(F.array_join(c, ",").alias(c) for c in ("support", "wiki", "topics")))
 
 
 def code_refs_per_repo(spark, sf_dir):
-    return L.counts(_registry(spark, sf_dir), "repo")
+    return L.counts(registry(spark, sf_dir), "repo")
 
 
 def code_analysis(spark, sf_dir):
@@ -118,6 +121,23 @@ def conflict_counts(spark, sf_dir):
     return L.counts(conflicts(spark, sf_dir).select(F.explode("conflicts").alias("kind")), "kind")
 
 
+def _digests(rows, *keys):
+    return rows.select(*keys, F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
+def code_notes(spark, sf_dir):
+    """A note for each file that notes and topics refer to."""
+    refs = saved(registry(spark, sf_dir), "code-registry")
+    return _digests(Np.code_notes(refs, _files(spark, sf_dir), STALE_HOSTS), "repo", "path")
+
+
+def repo_notes(spark, sf_dir):
+    """A note for each repository."""
+    listed = saved(_files(spark, sf_dir).select("repo", "path").distinct(), "repo-files")
+    topics = spark.createDataFrame([(r, t.title) for t in PROFILE for r in t.repos], "repo string, topic string")
+    return _digests(Np.repo_notes(files.repo_snapshot(listed), listed, topics), "repo")
+
+
 def representative_files(spark, sf_dir):
     return Cs.representative(_files(spark, sf_dir).select("repo", "path").distinct()).select("repo", "path", F.col("place").cast("long").alias("place"))
 
@@ -135,7 +155,7 @@ def rendered_notes(spark, sf_dir):
     return done.select("note_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
-QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, rendered_notes, representative_files, file_owner)}
+QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, rendered_notes, representative_files, file_owner, code_notes, repo_notes)}
 
 _NAME = "list_last(string_split(path, '/'))"
 _SUFFIX = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1))"
@@ -242,10 +262,11 @@ _MADE = f"list_filter(list_concat([concat('kind: ', kind), {_line('classes', 'cl
 _NAMES = S.unique(f"list_transform(list_concat(classes, functions, types), lambda v: {_words('v')})", 5)
 _MEANT = f"list_filter(list_concat(t[1:2], [{_line('path', 'focus', 5)}, {_line('symbols', 'named', 5)}, CASE WHEN coalesce(sample, '') <> '' THEN concat('matches: ', left({S.norm('sample')}, 180)) END]), lambda v: v IS NOT NULL)"
 _TOLD = S.unique("CASE WHEN len(meant) > 0 THEN meant ELSE [concat('found by search: ', lower(kind))] END", 6)
-_ANALYSIS = f"""WITH {_COMMENTS}, {_KEPT}, samples AS (SELECT repo AS r, path AS of_path, arg_min(sample, (topic, place)) AS sample FROM kept GROUP BY repo, path),
+_ANALYSED = f"""samples AS (SELECT repo AS r, path AS of_path, arg_min(sample, (topic, place)) AS sample FROM kept GROUP BY repo, path),
 whole AS (SELECT files.*, {S.unique('t', 4)} AS t, sample FROM files JOIN t USING (file_id) LEFT JOIN samples ON r = repo AND of_path = path),
 each AS (SELECT *, {_LANGUAGE} AS language, {_KIND} AS kind, {', '.join(f'{x} AS {k}' for k, x in _SYMBOL_LISTS.items())}, string_split(nullif({_SHOWN}, ''), ',') AS shown, {_SYSTEM_LIST} AS systems, {_FOCUS_LIST} AS focus, {_RISK_LIST} AS risks, {_CONFLICT_LIST} AS conflicts FROM whole),
-named AS (SELECT *, {_NAMES} AS named FROM each), meant AS (SELECT *, {_MEANT} AS meant FROM named)
+named AS (SELECT *, {_NAMES} AS named FROM each), meant AS (SELECT *, {_MEANT} AS meant FROM named)"""
+_ANALYSIS = f"""WITH {_COMMENTS}, {_KEPT}, {_ANALYSED}
 SELECT file_id, language, kind AS artifact_kind, {', '.join(f"array_to_string({k}, '|') AS {k}" for k in _SYMBOL_LISTS)}, array_to_string(t, '|') AS comments, array_to_string({_MADE}, '|') AS implementation,
   array_to_string({_TOLD}, '|') AS intentions, replace(risks, ',', '|') AS risks, replace(conflicts, ',', '|') AS conflicts FROM meant"""
 
@@ -267,7 +288,45 @@ whole AS (SELECT note_id, concat_ws({_GAP}, concat('---', chr(10), 'type: "conce
   {_part('Topics', 'topics', 'None.')}, {_part('Source code', 'code', 'No code was found.')}, {_part('Conflicts', 'kinds', 'None.')}, '## Content', content) AS body FROM facts)
 SELECT note_id, length(body) AS n_chars, md5(body) AS body_md5 FROM whole"""
 
+def _block(title: str, lines: str, otherwise: str = "NULL") -> str:
+    return f"CASE WHEN len({lines}) > 0 THEN concat('## {title}', {_GAP}, array_to_string(list_transform({lines}, lambda v: concat('- ', v)), chr(10))) ELSE {otherwise} END"
+
+
+def _none(title: str) -> str:
+    return f"concat('## {title}', {_GAP}, '- None was seen.')"
+
+
+def _tick(lines: str) -> str:
+    return f"CASE WHEN len({lines}) > 0 THEN array_to_string(list_transform({lines}, lambda v: concat('`', v, '`')), ', ') ELSE '(none found)' END"
+
+
+def _wiki(lines: str, prefix: str = "") -> str:
+    return f"list_transform({lines}, lambda v: concat('[[{prefix}', v, ']]'))"
+
+
+_PIPED = "string_split(nullif({x}, ''), ',')"
+_CODE_NOTES = f"""WITH {_COMMENTS}, {_REGISTRY}, {_ANALYSED}, made AS (SELECT *, {_MADE} AS made, {_TOLD} AS told FROM meant),
+one AS (SELECT m.*, r.line_number, r.sample AS said, r.n_support, r.n_wiki, r.n_topic, {_PIPED.format(x="r.support")} AS s, {_PIPED.format(x="r.wiki")} AS w, {_PIPED.format(x="r.topics")} AS tt, row_number() OVER (PARTITION BY m.repo, m.path ORDER BY file_id) AS nth FROM made m JOIN reg r USING (repo, path)),
+note AS (SELECT repo, path, concat_ws({_GAP}, concat('---', chr(10), 'type: "concept"', chr(10), 'source: "code-search"', chr(10), 'repo: "', repo, '"', chr(10), 'language: "', language, '"', chr(10), 'risk_count: ', coalesce(len(string_split(nullif(risks, ''), ',')), 0), chr(10), 'conflict_count: ', coalesce(len(string_split(nullif(conflicts, ''), ',')), 0), chr(10), 'tags:', chr(10), '  - "code-reference"', chr(10), '  - "', repo, '"', chr(10), '---'),
+  concat('# ', repo, '/', path), concat('- Repository: [[Repo - ', repo, ']]', chr(10), '- Path: `', path, '`', chr(10), '- First line: `', line_number, '`'),
+  concat_ws(chr(10), concat('## Summary', {_GAP}, '- Language: `', language, '`'), concat('- Kind: ', kind), CASE WHEN len(classes) > 0 THEN concat('- Classes: ', {_tick('classes')}) END, CASE WHEN len(functions) > 0 THEN concat('- Functions: ', {_tick('functions')}) END, CASE WHEN len(types) > 0 THEN concat('- Types: ', {_tick('types')}) END, CASE WHEN len(classes) + len(functions) + len(types) = 0 THEN '- Nothing is named.' END),
+  {_block('Intentions', 'told')}, CASE WHEN coalesce(said, '') <> '' THEN concat('## Representative match', {_GAP}, '`', said, '`') END, concat('## Relevance', {_GAP}, '- Support notes: `', n_support, '`', chr(10), '- Wiki notes: `', n_wiki, '`', chr(10), '- Topics: `', n_topic, '`'),
+  {_block('Implementation', 'made')}, {_block('Risks', "string_split(nullif(risks, ''), ',')", _none('Risks'))}, {_block('Conflicts', "string_split(nullif(conflicts, ''), ',')", _none('Conflicts'))}, {_block('Topics', _wiki('tt[1:20]'))}, {_block('Support notes', _wiki('s[1:30]', 'note-'))}, {_block('Wiki notes', _wiki('w[1:30]', 'note-'))},
+  concat('## Related notes', {_GAP}, '- [[Code Reference Index]]', chr(10), '- [[Code Intelligence Hub]]')) AS body FROM one WHERE nth = 1)
+SELECT repo, path, length(body) AS n_chars, md5(body) AS body_md5 FROM note"""
+_REPO_TOPICS = "(VALUES ('src0', ['Billing']), ('src1', ['Delivery']), ('src2', ['Delivery']), ('src3', ['Billing']), ('src4', ['Billing']), ('src5', ['Access']), ('src6', ['Search']), ('src7', ['Search']), ('src99', ['Legacy'])) v(repo, topics)"
+_REPO_NOTES = f"""WITH listed AS (SELECT DISTINCT repo, path FROM files), ranked AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY CASE WHEN path = 'Dockerfile' THEN 3 ELSE 10 END, path) AS k FROM listed WHERE len(string_split(path, '/')) <= 4 AND {_CODE} AND NOT {_IGNORED}),
+snap AS (SELECT repo, coalesce(list(DISTINCT path ORDER BY path) FILTER (WHERE path IN ('README.md', 'package.json', 'Gemfile', 'Podfile', 'DockerFile', 'docker-compose.yml')), []) AS keys, list(DISTINCT split_part(path, '/', 1) ORDER BY split_part(path, '/', 1)) FILTER (WHERE contains(path, '/') AND NOT starts_with(path, '.')) AS dirs,
+  coalesce(list(DISTINCT split_part(path, '/', 2) ORDER BY split_part(path, '/', 2)) FILTER (WHERE regexp_matches(path, '^apps/[^/]+/')), []) AS apps, coalesce(list(DISTINCT split_part(path, '/', 2) ORDER BY split_part(path, '/', 2)) FILTER (WHERE regexp_matches(path, '^services/[^/]+/')), []) AS services FROM listed GROUP BY repo),
+best AS (SELECT repo, list(concat('`', path, '`') ORDER BY k) AS shown FROM ranked WHERE k <= 14 GROUP BY repo),
+note AS (SELECT s.repo, concat_ws({_GAP}, concat('---', chr(10), 'type: "concept"', chr(10), 'source: "repository-scan"', chr(10), 'repo: "', s.repo, '"', chr(10), 'tags:', chr(10), '  - "repo"', chr(10), '---'), concat('# ', s.repo),
+  concat('## Structure', {_GAP}, '- Top-level directories: ', {_tick('dirs[1:12]')}, chr(10), '- Key files: ', {_tick('keys')}), {_block('Apps', "list_transform(apps[1:20], lambda v: concat('`', v, '`'))")}, {_block('Services', "list_transform(services[1:25], lambda v: concat('`', v, '`'))")},
+  {_block('Representative files', 'shown')}, {_block('Topics', _wiki('topics', 'Capability - '), "concat('## Topics', chr(10), chr(10), '- [[Product Capability Map]]')")}, concat('## Related notes', {_GAP}, '- [[Repo Catalog]]', chr(10), '- [[Code Intelligence Hub]]')) AS body FROM snap s LEFT JOIN best USING (repo) LEFT JOIN {_REPO_TOPICS} USING (repo))
+SELECT repo, length(body) AS n_chars, md5(body) AS body_md5 FROM note"""
+
 ORACLE_SQL = {
+    "code_notes": with_views(_CODE_NOTES, "files", "notes"),
+    "repo_notes": with_views(_REPO_NOTES, "files"),
     "rendered_notes": with_views(_RENDERED, "files", "notes", "known", "note_pages"),
     "language_classify": with_views(f"SELECT {_LANGUAGE} AS language, count(*) AS n FROM files GROUP BY 1", "files"),
     "artifact_kind": with_views(f"SELECT file_id, {_KIND} AS kind, {_CODE} AS is_code, {_IGNORED} AS is_ignored FROM files", "files"),

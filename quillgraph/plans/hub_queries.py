@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import hubs as H
 from ..operators.hubs import Block, Hub, Part
+from ..operators.lookup import lookup
 from ..sources import files
 from ..sources.shared import saved
 from . import code_queries as C
@@ -52,8 +53,20 @@ HUBS = [
 ]
 
 
-def _fact(rows: DataFrame, fact: str, section: Column | str, order: Column, line: Column) -> DataFrame:
-    return rows.select(F.lit(fact).alias("fact"), (F.lit(section) if isinstance(section, str) else section).alias("section"), order.cast("string").alias("ord"), line.alias("line"))
+#: Notes of topics: hubs whose parts show the topic's own section of a fact.
+CAPABILITIES = [
+    Hub(t.title, (Block((
+        Part("text", "## Coverage snapshot"), _BLANK, Part("total", "- Support notes: `{n}`", "support", t.title), Part("total", "- Wiki notes: `{n}`", "wiki_topic", t.title), Part("total", "- Repo notes: `{n}`", "topic_repo", t.title),
+        Part("total", "- Code hits: `{n}`", "code", t.title), Part("counts", "- Links, {one}: `{n}`", f"links of {t.title}"), _BLANK, Part("text", "## Linked domains"), _BLANK, Part("counts", "- {one}: `{n}`", f"domains of {t.title}", limit=8, top=True), _BLANK,
+        Part("text", "## Primary repositories"), _BLANK, Part("list", fact="topic_repo", section=t.title), _BLANK, Part("text", "## Representative code paths"), _BLANK, Part("list", fact="code", section=t.title, limit=20), _BLANK,
+        Part("text", "## Representative support notes"), _BLANK, Part("list", fact="support", section=t.title, limit=20), _BLANK, Part("text", "## Representative wiki notes"), _BLANK, Part("list", fact="wiki_topic", section=t.title, limit=20), _BLANK,
+    )),), ("capability", t.key), kind="area", folder="Capabilities", related=("Product Capability Map", "Support-to-Code Map"))
+    for t in PROFILE
+]
+
+
+def _fact(rows: DataFrame, fact: Column | str, section: Column | str, order: Column, line: Column) -> DataFrame:
+    return rows.select((F.lit(fact) if isinstance(fact, str) else fact).alias("fact"), (F.lit(section) if isinstance(section, str) else section).alias("section"), order.cast("string").alias("ord"), line.alias("line"))
 
 
 def facts(spark, sf_dir) -> DataFrame:
@@ -74,6 +87,7 @@ def facts(spark, sf_dir) -> DataFrame:
     shown = F.concat(F.lit("`"), "path", F.lit("`: "), "title")
     topics = spark.createDataFrame([(t.title, f"{i:03}", f"`{r}`") for t in PROFILE for i, r in enumerate(t.repos)], "title string, at string, repo string")
     listed = lambda name, n: F.array_join(F.transform(F.slice(name, 1, n), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    of_topic = lookup(links, inventory, "url", how="inner").join(notes.select("note_id", F.explode("topics").alias("topic")), "note_id")
     every = [
         _fact(article.withColumn("topic", F.explode("topics")), "support", named(F.col("topic")), number, F.col("link")), _fact(article, "article", "", by_title, shown),
         _fact(wiki, "wiki", F.col("section"), by_title, F.col("link")), _fact(wiki, "wiki_page", F.col("section"), by_title, shown), _fact(wiki.withColumn("topic", F.explode("topics")), "wiki_topic", named(F.col("topic")), number, F.col("link")),
@@ -83,6 +97,7 @@ def facts(spark, sf_dir) -> DataFrame:
         _fact(kinds.join(notes.select("note_id", "link"), "note_id"), "conflict", F.col("kind"), number, F.col("link")),
         _fact(inventory, "link", F.col("status"), F.col("url"), F.col("url")), _fact(inventory, "domain", U.host(F.col("url")), F.col("url"), F.col("url")),
         _fact(links.join(inventory.where("status = 'stale-doc-reference'"), "url"), "stale", F.concat(F.lit("note-"), F.col("note_id").cast("string")), F.col("url"), F.col("url")),
+        _fact(of_topic, F.concat(F.lit("links of "), named(F.col("topic"))), F.col("status"), F.col("url"), F.col("url")), _fact(of_topic, F.concat(F.lit("domains of "), named(F.col("topic"))), U.host(F.col("url")), F.col("url"), F.col("url")),
     ]
     whole = every[0]
     for rows in every[1:]:
@@ -90,13 +105,21 @@ def facts(spark, sf_dir) -> DataFrame:
     return whole
 
 
+def _digest(done: DataFrame) -> DataFrame:
+    return done.select("hub", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
 def hub_notes(spark, sf_dir):
     """All hubs, maps, logs and indices of the vault, rendered."""
-    done = H.render(facts(spark, sf_dir), HUBS)
-    return done.select("hub", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+    return _digest(H.render(facts(spark, sf_dir), HUBS))
+
+
+def capability_notes(spark, sf_dir):
+    """A note for each topic: its articles, pages, repositories, code and links."""
+    return _digest(H.render(facts(spark, sf_dir), CAPABILITIES))
 
 
-QUERIES = {"hub_notes": hub_notes}
+QUERIES = {"hub_notes": hub_notes, "capability_notes": capability_notes}
 
 
 # The same in SQL: one SELECT for each part of each hub, glued together by string_agg.
@@ -119,7 +142,8 @@ UNION ALL SELECT 'repo', '', repo, concat('[[Repo - ', repo, ']]') FROM snap UNI
 UNION ALL SELECT 'code', {_TITLES}, path, path FROM kept UNION ALL SELECT DISTINCT 'code_ref', repo, path, concat('[[', {_SAFE.format(x="concat('Code Ref - ', repo, ' - ', replace(path, '/', ' -- '))", n=180)}, ']]') FROM kept
 UNION ALL SELECT 'conflict', c.kind, {_NUMBER}, link FROM (SELECT note_id, unnest(kinds) AS kind FROM con) c JOIN shown USING (note_id)
 UNION ALL SELECT 'link', status, url, url FROM rec UNION ALL SELECT 'domain', {S.host('url')}, url, url FROM rec
-UNION ALL SELECT 'stale', concat('note-', note_id), url, url FROM said JOIN rec USING (url) WHERE status = 'stale-doc-reference'),
+UNION ALL SELECT 'stale', concat('note-', note_id), url, url FROM said JOIN rec USING (url) WHERE status = 'stale-doc-reference'
+UNION ALL SELECT concat('links of ', t), status, url, url FROM by_topic JOIN said USING (note_id) JOIN rec USING (url) UNION ALL SELECT concat('domains of ', t), {S.host('url')}, url, url FROM by_topic JOIN said USING (note_id) JOIN rec USING (url)),
 per_section AS (SELECT fact, section, count(*) AS n FROM facts GROUP BY fact, section), per_fact AS (SELECT fact, count(*) AS n FROM facts GROUP BY fact),
 in_section AS (SELECT *, row_number() OVER (PARTITION BY fact, section ORDER BY ord, line) AS k FROM facts), in_fact AS (SELECT *, row_number() OVER (PARTITION BY fact ORDER BY ord, line) AS k FROM facts)"""
 
@@ -149,9 +173,9 @@ def _part_sql(hub: str, b: int, p: int, over: str, most: int, part: Part) -> str
     return listed + (f" UNION ALL {head}, {part.limit + 1}, replace({more}, '{{n}}', ({n} - {part.limit})::VARCHAR) FROM {source} WHERE {n} > {part.limit}" if part.more else "")
 
 
-def _sql() -> str:
-    parts = [_part_sql(hub, b, p, over, most, Part(kind, text, fact, section, lim, more, top)) for hub, b, p, over, most, kind, text, fact, section, lim, more, top in H.specification(HUBS)]
+def _sql(hubs: list[Hub]) -> str:
+    parts = [_part_sql(hub, b, p, over, most, Part(kind, text, fact, section, lim, more, top)) for hub, b, p, over, most, kind, text, fact, section, lim, more, top in H.specification(hubs)]
     return f"WITH {C.CONFLICT}, {_FACTS}, lines AS ({' UNION ALL '.join(parts)}), body AS (SELECT hub, string_agg(line, chr(10) ORDER BY b, place, p, step) AS body FROM lines GROUP BY hub) SELECT hub, length(body) AS n_chars, md5(body) AS body_md5 FROM body"
 
 
-ORACLE_SQL = {"hub_notes": with_views(_sql(), "files", "notes", "known", "note_pages")}
+ORACLE_SQL = {name: with_views(_sql(hubs), "files", "notes", "known", "note_pages") for name, hubs in (("hub_notes", HUBS), ("capability_notes", CAPABILITIES))}
