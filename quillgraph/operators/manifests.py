@@ -130,3 +130,52 @@ def doctor(manifests: DataFrame, known: DataFrame, told: DataFrame | None = None
     for f in flags[1:]:
         healthy = healthy & F.col(f)
     return rows.select("manifest", *flags, healthy.alias("healthy"))
+
+
+#: Paths of a manifest that a readiness report looks at.
+CHECKED = {
+    "Vault path": "product.vault_path", "Workspace path": "product.workspace_path", "Source corpus": "sources.corpus_path", "Source mirror": "sources.mirror_path", "Auth cache": "sources.auth_cache_path",
+    "Local clone root": "repositories.local_clone_root", "Safe mirror root": "repositories.safe_mirror_root",
+}
+_CATEGORY = "struct<key:string,title:string,status:string,ask:string,summary:string,evidence:array<string>,missing:array<string>,next_steps:array<string>>"
+
+
+def reports(manifests: DataFrame, known: DataFrame, home: str = "automations") -> DataFrame:
+    """manifest, body: the readiness report of every product: a summary by status, which paths exist, which automations are installed
+    (home/<id>/automation.toml), and the categories. known (path) are the paths that exist.
+
+    The paths of all manifests, some ten each, meet the known ones in one join and return to their manifests as a short list; a text
+    that is no JSON mapping has no report."""
+    roots = parsed(manifests).where("root IS NOT NULL")
+    get = lambda path, kind: F.try_variant_get("root", f"$.{path}", kind)
+    automations = get("automation_pack", "map<string,struct<automation_id:string,status:string>>")
+    rows = roots.select(
+        "manifest", *(F.coalesce(get(f"product.{k}", "string"), F.lit(other)).alias(k) for k, other in (("name", "Product"), ("slug", ""), ("mode", ""))),
+        F.coalesce(F.size(get("repositories.items", "array<variant>")), F.lit(0)).alias("n_repos"), F.coalesce(get("engineering_readiness.categories", f"array<{_CATEGORY}>"), F.expr(f"cast(array() as array<{_CATEGORY}>)")).alias("categories"),
+        F.array(*(F.struct(F.lit(i).alias("at"), F.lit(label).alias("label"), get(path, "string").alias("path")) for i, (label, path) in enumerate(CHECKED.items()))).alias("paths"),
+        F.array_sort(F.transform(F.filter(F.map_entries(F.coalesce(automations, F.expr("cast(map() as map<string,struct<automation_id:string,status:string>>)"))), lambda e: e["value"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"]["automation_id"], F.lit("")).alias("id"), F.coalesce(e["value"]["status"], F.lit("unknown")).alias("status")))).alias("automations"),
+    )
+    asked = F.concat(F.transform("paths", lambda p: p["path"]), F.transform("automations", lambda a: F.concat(F.lit(f"{home}/"), a["id"], F.lit("/automation.toml"))))
+    each = rows.select("manifest", F.explode(F.array_distinct(F.array_compact(asked))).alias("path"))
+    there = each.join(known.select("path").distinct(), "path", "left_semi").groupBy("manifest").agg(F.collect_set("path").alias("there"))  # some ten paths each
+    full = rows.join(there, "manifest", "left").withColumn("there", F.coalesce("there", F.expr("cast(array() as array<string>)")))
+    yes = lambda path: F.when(F.coalesce(F.array_contains("there", path), F.lit(False)), "yes").otherwise("no")
+    status = lambda c: F.when(c["status"].isin(STATUSES), c["status"]).otherwise("missing")
+    count = lambda s: F.size(F.filter("categories", lambda c: status(c) == s)).cast("string")
+    ticked = lambda label, x: F.concat(F.lit(f"- {label}: `"), x, F.lit("`"))
+
+    def listed(label: str, items: Column, mark: str = "") -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"- {label}:\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"  - {mark}"), x, F.lit(mark))), "\n")))
+
+    def category(c: Column) -> Column:
+        title = F.coalesce(c["title"], c["key"], F.lit("Untitled"))
+        said = F.when(F.coalesce(c["summary"], F.lit("")) != "", F.concat(F.lit("- Summary: "), c["summary"]))
+        return F.concat_ws("\n", F.concat(F.lit("### "), title, F.lit("\n")), ticked("Ask", F.coalesce(c["ask"], F.lit(""))), ticked("Status", status(c)), said, listed("Evidence", c["evidence"], "`"), listed("Missing", c["missing"]), listed("Next steps", c["next_steps"]))
+
+    automation = lambda a: F.concat(F.lit("- "), a["key"], F.lit(": id `"), F.when(a["id"] == "", "missing").otherwise(a["id"]), F.lit("`, status `"), a["status"], F.lit("`, installed `"), yes(F.concat(F.lit(f"{home}/"), a["id"], F.lit("/automation.toml"))), F.lit("`"))
+    parts = [
+        F.concat(F.lit("# "), "name", F.lit(" Engineering Readiness Report")), F.concat_ws("\n", ticked("Product slug", F.col("slug")), ticked("Mode", F.col("mode")), ticked("Repositories declared", F.col("n_repos").cast("string"))),
+        F.lit("## Status Summary"), F.concat_ws("\n", *(ticked(s.title(), count(s)) for s in STATUSES)), F.lit("## Runtime Checks"), F.array_join(F.transform("paths", lambda p: F.concat(F.lit("- "), p["label"], F.lit(" exists: `"), yes(p["path"]), F.lit("`"))), "\n"),
+        F.lit("## Automation Checks"), F.when(F.size("automations") > 0, F.array_join(F.transform("automations", automation), "\n")), F.lit("## Readiness Categories"), F.when(F.size("categories") > 0, F.array_join(F.transform("categories", category), "\n\n")),
+    ]
+    return full.select("manifest", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("body"))

@@ -108,7 +108,35 @@ def portfolio_doctor(spark, sf_dir):
     return Ms.doctor(derive(spark, sf_dir, "manifests"), derive(spark, sf_dir, "paths"))
 
 
-QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree, frontmatter_fields, tag_counts, inventory_ordered, sink_counts, manifest_violations, manifest_readiness, portfolio_doctor)}
+def readiness_reports(spark, sf_dir):
+    """The readiness report of every product."""
+    done = Ms.reports(derive(spark, sf_dir, "manifests"), derive(spark, sf_dir, "paths"), home="vaults")
+    return done.select("manifest", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+
+
+def scanned_sources(spark, sf_dir):
+    """Pages as a corpus of articles and a wiki: written as files, read back by the readers of both, listed as inventories in JSON and
+    read back from there."""
+    title, words = T.html_title(F.col("html"), F.col("url")), T.html_text(F.col("html"))
+    article = F.col("page_id") % 2 == 0
+    section = F.when(article, F.lit("corpus")).otherwise(F.when(F.col("page_id") % 3 == 0, F.lit("wiki")).otherwise(F.concat(F.lit("wiki/"), U.host(F.col("url")))))
+    name = F.concat_ws("-", F.when(F.col("page_id") % 4 != 2, F.col("page_id").cast("string")), F.lit("page"), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select(section.alias("section"), name.alias("name"), F.concat(F.lit("# "), title, F.lit("\n\nsee "), F.col("url"), F.lit("\n"), words).alias("body"))
+    root = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    note_files.write_tree(rows, root)
+    with note_files.small_files(spark):
+        articles, pages = files.support_articles(spark, f"{root}/corpus", "https://kb.test.org/a/{article_id}").drop("text"), files.wiki_pages(spark, f"{root}/wiki").drop("text")
+        sinks.write_inventories({"support_articles": articles, "wiki_pages": pages}, f"{root}-json")
+        both = [files.inventory(spark, f"{root}-json/{n}", n, lines=True) for n in ("support_articles", "wiki_pages")]
+        none = F.lit(None).cast("string")
+        out = saved(both[0].select(F.lit("article").alias("kind"), "article_id", "title", "relative_path", "source_url", F.col("category").alias("place"), F.col("link_count").cast("long").alias("link_count")).unionByName(
+            both[1].select(F.lit("wiki").alias("kind"), none.alias("article_id"), "title", "relative_path", none.alias("source_url"), F.col("section").alias("place"), F.col("link_count").cast("long").alias("link_count"))), "sources")
+    remove(spark, root)
+    remove(spark, f"{root}-json")
+    return out
+
+
+QUERIES = {f.__name__: f for f in (unique_stems, mirrored_tree, frontmatter_fields, tag_counts, inventory_ordered, sink_counts, manifest_violations, manifest_readiness, portfolio_doctor, readiness_reports, scanned_sources)}
 
 _SAFE = "coalesce(nullif(rtrim(left(trim(regexp_replace({x}, '[^A-Za-z0-9 ._-]+', '', 'g')), {n}), ' .'), ''), 'Untitled')"
 
@@ -209,7 +237,24 @@ _MISSING = " UNION ALL ".join([
     _rule("concat('repositories.items[', i, '].local_path')", "concat(item ->> '$.local_path', ' does not exist')", "(item ->> '$.local_path') NOT IN (SELECT path FROM paths)", "items", "warning"),
 ])
 
+_CHECKS = {"Vault path": "product.vault_path", "Workspace path": "product.workspace_path", "Source corpus": "sources.corpus_path", "Source mirror": "sources.mirror_path", "Auth cache": "sources.auth_cache_path", "Local clone root": "repositories.local_clone_root", "Safe mirror root": "repositories.safe_mirror_root"}
+_NL2 = "chr(10), chr(10)"
+_EXISTING = ", chr(10), ".join(f"'- {label} exists: `', CASE WHEN (j ->> '$.{path}') IN (SELECT path FROM paths) THEN 'yes' ELSE 'no' END, '`'" for label, path in _CHECKS.items())
+_REPORT = f"""WITH {_PARSED}, c AS (SELECT manifest, count(*) FILTER (WHERE (c ->> '$.status') = 'done') AS done, count(*) FILTER (WHERE (c ->> '$.status') = 'partial') AS partial, count(*) AS n,
+  string_agg(concat('### ', c ->> '$.key', {_NL2}, '- Ask: ``', chr(10), '- Status: `', CASE WHEN (c ->> '$.status') IN ('done', 'partial') THEN c ->> '$.status' ELSE 'missing' END, '`'), concat({_NL2}) ORDER BY (c ->> '$.key') DESC) AS shown FROM cats GROUP BY manifest),
+r AS (SELECT g.manifest, concat('# ', j ->> '$.product.name', ' Engineering Readiness Report', {_NL2}, '- Product slug: `', j ->> '$.product.slug', '`', chr(10), '- Mode: `product`', chr(10), '- Repositories declared: `', json_array_length(j, '$.repositories.items'), '`', {_NL2}, '## Status Summary', {_NL2},
+  '- Done: `', coalesce(done, 0), '`', chr(10), '- Partial: `', coalesce(partial, 0), '`', chr(10), '- Missing: `', coalesce(n - done - partial, 0), '`', {_NL2}, '## Runtime Checks', {_NL2}, {_EXISTING}, {_NL2}, '## Automation Checks', {_NL2},
+  CASE WHEN json_extract(j, '$.automation_pack.daily') IS NOT NULL THEN concat('- daily: id `d`, status `on`, installed `no`', {_NL2}) ELSE '' END, '## Readiness Categories', CASE WHEN shown IS NULL THEN '' ELSE concat({_NL2}, shown) END, chr(10)) AS body FROM good g LEFT JOIN c USING (manifest))
+SELECT manifest, length(body) AS n_chars, md5(body) AS body_md5 FROM r"""
+_HTML_TITLE = f"coalesce(nullif({S.norm(S.unescape('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)'''))}, ''), url)"
+_LINKS = f"len(list_distinct(regexp_extract_all(concat(url, chr(10), {S.html_text('html')}), 'https?://[^\\s)>\\]\"'']+')))"
+_SOURCES = f"""SELECT 'article' AS kind, CASE WHEN page_id % 4 <> 2 THEN page_id::VARCHAR ELSE '' END AS article_id, {_HTML_TITLE} AS title, concat(CASE WHEN page_id % 4 <> 2 THEN concat(page_id, '-') ELSE '' END, 'page-', page_id, '.md') AS relative_path,
+  CASE WHEN page_id % 4 <> 2 THEN concat('https://kb.test.org/a/', page_id) ELSE '' END AS source_url, CASE WHEN page_id % 4 <> 2 THEN 'support-article' ELSE 'reference-doc' END AS place, {_LINKS} AS link_count FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT 'wiki', NULL, {_HTML_TITLE}, concat(CASE WHEN page_id % 3 = 0 THEN '' ELSE concat({S.host('url')}, '/') END, page_id, '-page-', page_id, '.md'), NULL, CASE WHEN page_id % 3 = 0 THEN 'root' ELSE {S.host('url')} END, {_LINKS} FROM pages WHERE page_id % 2 = 1"""
+
 ORACLE_SQL = {
+    "readiness_reports": with_views(_REPORT, "manifests", "paths"),
+    "scanned_sources": _SOURCES,
     "manifest_violations": with_views(f"WITH {_PARSED} {_VIOLATIONS} UNION ALL {_MISSING}", "manifests", "paths"),
     "manifest_readiness": with_views(f"WITH {_PARSED}, s AS (SELECT manifest, CASE WHEN (c ->> '$.status') IN ('done', 'partial') THEN c ->> '$.status' ELSE 'missing' END AS status, count(*) AS n FROM cats GROUP BY 1, 2) SELECT status, n, count(*) AS n_manifests FROM s GROUP BY 1, 2", "manifests"),
     "portfolio_doctor": with_views(f"""WITH {_PARSED}, v AS ({_VIOLATIONS}), d AS (SELECT manifest, j IS NOT NULL AS manifest_ok, manifest NOT IN (SELECT manifest FROM v WHERE level = 'error') AS validate_ok, coalesce(j ->> '$.product.vault_path', '?') AS vault FROM root),

@@ -121,8 +121,9 @@ def readme_summary(text: Column) -> tuple[Column, Column]:
     return T.page_title(text, F.lit("")), F.left(F.coalesce(first, F.lit("")), F.lit(240))
 
 
-def inventory(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(INVENTORIES[name]).option("multiLine", True).json(path)
+def inventory(spark: SparkSession, path: str, name: str, lines: bool = False) -> DataFrame:
+    """An inventory in JSON: one array in each file, or with `lines` a row in each line, as write_inventories() leaves them."""
+    return spark.read.schema(INVENTORIES[name]).option("multiLine", not lines).json(path)
 
 
 def notes(spark: SparkSession, root: str, ignored: str = "") -> DataFrame:

@@ -49,3 +49,56 @@ def test_fields_have_paths(spark):
     df = spark.createDataFrame([("m", '{"a": {"b": [{"c": "x"}, [1]]}, "d": "é\\"", "e": null}')], "manifest string, text string")
     got = {r.path: r.json for r in Ms.fields(Ms.parsed(df)).where(F.col("kind") != "OBJECT").collect()}
     assert got == {"a.b": '[{"c":"x"},[1]]', "a.b[0].c": '"x"', "a.b[1]": "[1]", "a.b[1][0]": "1", "d": '"é\\""', "e": "null"}
+
+
+def test_reports(spark):
+    made = changed(engineering_readiness={"categories": [{"key": "tests", "title": "Testing", "status": "done", "ask": 3, "summary": "All right.", "evidence": ["ci"], "next_steps": ["more", "docs"]}, {"key": "docs"}]}, automation_pack={"b": {"status": "on"}, "a": {"automation_id": "x1", "status": "off"}, "z": 5})
+    df = spark.createDataFrame([("m", json.dumps(made)), ("empty", "{}"), ("broken", "[")], "manifest string, text string")
+    known = spark.createDataFrame([("vaults/a-b",), ("automations/x1/automation.toml",), ("automations/x1/automation.toml",)], "path string")
+    got = {r.manifest: r.body for r in Ms.reports(df, known).collect()}
+    assert got["m"] == """# A B Engineering Readiness Report
+
+- Product slug: `a-b`
+- Mode: `product`
+- Repositories declared: `1`
+
+## Status Summary
+
+- Done: `1`
+- Partial: `0`
+- Missing: `1`
+
+## Runtime Checks
+
+- Vault path exists: `yes`
+- Workspace path exists: `no`
+- Source corpus exists: `no`
+- Source mirror exists: `no`
+- Auth cache exists: `no`
+- Local clone root exists: `no`
+- Safe mirror root exists: `no`
+
+## Automation Checks
+
+- a: id `x1`, status `off`, installed `yes`
+- b: id `missing`, status `on`, installed `no`
+
+## Readiness Categories
+
+### Testing
+
+- Ask: `3`
+- Status: `done`
+- Summary: All right.
+- Evidence:
+  - `ci`
+- Next steps:
+  - more
+  - docs
+
+### docs
+
+- Ask: ``
+- Status: `missing`
+"""
+    assert got["empty"].startswith("# Product Engineering Readiness Report") and got["empty"].endswith("## Readiness Categories\n") and "broken" not in got
