@@ -15,7 +15,7 @@ from ..operators import links as L
 from ..operators import manifests as Ms
 from ..operators import naming
 from ..sources import files, note_files, sinks
-from ..sources.shared import remove, saved, shared_dir
+from ..sources.shared import forget, remove, saved, shared_dir
 from ..sources.tables import table
 from . import sqltext as S
 from .profile import PROFILE
@@ -47,10 +47,11 @@ def mirrored_tree(spark, sf_dir):
     path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
     rows = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("section"), F.concat_ws(" - ", F.col("page_id").cast("string"), T.slug(path, 80)).alias("name"), F.concat(head, words).alias("body"))
     root = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
+    rows = saved(rows, "vault-pages")
     note_files.write_tree(rows, root)
-    with note_files.small_files(spark):
-        out = saved(files.notes(spark, root).select("path", F.md5(F.encode("body", "UTF-8")).alias("body_md5")), "vault")
+    out = saved(files.notes(spark, root, read=note_files.texts).select("path", F.md5(F.encode("body", "UTF-8")).alias("body_md5")), "vault")
     remove(spark, root)
+    forget(rows)
     return out
 
 
@@ -123,14 +124,15 @@ def scanned_sources(spark, sf_dir):
     name = F.concat_ws("-", F.when(F.col("page_id") % 4 != 2, F.col("page_id").cast("string")), F.lit("page"), F.col("page_id").cast("string"))
     rows = table(spark, sf_dir, "pages").select(section.alias("section"), name.alias("name"), F.concat(F.lit("# "), title, F.lit("\n\nsee "), F.col("url"), F.lit("\n"), words).alias("body"))
     root = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    rows = saved(rows, "source-pages")
     note_files.write_tree(rows, root)
-    with note_files.small_files(spark):
-        articles, pages = files.support_articles(spark, f"{root}/corpus", "https://kb.test.org/a/{article_id}").drop("text"), files.wiki_pages(spark, f"{root}/wiki").drop("text")
-        sinks.write_inventories({"support_articles": articles, "wiki_pages": pages}, f"{root}-json")
-        both = [files.inventory(spark, f"{root}-json/{n}", n, lines=True) for n in ("support_articles", "wiki_pages")]
-        none = F.lit(None).cast("string")
-        out = saved(both[0].select(F.lit("article").alias("kind"), "article_id", "title", "relative_path", "source_url", F.col("category").alias("place"), F.col("link_count").cast("long").alias("link_count")).unionByName(
-            both[1].select(F.lit("wiki").alias("kind"), none.alias("article_id"), "title", "relative_path", none.alias("source_url"), F.col("section").alias("place"), F.col("link_count").cast("long").alias("link_count"))), "sources")
+    articles, pages = files.support_articles(spark, f"{root}/corpus", "https://kb.test.org/a/{article_id}", note_files.texts).drop("text"), files.wiki_pages(spark, f"{root}/wiki", note_files.texts).drop("text")
+    sinks.write_inventories({"support_articles": articles, "wiki_pages": pages}, f"{root}-json")
+    both = [files.inventory(spark, f"{root}-json/{n}", n, lines=True) for n in ("support_articles", "wiki_pages")]
+    none = F.lit(None).cast("string")
+    out = saved(both[0].select(F.lit("article").alias("kind"), "article_id", "title", "relative_path", "source_url", F.col("category").alias("place"), F.col("link_count").cast("long").alias("link_count")).unionByName(
+        both[1].select(F.lit("wiki").alias("kind"), none.alias("article_id"), "title", "relative_path", none.alias("source_url"), F.col("section").alias("place"), F.col("link_count").cast("long").alias("link_count"))), "sources")
+    forget(rows)
     remove(spark, root)
     remove(spark, f"{root}-json")
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -47,9 +47,10 @@ def texts(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     return named.select(relative_to(root).alias("relative_path"), "text")
 
 
-def support_articles(spark: SparkSession, root: str, template: str = "") -> DataFrame:
-    """Articles of a folder: number (from a name like 123-title.md), title, links, category; and their text."""
-    rows = texts(spark, root)
+def support_articles(spark: SparkSession, root: str, template: str = "", read: Callable[[SparkSession, str], DataFrame] = texts) -> DataFrame:
+    """Articles of a folder: number (from a name like 123-title.md), title, links, category; and their text. read is texts(), or
+    note_files.texts() for very many small files; so it is in the readers below."""
+    rows = read(spark, root)
     name = F.regexp_extract("relative_path", r"([^/]+)\.md$", 1)
     number = F.regexp_extract(name, r"^(\d+)-", 1)
     return rows.select(
@@ -58,13 +59,13 @@ def support_articles(spark: SparkSession, root: str, template: str = "") -> Data
     )
 
 
-def wiki_pages(spark: SparkSession, root: str | None) -> DataFrame:
+def wiki_pages(spark: SparkSession, root: str | None, read: Callable[[SparkSession, str], DataFrame] = texts) -> DataFrame:
     """Pages of a wiki; the section is the first folder, or root. Without a wiki there are no rows."""
     if not root:
         return spark.createDataFrame([], INVENTORIES["wiki_pages"] + ", text string")
     parts = F.split("relative_path", "/")
     section = F.when(F.size(parts) > 1, parts[0]).otherwise("root")
-    return texts(spark, root).select(T.page_title(F.col("text"), F.col("relative_path")).alias("title"), "relative_path", section.alias("section"), F.size(Li.urls(F.col("text"), 1 << 20)).alias("link_count"), "text")
+    return read(spark, root).select(T.page_title(F.col("text"), F.col("relative_path")).alias("title"), "relative_path", section.alias("section"), F.size(Li.urls(F.col("text"), 1 << 20)).alias("link_count"), "text")
 
 
 def refs(rows: DataFrame, prefix: str = "") -> DataFrame:
@@ -126,9 +127,9 @@ def inventory(spark: SparkSession, path: str, name: str, lines: bool = False) ->
     return spark.read.schema(INVENTORIES[name]).option("multiLine", not lines).json(path)
 
 
-def notes(spark: SparkSession, root: str, ignored: str = "") -> DataFrame:
+def notes(spark: SparkSession, root: str, ignored: str = "", read: Callable[[SparkSession, str], DataFrame] = texts) -> DataFrame:
     """path, body of a folder of notes, without the editor's own folder and a report that is left out."""
-    rows = texts(spark, root).select(F.col("relative_path").alias("path"), F.col("text").alias("body"))
+    rows = read(spark, root).select(F.col("relative_path").alias("path"), F.col("text").alias("body"))
     return rows.where(~F.contains(F.concat(F.lit("/"), "path"), F.lit("/.obsidian/")) & (F.col("path") != ignored))
 
 

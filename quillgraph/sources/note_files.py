@@ -6,12 +6,13 @@ that list exists the old tree is whole; once it exists, a run that was interrupt
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,12 +22,11 @@ from pyspark.sql import types as Ty
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import text as T
-from .files import absolute_path, relative_to
 from .shared import remove, saved
 from .sinks import tidy
 
 FORMAT, STAGED, LISTED = "note_files", ".staged", "_committed.json"
-OPEN_COST = 32 << 10  # what opening a small file costs, in bytes read: so that many of them share a task
+LISTED_AT_ONCE, READ_AT_ONCE = 1000, 4 << 20  # files in a batch, and characters
 
 
 def _store(root: str) -> tuple[fs.FileSystem, str]:
@@ -94,29 +94,72 @@ class NoteFiles(DataSource):
         return StagingWriter(self.options["path"], self.options["run"])
 
 
-@contextmanager
-def small_files(spark: SparkSession) -> Iterator[None]:
-    """While the block runs, files are dealt to tasks by their bytes; a task may read thousands. Jobs must end in the block."""
-    name = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, OPEN_COST)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _exists(spark: SparkSession, root: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
 
-def present(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+def _list(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, folder of what is in folders; hidden names are left out."""
+    store, at = _store(root)
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            found = store.get_file_info(fs.FileSelector(f"{at}/{folder}".rstrip("/"), allow_not_found=True))
+            kept = [(f"{folder}/{x.base_name}".lstrip("/"), x.type == fs.FileType.Directory) for x in found if not x.base_name.startswith((".", "_"))]
+            for i in range(0, len(kept), LISTED_AT_ONCE):
+                part = kept[i : i + LISTED_AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([d for _, d in part], pa.bool_())], ["path", "folder"])
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path of every file below root, in the shared folder: folders are listed by tasks, level by level, so that the driver never holds
+    the names of files."""
+    folders, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        level = saved(folders.mapInArrow(partial(_list, root), "path string, folder boolean"), "tree-level")
+        here = level.where("NOT folder").select("path")
+        found = here if found is None else found.unionByName(here)
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return found
+        folders = folders.repartition("path")
+
+
+def _read(root: str, digest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store, at = _store(root)
+    rows, held = [], 0
+    for path in chain.from_iterable(batch.column("path").to_pylist() for batch in batches):
+        with store.open_input_stream(f"{at}/{path}") as f:
+            content = f.read()
+        rows.append((path, hashlib.md5(content).hexdigest() if digest else content.decode(errors="replace")))
+        held += len(rows[-1][1])
+        if held >= READ_AT_ONCE or len(rows) >= LISTED_AT_ONCE:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["relative_path", "value"])
+
+
+def _contents(spark: SparkSession, root: str, suffix: str, digest: bool) -> DataFrame:
+    names = listed(spark, root).where(F.endswith("path", F.lit(suffix)))
+    dealt = names.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(partial(_read, root, digest), "relative_path string, value string")
+
+
+def texts(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """relative_path, text like files.texts(), for trees of very many small files: tasks list them, and each reads its share."""
+    return _contents(spark, root, suffix, False).withColumnRenamed("value", "text")
+
+
+def present(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """path, md5 of the files below root; no rows where there is no tree yet."""
     if not _exists(spark, root):
         return spark.createDataFrame([], "path string, md5 string")
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-    return rows.select(absolute_path("path").alias("absolute_path"), F.md5("content").alias("md5")).select(relative_to(root).alias("path"), "md5")
+    return _contents(spark, root, suffix, True).toDF("path", "md5")
 
 
 def _moves(root: str, run: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,27 +230,27 @@ def write_tree(notes: DataFrame, root: str, prune: bool = True) -> dict[str, int
 
     Files whose checksum is right are left alone; only the others are staged and renamed into place. With `prune`, files that no row
     names are removed, after all others are in place. Names and checksums alone are compared in joins; bodies are read where they lie,
-    once for checksums and once for the files that change. Of rows that name one file, the body with the smallest checksum stays; a
+    once for checksums and once for the files that change (give a saved() table
+    where they are costly to make). Of rows that name one file, the body with the smallest checksum stays; a
     null body is an empty note, a null section the root; names are those of safe_filename(), and unique if the caller made them so
     (operators.naming). An empty table leaves an empty tree. One writer at a time may use a tree."""
     spark = notes.sparkSession
     spark.dataSource.register(NoteFiles)
     recover(spark, root)
     rows = wanted(notes)
-    with small_files(spark):
-        there = saved(present(spark, root), "tree-present")
-        named = saved(rows.groupBy("path").agg(F.min("md5").alias("md5")), "tree-wanted")
-        change = saved(named.join(there, ["path", "md5"], "left_anti"), "tree-changes")
-        n_all, n_change = named.count(), change.count()
-        written = 0
-        if n_change:
-            run = uuid.uuid4().hex
-            rows.join(change, ["path", "md5"], "left_semi").select("path", "body").write.format(FORMAT).option("path", root).option("run", run).mode("append").save()
-            publish(spark, root, run)
-            written = n_change
-        pruned = 0
-        if prune:
-            pruned = there.join(named, "path", "left_anti").select("path").mapInArrow(partial(_drops, root), "n long").agg(F.sum("n")).first()[0] or 0
+    there = saved(present(spark, root), "tree-present")
+    named = saved(rows.groupBy("path").agg(F.min("md5").alias("md5")), "tree-wanted")
+    change = saved(named.join(there, ["path", "md5"], "left_anti"), "tree-changes")
+    n_all, n_change = named.count(), change.count()
+    written = 0
+    if n_change:
+        run = uuid.uuid4().hex
+        rows.join(change, ["path", "md5"], "left_semi").select("path", "body").write.format(FORMAT).option("path", root).option("run", run).mode("append").save()
+        publish(spark, root, run)
+        written = n_change
+    pruned = 0
+    if prune:
+        pruned = there.join(named, "path", "left_anti").select("path").mapInArrow(partial(_drops, root), "n long").agg(F.sum("n")).first()[0] or 0
     for df in (there, named, change):
         remove(spark, df._saved_at)
     return {"written": written, "unchanged": n_all - n_change, "pruned": pruned}
