@@ -1,4 +1,4 @@
-"""Notes of code files and of repositories: whole pages out of structured rows."""
+"""Notes of articles, wiki pages, code files and repositories: whole pages out of structured rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions import lists
 from ..functions import stems as St
+from ..functions import text as T
+from ..functions import urls as U
 from ..sources import sinks
 from . import code_search as Cs
+from .lookup import lookup
 
 GAP = "\n\n"
 
@@ -32,7 +36,8 @@ def page(fields: dict[str, Column], tags: list[Column], title: Column, blocks: l
     """A note: frontmatter with a list of tags, the title, blocks (those that are null are left out), and where to go on."""
     listed = F.concat_ws("\n", *(F.concat(F.lit("  - "), sinks.scalar(t)) for t in tags))
     head = F.concat(F.regexp_replace(sinks.frontmatter(**fields), r"\n---$", ""), F.lit("\ntags:\n"), listed, F.lit("\n---"))
-    return F.concat_ws(GAP, head, F.concat(F.lit("# "), title), *blocks, F.lit(f"## Related notes{GAP}" + "\n".join(f"- [[{r}]]" for r in related)))
+    onward = [F.lit(f"## Related notes{GAP}" + "\n".join(f"- [[{r}]]" for r in related))] if related else []
+    return F.concat_ws(GAP, head, F.concat(F.lit("# "), title), *blocks, *onward)
 
 
 def code_notes(refs: DataFrame, files: DataFrame, stale_hosts: list[str], limit: int = 30) -> DataFrame:
@@ -73,3 +78,51 @@ def repo_notes(snapshots: DataFrame, files: DataFrame, topics: DataFrame) -> Dat
     ]
     fields = {"type": F.lit("concept"), "source": F.lit("repository-scan"), "repo": F.col("repo")}
     return full.select("repo", page(fields, [F.lit("repo")], F.col("repo"), blocks, ["Repo Catalog", "Code Intelligence Hub"]).alias("body"))
+
+
+def uncaptured_line(record: Column) -> Column:
+    """What a note says of a link whose page could not be kept: status, link, and HTTP status and error where there are any."""
+    tick = lambda label, x: F.when(x.isNotNull(), F.concat(F.lit(f"{label} `"), F.left(T.normalize(x.cast("string")), F.lit(160)), F.lit("`")))
+    details = F.concat_ws("; ", tick("http", record["http_status"]), tick("error", record["error"]))
+    return F.concat(F.lit("["), record["status"], F.lit("] ["), record["url"], F.lit("]("), record["url"], F.lit(")"), F.when(details != "", F.concat(F.lit(" | "), details)).otherwise(""))
+
+
+def link_facts(links: DataFrame, records: DataFrame) -> DataFrame:
+    """note_id, found: the records (url, status, domain, http_status, error) of the links of each note (note_id, url), by URL. A note has
+    few links of its own (lists.urls() gives 15 at most); a URL that many notes cite is spread in the lookup."""
+    each = lookup(links.distinct(), records.select("url", "status", "domain", "http_status", "error"), "url", how="inner")
+    return each.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("url", "status", "domain", "http_status", "error"))).alias("found"))
+
+
+def _most_common(names: Column, limit: int) -> Column:
+    """- name: `count` of the most frequent names, ties by name."""
+    counted = F.transform(F.array_distinct(names), lambda n: F.struct((-F.size(F.filter(names, lambda x: x == n))).alias("minus"), n.alias("name")))
+    return F.transform(F.slice(F.array_sort(counted), 1, limit), lambda c: F.concat(c["name"], F.lit(": `"), (-c["minus"]).cast("string"), F.lit("`")))
+
+
+def source_notes(notes: DataFrame, contents: DataFrame, near: DataFrame, hits: DataFrame, conflicts: DataFrame, links: DataFrame) -> DataFrame:
+    """note_id, body: the page of every article and wiki page.
+
+    notes: note_id, kind (support or wiki), section, path, title, body, topics and repos (titles and names, arrays); contents: note_id,
+    body (with wikilinks); near: note_id, related_support, related_wiki; hits: note_id, repo, path, place (few a note); conflicts:
+    note_id, conflicts; links: link_facts(). All meet by note_id; each page is one row expression over bounded lists and whole texts."""
+    none = F.array().cast("array<string>")
+    code = hits.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("place", St.code_reference(F.col("repo"), F.col("path")).alias("stem"))))["stem"].alias("code"))
+    told = notes.withColumn("said", lists.signals(F.col("body"))).drop("body")
+    full = told.join(contents.select("note_id", F.col("body").alias("content")), "note_id", "left").join(near.drop("kind"), "note_id", "left").join(code, "note_id", "left").join(conflicts.select("note_id", "conflicts"), "note_id", "left").join(links, "note_id", "left")
+    wiki = F.col("kind") == "wiki"
+    found = F.coalesce("found", F.expr("cast(array() as array<struct<url:string,status:string,domain:string,http_status:int,error:string>>)"))
+    statuses = F.array_join(F.array_sort(_most_common(found["status"], 10)), ", ")
+    shut = F.transform(F.filter(found, lambda r: r["status"].isin(U.UNCAPTURED)), uncaptured_line)
+    kept = F.transform(F.slice(F.filter(found, lambda r: r["status"] == "mirrored"), 1, 15), lambda r: F.concat(F.lit("["), r["url"], F.lit("]("), r["url"], F.lit(")")))
+    facts = F.concat(F.lit("- Path: `"), "path", F.lit("`\n- Linked page statuses: "), F.when(statuses == "", "none").otherwise(statuses))
+    content = F.when(F.coalesce("content", F.lit("")) != "", F.concat(F.when(wiki, "## Full Wiki Content\n\n").otherwise("## Full Article Content\n\n"), "content"))
+    blocks = [
+        facts, F.concat(F.lit(f"## Summary{GAP}"), F.coalesce(F.get("said.paragraphs", F.lit(0)), F.lit("Nothing is said."))), bullets("Key sections", F.slice("said.headings", 1, F.when(wiki, 10).otherwise(8))), bullets("Key evidence", F.slice("said.bullets", 1, 10)),
+        bullets("Linked domains", _most_common(found["domain"], 6)), bullets("Related support notes", linked(F.coalesce("related_support", F.array().cast("array<long>")), "note-")), bullets("Related wiki notes", linked(F.coalesce("related_wiki", F.array().cast("array<long>")), "note-")),
+        bullets("Related capabilities", linked(F.col("topics"), "Capability - ")), bullets("Source code references", linked(F.coalesce("code", none)), "No code was found."), bullets("Repositories", linked(F.col("repos"), "Repo - ")),
+        bullets("Conflicts and mismatches", F.coalesce("conflicts", none), "None was seen."), bullets("Uncaptured evidence", shut), bullets("Linked resources", kept), content,
+    ]
+    fields = {"type": F.lit("concept"), "source": F.when(wiki, "engineering-wiki").otherwise("support-export"), "section": F.col("section"), "source_path": F.col("path")}
+    goes_on = F.when(wiki, "## Related notes\n\n- [[Engineering Wiki Index]]\n- [[Wiki Pages Hub]]").otherwise("## Related notes\n\n- [[Support Article Index]]\n- [[Support Articles Hub]]")
+    return full.select("note_id", page(fields, [F.when(wiki, "wiki").otherwise("support")], T.display_title(F.col("title")), [*blocks, goes_on], []).alias("body"))

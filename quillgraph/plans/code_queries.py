@@ -138,6 +138,15 @@ def repo_notes(spark, sf_dir):
     return _digests(Np.repo_notes(files.repo_snapshot(listed), listed, topics), "repo")
 
 
+def source_notes(spark, sf_dir):
+    """The page of every article and wiki page: what is known of it, and its own text with wikilinks."""
+    rows, hits, links, inventory, found = _gathered(spark, sf_dir)
+    near = To.related(rows.select("note_id", "kind", "topics"), Q.refs(rows))
+    records = inventory.withColumn("error", F.lit(None).cast("string"))
+    shown = rows.drop("topics").withColumnRenamed("titles", "topics")
+    return _digests(Np.source_notes(shown, Q.contents(rows), near, hits, found, Np.link_facts(links, records)), "note_id")
+
+
 def representative_files(spark, sf_dir):
     return Cs.representative(_files(spark, sf_dir).select("repo", "path").distinct()).select("repo", "path", F.col("place").cast("long").alias("place"))
 
@@ -148,14 +157,27 @@ def file_owner(spark, sf_dir):
     return Cs.owner(_files(spark, sf_dir).select("file_id", "path"), roots).groupBy("repo").agg(F.count("*").alias("n_files"))
 
 
+def _gathered(spark, sf_dir):
+    """What pages of notes are made of, each computed once and kept in the shared folder while it is joined: the notes with their
+    topics, the code found for them, their links, the inventory, and their conflicts."""
+    titles = F.create_map(*(F.lit(x) for t in PROFILE for x in (t.key, t.title)))
+    named = F.transform("topics", lambda k: F.coalesce(F.try_element_at(titles, k), k)).alias("titles")
+    rows = saved(Q.classified(spark, sf_dir).select("note_id", "kind", "section", "path", "title", "body", "topics", named, To.repos_of(F.col("topics"), PROFILE).alias("repos")), "notes-classified")
+    asked = rows.select("note_id", "kind", "topics", F.array("title", "section").alias("keywords"))
+    hits = saved(Cs.for_notes(asked, kept(spark, sf_dir)).select("note_id", "repo", "path", "place"), "notes-hits")
+    links, inventory = Q.link_records(spark, sf_dir)
+    inventory = saved(inventory, "notes-inventory")
+    return rows, hits, links, inventory, N.with_conflicts(rows, links, inventory, hits)
+
+
 def rendered_notes(spark, sf_dir):
     """Every note as a whole: what is known of it, and its own text."""
-    rows = Q.classified(spark, sf_dir).select("note_id", "kind", "section", "title", "body", "topics")
-    done = N.rendered(rows, Q.related(spark, sf_dir), note_hits(spark, sf_dir), conflicts(spark, sf_dir))
-    return done.select("note_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body_md5"))
+    rows, hits, _, _, found = _gathered(spark, sf_dir)
+    near = To.related(rows.select("note_id", "kind", "topics"), Q.refs(rows))
+    return _digests(N.rendered(rows, near, hits, found), "note_id")
 
 
-QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, rendered_notes, representative_files, file_owner, code_notes, repo_notes)}
+QUERIES = {f.__name__: f for f in (language_classify, artifact_kind, code_symbols, code_comments, code_risks, implementation_signals, identifier_words, code_search, code_hit_top_files, code_hit_prune, code_hit_rerank, code_reference_registry, code_refs_per_repo, code_analysis, note_conflicts, conflict_counts, rendered_notes, representative_files, file_owner, code_notes, repo_notes, source_notes)}
 
 _NAME = "list_last(string_split(path, '/'))"
 _SUFFIX = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1))"
@@ -324,7 +346,28 @@ note AS (SELECT s.repo, concat_ws({_GAP}, concat('---', chr(10), 'type: "concept
   {_block('Representative files', 'shown')}, {_block('Topics', _wiki('topics', 'Capability - '), "concat('## Topics', chr(10), chr(10), '- [[Product Capability Map]]')")}, concat('## Related notes', {_GAP}, '- [[Repo Catalog]]', chr(10), '- [[Code Intelligence Hub]]')) AS body FROM snap s LEFT JOIN best USING (repo) LEFT JOIN {_REPO_TOPICS} USING (repo))
 SELECT repo, length(body) AS n_chars, md5(body) AS body_md5 FROM note"""
 
+_TITLE_OF = "CASE topic WHEN 'delivery' THEN 'Delivery' WHEN 'billing' THEN 'Billing' WHEN 'access' THEN 'Access' WHEN 'search' THEN 'Search' WHEN 'platform' THEN 'Platform' WHEN 'legacy' THEN 'Legacy' ELSE topic END"
+_STEM_OF = "coalesce(nullif(rtrim(left(trim(regexp_replace(concat('Code Ref - ', repo, ' - ', replace(path, '/', ' -- ')), '[^A-Za-z0-9 ._-]+', '', 'g')), 180), ' .'), ''), 'Untitled')"
+_SHUT = "status IN ('blocked', 'auth-gated', 'likely-auth-gated', 'needs-google-drive', 'binary-or-empty')"
+_FETCHED = f"CASE WHEN status IN ('local-support-evidence', 'needs-google-drive', 'stale-doc-reference') THEN NULL ELSE p.http_status END"
+_SOURCE_NOTES = f"""WITH {CONFLICT}, {Q.RELATED}, {Q.WIKIFIED},
+of_note AS (SELECT s.note_id, s.url, status, {S.host('s.url')} AS domain, {_FETCHED} AS http_status FROM said s JOIN rec USING (url) LEFT JOIN note_pages p ON p.url = s.url),
+statuses AS (SELECT note_id, string_agg(concat(status, ': `', n, '`'), ', ' ORDER BY concat(status, ': `', n, '`')) AS st FROM (SELECT note_id, status, count(*) AS n FROM of_note GROUP BY 1, 2) GROUP BY note_id),
+domains AS (SELECT note_id, list(concat(domain, ': `', n, '`') ORDER BY n DESC, domain)[1:6] AS dm FROM (SELECT note_id, domain, count(*) AS n FROM of_note GROUP BY 1, 2) GROUP BY note_id),
+linked AS (SELECT note_id, list(concat('[', status, '] [', url, '](', url, ')', CASE WHEN http_status IS NULL THEN '' ELSE concat(' | http `', http_status, '`') END) ORDER BY url) FILTER (WHERE {_SHUT}) AS shut, (list(concat('[', url, '](', url, ')') ORDER BY url) FILTER (WHERE status = 'mirrored'))[1:15] AS kept FROM of_note GROUP BY note_id),
+code AS (SELECT note_id, list({_STEM_OF} ORDER BY pos) AS code FROM picked GROUP BY note_id), topics AS (SELECT note_id, list({_TITLE_OF} ORDER BY place) AS topics FROM top GROUP BY note_id),
+named_repos AS (SELECT note_id, list(repo ORDER BY place, ord) AS r FROM top JOIN repos USING (topic) GROUP BY note_id),
+facts AS (SELECT n.note_id, n.kind, n.section, n.path, {S.display_title('title')} AS shown, {Q.HEADINGS} AS h, {Q.BULLETS} AS b, {Q.PARAS} AS p FROM notes n),
+whole AS (SELECT f.note_id, concat_ws({_GAP}, concat('---', chr(10), 'type: "concept"', chr(10), 'source: "', CASE WHEN kind = 'wiki' THEN 'engineering-wiki' ELSE 'support-export' END, '"', chr(10), 'section: "', section, '"', chr(10), 'source_path: "', path, '"', chr(10), 'tags:', chr(10), '  - "', kind, '"', chr(10), '---'), concat('# ', shown),
+  concat('- Path: `', path, '`', chr(10), '- Linked page statuses: ', coalesce(st, 'none')), concat('## Summary', {_GAP}, coalesce(p[1], 'Nothing is said.')), {_block('Key sections', "h[1:CASE WHEN kind = 'wiki' THEN 10 ELSE 8 END]")}, {_block('Key evidence', 'b[1:10]')}, {_block('Linked domains', 'dm')},
+  {_block('Related support notes', _ids('related_support'))}, {_block('Related wiki notes', _ids('related_wiki'))}, {_block('Related capabilities', _wiki('topics', 'Capability - '))}, {_block('Source code references', _wiki('code'), "concat('## Source code references', chr(10), chr(10), '- No code was found.')")}, {_block('Repositories', _wiki('r[1:20]', 'Repo - '))},
+  {_block('Conflicts and mismatches', 'kinds', _none('Conflicts and mismatches'))}, {_block('Uncaptured evidence', 'shut')}, {_block('Linked resources', 'kept')}, CASE WHEN coalesce(w.body, '') <> '' THEN concat('## Full ', CASE WHEN kind = 'wiki' THEN 'Wiki' ELSE 'Article' END, ' Content', {_GAP}, w.body) END,
+  CASE WHEN kind = 'wiki' THEN concat('## Related notes', {_GAP}, '- [[Engineering Wiki Index]]', chr(10), '- [[Wiki Pages Hub]]') ELSE concat('## Related notes', {_GAP}, '- [[Support Article Index]]', chr(10), '- [[Support Articles Hub]]') END) AS body
+  FROM facts f LEFT JOIN statuses USING (note_id) LEFT JOIN domains USING (note_id) LEFT JOIN linked USING (note_id) LEFT JOIN code USING (note_id) LEFT JOIN topics USING (note_id) LEFT JOIN named_repos USING (note_id) LEFT JOIN con USING (note_id) LEFT JOIN (SELECT note_id, related_support, related_wiki FROM related) USING (note_id) LEFT JOIN wikified w USING (note_id))
+SELECT note_id, length(body) AS n_chars, md5(body) AS body_md5 FROM whole"""
+
 ORACLE_SQL = {
+    "source_notes": with_views(_SOURCE_NOTES, "files", "notes", "known", "note_pages"),
     "code_notes": with_views(_CODE_NOTES, "files", "notes"),
     "repo_notes": with_views(_REPO_NOTES, "files"),
     "rendered_notes": with_views(_RENDERED, "files", "notes", "known", "note_pages"),

@@ -127,7 +127,7 @@ def repo_topics(spark, sf_dir):
     return each.groupBy("repo").agg(F.count("*").alias("n_notes"))
 
 
-def _refs(rows: DataFrame) -> DataFrame:
+def refs(rows: DataFrame) -> DataFrame:
     """note_id, refs: the support notes that support notes mention as articles, in order of the mentions."""
     support = rows.where("kind = 'support'")
     said = support.select("note_id", F.posexplode(F.slice(Li.article_refs(F.col("body")), 1, 20)).alias("at", "article_id"))
@@ -137,7 +137,7 @@ def _refs(rows: DataFrame) -> DataFrame:
 
 def related(spark, sf_dir):
     rows = classified(spark, sf_dir)
-    return To.related(rows.select("note_id", "kind", "topics"), _refs(_notes(spark, sf_dir)))
+    return To.related(rows.select("note_id", "kind", "topics"), refs(_notes(spark, sf_dir)))
 
 
 def related_notes(spark, sf_dir):
@@ -182,12 +182,16 @@ def note_stems(spark, sf_dir):
     return rows.select("note_id", F.when(F.col("kind") == "wiki", wiki).otherwise(article).alias("stem"))
 
 
-def wikified(spark, sf_dir):
-    """Links to articles and pages as wikilinks: support notes are articles, by number, and wiki notes are pages, by path."""
-    rows = _notes(spark, sf_dir)
+def contents(rows: DataFrame) -> DataFrame:
+    """note_id, body: links to articles and pages as wikilinks: support notes are articles, by number, and wiki notes are pages, by path."""
     articles = rows.where("kind = 'support'").select((F.col("note_id") + 1000).cast("string").alias("article_id"), F.concat(F.lit("Support - "), F.col("note_id") + 1000).alias("stem"))
     pages = rows.where("kind = 'wiki'").select("path", F.concat(F.lit("Wiki - "), "note_id").alias("stem"))
-    return N.wikified(rows, articles, pages).select("note_id", F.md5("body").alias("body_md5"))
+    return N.wikified(rows, articles, pages)
+
+
+def wikified(spark, sf_dir):
+    """The contents of all notes with wikilinks."""
+    return contents(_notes(spark, sf_dir)).select("note_id", F.md5("body").alias("body_md5"))
 
 
 def _graph(spark, sf_dir):
@@ -314,6 +318,8 @@ def _lacking(names: tuple[str, ...]) -> str:
 RELATED = f"first_notes AS (SELECT topic, kind, note_id, row_number() OVER (PARTITION BY topic, kind ORDER BY note_id) AS k FROM top), mentions AS (SELECT note_id, unnest({_REFS}[1:20]) AS a, unnest(range(1, len({_REFS}[1:20]) + 1)) AS i FROM notes WHERE kind = 'support'), offers AS (SELECT n.note_id, r.kind AS other_kind, r.note_id AS other, n.place, r.k FROM top n JOIN first_notes r ON r.topic = n.topic AND r.k <= 17 UNION ALL SELECT m.note_id, 'support', o.note_id, 0, m.i FROM mentions m JOIN notes o ON o.kind = 'support' AND (o.note_id + 1000)::VARCHAR = m.a), offered AS (SELECT note_id, other_kind, other, min((place, k)) AS o FROM offers WHERE other <> note_id GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY note_id, other_kind ORDER BY o) AS p FROM offered), lists AS (SELECT note_id, other_kind, string_agg(other::VARCHAR, ',' ORDER BY p) AS l FROM placed WHERE p <= 16 GROUP BY ALL), related AS (SELECT n.note_id, n.kind, coalesce(s.l, '') AS related_support, coalesce(w.l, '') AS related_wiki FROM notes n LEFT JOIN lists s ON s.note_id = n.note_id AND s.other_kind = 'support' LEFT JOIN lists w ON w.note_id = n.note_id AND w.other_kind = 'wiki')"
 _LACKS = _lacking(("type", "area", "status"))
 
+WIKIFIED = f"b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.kind = 'support' AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.kind = 'wiki' AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id), wikified AS (SELECT c.note_id, array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '') AS body FROM c LEFT JOIN l USING (note_id))"
+
 ORACLE_SQL = {
     "title_from_text": with_views(f"SELECT note_id, coalesce(nullif({S.norm('''regexp_extract(body, '(?m)^[ \\t]*#[ \\t]+([^\\n]*[^\\s])[ \\t]*$', 1)''')}, ''), left({_FIRST}, 160), path) AS page_title, {S.display_title(f'''coalesce(nullif(regexp_extract(body, '{_H}', 1), ''), {_FIRST}, path)''')} AS note_title FROM notes", "notes"),
     "display_titles": with_views(f"SELECT note_id, {S.display_title('''regexp_replace(list_last(string_split(path, '/')), '\\.md$', '')''')} AS of_name, {S.display_title('split_part(body, chr(10), 1)')} AS of_line FROM notes", "notes"),
@@ -339,7 +345,7 @@ ORACLE_SQL = {
     "capability_links": with_views(f"WITH {TOP}, {RECORDS} SELECT topic, status, count(*) AS n FROM top JOIN said USING (note_id) JOIN rec USING (url) GROUP BY topic, status", "notes", "known", "note_pages"),
     "search_keywords": with_views(f"WITH s AS (SELECT note_id, title, {HEADINGS} AS h, {BULLETS} AS b, {PARAS} AS p FROM notes), c AS (SELECT note_id, list_filter(list_concat([title], h[1:6], b[1:4], list_transform(p[1:2], lambda v: left(v, 80)), ['Delivery', 'api']), lambda v: length({S.norm('v')}) > 2) AS l FROM s), u AS (SELECT note_id, {S.unique('l', 16)} AS u FROM c) SELECT note_id, md5(array_to_string(u, '|')) AS keywords_md5, len(u) AS n_keywords FROM u", "notes"),
     "note_stems": with_views(f"WITH t AS (SELECT note_id, kind, path, {S.display_title('title')} AS d FROM notes), s AS (SELECT note_id, CASE WHEN kind = 'wiki' THEN 180 ELSE 120 END AS n, CASE WHEN kind = 'wiki' THEN concat('Wiki - ', split_part(path, '/', 1), ' - ', d, ' - ', left(sha1(path), 8)) ELSE concat('Support - ', note_id, ' - ', d) END AS s FROM t) SELECT note_id, coalesce(nullif(rtrim(left(trim(regexp_replace(s, '[^A-Za-z0-9 ._-]+', '', 'g')), n::INT), ' .'), ''), 'Untitled') AS stem FROM s", "notes"),
-    "wikified": with_views(f"WITH b AS (SELECT note_id, path, {S.imported('body')} AS t FROM notes), c AS (SELECT note_id, regexp_split_to_array(t, {_LINK}) AS g, regexp_extract_all(t, {_LINK}) AS m, path FROM b), e AS (SELECT note_id, path, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i FROM c), k AS (SELECT note_id, i, m, {S.norm(_LABEL)} AS label, coalesce({S.article_id(_TARGET)}, nullif(regexp_extract(m, '(?i)\\bArticle\\s+(\\d{{4,6}})\\b', 1), '')) AS a, CASE WHEN NOT contains({_TARGET}, '://') AND ends_with({_BARE}, '.md') THEN concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', {_BARE}) END AS p FROM e), s AS (SELECT k.note_id, k.i, CASE WHEN coalesce(an.note_id, pn.note_id) IS NULL THEN m ELSE concat('[[', CASE WHEN an.note_id IS NOT NULL THEN concat('Support - ', a) ELSE concat('Wiki - ', pn.note_id) END, '|', coalesce(nullif(label, ''), 'Article ' || a, concat('Wiki - ', pn.note_id)), ']]') END AS shown FROM k LEFT JOIN notes an ON an.kind = 'support' AND (an.note_id + 1000)::VARCHAR = a LEFT JOIN notes pn ON pn.kind = 'wiki' AND pn.path = p), l AS (SELECT note_id, list(shown ORDER BY i) AS s FROM s GROUP BY note_id) SELECT c.note_id, md5(array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(l.s[j], '')), '')) AS body_md5 FROM c LEFT JOIN l USING (note_id)", "notes"),
+    "wikified": with_views(f"WITH {WIKIFIED} SELECT note_id, md5(body) AS body_md5 FROM wikified", "notes"),
     "graph_links": with_views(f"WITH {_NODES} SELECT src, target, dst, count(*) AS n FROM edges GROUP BY src, target, dst", "graph_notes"),
     "graph_degrees": with_views(f"WITH {_DEGREES} SELECT * FROM degrees", "graph_notes"),
     "graph_orphans": with_views(f"WITH {_DEGREES} SELECT path FROM degrees WHERE n_in = 0 AND n_out = 0", "graph_notes"),
