@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import saved
 
 ALL = "*"  # the section that stands for all sections of a fact
-MOST = 200  # lines of a list, and sections of a block, where a specification says nothing else
+MOST = 200  # lines of a list, and sections of a block, where a specification says nothing else; no more sections are ever counted out
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ def render(facts: DataFrame, hubs: list[Hub]) -> DataFrame:
     more = with_n.where("kind = 'list' AND more <> '' AND n > lim").withColumn("rest", (F.col("n") - F.col("lim")).cast("string"))
     inline = shown.where("kind = 'inline'").groupBy(*key, "text").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "line")))["line"], ", ").alias("joined"))
     per = parts.where("kind = 'counts'").join(counts.where(F.col("section") != ALL).select("fact", F.col("section").alias("one"), "n"), "fact")
-    per = per.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("top"), -F.col("n")).otherwise(0), "one"))).where("rank <= lim")
+    per = per.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("top"), -F.col("n")).otherwise(0), "one"))).where(F.col("rank") <= MOST).where("rank <= lim")
     every = [
         line(parts.where("kind = 'text'"), F.lit(0), F.col("text")),
         line(with_n.where("kind = 'total'"), F.lit(0), F.replace("text", F.lit("{n}"), F.col("n").cast("string"))),

@@ -229,9 +229,8 @@ def write_tree(notes: DataFrame, root: str, prune: bool = True) -> dict[str, int
     """Make the tree below root equal to notes (section, name, body): written, unchanged and pruned files.
 
     Files whose checksum is right are left alone; only the others are staged and renamed into place. With `prune`, files that no row
-    names are removed, after all others are in place. Names and checksums alone are compared in joins; bodies are read where they lie,
-    once for checksums and once for the files that change (give a saved() table
-    where they are costly to make). Of rows that name one file, the body with the smallest checksum stays; a
+    names are removed, after all others are in place. What has changed is found by names and checksums alone; bodies are read twice, for
+    checksums and for the files that change (give a saved() table where they are costly to make). Of rows that name one file, the body with the smallest checksum stays; a
     null body is an empty note, a null section the root; names are those of safe_filename(), and unique if the caller made them so
     (operators.naming). An empty table leaves an empty tree. One writer at a time may use a tree."""
     spark = notes.sparkSession
