@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import saved
 
 ALL = "*"  # the section that stands for all sections of a fact
-MOST = 200  # lines of a list, and sections of a block, where a specification says nothing else; no more sections are ever counted out
+MOST = 200  # lines of a list, and sections of a block, at most: how many more there are is told
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,12 @@ class Part:
 
 @dataclass(frozen=True)
 class Block:
-    """Parts that are shown once, or for each section of the fact `over`, in order of sections."""
+    """Parts that are shown once, or for each section of the fact `over`, in order of sections; after `limit` of them, how many more."""
 
     parts: tuple[Part, ...]
     over: str = ""
     limit: int = MOST
+    more: str = "... `{n}` more sections"
 
 
 @dataclass(frozen=True)
@@ -68,6 +69,8 @@ def specification(hubs: list[Hub]) -> list[tuple]:
         after = Block(tuple(Part("text", line) for line in (["## Related notes", "", *(f"- [[{r}]]" for r in hub.related)] if hub.related else [])))
         for b, block in enumerate((before, *hub.blocks, after)):
             rows += [(hub.key, b, i, block.over, block.limit, p.kind, p.text, p.fact, p.section, p.limit, p.more, p.top) for i, p in enumerate(block.parts)]
+            if block.over:
+                rows.append((hub.key, b, len(block.parts), "", block.limit, "rest", block.more, block.over, "", block.limit, "", False))
     return rows
 
 
@@ -116,7 +119,10 @@ def render(facts: DataFrame, hubs: list[Hub]) -> DataFrame:
     inline = shown.where("kind = 'inline'").groupBy(*key, "text").agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "line")))["line"], ", ").alias("joined"))
     per = parts.where("kind = 'counts'").join(counts.where(F.col("section") != ALL).select("fact", F.col("section").alias("one"), "n"), "fact")
     per = per.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.when(F.col("top"), -F.col("n")).otherwise(0), "one"))).where(F.col("rank") <= MOST).where("rank <= lim")
+    sections = counts.where(F.col("section") != ALL).groupBy("fact").agg(F.count("*").alias("n"))
+    rest = parts.where("kind = 'rest'").join(sections, "fact").where("n > lim").withColumn("place", F.lit(MOST + 1))
     every = [
+        line(rest, F.lit(0), F.replace("text", F.lit("{n}"), (F.col("n") - F.col("lim")).cast("string"))),
         line(parts.where("kind = 'text'"), F.lit(0), F.col("text")),
         line(with_n.where("kind = 'total'"), F.lit(0), F.replace("text", F.lit("{n}"), F.col("n").cast("string"))),
         line(shown.where("kind = 'list'"), F.col("rank"), F.concat(F.lit("- "), "line")),

@@ -160,6 +160,9 @@ def _part_sql(hub: str, b: int, p: int, over: str, most: int, part: Part) -> str
     filled = f"replace({text}, '{{section}}', {at})"
     n = f"(SELECT coalesce(max(n), 0) FROM per_section WHERE fact = '{part.fact}' AND section = {own})" if own else f"(SELECT coalesce(max(n), 0) FROM per_fact WHERE fact = '{part.fact}')"
     lines = f"in_section l ON l.fact = '{part.fact}' AND l.section = {own}" if own else f"in_fact l ON l.fact = '{part.fact}'"
+    if part.kind == "rest":
+        sections = f"(SELECT count(*) FROM per_section WHERE fact = '{part.fact}')"
+        return f"SELECT {S.q(hub)} AS hub, {b} AS b, chr(1114111) AS place, {p} AS p, 0 AS step, replace({text}, '{{n}}', ({sections} - {part.limit})::VARCHAR) AS line WHERE {sections} > {part.limit}"
     if part.kind == "text":
         return f"{head}, 0 AS step, {filled} AS line FROM {source}"
     if part.kind == "total":
