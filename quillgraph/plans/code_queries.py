@@ -140,7 +140,7 @@ def repo_notes(spark, sf_dir):
 
 def source_notes(spark, sf_dir):
     """The page of every article and wiki page: what is known of it, and its own text with wikilinks."""
-    rows, hits, links, inventory, found = _gathered(spark, sf_dir)
+    rows, hits, links, inventory, found = gathered(spark, sf_dir)
     near = To.related(rows.select("note_id", "kind", "topics"), Q.refs(rows))
     records = inventory.withColumn("error", F.lit(None).cast("string"))
     shown = rows.drop("topics").withColumnRenamed("titles", "topics")
@@ -157,7 +157,7 @@ def file_owner(spark, sf_dir):
     return Cs.owner(_files(spark, sf_dir).select("file_id", "path"), roots).groupBy("repo").agg(F.count("*").alias("n_files"))
 
 
-def _gathered(spark, sf_dir):
+def gathered(spark, sf_dir):
     """What pages of notes are made of, each computed once and kept in the shared folder while it is joined: the notes with their
     topics, the code found for them, their links, the inventory, and their conflicts."""
     titles = F.create_map(*(F.lit(x) for t in PROFILE for x in (t.key, t.title)))
@@ -172,7 +172,7 @@ def _gathered(spark, sf_dir):
 
 def rendered_notes(spark, sf_dir):
     """Every note as a whole: what is known of it, and its own text."""
-    rows, hits, _, _, found = _gathered(spark, sf_dir)
+    rows, hits, _, _, found = gathered(spark, sf_dir)
     near = To.related(rows.select("note_id", "kind", "topics"), Q.refs(rows))
     return _digests(N.rendered(rows, near, hits, found), "note_id")
 

@@ -14,7 +14,6 @@ from ..operators.lookup import lookup
 from ..sources import files
 from ..sources.shared import saved
 from . import code_queries as C
-from . import note_queries as Q
 from . import sqltext as S
 from .profile import PROFILE
 from .views import derive, with_views
@@ -73,12 +72,12 @@ def facts(spark, sf_dir) -> DataFrame:
     """What the hubs show, as rows; what several facts come from lies in the shared folder."""
     title = T.display_title(F.col("title"))
     stem = F.when(F.col("kind") == "wiki", St.wiki(F.col("path"), title)).otherwise(St.support(F.col("note_id").cast("string"), F.col("path"), title))
-    notes = saved(Q.classified(spark, sf_dir).select("note_id", "kind", "section", "path", "topics", title.alias("title"), F.concat(F.lit("[["), stem, F.lit("]]")).alias("link")), "hub-notes")
-    links, inventory = Q.link_records(spark, sf_dir)
-    inventory = saved(inventory.select("url", "status"), "hub-links")
+    rows, _, links, inventory, found = C.gathered(spark, sf_dir)
+    notes = saved(rows.select("note_id", "kind", "section", "path", "topics", title.alias("title"), F.concat(F.lit("[["), stem, F.lit("]]")).alias("link")), "hub-notes")
+    inventory = inventory.select("url", "status")
     kept = saved(C.kept(spark, sf_dir).select("topic", "repo", "path"), "hub-code")
     repos = saved(files.repo_snapshot(derive(spark, sf_dir, "files").select("repo", "path")), "hub-repos")
-    kinds = C.conflicts(spark, sf_dir).select("note_id", F.explode("conflicts").alias("kind"))
+    kinds = found.select("note_id", F.explode("conflicts").alias("kind"))
     titles = F.create_map(*(F.lit(x) for t in PROFILE for x in (t.key, t.title)))
     named = lambda key: F.coalesce(F.try_element_at(titles, key), key)
     number = F.lpad(F.col("note_id").cast("string"), 20, "0")

@@ -29,7 +29,7 @@ def test_sections_beyond_the_limit_are_counted(spark):
     hub = Hub("H", (Block((Part("text", "## {section}"), Part("list", fact="f", limit=1, more="- {n} more")), over="f", limit=2), Block((Part("text", "end"),))))
     facts = [("f", f"s{i}", str(j), f"l{j}") for i in range(5) for j in range(3)]
     (got,) = render(spark.createDataFrame(facts, "fact string, section string, ord string, line string"), [hub]).collect()
-    assert got.body.split("\n")[3:] == ["# H", "", "## s0", "- l0", "- 2 more", "## s1", "- l0", "- 2 more", "... `3` more sections", "end"]
+    assert got.body.split("\n")[4:] == ["# H", "", "## s0", "- l0", "- 2 more", "## s1", "- l0", "- 2 more", "... `3` more sections", "end"]
 
 
 def test_no_facts(spark):
