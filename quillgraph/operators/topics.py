@@ -43,16 +43,22 @@ def repos_of(topics: Column, profile: list[Topic]) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(topics, lambda k: F.coalesce(F.try_element_at(by_key, k), F.array().cast("array<string>"))))), 1, 20)
 
 
+def by_topic(notes: DataFrame, *keep: str) -> DataFrame:
+    """topic and some columns of notes, a row for each of a note's topics. An inner explode() would have Catalyst filter on the size of
+    the list below, and so read every text twice."""
+    return notes.select(*keep, F.explode_outer("topics").alias("topic")).where("topic IS NOT NULL")
+
+
 def rollup(notes: DataFrame, kind: str = "kind") -> DataFrame:
     """Notes per topic, by kind of note."""
-    return notes.select(F.explode("topics").alias("topic"), kind).groupBy("topic", kind).agg(F.count("*").alias("n_notes"))
+    return by_topic(notes, kind).groupBy("topic", kind).agg(F.count("*").alias("n_notes"))
 
 
 def rollup_lists(notes: DataFrame, limit: int = 25) -> DataFrame:
     """topic, kind, n_notes, more, first: notes of each topic by kind, how many beyond the limit, and the first stems in order.
 
     notes (note_id, stem, topics, kind). Stems are ranked with the limit below the shuffle before any are gathered."""
-    each = notes.select(F.explode("topics").alias("topic"), "kind", "stem", "note_id")
+    each = by_topic(notes, "kind", "stem", "note_id")
     first = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "kind").orderBy("stem", "note_id"))).where(F.col("rank") <= limit)
     first = first.groupBy("topic", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "stem")))["stem"].alias("first"))
     counted = each.groupBy("topic", "kind").agg(F.count("*").alias("n_notes"))
@@ -63,7 +69,7 @@ def topic_links(notes: DataFrame, records: DataFrame) -> DataFrame:
     """topic, status, n: links of the notes of each topic, by the status of the inventory. notes (topics, urls), records (url, status).
 
     A URL counts once for each note and topic; pairs are counted by (topic, url) before they meet the inventory."""
-    each = notes.select("note_id", F.explode("topics").alias("topic"), "urls").select("topic", F.explode("urls").alias("url"))
+    each = by_topic(notes, "note_id", "urls").select("topic", F.explode("urls").alias("url"))
     counted = each.groupBy("topic", "url").agg(F.count("*").alias("n"))
     return counted.join(records.select("url", "status"), "url").groupBy("topic", "status").agg(F.sum("n").alias("n"))
 
@@ -85,7 +91,7 @@ def related(notes: DataFrame, refs: DataFrame | None = None, kinds: tuple[str, .
 
     Each topic offers its first limit + 1 notes of a kind, which is enough for any note: these are ranked with the limit below the
     shuffle, gathered into one list per topic and broadcast, so that no pair of notes is ever a row."""
-    each = notes.select("note_id", "kind", F.explode("topics").alias("topic"))
+    each = by_topic(notes, "note_id", "kind")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "kind").orderBy("note_id"))).where(F.col("rank") <= limit + 1)
     offered = ranked.groupBy("topic").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("note_id")))).alias(k) for k in kinds))
     asked = notes.select("note_id", F.col("kind").alias("own_kind"), "topics")

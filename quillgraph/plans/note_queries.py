@@ -110,7 +110,7 @@ def capability_scores(spark, sf_dir):
 
 
 def capability_top3(spark, sf_dir):
-    return classified(spark, sf_dir).select("note_id", F.posexplode("topics").alias("at", "topic")).select("note_id", "topic", (F.col("at") + 1).cast("long").alias("place"))
+    return classified(spark, sf_dir).select("note_id", F.posexplode_outer("topics").alias("at", "topic")).select("note_id", "topic", (F.col("at") + 1).cast("long").alias("place"))
 
 
 def capability_rollup_counts(spark, sf_dir):
@@ -123,7 +123,7 @@ def note_repos(spark, sf_dir):
 
 def repo_topics(spark, sf_dir):
     """Repositories by the notes whose topics name them."""
-    each = classified(spark, sf_dir).select("note_id", F.explode(To.repos_of(F.col("topics"), PROFILE)).alias("repo"))
+    each = classified(spark, sf_dir).select("note_id", F.explode_outer(To.repos_of(F.col("topics"), PROFILE)).alias("repo")).where("repo IS NOT NULL")
     return each.groupBy("repo").agg(F.count("*").alias("n_notes"))
 
 
