@@ -98,7 +98,8 @@ def wikified(notes: DataFrame, articles: DataFrame, pages: DataFrame) -> DataFra
     spread over all tasks. Notes meet their matches by note, and keep their text once."""
     body = T.imported_markdown(F.col("body"))
     cut = notes.select("note_id", "path", F.split(body, LINK).alias("gaps"), F.regexp_extract_all(body, F.lit(LINK), F.lit(0)).alias("found"))
-    each = cut.select("note_id", "path", F.posexplode("found").alias("at", "match"))
+    # posexplode would have Catalyst filter on the size of the list below it, and so read every text twice
+    each = cut.select("note_id", "path", F.posexplode_outer("found").alias("at", "match")).where("match IS NOT NULL")
     label = T.normalize(F.regexp_extract("match", r"^\[([^\]]+)\]", 1))
     target = F.trim(F.regexp_extract("match", r"\]\(([^)]+)\)$", 1))
     each = each.select("note_id", "at", "match", label.alias("label"), F.coalesce(urls.article_id(target), F.nullif(F.regexp_extract("match", T.ARTICLE, 1), F.lit(""))).alias("article_id"), T.wiki_target(target, F.col("path")).alias("page"))
