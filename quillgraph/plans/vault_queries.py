@@ -47,9 +47,11 @@ def mirrored_tree(spark, sf_dir):
     path = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
     rows = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("section"), F.concat_ws(" - ", F.col("page_id").cast("string"), T.slug(path, 80)).alias("name"), F.concat(head, words).alias("body"))
     root = f"{shared_dir(spark)}/vault-{uuid.uuid4().hex}"
+    rows = saved(rows, "vault-pages")
     note_files.write_tree(rows, root)
     out = saved(files.notes(spark, root, read=note_files.texts).select("path", F.md5(F.encode("body", "UTF-8")).alias("body_md5")), "vault")
     remove(spark, root)
+    forget(rows)
     return out
 
 
