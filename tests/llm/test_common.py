@@ -1,12 +1,15 @@
 """Helpers, and text that is no UTF-8."""
 
 import hashlib
+import time
+from pathlib import Path
 
 import numpy as np
 import tiktoken
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, common, near_dup, quality
+from quillgraph.sources import shared
 
 CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -34,6 +37,20 @@ def test_forget_deletes_what_was_saved(spark):
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_saved_leaves_no_shuffle_files(spark):
+    """The first phase's shuffles of op2 would lie beside the second's until the driver collects its garbage."""
+    local = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: set(local.rglob("shuffle_*"))
+    counted = spark.range(1000).groupBy((F.col("id") % 50).alias("k")).agg(F.count("*").alias("n"))
+    shuffled, cleaned = files(), spark.conf.get(shared.CLEANED, None)
+    df = common.saved(counted, "t")
+    until = time.monotonic() + 20
+    while files() - shuffled and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - shuffled and spark.conf.get(shared.CLEANED, None) == cleaned
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, counted.collect())) == [(k, 20) for k in range(50)]
+
+
 def test_text_that_is_no_utf8(spark):
     docs = spark.sql("SELECT CAST(1 AS LONG) AS doc_id, CAST(X'61FF62206320642065' AS STRING) AS text UNION ALL SELECT CAST(2 AS LONG), CAST(X'FFFE' AS STRING)")
     raw, pattern = bpe.default_vocabulary()
