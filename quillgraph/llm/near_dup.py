@@ -99,7 +99,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     """The pairs (a, b) of classes that are similar, by the full shingle sets of one document of each class.
 
     A class is found again by the marks of its set, as its smallest doc_id may stand before other texts too."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "first_id", *_KEY), "id")
+    wanted = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "first_id", *_KEY), "id"), "wanted")
     texts = by_ids(docs.select(F.col("doc_id").cast("long").alias("first_id"), "text"), wanted.select("first_id").distinct(), "first_id", "left_semi").select("text")
     with batches_of(docs.sparkSession, PIECE):
         made = saved(texts.mapInArrow(_sets, "n_shingles long, set_a long, set_b long, shingles binary"), "sets")
@@ -107,7 +107,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     with batches_of(docs.sparkSession, PIECE):
         links = saved(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct(), "links")
-    forget(made)
+    forget(made, wanted)
     return links
 
 

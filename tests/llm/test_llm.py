@@ -62,6 +62,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_components_keep_the_driver_small(spark):
+    """The driver keeps the metrics of all plans of a session: stars need no round, and a round's plans stay small."""
+
+    def metrics():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        known = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {known.apply(i).executionId(): known.apply(i).metrics().size() for i in range(known.size())}
+
+    def added(edges):
+        links, before = common.saved(spark.createDataFrame(edges, "a long, b long"), "t"), metrics()
+        got = {r.id: r.component for r in components.components(links, "a", "b").collect()}
+        return got, sum(n for i, n in metrics().items() if i not in before)
+
+    got, stars = added([(i % 10, i) for i in range(10, 200)])
+    assert got == {i: i % 10 for i in range(200)} and stars < 1500
+    got, chain = added([(i, i + 1) for i in range(4)])
+    assert got == dict.fromkeys(range(5), 0) and chain < 5500
+
+
 # 1 secrets
 
 
