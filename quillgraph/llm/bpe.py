@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, pieces, saved, table
 
-PIECE = 3 << 20  # bytes of text at a time: working memory is some twenty times as large
+PIECE = 1 << 20  # bytes of text at a time: working memory is some twenty times as large
 _SHIFT = 20
 _NONE = (1 << _SHIFT) - 1  # the token of a list's end; no vocabulary has so many tokens
 
@@ -228,7 +228,7 @@ def encode(docs: DataFrame, raw: bytes, pattern: str, decoded: bool = False) ->
 
     docs has doc_id and text; other columns are ignored. raw is a rank file's content. Every row of docs gives one row, repeated
     rows too; a null text counts as an empty one (no tokens); a null doc_id stays null; an empty table gives no rows. Bytes of a text
-    that are no UTF-8 are read as U+FFFD, as Python decodes them with errors="replace", and decode to it. Each task takes about 3 MB
+    that are no UTF-8 are read as U+FFFD, as Python decodes them with errors="replace", and decode to it. Each task takes about 1 MB
     of text at a time and no text is cut. No shuffle: a lost executor's tasks run again elsewhere."""
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_encode, raw, pattern, decoded), schema)

@@ -10,7 +10,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BLOCK = 1 << 20  # bytes of text hashed at a time: working arrays are some fifty times as large
+_BLOCK = 1 << 18  # bytes of text hashed at a time: working arrays are some fifty times as large
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,7 @@ def _block_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space, A-Z lower-cased) of the texts, and where each text's words begin.
 
-    Returns (hashes, bounds): text i has hashes[bounds[i]:bounds[i + 1]]. Texts are hashed in blocks of about a megabyte."""
+    Returns (hashes, bounds): text i has hashes[bounds[i]:bounds[i + 1]]. Texts are hashed in blocks of about _BLOCK bytes."""
     hashes, bounds, start, size, n = [np.empty(0, dtype=_U)], [np.zeros(1, dtype=np.int64)], 0, 0, 0
     for i, text in enumerate(texts):
         size += len(text) + 1

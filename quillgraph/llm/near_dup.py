@@ -20,7 +20,8 @@ BANDS, ROWS = 60, 6  # a pair at 0.75 shares no band with probability (1 - 0.75*
 SAMPLE = 512  # smallest shingle hashes of a set (a bottom-k MinHash sample) that are folded into its odd sketch
 BITS = 2048  # of the odd sketch
 BLOCK = 2000  # members of a bucket that are compared with as many others in one task
-PIECE = 4 << 20
+PIECE = 1 << 20  # bytes of text at a time: working memory is some fifteen times as large, in each worker
+FOLDED = 256  # sets folded at a time: 8 bytes for each of BITS
 _KEY = ["n_shingles", "set_a", "set_b"]
 _SKETCH = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
 
@@ -29,11 +30,14 @@ def odd_sketches(sets: list[np.ndarray], bits: int = BITS) -> np.ndarray:
     """Fold the MinHash sample of each sorted set into a parity bitmap, as bits / 64 signed words.
 
     A sample is the SAMPLE smallest hashes of the set, hence the whole set if it is no larger."""
-    samples = [s[:SAMPLE] for s in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in samples])
-    place = (mix(np.concatenate([np.empty(0, dtype=np.uint64), *samples]) + np.uint64(53)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(owner * bits + place, minlength=len(sets) * bits) & 1).astype(np.uint8).reshape(len(sets), bits)
-    return np.packbits(odd, axis=1).view(np.int64)
+    out = np.empty((len(sets), bits // 64), dtype=np.int64)
+    for at in range(0, len(sets), FOLDED):
+        samples = [s[:SAMPLE] for s in sets[at : at + FOLDED]]
+        owner = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+        place = (mix(np.concatenate(samples) + np.uint64(53)) % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(owner * bits + place, minlength=len(samples) * bits) & 1).astype(np.uint8).reshape(len(samples), bits)
+        out[at : at + FOLDED] = np.packbits(odd, axis=1).view(np.int64)
+    return out
 
 
 def plausible(n_a: Column, odd_a: Column, n_b: Column, odd_b: Column) -> Column:

@@ -20,7 +20,8 @@ RIDGE = 1e-3  # for each labelled row
 BINS = 512  # of raw scores, for the isotonic fit
 CALIBRATED = 4  # labelled rows whose crc32(doc_id as text) mod 5 is this calibrate the scores; the others fit the ridge
 THRESHOLD = 0.3
-PIECE = 4 << 20
+PIECE = 1 << 20  # bytes of text at a time
+ROWS = 1024  # rows whose random features are held at a time: some 8 kB each
 _CLASS = np.zeros(256, dtype=np.int64)  # 0 control, 1 space, 2 digit, 3 upper, 4 lower, 5 beyond ASCII, 6 sentence marks, 7 symbols
 for _i in range(33, 128):
     _CLASS[_i] = 7
@@ -104,13 +105,19 @@ def features(docs: DataFrame) -> DataFrame:
         return saved(rows, "features")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, at most ROWS at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _sums(mean: np.ndarray, scale: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The partition's share of the normal equations, as numbered cells: the upper triangle of Z'Z, then Z'y."""
     left, right = 0, 0
-    for batch in batches:
-        if len(batch):
-            z = expand((_matrix(batch) - mean) / scale)
-            left, right = left + z.T @ z, right + z.T @ np.array(batch.column("quality"), dtype=float)
+    for batch in _parts(batches):
+        z = expand((_matrix(batch) - mean) / scale)
+        left, right = left + z.T @ z, right + z.T @ np.array(batch.column("quality"), dtype=float)
     if not np.isscalar(left):
         cells = np.concatenate((left[np.triu_indices(len(left))], right))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "value"])
@@ -125,12 +132,12 @@ def held_out(doc_id: str) -> F.Column:
 
 
 def _raw(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         yield batch.drop_columns(["x"]).append_column("raw", pa.array(model.raw(_matrix(batch)), pa.float64()))
 
 
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         yield batch.drop_columns(["x"]).append_column("score", pa.array(model.score(_matrix(batch)), pa.float64()))
 
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import time
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -64,3 +66,30 @@ def test_text_that_is_no_utf8(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert quality.classify(docs, labels).count() == 2 and quality.good(docs, labels).count() <= 2
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == {(1, 1, 1), (2, 1, 2)}
+
+
+def traced_peak(made):
+    """MB of Python and numpy memory that using up an iterator takes at a time, beyond what was there, and its rows."""
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    rows = sum(len(b) for b in made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return (peak - before) / 1e6, rows
+
+
+def test_workers_hold_little_at_a_time():
+    """However many texts a batch has, what a worker holds stays far below an executor's share of memory for its workers."""
+    word = np.random.default_rng(5).integers(0, 3000, 700_000)
+    texts = [" ".join(f"w{x}" for x in part) for part in np.array_split(word, 1500)]  # some 4 MB
+    n = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, pa.array(texts)], ["doc_id", "text_hash", "text"])
+    raw, pattern = bpe.default_vocabulary()
+    bpe.vocabulary(raw, pattern)  # stays in the worker
+    model = quality.Model(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS), np.zeros(quality.FEATURES + quality.STATISTICS + 1), np.array([0.0]), np.array([0.5]))
+    x = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(list(np.ones((10_000, quality.STATISTICS))), pa.list_(pa.float64()))], ["doc_id", "x"])
+    peaks = {}
+    for name, made, rows in [("sketch", near_dup._sketch([batch]), 1500), ("sets", near_dup._sets([batch]), 1500), ("featurise", quality._featurise([batch]), 1500), ("score", quality._scored(model, [x]), 10_000), ("encode", bpe._encode(raw, pattern, True, [batch]), 1500)]:
+        peaks[name], seen = traced_peak(made)
+        assert seen == rows
+    assert max(peaks.values()) < 40, peaks
