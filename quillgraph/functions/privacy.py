@@ -12,7 +12,8 @@ CREDENTIALS = (r"(https?://)([^/\s@]+)@", "$1[REDACTED_CREDENTIALS]@")
 EMAIL = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
 PRIVATE_IP = (r"\b(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[0-1])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})\b", "[REDACTED_PRIVATE_IP]")
 PERSON = "[REDACTED_PERSON]"
-CAPITALS = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"  # two and more capitalised words in a row
+# two and more capitalised words in a row; possessive, as Java takes a stack frame for each word of a group that may give some back
+CAPITALS = r"\b[A-Z][a-z]++(?: [A-Z][a-z]++\b)++"
 
 
 def redact(x: Column) -> Column:
@@ -41,7 +42,8 @@ def redact_names(x: Column, names: Column) -> Column:
             passed = F.struct((s["skip"] - 1).alias("skip"), s["shown"].alias("shown"))
             return F.when(s["skip"] > 0, passed).when(is_name[3], put(F.lit(PERSON), 2)).when(is_name[2], put(F.lit(PERSON), 1)).otherwise(put(F.get(w, i), 0))
 
-        return let(words, lambda w: F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, lambda s, i: step(w, s, i))["shown"], " "))
+        shown = let(words, lambda w: F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, lambda s, i: step(w, s, i))["shown"], " "))
+        return F.when(F.exists(names, lambda n: F.contains(run, n)), shown).otherwise(run)
 
     def whole(text: Column) -> Column:
         pieces = F.arrays_zip(F.split(text, CAPITALS).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(CAPITALS), F.lit(0)), cleared).alias("shown"))

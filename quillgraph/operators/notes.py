@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, privacy, urls
 from ..functions import text as T
+from ..functions.let import let
 from ..sources import sinks
 from ..sources.shared import saved
 from .lookup import lookup
@@ -20,6 +21,7 @@ NOT_NAMES = [
 ]
 AUTHOR_TERMS = "posted|comments|author"
 NAME_LINE = r"^\s*(?:- |## )([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\s*$"
+NAME_START = r"(?:^|\n)[^\S\n]*(?:- |## )[A-Z][a-z]+ [A-Z][a-z]"  # every text with such a line has this; others are not cut into lines
 
 
 def conflicts(text: Column, n_stale: Column, n_blocked: Column, n_drive: Column, n_repos: Column, n_hits: Column) -> Column:
@@ -68,24 +70,40 @@ def rendered(notes: DataFrame, near: DataFrame, hits: DataFrame, found: DataFram
     return full.select("note_id", whole.alias("body"))
 
 
+def _author_names(x: Column) -> Column:
+    """Of a text: two or three capitalised words alone on a list or heading line, with an author term within three lines."""
+
+    def of(lines: Column) -> Column:
+        near = lambda at: F.lower(F.array_join(F.slice(lines, F.greatest(at - 2, F.lit(1)), F.least(at + 4, F.lit(7))), " "))
+        return F.transform(lines, lambda line, at: F.when(line.rlike(NAME_LINE) & near(at).rlike(AUTHOR_TERMS), F.regexp_extract(line, NAME_LINE, 1)))
+
+    return F.when(x.rlike(NAME_START), F.array_compact(let(T.lines(x), of)))
+
+
+def _counted(names: DataFrame, least: int) -> DataFrame:
+    """names (names: a list for each text) to name, n."""
+    # explode would have Catalyst filter on the size of the list below it, and so search every text twice
+    each = names.select(F.explode_outer("names").alias("name")).where("name IS NOT NULL").where(~F.col("name").isin(NOT_NAMES))
+    return each.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
 def person_names(texts: DataFrame, least: int = 2) -> DataFrame:
     """name, n: two or three capitalised words alone on a list or heading line, with an author term within three lines, seen
     `least` times or more. The neighbourhood is a slice of the row's own lines: no shuffle but the final count."""
-    lines = texts.select(T.lines(F.col("text")).alias("lines"))
-    each = lines.select("lines", F.posexplode("lines").alias("at", "line")).where(F.col("line").rlike(NAME_LINE))
-    near = F.lower(F.array_join(F.slice("lines", F.greatest(F.col("at") - 2, F.lit(1)), F.least(F.col("at") + 4, F.lit(7))), " "))
-    named = each.withColumn("name", F.regexp_extract("line", NAME_LINE, 1)).where(near.rlike(AUTHOR_TERMS) & ~F.col("name").isin(NOT_NAMES))
-    return named.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _counted(texts.select(_author_names(F.col("text")).alias("names")), least)
 
 
 def redacted(texts: DataFrame, least: int = 2) -> DataFrame:
     """texts (…, text) with credentials, addresses and the names of person_names() removed, however many names there are.
 
-    The capitalised phrases of each text meet the names in a join; what returns to a text, by its MD5, are the few that it holds."""
-    masked = texts.withColumn("text", privacy.redact(F.col("text"))).withColumn("_key", F.md5("text"))
-    said = masked.select("_key", F.explode(privacy.phrases(F.col("text"))).alias("name"))
-    held = said.join(person_names(texts, least).select("name"), "name").groupBy("_key").agg(F.collect_set("name").alias("_names"))
-    both = masked.join(held, "_key", "left")
+    Each text is read once: what it masks to, its capitalised phrases and its author lines lie in the shared folder. The phrases meet
+    the names in a join; what returns to a text, by its MD5, are the few that it holds."""
+    masked = texts.withColumn("_people", _author_names(F.col("text"))).withColumn("text", privacy.redact(F.col("text")))
+    masked = saved(masked.withColumn("_key", F.md5("text")).withColumn("_said", privacy.phrases(F.col("text"))), "masked-texts")
+    names = _counted(masked.select(F.col("_people").alias("names")), least)
+    said = masked.select("_key", F.explode("_said").alias("name"))
+    held = said.join(names.select("name"), "name").groupBy("_key").agg(F.collect_set("name").alias("_names"))
+    both = masked.drop("_people", "_said").join(held.hint("merge"), "_key", "left")  # in the order of keys, whatever the size
     text = F.when(F.col("_names").isNull(), F.col("text")).otherwise(privacy.redact_names(F.col("text"), F.col("_names")))
     return both.withColumn("text", text).select(*texts.columns)
 

@@ -64,6 +64,14 @@ def test_code_search(spark):
     assert Cs.registry(picked.limit(0), kept).count() == 3
 
 
+def test_names_in_a_long_run_of_capitals(spark):
+    """Java's stack held some 1,500 words of such a run."""
+    run = "Setup " + "Word " * 20_000
+    rows = [("Posted\n- Ada Byron\nx",), ("Posted\n- Ada Byron\nx",), (run + "Ada Byron",), (run + "Ada Byron9",), (run + "End",)]
+    got = sorted(r.text for r in N.redacted(spark.createDataFrame(rows, "text string").repartition(2)).collect())
+    assert got == sorted(["Posted\n- [REDACTED_PERSON]\nx"] * 2 + [run + "[REDACTED_PERSON]", run + "Ada Byron9", run + "End"])
+
+
 def test_names_and_wikilinks(spark):
     texts = spark.createDataFrame([("Posted\n- Ada Byron\nx",), ("x\n## Ada Byron\ny\nz\nAuthor",), ("- Best Practices\nPosted",), ("- Jo Doe\n1\n2\n3\n4\nposted",)], "text string")
     assert [tuple(r) for r in N.person_names(texts).collect()] == [("Ada Byron", 2)]
