@@ -94,12 +94,13 @@ def tokens(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[A-Za-z0-9]{3,}"), F.lit(0)))
 
 
-def unescape(x: Column) -> Column:
-    """Text of HTML with its numeric and named entities read; what is none stays. Texts without an ampersand are not searched."""
+def unescape(x: Column, ended: bool = False) -> Column:
+    """Text of HTML with its numeric and named entities read; what is none stays. Texts without an ampersand are not searched.
+    ended: only entities that a semicolon ends are read, so that '&amp' at the end of a cut title stays."""
 
     def named(raw: Column) -> Column:
         bare = F.regexp_extract(raw, f"^&({_BARE})", 1)
-        start = F.when(bare != "", F.concat(F.try_element_at(_entities(), bare), F.substring(raw, F.length(bare) + 2, F.length(raw))))
+        start = F.lit(None).cast("string") if ended else F.when(bare != "", F.concat(F.try_element_at(_entities(), bare), F.substring(raw, F.length(bare) + 2, F.length(raw))))
         return F.coalesce(F.try_element_at(_entities(), F.regexp_extract(raw, "^&([^;]+);$", 1)), start, raw)
 
     def numbered(digits: Column, base: int) -> Column:
@@ -113,7 +114,7 @@ def unescape(x: Column) -> Column:
         hexes, digits = F.regexp_extract(e, "^&#[xX]([0-9a-fA-F]+);?$", 1), F.regexp_extract(e, "^&#([0-9]+);?$", 1)
         return F.when(hexes != "", numbered(hexes, 16)).when(digits != "", numbered(digits, 10)).otherwise(named(e))
 
-    pattern = f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|{_BARE})"
+    pattern = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});" if ended else f"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,31}};|{_BARE})"
 
     def whole(text: Column) -> Column:
         found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read)
@@ -127,14 +128,14 @@ def _entities() -> Column:
     return F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
 
-def html_text(x: Column) -> Column:
+def html_text(x: Column, ended: bool = False) -> Column:
     bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]+>", " ")
-    return normalize(unescape(bare))
+    return normalize(unescape(bare, ended))
 
 
-def html_title(x: Column, fallback: Column) -> Column:
+def html_title(x: Column, fallback: Column, ended: bool = False) -> Column:
     found = F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.coalesce(_filled(normalize(unescape(found))), fallback)
+    return F.coalesce(_filled(normalize(unescape(found, ended))), fallback)
 
 
 def identifier_words(x: Column) -> Column:

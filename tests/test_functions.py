@@ -103,6 +103,29 @@ def test_entities(spark):
     assert [r[0] for r in rows(spark, values, T.unescape(F.col("x")))] == [html.unescape(v) for v in values]
 
 
+def test_entities_that_a_semicolon_ends(spark):
+    values = ["a&amp;&amp", "&amp;lt;&lt;&lt &eacute;&#65;&#65 &notit; &copy 2", "&am", "cut &quot"]
+    page = F.concat(F.lit("<title>"), F.col("x"), F.lit("</title>"))
+    got = rows(spark, values, T.unescape(F.col("x"), ended=True), T.html_title(page, F.lit("none"), ended=True), T.html_text(page, ended=True))
+    assert got == [(v,) * 3 for v in ["a&&amp", "&lt;<&lt éA&#65 &notit; &copy 2", "&am", "cut &quot"]]
+
+
+def test_pages_with_cut_entities_match_sql(spark, tmp_path):
+    import duckdb
+
+    from quillgraph.plans import registry
+
+    pages = [(i, f"https://a{i % 3}.test.org/x/{i}", f"<html><title>one &amp; two{cut}</title><script>x</script><p>1 &lt; 2 &quot;{cut}</p></html>") for i, cut in enumerate(["", "&amp", "&quot", "&am", "&amp;amp", "&", "&copy", "&lt"])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_text", "html_title", "slugify_title", "mirror_files", "page_domain_top", "mirrored_tree", "scanned_sources"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        found = con.execute(registry.ORACLE_SQL[name])
+        names = [d[0] for d in found.description]
+        assert sorted(map(tuple, df.select(names).collect()), key=str) == sorted(found.fetchall(), key=str), name
+
+
 def test_signals(spark):
     text = "# Head\n\n- a bullet of some length\n- a bullet of some length\nA paragraph that goes on for more than thirty.\nhttps://a.test.org/x. Article 12345"
     s = rows(spark, [text], L.signals(F.col("x")))[0][0]
