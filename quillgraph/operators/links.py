@@ -85,15 +85,16 @@ def stale_refs(links: DataFrame, records: DataFrame) -> DataFrame:
     return lookup(links.select("url", "ref").distinct(), stale, "url", how="left_semi").groupBy("ref").agg(F.count("*").alias("n_stale"))
 
 
-def records(listed_urls: DataFrame, refs: DataFrame, fetched: DataFrame) -> DataFrame:
+def records(listed_urls: DataFrame, refs: DataFrame, fetched: DataFrame, ended: bool = False) -> DataFrame:
     """The complete record of every URL of an inventory(): url, domain, status, http_status, final_url, final_domain, content_type, title,
     error, mirror_path, n_refs and the first references.
 
     refs is listed(): url, refs; fetched has url, http_status, error, body, final_url, content_type. Only what was fetched has the columns
-    of a fetch; a page that was read has a title (of HTML its own, else the URL), and a mirrored one the path of its file."""
+    of a fetch; a page that was read has a title (of HTML its own, else the URL), and a mirrored one the path of its file. A URL that was
+    fetched more than once has a record for each fetch, with what that fetch says. ended: see unescape()."""
     asked = ~F.col("status").isin("local-support-evidence", "needs-google-drive", "stale-doc-reference")
-    page = fetched.select("url", "final_url", "content_type", "error", T.html_title(F.col("body"), F.col("url")).alias("_title"), F.lit(True).alias("_found"))
-    full = listed_urls.join(refs.select("url", "refs"), "url", "left").join(page, "url", "left")
+    page = fetched.select("url", "http_status", "final_url", "content_type", "error", T.html_title(F.col("body"), F.col("url"), ended).alias("_title"), F.lit(True).alias("_found"))
+    full = listed_urls.drop("http_status").join(refs.select("url", "refs"), "url", "left").join(page, "url", "left")
     got = asked & F.col("_found")
     read = got & F.col("error").isNull() & (F.col("http_status") < 400)
     title = F.when(F.contains("content_type", F.lit("text/html")), F.col("_title")).otherwise(F.col("url"))
@@ -101,11 +102,13 @@ def records(listed_urls: DataFrame, refs: DataFrame, fetched: DataFrame) -> Data
     path = F.regexp_extract("final_url", r"^https?://[^/?#]*([^?#]*)", 1)
     mirror = F.concat(final, F.lit("/"), T.slug(F.when(path == "", final).otherwise(path)), F.lit(".md"))
     return full.select(
-        "url", "domain", "status", "http_status", F.when(got, F.col("final_url")).alias("final_url"), F.when(got, final).alias("final_domain"), F.when(got, F.col("content_type")).alias("content_type"),
+        "url", "domain", "status", F.when(got, F.col("http_status")).alias("http_status"), F.when(got, F.col("final_url")).alias("final_url"), F.when(got, final).alias("final_domain"), F.when(got, F.col("content_type")).alias("content_type"),
         F.when(read, title).alias("title"), F.when(got, F.col("error")).alias("error"), F.when(F.col("status") == "mirrored", mirror).alias("mirror_path"), "n_refs", "refs",
     )
 
 
 def in_order(records_: DataFrame) -> DataFrame:
-    """Records with their `position` in the order of status, domain and URL, over all rows and without one task that sees them all."""
-    return settled(records_, F.col("status"), F.col("domain"), F.col("url"))
+    """Records with their `position` in the order of status, domain and URL, over all rows and without one task that sees them all.
+    Records of one URL, fetched more than once, go by what the fetches say, so that positions are the same in every run."""
+    told = ("http_status", "final_url", "content_type", "title", "error")
+    return settled(records_, *(F.col(c) for c in ("status", "domain", "url", *told)))

@@ -23,6 +23,18 @@ def test_records_in_order(spark):
     assert got[6].final_url is None and got[3].http_status is None and got[1].title == "https://in.org/" and got[1].mirror_path is None
 
 
+def test_a_record_for_each_fetch(spark):
+    """A URL fetched twice: each record says what its own fetch came to."""
+    links = spark.createDataFrame([("https://n.org/a", "r1")], "url string, ref string")
+    known = spark.createDataFrame([], "url string")
+    answers = spark.createDataFrame([("https://n.org/a", 200, None, "<title>one&amp</title>", "https://n.org/a", "text/html"), ("https://n.org/a", 404, None, "gone", "https://n.org/b", "text/html")], "url string, http_status int, error string, body string, final_url string, content_type string")
+    listed = L.inventory(links, known, answers.select("url", "http_status", "error", "body"), [])
+    got = sorted((r.status, r.http_status, r.final_url, r.title) for r in L.records(listed, L.listed(links, 3), answers, ended=True).collect())
+    assert got == [(s, *a) for s in ("blocked", "mirrored") for a in ((200, "https://n.org/a", "one&amp"), (404, "https://n.org/b", None))]
+    ordered = sorted((r.position, r.status, r.http_status) for r in L.in_order(L.records(listed, L.listed(links, 3), answers)).collect())
+    assert ordered == [(1, "blocked", 200), (2, "blocked", 404), (3, "mirrored", 200), (4, "mirrored", 404)]
+
+
 def test_counts_are_seen_while_writing(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
 
