@@ -5,6 +5,7 @@ worker builds the automaton once. Texts reach it in Arrow batches."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
@@ -38,6 +39,28 @@ def index(keyed: Iterable[tuple[str, Sequence[str]]]) -> tuple[tuple[str, ...],
     return tuple(owners), tuple(map(tuple, owners.values()))
 
 
+@lru_cache(maxsize=1)
+def _folding() -> tuple[re.Pattern[str], dict[int, str]]:
+    """Characters that lower() does not fold one to one to what stands for all cases of a letter, and what each character folds to."""
+    table, odd = {}, "\u03a3"  # a capital sigma is lowered by what follows it
+    for i in range(0x1E944):  # beyond the last letter with two cases
+        c = chr(i)
+        one = next((f for f in (c.casefold(), c.lower()) if len(f) == 1), c)
+        if one != c:
+            table[i] = one
+        if one != c.lower():
+            odd += c
+    return re.compile(f"[{odd}]"), table
+
+
+def folded(text: str) -> str:
+    """The text with one case for every letter, character by character, as a regular expression without case compares them."""
+    if text.isascii():
+        return text.lower()
+    odd, table = _folding()
+    return text.translate(table) if odd.search(text) else text.lower()
+
+
 def _scores(keys: tuple[str, ...], words: tuple[str, ...], owners: tuple[tuple[int, ...], ...], heads: pa.Array, texts: pa.Array) -> pa.Array:
     found, everywhere = automaton(words), [owners[i] for i, w in enumerate(words) if not w]
     out = []
@@ -75,7 +98,7 @@ def _lines(places: dict[str, frozenset[int]], keys: tuple[str, ...], words: tupl
         wanted, hits = places.get(group, frozenset()), {}
         if found is not None and wanted and text:
             flat = text.replace("\r\n", "\n")
-            low = flat.encode(errors="surrogatepass").lower().decode(errors="surrogatepass")  # folds A-Z alone
+            low = folded(flat)  # as long as flat
             begin, end, number = 0, low.find("\n"), 1
             full = 0
             for last, i in found.iter(low):
@@ -97,9 +120,9 @@ def _lines(places: dict[str, frozenset[int]], keys: tuple[str, ...], words: tupl
 
 def lines(group: Column, text: Column, keyed: Sequence[tuple[str, Sequence[str], Sequence[str]]], limit: int = LINES_PER_FILE) -> Column:
     """array<struct<topic, score, line_number, line>>: for each (key, words, groups) whose groups hold the row's group and of whose
-    words the text has any (A-Z in either case): how many lines have one (`limit` at most, where reading stops), and the first of
+    words the text has any (letters in either case): how many lines have one (`limit` at most, where reading stops), and the first of
     them."""
-    lowered = [(k, [w.encode().lower().decode() for w in words]) for k, words, _ in keyed]
+    lowered = [(k, [folded(w) for w in words]) for k, words, _ in keyed]
     words, owners = index(lowered)
     places: dict[str, set[int]] = {}
     for place, (_, _, groups) in enumerate(keyed):

@@ -46,6 +46,17 @@ def test_scores_and_lines_by_plain_searches(spark):
     assert got == {i: plain_lines(grouped, g, text) for i, g, text in files}
 
 
+def test_lines_fold_letters_of_any_alphabet(spark):
+    """Places and matches are those of a regular expression without case."""
+    texts = ["one\n// handles CIÓN\nción", "Straße\nſCHULE ciÓn", "İİ ΣΑΣ\nσας", "STRASSE\nKelvin", "\u212aelvin"]
+    keyed = [("a", ["ción", "sch"], ["g"]), ("b", ["ΣΑΣ", "kelvin"], ["g"]), ("c", ["STRAẞE"], ["g"])]
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "id int, g string, text string")
+    got = {r.id: [tuple(e) for e in r.s] for r in df.select("id", K.lines(F.col("g"), F.col("text"), keyed).alias("s")).collect()}
+    assert got == {
+        0: [("a", 2, 2, "// handles CIÓN")], 1: [("a", 1, 2, "ſCHULE ciÓn"), ("c", 1, 1, "Straße")], 2: [("b", 2, 1, "İİ ΣΑΣ")], 3: [("b", 1, 2, "Kelvin")], 4: [("b", 1, 1, "\u212aelvin")],
+    }
+
+
 def test_no_keywords(spark):
     df = spark.createDataFrame([("a", "b")], "head string, text string")
     assert df.select(K.scores(F.col("head"), F.col("text"), [("k", [])]).alias("s"), K.lines(F.col("head"), F.col("text"), []).alias("t")).collect() == [([], [])]
