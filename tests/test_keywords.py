@@ -3,10 +3,13 @@
 import random
 import time
 
+import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import keywords as K
+from quillgraph.plans import registry
 
 
 def plain_scores(keyed, head, text):
@@ -57,6 +60,29 @@ def test_lines_fold_letters_of_any_alphabet(spark):
     }
 
 
+@pytest.fixture(scope="module")
+def capitals(spark, tmp_path_factory):
+    """Tables with one file whose lines have a keyword in accented capitals, among the first of its topic by these lines alone."""
+    at = tmp_path_factory.mktemp("capitals")
+    docs = [(i, "aa CIÓNX bb" if i == 111 else f"adob w{i} bb", "es", "src6", 11) for i in range(1, 401)]
+    pages = [(i, f"https://a{i}.test.org/x/{i}", "<title>t</title>p") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(at / "pages.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    return str(at), con
+
+
+@pytest.mark.parametrize("name", ["code_search", "code_hit_top_files", "code_hit_prune", "code_hit_rerank", "code_reference_registry", "code_notes", "capability_notes", "hub_notes"])
+def test_accented_capitals_match_sql(spark, capitals, name):
+    at, con = capitals
+    df = registry.QUERIES[name](spark, at)
+    found = con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, df.select(names).collect()), key=str) == sorted(found.fetchall(), key=str)
+
+
 def test_no_keywords(spark):
     df = spark.createDataFrame([("a", "b")], "head string, text string")
     assert df.select(K.scores(F.col("head"), F.col("text"), [("k", [])]).alias("s"), K.lines(F.col("head"), F.col("text"), []).alias("t")).collect() == [([], [])]
